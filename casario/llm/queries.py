@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import additive_ann, line_dedup, packing, quality_classifier, quality_rules, token_output
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_token_output": token_output.op3_token_output,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_additive_ann": additive_ann.op8_additive_ann,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 SQL = {
