@@ -19,6 +19,23 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 MEMO = 1_000_000
 
 
+def pieces_of(text: str | None) -> tuple[str, list[str]]:
+    """The first chunk of a text and the others, these without a leading blank (a leading line feed stays)."""
+    if not text:
+        return "", []
+    first, *rest = text.replace("\n", " \n").split(" ")
+    if all("!" < p < "\x7f" or _begins(p) for p in rest):
+        return first, rest
+    first, *rest = _CUT.split(text)  # runs of white space: cut with care
+    return first, [p[1:] if p[0] == " " else p for p in rest]
+
+
+def _begins(p: str) -> bool:
+    """Whether a piece starts with a character other than white space, after at most one line feed."""
+    head = p[1:] if p[:1] == "\n" else p
+    return bool(head) and not head[0].isspace()
+
+
 def _byte_letters() -> dict[int, str]:
     """The usual letters for bytes: printable ones stand for themselves, the others from U+0100 upwards."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
