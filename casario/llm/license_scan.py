@@ -9,9 +9,9 @@ longer than the template. A template is tried only on texts that hold enough of
 One narrow map: no shuffle, nothing depends on other documents, and work on a text is linear in its words times the
 few windows. Templates are a parameter of fixed size.
 
-Edge cases: a null or blank text matches nothing. Of several templates the one with the most aligned words wins among those
-with full coverage bounds, then the greater coverage, then the name. Repeated rows are scanned each. Other columns are
-ignored; an empty table gives no rows.
+Edge cases: a null or blank text matches nothing. Of several templates the one with the most aligned words
+wins, then the greater coverage, then the smaller name. Repeated rows are scanned each. Other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
