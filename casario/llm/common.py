@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rule: everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
@@ -68,6 +70,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-def binary_text(df: DataFrame, *cols: str, text: str = "text") -> DataFrame:
-    """Columns for an Arrow map: the text as UTF-8 bytes under one fixed name, extra columns dropped."""
-    return df.select(*cols, F.col(text).cast("binary").alias("text"))
+def with_columns_of_text(df: DataFrame, text_col: str, added: list[T.StructField], make) -> DataFrame:
+    """df with columns that make(texts as UTF-8 bytes) gives as arrays, all other columns unchanged."""
+    schema = T.StructType([*df.schema.fields, *added])
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("_text").to_pylist()
+            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "_text"), *make(texts)], schema.names)
+
+    return df.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(run, schema)

@@ -375,5 +375,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> Dat
     return Join(docs, threshold, k).run()
 
 
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
+    """docs without the documents whose group holds a smaller doc_id. Rows of a null doc_id stay."""
+    found = near_duplicates(docs, threshold, k)
+    go = kept(found.where("component_id < doc_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod, kept, mixed, table
+from .common import crc_mod, kept, mixed, table, with_columns_of_text
 
 BUCKETS = 1 << 14
 DIM = 64
@@ -186,20 +187,28 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict]:
     return vectors, fit(x.astype(np.float64), found["quality"].to_numpy())
 
 
-def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """doc_id, score and predicted of each row of docs (doc_id, text)."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+def with_scores(docs: DataFrame, model: tuple[np.ndarray, dict]) -> DataFrame:
+    """docs with score (a column of that name is replaced)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(texts):
+        vectors, net = shared.value
+        return [pa.array(probabilities(net, pooled(texts, vectors).astype(np.float64)))]
+
+    return with_columns_of_text(docs.drop("score"), "text", [T.StructField("score", T.DoubleType())], make)
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    return labels.where(crc_mod(F.col("doc_id"), 5) != 0)
 
-    def run(batches):
-        vectors, net = model.value
-        for b in batches:
-            s = probabilities(net, pooled([t.as_py() for t in b.column("text")], vectors).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return _texts(docs, "doc_id").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+def filter_quality(docs: DataFrame, model: tuple[np.ndarray, dict], cut: float = CUT) -> DataFrame:
+    """The rows of docs with a score of cut or more, with docs' columns."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return with_scores(own, model).where(F.col("score") >= cut).select("_row.*")
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
-    return classify(docs, labels).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    out = with_scores(docs, train(docs, training_labels(table(spark, sf_dir, "labels"))))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

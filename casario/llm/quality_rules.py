@@ -20,10 +20,11 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import binary_text, hashes, mixed, table
+from .common import hashes, kept, mixed, table, with_columns_of_text
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -40,12 +41,12 @@ MIN_GROUP = 100
 RATIOS = {
     "symbol_ratio": ("n_symbols", "word_chars", 0.01, False),
     "upper_ratio": ("n_upper", "word_chars", 0.02, False),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.04, False),
-    "word_length": ("word_chars", "n_words", 0.5, True),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.1, False),
+    "word_length": ("word_chars", "n_words", 0.6, True),
 }
 SPREADS = 4.0
 
-FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long"
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
 
 
 def counts(text: bytes | None) -> tuple[int, ...]:
@@ -68,18 +69,13 @@ def counts(text: bytes | None) -> tuple[int, ...]:
     return n, len(inside.translate(None, _TAILS)), len(inside) - len(inside.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(inside) - len(inside.translate(None, _UPPER))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """id, lang, source and FEATURES of each row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).cast("binary").alias("text"))
-    names = [x.split()[0] for x in FEATURES.split(", ")]
+def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with FEATURES of each row (columns of these names are replaced)."""
+    def make(texts):
+        found = np.array([counts(t) for t in texts], np.int64).reshape(-1, len(FEATURES))
+        return [pa.array(found[:, i]) for i in range(len(FEATURES))]
 
-    def run(batches):
-        for b in batches:
-            found = np.array([counts(t.as_py()) for t in b.column("text")], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), b.column("source"), *(pa.array(found[:, i]) for i in range(len(names)))], ["id", "lang", "source", *names])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang string, source string, {FEATURES}")
+    return with_columns_of_text(docs.drop(*FEATURES), text_col, [T.StructField(c, T.LongType()) for c in FEATURES], make)
 
 
 def with_ratios(f: DataFrame) -> DataFrame:
@@ -133,10 +129,9 @@ def thresholds(f: DataFrame) -> DataFrame:
     return out.select("lang", "source", *(F.coalesce(f"o_{c}", f"l_{c}", f"w_{c}").alias(c) for c in names))
 
 
-def judge(f: DataFrame) -> DataFrame:
-    """f with base_failed and kept: every ratio within its group's fences."""
-    f = with_ratios(f)
-    t = thresholds(f).withColumnsRenamed({"lang": "_t_lang", "source": "_t_source"})
+def judge(f: DataFrame, limits: DataFrame) -> DataFrame:
+    """f (with ratios) with kept: base rule passed and every ratio within its group's fences."""
+    t = limits.withColumnsRenamed({"lang": "_t_lang", "source": "_t_source"})
     ok = ~F.col("base_failed")
     for r in RATIOS:
         ok = ok & F.coalesce((F.col(r) <= F.col(f"{r}_hi")) & (F.col(r) >= F.col(f"{r}_lo")), F.lit(True))
@@ -144,8 +139,18 @@ def judge(f: DataFrame) -> DataFrame:
     return out.withColumn("kept", ok).drop("_t_lang", "_t_source", *(f"{r}_{c}" for r in RATIOS for c in ("lo", "hi")))
 
 
-def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from .common import kept
+def rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features of docs (doc_id, lang, source, text) without their text, and the limits, both written."""
+    f = kept(with_ratios(features(docs.select("doc_id", "lang", "source", "text")).drop("text")), "quality-features")
+    return f, kept(thresholds(f), "quality-limits")
+
 
-    f = kept(features(table(spark, sf_dir, "documents")), "quality-features")
-    return judge(f).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_upper")
+def filter_quality(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with docs' columns. Limits are few rows; texts aren't shuffled where they fit."""
+    _, limits = rules(docs)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
+    return judge(with_ratios(features(own).drop("text")), limits).where("kept").select("_row.*")
+
+
+def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
+    return judge(*rules(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_upper")
