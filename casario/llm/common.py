@@ -48,6 +48,13 @@ def kept(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def slices(batches, rows: int = 500):
+    """Record batches of a few hundred texts: what a task unfolds at once stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words of lower-cased (A-Z only) UTF-8 text; bytes.split() splits at exactly the white space of SPACE."""
     return text.lower().split() if text else []

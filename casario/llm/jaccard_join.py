@@ -37,13 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, kept, mixed, table, words
+from .common import hashes, kept, mixed, slices, table, words
 from .components import components
 
 HEAVY = 64
 MOST_HEAVY = 1 << 21
 BITMAP = 28
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: A class asks for one match more for every so many shared light tokens in its prefix, MATCHES at most.
 COST, MATCHES = 8, 4
 ALONE = 99
@@ -128,7 +128,7 @@ class Join:
                 return pa.RecordBatch.from_arrays([pa.array(none, kind), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array([r for r, _, _ in rows], pa.int32()), pa.array([_packed(x) for _, x, _ in rows], pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "cls", "n", "range", "buckets", "counts"])
 
             seen: set[int] = set()
-            for b in batches:
+            for b in slices(batches):
                 kind = b.schema.field("doc_id").type
                 sets = shingle_sets([t.as_py() for t in b.column("text")], k)
                 ids = [class_of(s) for s in sets]
@@ -196,7 +196,7 @@ class Join:
         def run(batches):
             heavy, flags = shared.value
             seen: set[int] = set()
-            for b in batches:
+            for b in slices(batches):
                 toks, cls, ns, ms, whole = [], [], [], [], []
                 for s in shingle_sets([x.as_py() for x in b.column("text")], k):
                     n = len(s)
@@ -270,7 +270,7 @@ class Join:
 
         def run(batches):
             seen: set[int] = set()
-            for b in batches:
+            for b in slices(batches):
                 out = []
                 for s in shingle_sets([x.as_py() for x in b.column("text")], k):
                     if len(s) and (c := class_of(s)) not in seen:
