@@ -30,12 +30,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, kept, local_path, shared_dir, table
-from .encoders import MEMO, pieces_of
+from .common import hashes, kept, local_path, shared_dir, slices, table
+from .encoders import pieces_of
 from .hash_arrays import mapped, write
 
 BUCKETS = 1 << 14
 LONG = 256
+#: Entries of a worker's set or memo; when full, it starts anew.
+MEMO = 400_000
 #: Words of a shard of the arrays.
 SHARD = 200_000
 
@@ -117,7 +119,7 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
             for a in range(0, len(found), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000], pa.string())], ["word"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text"):
                 first, rest = pieces_of(t.as_py())
                 chunks.update(rest)
@@ -221,11 +223,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             _OPEN.clear()
             _OPEN[path] = Words(path, bits, vocabulary, pattern)
         words = _OPEN[path]
-        for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                part = b.slice(a, 1000)
-                ids = words.encode([t.as_py() for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array(list(map(words.decode, ids)), pa.binary())], ["doc_id", "ids", "decoded"])
+        for b in slices(batches):
+            ids = words.encode([t.as_py() for t in b.column("text")])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(list(map(words.decode, ids)), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded binary")
 

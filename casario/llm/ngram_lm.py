@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashes, kept, local_path, mixed, shared_dir, table, words
+from .common import crc_mod, hashes, kept, local_path, mixed, shared_dir, slices, table, words
 from .hash_arrays import joined, mapped, split, write
 
 #: Hashes of marks that no word can equal, having white space.
 START, END = hashes([b" ", b"\n"])
 HOT = 2000
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 CHUNK = 400_000
 #: Tokens of a shard.
 SHARD = 500_000
@@ -173,7 +173,7 @@ def train(docs: DataFrame) -> Model:
     def flushed(batches, make):
         """make(tokens, sizes) for every FLUSH tokens or so."""
         held, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             t, s = token_hashes([x.as_py() for x in b.column("text")])
             held.append((t, s))
             size += len(t)
@@ -294,7 +294,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             tokens, sizes = token_hashes([x.as_py() for x in b.column("text")])
             prior, ends = before(tokens, sizes), np.cumsum(sizes)
             sums = np.zeros((3, len(tokens)))

@@ -79,10 +79,10 @@ def _(spark, sf_dir):
 def _index(spark, sf_dir):
     """A monthly index by city, published for even months only: ragged against the listings."""
     by = listings(spark, sf_dir).where("cast(substring(mes_referencia, 6) AS int) % 2 = 0").groupBy("city", "mes_referencia")
-    return by.agg(F.median("price").alias("venda_m2"), F.round(F.percentile("price", 0.25) / 1e7, 9).alias("yield_mensal"))
+    return by.agg(F.median("price").alias("venda_m2"), (F.median("price") / 1e7).alias("yield_mensal"))
 
 
-_INDEX = " , I AS (SELECT city, mes_referencia, median(price) AS venda_m2, round(quantile_cont(price, 0.25) / 1e7, 9) AS yield_mensal FROM L WHERE substr(mes_referencia, 6)::INT % 2 = 0 GROUP BY ALL)"
+_INDEX = " , I AS (SELECT city, mes_referencia, median(price) AS venda_m2, median(price) / 1e7 AS yield_mensal FROM L WHERE substr(mes_referencia, 6)::INT % 2 = 0 GROUP BY ALL)"
 
 
 @query("asof_index", _INDEX + """ , K AS (SELECT city, mes_referencia, count(*)::BIGINT AS n FROM L GROUP BY ALL)
