@@ -11,14 +11,16 @@ l tokens within their l-prefixes, which hold all but ceil(t*n) - l of a set's n
    cost), the prefix grows further and m > 1 matches are required. Light lists hold at most HEAVY classes. Tokens that
    the bitmap shows once have no partner and are not emitted.
 3. Pairs with enough matches and fitting sizes are verified on their whole sets, which move once to their group.
-4. Classes that are heavy almost throughout (large groups of near copies) would need all pairs. They are compared
-   with one pivot of each of their prefix lists; only where a list still holds several components are those members
-   that are not of its largest component compared with the others. Links within a component change nothing.
+4. Classes that are heavy almost throughout (large groups of near copies) would need all pairs. Their prefixes take the
+   rarest tokens first; each is compared with one pivot of each of its prefix lists, which gives exact distances. Only
+   where the classes of a pivot are still several components are those that are not of its largest component
+   compared with the others, unless their distances to the pivot rule a link out (the triangle inequality holds for
+   Jaccard distances). Links within a component change nothing.
 5. Components of all links give each document its component_id.
 
-The bitmap (at most 2**BITMAP bits) and the heavy buckets (at most MOST_HEAVY; HEAVY doubles until they fit) are
-bounded broadcasts; a coarser bitmap or a higher bound costs time, never a link. Shingles and classes are told apart by
-64-bit hashes.
+The bitmap (at most 2**BITMAP bits, a file of the shared folder that workers map) and the heavy buckets (at most
+MOST_HEAVY, broadcast; HEAVY doubles until they fit) are bounded; a coarser bitmap or a higher bound costs time, never a
+link. Shingles and classes are told apart by 64-bit hashes.
 
 Edge cases: null or blank text has no shingles, links with nothing and is its own component. Fewer words than a
 shingle: the whole sequence is the one shingle. Rows of equal doc_id are treated row by row; their component ids are by
@@ -28,6 +30,7 @@ doc_id. Other columns are ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import os
 from fractions import Fraction
 
 import numpy as np
@@ -37,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashes, kept, mixed, slices, table, words
+from .common import hashes, kept, local_path, mixed, shared_dir, slices, table, words
 from .components import components
 
 HEAVY = 64
@@ -147,10 +150,14 @@ class Join:
 
         return self.docs.mapInArrow(run, schema)
 
-    def sketch(self, scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-        """Heavy buckets (ascending), the bitmap of buckets counted more than once, and the bound of heavy ones."""
+    def sketch(self, scanned: DataFrame) -> tuple[np.ndarray, np.ndarray, str]:
+        """Heavy buckets (ascending), their counts, and the file with the bitmap of buckets counted more than once."""
         bits, ranges, fold = self.bits, self.range_bits, self.bits - self.bitmap
-        width = 1 << max(0, self.bitmap - ranges)
+        width = 1 << (self.bitmap - ranges)
+        seen = local_path(shared_dir(self.spark, "seen"))
+        os.makedirs(os.path.dirname(seen), exist_ok=True)
+        with open(seen, "wb") as f:
+            f.truncate((1 << self.bitmap) // 8)
 
         def merge(t: pa.Table) -> pa.Table:
             values, counts = [], []
@@ -168,33 +175,32 @@ class Join:
             r = t.column("range")[0].as_py()
             flags = np.zeros(width, bool)
             flags[((v[c > 1] >> np.uint64(fold)) & np.uint64(width - 1)).astype(np.int64)] = True
+            fd = os.open(seen, os.O_WRONLY)  # each range has bytes of its own, so a repeated task writes the same again
+            os.pwrite(fd, np.packbits(flags).tobytes(), r * width // 8)
+            os.close(fd)
             heavy = c > HEAVY
-            return pa.table({"range": pa.array([r], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary()), "heavy": pa.array([v[heavy].astype(np.int64)], pa.list_(pa.int64())), "counts": pa.array([c[heavy]], pa.list_(pa.int64()))})
+            return pa.table({"heavy": pa.array([v[heavy].astype(np.int64)], pa.list_(pa.int64())), "counts": pa.array([c[heavy]], pa.list_(pa.int64()))})
 
-        merged = kept(scanned.where("range IS NOT NULL").select("range", "buckets", "counts").groupBy("range").applyInArrow(merge, "range int, flags binary, heavy array<long>, counts array<long>"), "sketch")
+        merged = kept(scanned.where("range IS NOT NULL").select("range", "buckets", "counts").groupBy("range").applyInArrow(merge, "heavy array<long>, counts array<long>"), "sketch")
         heavy = merged.select(F.explode(F.arrays_zip("heavy", "counts")).alias("x")).select(F.col("x.heavy").alias("bucket"), F.col("x.counts").alias("n"))
         bound = HEAVY
         by_size = {r["e"]: r["n"] for r in heavy.groupBy(F.floor(F.log2("n")).alias("e")).agg(F.count("*").alias("n")).collect()}
         while sum(n for e, n in by_size.items() if 2 ** (e + 1) > bound) > MOST_HEAVY:
             bound *= 2
-        most = np.sort(np.array([r[0] for r in heavy.where(F.col("n") > bound).select("bucket").collect()], np.int64)).astype(np.uint64)  # MOST_HEAVY rows at most
-        flags = np.zeros(max(1, (1 << self.bitmap) // 8), np.uint8)
-        each = max(1, width // 8)
-        for r in merged.select("range", "flags").collect():  # 2**BITMAP bits in all
-            part = np.frombuffer(r["flags"], np.uint8)
-            if width >= 8:
-                flags[r["range"] * each : r["range"] * each + len(part)] = part
-            else:
-                flags[:] = 255
-        return most, flags, bound
-
-    def prefixes(self, heavy: np.ndarray, flags: np.ndarray) -> DataFrame:
-        """Light shared prefix tokens (tok, cls, n, m) of classes, and the sets (cls, n, tokens) of those heavy throughout."""
+        most = heavy.where(F.col("n") > bound).orderBy("bucket").toPandas()  # MOST_HEAVY rows at most
+        return most["bucket"].to_numpy(np.int64).astype(np.uint64), most["n"].to_numpy(np.int64), seen
+
+    def prefixes(self, heavy: np.ndarray, counts: np.ndarray, seen_file: str) -> DataFrame:
+        """Light shared prefix tokens (tok, cls, n, m) of classes, and the sets (cls, n, tokens, lead) of those heavy throughout.
+
+        lead: the prefix of such a set by count and hash.
+        """
         bits, shown, k, t = self.bits, self.bitmap, self.k, self.t
-        shared = self.spark.sparkContext.broadcast((heavy, flags))
+        shared = self.spark.sparkContext.broadcast((heavy, counts))
 
         def run(batches):
-            heavy, flags = shared.value
+            heavy, counts = shared.value
+            flags = np.memmap(seen_file, np.uint8, "r")
             seen: set[int] = set()
             for b in slices(batches):
                 toks, cls, ns, ms, whole = [], [], [], [], []
@@ -206,16 +212,14 @@ class Join:
                     bucket = s >> np.uint64(64 - bits)
                     bit = (bucket >> np.uint64(bits - shown)).astype(np.int64)
                     twice = (flags[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
-                    if len(heavy):
-                        at = np.searchsorted(heavy, bucket)
-                        big = heavy[np.minimum(at, len(heavy) - 1)] == bucket
-                    else:
-                        big = np.zeros(n, bool)
+                    at = np.minimum(np.searchsorted(heavy, bucket), max(len(heavy) - 1, 0))
+                    big = heavy[at] == bucket if len(heavy) else np.zeros(n, bool)
                     need = needed(n, t)
                     sure = np.arange(1, need + 1) - np.cumsum(big)[n - need :]  # matches that can't be heavy, by l
                     usable = twice & ~big
                     if sure.max() < 1:
-                        whole.append((c, n, s.tobytes()))
+                        order = np.lexsort((s, np.where(big, counts[at], 0)))[: n - need + 1]
+                        whole.append((c, n, s.tobytes(), s[order].tobytes()))
                         prefix, m = n, ALONE
                     else:
                         low = int(np.argmax(sure >= 1))
@@ -236,9 +240,10 @@ class Join:
                     pa.array(np.concatenate([cat(ns, np.int32), np.array([w[1] for w in whole], np.int32)])),
                     pa.array(np.concatenate([cat(ms, np.int32), np.full(len(whole), ALONE, np.int32)])),
                     pa.concat_arrays([pa.nulls(total, pa.binary()), pa.array([w[2] for w in whole], pa.binary())]),
-                ], ["tok", "cls", "n", "m", "tokens"])
+                    pa.concat_arrays([pa.nulls(total, pa.binary()), pa.array([w[3] for w in whole], pa.binary())]),
+                ], ["tok", "cls", "n", "m", "tokens", "lead"])
 
-        return self.docs.select("text").mapInArrow(run, "tok long, cls long, n int, m int, tokens binary")
+        return self.docs.select("text").mapInArrow(run, "tok long, cls long, n int, m int, tokens binary, lead binary")
 
     def fits(self, a, b):
         """Sizes of two sets that allow the similarity."""
@@ -316,47 +321,49 @@ class Join:
         return at.groupBy("hub").cogroup(members.join(sets, "cls").groupBy("of")).applyInPandas(check, "u long, v long")
 
     def heavy_links(self, whole: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among classes that are heavy throughout (cls, n, tokens), beyond those of links."""
+        """Links among classes that are heavy throughout (cls, n, tokens, lead), beyond those of links."""
         t = self.t
 
-        def prefix(batches):
+        def unfold(batches):
             for b in batches:
-                found = [np.frombuffer(x.as_py(), np.int64) for x in b.column("tokens")]
-                found = [s[: len(s) - needed(len(s), t) + 1] for s in found]
+                found = [np.frombuffer(x.as_py(), np.int64) for x in b.column("lead")]
                 take = np.repeat(np.arange(len(found)), [len(s) for s in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), b.column("cls").take(pa.array(take)), b.column("n").take(pa.array(take))], ["tok", "cls", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), b.column("cls").take(pa.array(take))], ["tok", "cls"])
 
-        def verify(pairs: DataFrame) -> DataFrame:
+        def compared(pairs: DataFrame) -> DataFrame:
+            """u, v, whether they are linked, and their distance."""
             def run(batches):
                 for b in batches:
-                    ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), t) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
-                    yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+                    both = [overlap(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(b.column("x"), b.column("y"), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array([i * t.denominator >= t.numerator * u for i, u in both], pa.bool_()), pa.array([1 - i / u for i, u in both], pa.float64())], ["u", "v", "ok", "d"])
 
             with_sets = pairs.join(whole.select(F.col("cls").alias("u"), F.col("tokens").alias("x")), "u").join(whole.select(F.col("cls").alias("v"), F.col("tokens").alias("y")), "v")
-            return kept(with_sets.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "links")
+            return kept(with_sets.select("u", "v", "x", "y").mapInArrow(run, "u long, v long, ok boolean, d double"), "compared")
 
-        lists = kept(whole.mapInArrow(prefix, "tok long, cls long, n int"), "lists")
-        pivots = lists.groupBy("tok").agg(F.min(F.struct("cls", "n")).alias("p"))
-        star = lists.join(pivots, "tok").where((F.col("cls") != F.col("p.cls")) & self.fits(F.col("n"), F.col("p.n"))).select(F.col("p.cls").alias("u"), F.col("cls").alias("v")).distinct()
-        first = verify(star)
+        lists = kept(whole.select("cls", "lead").mapInArrow(unfold, "tok long, cls long"), "lists")
+        pivots = lists.groupBy("tok").agg(F.min("cls").alias("pivot"))
+        near = compared(lists.join(pivots, "tok").select(F.col("pivot").alias("u"), F.col("cls").alias("v")).distinct())
+        first = near.where("ok AND u <> v").select("u", "v")
         known = components(links.unionByName(first))
-        of = kept(lists.join(known, lists["cls"] == known["node"], "left").select("tok", "cls", "n", F.coalesce("root", "cls").alias("root")), "lists")
-        sizes = of.groupBy("tok", "root").agg(F.count("*").alias("k")).groupBy("tok").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-        open_lists = of.join(sizes.select("tok", "most"), "tok")
-        minor = open_lists.where("root <> most").select("tok", F.col("cls").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
-        rest = minor.join(open_lists.select("tok", F.col("cls").alias("v"), F.col("n").alias("vn"), F.col("root").alias("vr"), "most"), "tok")
-        rest = rest.where((F.col("ur") != F.col("vr")) & ((F.col("vr") == F.col("most")) | (F.col("u") < F.col("v"))) & self.fits(F.col("un"), F.col("vn")))
-        return first.unionByName(verify(rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()))
+        sizes = whole.select(F.col("cls").alias("v"), "n")
+        of = near.join(known, near["v"] == known["node"], "left").select("u", "v", "d", F.coalesce("root", "v").alias("root")).join(sizes, "v")
+        of = kept(of.select(F.col("u").alias("pivot"), F.col("v").alias("cls"), "n", "d", "root"), "near")
+        most = of.groupBy("pivot", "root").agg(F.count("*").alias("k")).groupBy("pivot").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        unsettled = of.join(most.select("pivot", "most"), "pivot")
+        minor = unsettled.where("root <> most").select("pivot", F.col("cls").alias("a"), F.col("n").alias("an"), F.col("d").alias("ad"), F.col("root").alias("ar"))
+        rest = minor.join(unsettled.select("pivot", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("root").alias("br"), "most"), "pivot")
+        far = F.abs(F.col("ad") - F.col("bd")) > float(1 - t) + 1e-9
+        rest = rest.where((F.col("ar") != F.col("br")) & ((F.col("br") == F.col("most")) | (F.col("a") < F.col("b"))) & self.fits(F.col("an"), F.col("bn")) & ~far)
+        return first.unionByName(compared(rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()).where("ok").select("u", "v"))
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, cls and component_id of every row."""
         scanned = kept(self.scan(), "shingles")
         classes = scanned.where("range IS NULL").select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles"))
-        heavy, flags, _ = self.sketch(scanned)
-        rows = kept(self.prefixes(heavy, flags), "prefixes")
+        rows = kept(self.prefixes(*self.sketch(scanned)), "prefixes")
         pairs = kept(self.candidates(rows.where("tok IS NOT NULL").select("tok", "cls", "n", "m")), "candidates")
         links = kept(self.linked(pairs, self.sets_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))))), "links")
-        whole = kept(rows.where("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "whole")
+        whole = kept(rows.where("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("lead").alias("lead")), "whole")
         if not whole.isEmpty():
             links = links.unionByName(self.heavy_links(whole, links))
         roots = components(links)
@@ -365,9 +372,15 @@ class Join:
         return of.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "cls")
 
 
-def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * t.denominator >= t.numerator * (len(a) + len(b) - both)
+    return both, len(a) + len(b) - both
+
+
+def similar(a: np.ndarray, b: np.ndarray, t: Fraction) -> bool:
+    both, either = overlap(a, b)
+    return both * t.denominator >= t.numerator * either
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -> DataFrame:
@@ -384,3 +397,17 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5) -
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM texts),
+classes AS MATERIALIZED (SELECT min(doc_id) AS cls, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS MATERIALIZED (SELECT cls, n, hash(t) AS t FROM (SELECT cls, n, unnest(s) AS t FROM classes)),
+pairs AS (SELECT a.cls AS a, b.cls AS b, any_value(a.n) AS an, any_value(b.n) AS bn, count(*) AS shared FROM tokens a JOIN tokens b ON a.t = b.t AND a.cls < b.cls GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * shared >= 75 * (an + bn - shared)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT cls AS a, cls AS b FROM classes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+roots AS (SELECT a AS cls, min(b) AS root FROM reach GROUP BY a)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(root, sets.doc_id) AS component_id FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN roots USING (cls)
+"""

@@ -154,3 +154,42 @@ def filter_quality(docs: DataFrame) -> DataFrame:
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(*rules(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_upper")
+
+
+def _sql() -> str:
+    """The same in DuckDB, from the same parameters."""
+    values = ", ".join(f"{n} / nullif({d}, 0)::DOUBLE AS {r}" for r, (n, d, _, _) in RATIOS.items())
+    zero = ", ".join(f"coalesce({r}, 0.0) AS {r}" for r in RATIOS)
+    each = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {r} AS x FROM good" for r in RATIOS)
+    least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {s}" for r, (_, _, s, _) in RATIOS.items()) + " END"
+    two = ", ".join(f"'{r}'" for r, x in RATIOS.items() if x[3])
+    wide = ", ".join(f"max(CASE WHEN ratio = '{r}' THEN lo END) AS {r}_lo, max(CASE WHEN ratio = '{r}' THEN hi END) AS {r}_hi" for r in RATIOS)
+    ok = " AND ".join(f"coalesce({r} BETWEEN coalesce(o.{r}_lo, l.{r}_lo, w.{r}_lo) AND coalesce(o.{r}_hi, l.{r}_hi, w.{r}_hi), true)" for r in RATIOS)
+    return rf"""
+WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
+tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+f AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
+  length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper FROM texts JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id)),
+r AS (SELECT * EXCLUDE ({", ".join(RATIOS)}), {zero} FROM (SELECT *, {values}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)),
+good AS (SELECT * FROM r WHERE NOT base_failed),
+b AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN ceil(ln(x) / {math.log(GAMMA)!r}) ELSE -100000 END::INT AS bucket, count(*) AS n FROM ({each}) GROUP BY ALL),
+levels AS (SELECT 2 AS level, lang, source, ratio, bucket, n FROM b UNION ALL SELECT 1, lang, NULL, ratio, bucket, sum(n) FROM b GROUP BY ALL
+  UNION ALL SELECT 0, NULL, NULL, ratio, bucket, sum(n) FROM b GROUP BY ALL),
+runs AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS total, sum(n) OVER (PARTITION BY level, lang, source, ratio ORDER BY bucket) AS upto,
+  CASE WHEN bucket = -100000 THEN 0.0 ELSE pow({GAMMA!r}, bucket) * {2 / (GAMMA + 1)!r} END AS v FROM levels),
+q AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN upto >= ceil(0.25 * total) THEN v END) AS q1, min(CASE WHEN upto >= ceil(0.75 * total) THEN v END) AS q3 FROM runs GROUP BY ALL),
+fence AS (SELECT level, lang, source, ratio, total, q3 + greatest(q3 - q1, {least}) * {SPREADS} AS hi, CASE WHEN ratio IN ({two}) THEN q1 - greatest(q3 - q1, {least}) * {SPREADS} ELSE -1.0 END AS lo FROM q),
+wide AS (SELECT level, lang, source, max(total) AS total, {wide} FROM fence GROUP BY level, lang, source)
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept, r.lang, r.source, n_upper
+FROM r LEFT JOIN wide o ON o.level = 2 AND o.total >= {MIN_GROUP} AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+LEFT JOIN wide l ON l.level = 1 AND l.total >= {MIN_GROUP} AND l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN wide w ON w.level = 0
+"""
+
+
+SQL = _sql()

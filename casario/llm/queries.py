@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_quality_rules": quality_rules.SQL,
+    "op5_jaccard_join": jaccard_join.SQL,
     "op7_line_dedup": line_dedup.SQL,
 }
