@@ -189,8 +189,8 @@ def _(spark, sf_dir):
     return serving.scaled_by_group(_hoods(spark, sf_dir), "city", "v", "escala").drop("n_anuncios")
 
 
-@query("serve_mercado", _INDEX + """ SELECT city, mes_referencia, n_meses, primeiro_mes, venda_m2, yield_mensal * 100 AS yield_pct, (pow(1 + yield_mensal, 12) - 1) * 100 AS yield_anual_pct FROM
-  (SELECT *, count(*) OVER (PARTITION BY city)::BIGINT AS n_meses, min(mes_referencia) OVER (PARTITION BY city) AS primeiro_mes, row_number() OVER (PARTITION BY city ORDER BY mes_referencia DESC) AS r FROM I) WHERE r = 1""".replace("yield_mensal * 100 AS yield_pct", "round(yield_mensal * 100, 9) AS yield_pct").replace("(pow(1 + yield_mensal, 12) - 1) * 100 AS", "round((pow(1 + yield_mensal, 12) - 1) * 100, 9) AS"))
+@query("serve_mercado", _INDEX + """ SELECT city, mes_referencia, n_meses, primeiro_mes, venda_m2, round(yield_mensal * 100, 9) AS yield_pct, round((pow(1 + yield_mensal, 12) - 1) * 100, 9) AS yield_anual_pct FROM
+  (SELECT *, count(*) OVER (PARTITION BY city)::BIGINT AS n_meses, min(mes_referencia) OVER (PARTITION BY city) AS primeiro_mes, row_number() OVER (PARTITION BY city ORDER BY mes_referencia DESC) AS r FROM I) WHERE r = 1""")
 def _(spark, sf_dir):
     out = serving.city_index(_index(spark, sf_dir), "city", "mes_referencia")
     return out.withColumns({c: F.round(c, 9) for c in ("yield_pct", "yield_anual_pct")})
