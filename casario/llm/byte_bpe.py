@@ -112,7 +112,7 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word: the distinct matches of pattern in docs (text)."""
 
     def run(batches):
-        split, seen, chunks = regex.compile(pattern), set(), set()
+        split, seen, done = regex.compile(pattern), set(), set()
 
         def out():
             found = list(seen)
@@ -120,16 +120,20 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000], pa.string())], ["word"])
 
         for b in slices(batches):
+            new = set()
             for t in b.column("text"):
                 first, rest = pieces_of(t.as_py())
-                chunks.update(rest)
+                new.update(rest)
                 seen.update(split.findall(first))
-            for c in chunks:
+            new -= done
+            for c in new:
                 seen.update(split.findall(c if c[0] == "\n" else " " + c))
-            chunks.clear()
+            done |= new
             if len(seen) > MEMO:
                 yield from out()
                 seen.clear()
+            if len(done) > MEMO:
+                done.clear()
         yield from out()
 
     return docs.select("text").mapInArrow(run, "word string").distinct()
@@ -143,8 +147,8 @@ class Words:
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.pieces[rank] = token
-        self.rest: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # chunks behind a blank
+        self.old: dict[str, bytes] = {}  # those of the memo before, which move back when they come again
 
     def look_up(self, words: list[str]) -> dict[str, bytes]:
         """Little-endian 32-bit ids of each word."""
@@ -157,10 +161,12 @@ class Words:
             if known is None or not len(known[0]):
                 continue
             own, ends, ids = known
-            at = np.minimum(np.searchsorted(own, keys[order[a:z]]), len(own) - 1)
-            for k, i in zip(order[a:z], at, strict=True):
-                if own[i] == keys[k]:
-                    out[words[k]] = ids[ends[i] : ends[i + 1]].tobytes()
+            asked = order[a:z]
+            at = np.minimum(np.searchsorted(own, keys[asked]), len(own) - 1)
+            hit = own[at] == keys[asked]
+            raw, at = memoryview(ids).cast("B"), at[hit]
+            for k, i, j in zip(asked[hit].tolist(), ends[at].tolist(), ends[at + 1].tolist(), strict=True):
+                out[words[k]] = bytes(raw[4 * i : 4 * j])
         for w in words:
             if w not in out:  # a long word
                 out[w] = np.array(merge_heap(w.encode(), self.ranks), "<u4").tobytes()
@@ -169,13 +175,16 @@ class Words:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a chunk of text that comes again is looked up once."""
         each = [pieces_of(t) for t in texts]
-        for memo, lead, need in ((self.rest, " ", {p for _, r in each for p in r}), (self.first, "", {f for f, _ in each})):
-            if len(memo) > MEMO:
-                memo.clear()
-            found = {p: self.split.findall(p if p[:1] == "\n" else lead + p) for p in need if p not in memo}
-            ids = self.look_up(list({w for x in found.values() for w in x}))
-            memo.update((p, b"".join([ids[w] for w in x])) for p, x in found.items())
-        return [self.first[f] + b"".join(map(self.rest.__getitem__, r)) for f, r in each]
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        new = {p for _, r in each for p in r if p not in memo}
+        memo.update((p, old[p]) for p in new if p in old)
+        found = {p: self.split.findall(p if p[0] == "\n" else " " + p) for p in new if p not in old}
+        lead = [self.split.findall(f) for f, _ in each]
+        ids = self.look_up(list({w for x in (*found.values(), *lead) for w in x}))
+        memo.update((p, b"".join([ids[w] for w in x])) for p, x in found.items())
+        return [b"".join([ids[w] for w in f]) + b"".join(map(memo.__getitem__, r)) for f, (_, r) in zip(lead, each, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -35,4 +35,5 @@ def write(path: str, *arrays: np.ndarray) -> None:
 
 @functools.lru_cache(maxsize=700)
 def mapped(path: str, *kinds: str) -> tuple[np.ndarray, ...] | None:
-    return tuple(split(np.memmap(path, np.uint8, "r"), *kinds)) if os.path.exists(path) else None
+    """The arrays of a file as plain views of the mapping (memmap's own slices cost a call each), or None without one."""
+    return tuple(split(np.memmap(path, np.uint8, "r").view(np.ndarray), *kinds)) if os.path.exists(path) else None
