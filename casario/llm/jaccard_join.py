@@ -321,7 +321,7 @@ class Join:
         return at.groupBy("hub").cogroup(members.join(sets, "cls").groupBy("of")).applyInPandas(check, "u long, v long")
 
     def heavy_links(self, whole: DataFrame, links: DataFrame) -> DataFrame:
-        """Links among classes that are heavy throughout (cls, n, tokens, lead), beyond those of links."""
+        """Edges with the components of links and of the links among classes that are heavy throughout (cls, n, tokens, lead)."""
         t = self.t
 
         def unfold(batches):
@@ -354,7 +354,8 @@ class Join:
         rest = minor.join(unsettled.select("pivot", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("d").alias("bd"), F.col("root").alias("br"), "most"), "pivot")
         far = F.abs(F.col("ad") - F.col("bd")) > float(1 - t) + 1e-9
         rest = rest.where((F.col("ar") != F.col("br")) & ((F.col("br") == F.col("most")) | (F.col("a") < F.col("b"))) & self.fits(F.col("an"), F.col("bn")) & ~far)
-        return first.unionByName(compared(rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()).where("ok").select("u", "v"))
+        stars = known.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        return stars.unionByName(compared(rest.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()).where("ok").select("u", "v"))
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, cls and component_id of every row."""
@@ -365,7 +366,7 @@ class Join:
         links = kept(self.linked(pairs, self.sets_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))))), "links")
         whole = kept(rows.where("tokens IS NOT NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("lead").alias("lead")), "whole")
         if not whole.isEmpty():
-            links = links.unionByName(self.heavy_links(whole, links))
+            links = self.heavy_links(whole, links)
         roots = components(links)
         of = classes.join(roots, classes["cls"] == roots["node"], "left").withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "cls")))
         least = of.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
