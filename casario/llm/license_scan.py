@@ -3,11 +3,13 @@
 Words that occur once in the text's range and once in the template's are anchors; the longest increasing subsequence of
 their positions is kept; the gaps before, between and after them are aligned the same way. Coverage is the share of the
 template's words that are aligned. A text may hold a license anywhere and more than once, which would leave no word
-unique; so the text is aligned in windows around each occurrence of its rarest template word, each somewhat
-longer than the template. A template is tried only on texts that hold enough of its distinct words.
+unique; so each copy is first bounded by itself, as the stretch with the most common words in order for its length
+(at most three times the template and ten words), and then aligned. Where the anchors of a stretch leave too little,
+its exact number of common words in order counts. A template is tried only on texts that hold enough of its distinct
+words.
 
 One narrow map: no shuffle, nothing depends on other documents, and work on a text is linear in its words times the
-few windows. Templates are a parameter of fixed size.
+template's. Templates are a parameter of fixed size.
 
 Edge cases: a null or blank text matches nothing. Of several templates the one with the most aligned words
 wins, then the greater coverage, then the smaller name. Repeated rows are scanned each. Other columns are ignored; an
@@ -19,6 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +97,68 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def places(words: list[str], template: list[str], least: float = COVERAGE) -> list[tuple[int, int, int]]:
+    """First position, end and aligned words of the stretches that hold enough of the template in order, by position.
+
+    A stretch is scored by 2 * common words in order / (its words + the template's). The best one is taken (then the
+    first), and so on among those that don't overlap one taken: copies side by side are told apart, since a stretch over two
+    scores less than either. The common words are counted exactly, by a row of bits for the template.
+    """
+    size, counts = len(template), Counter(template)
+    need, full, reach = least * size, (1 << size) - 1, 2 * (size + size // 2 + 5)
+    bits = dict.fromkeys(template, 0)
+    for j, w in enumerate(template):
+        bits[w] |= 1 << j
+    spots = [i for i, w in enumerate(words) if w in bits]
+    masks = [bits[words[i]] for i in spots]
+
+    def best(k: int, end: int) -> tuple[float, int, int] | None:
+        """Score, end and common words of the best stretch that starts at spot k and doesn't pass end."""
+        row, got, top, first = full, 0, None, spots[k]
+        end = min(end, first + reach)
+        for x in range(k, len(spots)):
+            i = spots[x]
+            total = size + i - first + 1
+            if i >= end or (top and 2 * size / total <= top[0]):
+                break
+            hit = row & masks[x]
+            row = ((row + hit) | (row - hit)) & full
+            n = size - row.bit_count()
+            if n > got:
+                got = n
+                if n >= need and (top is None or 2 * n / total > top[0]):
+                    top = (2 * n / total, i + 1, n)
+        return top
+
+    # Starts whose reach holds enough of the template's words in any order: no other start can have a stretch.
+    held, common, j, todo = Counter(), 0, 0, []
+    for k, i in enumerate(spots):
+        while j < len(spots) and spots[j] < i + reach:
+            w = words[spots[j]]
+            held[w] += 1
+            common += held[w] <= counts[w]
+            j += 1
+        if common >= need and (top := best(k, len(words))):
+            todo.append((-top[0], i, top[1], k, top[2]))
+        w = words[i]
+        common -= held[w] <= counts[w]
+        held[w] -= 1
+    heapify(todo)
+    taken: list[tuple[int, int, int]] = []
+    while todo:
+        _, a, z, k, n = heappop(todo)
+        at = bisect_left(taken, (a + 1,))
+        if at and taken[at - 1][1] > a:
+            continue
+        if at < len(taken) and taken[at][0] < z:
+            if top := best(k, taken[at][0]):
+                heappush(todo, (-top[0], a, top[1], k, top[2]))
+            continue
+        aligned = len(align(words[a:z], template))
+        taken.insert(at, (a, z, aligned if aligned >= need else n))
+    return taken
+
+
 def scan(text: str | None, templates: dict[str, list[str]], least: float = COVERAGE) -> tuple | None:
     """name, aligned words, coverage, first and last word position of the best match, or None."""
     words = license_words(text) if text else []
@@ -104,21 +169,10 @@ def scan(text: str | None, templates: dict[str, list[str]], least: float = COVER
         need = set(template)
         if len(need & present) < least * len(need):
             continue
-        counts = Counter(w for w in words if w in need)
-        rare = min(counts, key=lambda w: (counts[w], w))
-        # Template words that the rarest one may lack in an inexact copy: every word that is as rare is a centre.
-        centres = [i for i, w in enumerate(words) if counts.get(w) == counts[rare]]
-        reach, done = len(template) + len(template) // 2 + 5, -1
-        for i in centres:
-            if i < done:
-                continue
-            a = max(0, i - reach)
-            done = min(len(words), i + len(template) // 2 + 1)
-            found = align(words[a : i + reach], template)
-            if len(found) >= least * len(template):
-                got = (len(found), len(found) / len(template), name, a + found[0][0], a + found[-1][0])
-                if best is None or (got[0], got[1], best[2]) > (best[0], best[1], got[2]):
-                    best = got
+        for a, z, n in places(words, template, least):
+            got = (n, n / len(template), name, a, z - 1)
+            if best is None or (got[0], got[1], best[2]) > (best[0], best[1], got[2]):
+                best = got
     return best and (best[2], best[0], best[1], best[3], best[4])
 
 

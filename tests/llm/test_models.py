@@ -188,3 +188,48 @@ def test_license_scan(spark, docs, nothing):
     assert out == sorted([(1, "MIT"), (2, "GPL-3.0-line"), (3, None), (4, None), (5, None), (6, "MIT"), (6, None)], key=str)
     assert license_scan.scan_licenses(docs).where("license IS NOT NULL").count() == 0
     assert license_scan.scan_licenses(nothing).count() == 0
+
+
+def common_places(words, template, least=license_scan.COVERAGE):
+    """Greedy choice among all stretches by score, start and end, for comparison."""
+    found = []
+    for a in range(len(words)):
+        for z in range(a + 1, min(len(words), a + 2 * (len(template) + len(template) // 2 + 5)) + 1):
+            if words[a] in template and (n := longest_common(words[a:z], template)) >= least * len(template):
+                found.append((-2 * n / (len(template) + z - a), a, z))
+    taken = []
+    for _, a, z in sorted(found):
+        if all(z <= x or y <= a for x, y in taken):
+            taken.append((a, z))
+    return sorted(taken)
+
+
+def test_license_places_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        template = [f"w{i}" for i in rng.integers(0, 6, rng.integers(4, 8))]
+        words = [f"w{i}" for i in rng.integers(0, 9, 8)]
+        for _ in range(rng.integers(1, 4)):
+            words += [w for w in template if rng.random() > 0.1] + [f"w{i}" for i in rng.integers(0, 9, rng.integers(0, 4))]
+        got = license_scan.places(words, template)
+        assert [(a, z) for a, z, _ in got] == common_places(words, template)
+        assert all(0.75 * len(template) <= n <= longest_common(words[a:z], template) for a, z, n in got)
+
+
+@pytest.mark.parametrize("between", ["\n", " and so on ", " x" * 30 + " "])
+def test_license_repeated_close_together(between):
+    for name, notice in license_scan.TEMPLATES.items():
+        words = license_scan.license_words(notice)
+        for copies in (2, 3):
+            text = "some text " * 40 + between.join([notice] * copies) + " more text" * 40
+            step = len(words) + len(license_scan.license_words(between))
+            assert license_scan.places(license_scan.license_words(text), words) == [(80 + i * step, 80 + i * step + len(words), len(words)) for i in range(copies)]
+            assert license_scan.scan(text, {name: words}) == (name, len(words), 1.0, 80, 79 + len(words))
+
+
+def test_license_copy_beside_a_stray_word_in_a_long_text():
+    words = license_scan.license_words(license_scan.TEMPLATES["BSD-2-Clause"])
+    copy = [w for w in words if w != "disclaimer"]
+    text = copy + ["filler"] * 400 + copy + ["filler"] * 400 + ["disclaimer"]
+    assert [(a, z) for a, z, _ in license_scan.places(text, words)] == [(0, 66), (466, 532)]
+    assert license_scan.scan(" ".join(text), {"BSD-2-Clause": words})[1] >= 0.9 * len(words)
