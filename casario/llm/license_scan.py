@@ -5,8 +5,8 @@ their positions is kept; the gaps before, between and after them are aligned the
 template's words that are aligned. A text may hold a license anywhere and more than once, which would leave no word
 unique; so each copy is first bounded by itself, as the stretch with the most common words in order for its length
 (at most three times the template and ten words), and then aligned. Where the anchors of a stretch leave too little,
-its exact number of common words in order counts. A template is tried only on texts that hold enough of its distinct
-words.
+its exact number of common words in order counts. A template is tried only on texts whose words make up enough of its
+occurrences, and from each word whose reach does, which no stretch that reaches the coverage can miss.
 
 One narrow map: no shuffle, nothing depends on other documents, and work on a text is linear in its words times the
 template's. Templates are a parameter of fixed size.
@@ -166,8 +166,7 @@ def scan(text: str | None, templates: dict[str, list[str]], least: float = COVER
         return None
     present, best = set(words), None
     for name, template in templates.items():
-        need = set(template)
-        if len(need & present) < least * len(need):
+        if sum(w in present for w in template) < least * len(template):
             continue
         for a, z, n in places(words, template, least):
             got = (n, n / len(template), name, a, z - 1)

@@ -233,3 +233,11 @@ def test_license_copy_beside_a_stray_word_in_a_long_text():
     text = copy + ["filler"] * 400 + copy + ["filler"] * 400 + ["disclaimer"]
     assert [(a, z) for a, z, _ in license_scan.places(text, words)] == [(0, 66), (466, 532)]
     assert license_scan.scan(" ".join(text), {"BSD-2-Clause": words})[1] >= 0.9 * len(words)
+
+
+def test_license_copy_without_many_single_words():
+    words = license_scan.license_words(license_scan.TEMPLATES["BSD-2-Clause"])
+    single = {w for w in words if words.count(w) == 1}
+    for k in (10, 13, len(single)):
+        copy = [w for w in words if w not in sorted(single)[:k]]
+        assert license_scan.scan(" ".join(copy), {"BSD-2-Clause": words})[:2] == ("BSD-2-Clause", len(copy))
