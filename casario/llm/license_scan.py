@@ -11,8 +11,11 @@ occurrences, and from each word whose reach does, which no stretch that reaches
 One narrow map: no shuffle, nothing depends on other documents, and work on a text is linear in its words times the
 template's. Templates are a parameter of fixed size.
 
-Edge cases: a null or blank text matches nothing. Of several templates the one with the most aligned words
-wins, then the greater coverage, then the smaller name. Repeated rows are scanned each. Other columns are ignored; an
+Every place of every template is reported. The best match is given once more as columns of its own: the most aligned
+words, then the greater coverage, then the smaller name, then the first place. Places of one template don't overlap, those
+of two may: a notice within a longer one, or a template that another's notice covers.
+
+Edge cases: a null or blank text matches nothing and has an empty list of matches. Repeated rows are scanned each. Other columns are ignored; an
 empty table gives no rows.
 """
 
@@ -159,35 +162,36 @@ def places(words: list[str], template: list[str], least: float = COVERAGE) -> li
     return taken
 
 
-def scan(text: str | None, templates: dict[str, list[str]], least: float = COVERAGE) -> tuple | None:
-    """name, aligned words, coverage, first and last word position of the best match, or None."""
+def scan(text: str | None, templates: dict[str, list[str]], least: float = COVERAGE) -> list[tuple]:
+    """name, aligned words, coverage, first and last word position of every match, by position and name."""
     words = license_words(text) if text else []
-    if not words:
-        return None
-    present, best = set(words), None
+    present, out = set(words), []
     for name, template in templates.items():
-        if sum(w in present for w in template) < least * len(template):
-            continue
-        for a, z, n in places(words, template, least):
-            got = (n, n / len(template), name, a, z - 1)
-            if best is None or (got[0], got[1], best[2]) > (best[0], best[1], got[2]):
-                best = got
-    return best and (best[2], best[0], best[1], best[3], best[4])
+        if words and sum(w in present for w in template) >= least * len(template):
+            out += [(name, n, n / len(template), a, z - 1) for a, z, n in places(words, template, least)]
+    return sorted(out, key=lambda m: (m[3], m[4], m[0]))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """doc_id, n_words and the best match (license, n_matched, coverage, first_word, last_word; null without one)."""
+    """doc_id, n_words, the best match (license, n_matched, coverage, first_word, last_word; null without one) and matches, all."""
     split = {k: license_words(v) for k, v in (templates or TEMPLATES).items()}
+    fields = ["license", "n_matched", "coverage", "first_word", "last_word"]
+    kinds = [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    kind = pa.list_(pa.struct(list(zip(fields, kinds, strict=True))))
 
     def run(batches):
         for b in batches:
             texts = [t.as_py() for t in b.column("text")]
-            found = [scan(t, split, least) or (None,) * 5 for t in texts]
-            cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(license_words(t)) if t else 0 for t in texts], pa.int64()), *cols], ["doc_id", "n_words", "license", "n_matched", "coverage", "first_word", "last_word"])
+            found = [scan(t, split, least) for t in texts]
+            best = [min(f, key=lambda m: (-m[1], -m[2], m[0], m[3]), default=(None,) * 5) for f in found]
+            cols = [pa.array([f[i] for f in best], k) for i, k in enumerate(kinds)]
+            matches = pa.array([[dict(zip(fields, m, strict=True)) for m in f] for f in found], kind)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(license_words(t)) if t else 0 for t in texts], pa.int64()), *cols, matches], ["doc_id", "n_words", *fields, "matches"])
 
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, license string, n_matched long, coverage double, first_word long, last_word long")
+    one = "license string, n_matched long, coverage double, first_word long, last_word long"
+    inner = one.replace(" ", ":").replace(",:", ",")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, {one}, matches array<struct<{inner}>>")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -224,7 +224,7 @@ def test_license_repeated_close_together(between):
             text = "some text " * 40 + between.join([notice] * copies) + " more text" * 40
             step = len(words) + len(license_scan.license_words(between))
             assert license_scan.places(license_scan.license_words(text), words) == [(80 + i * step, 80 + i * step + len(words), len(words)) for i in range(copies)]
-            assert license_scan.scan(text, {name: words}) == (name, len(words), 1.0, 80, 79 + len(words))
+            assert license_scan.scan(text, {name: words})[0] == (name, len(words), 1.0, 80, 79 + len(words))
 
 
 def test_license_copy_beside_a_stray_word_in_a_long_text():
@@ -232,7 +232,7 @@ def test_license_copy_beside_a_stray_word_in_a_long_text():
     copy = [w for w in words if w != "disclaimer"]
     text = copy + ["filler"] * 400 + copy + ["filler"] * 400 + ["disclaimer"]
     assert [(a, z) for a, z, _ in license_scan.places(text, words)] == [(0, 66), (466, 532)]
-    assert license_scan.scan(" ".join(text), {"BSD-2-Clause": words})[1] >= 0.9 * len(words)
+    assert license_scan.scan(" ".join(text), {"BSD-2-Clause": words})[0][1] >= 0.9 * len(words)
 
 
 def test_license_copy_without_many_single_words():
@@ -240,4 +240,17 @@ def test_license_copy_without_many_single_words():
     single = {w for w in words if words.count(w) == 1}
     for k in (10, 13, len(single)):
         copy = [w for w in words if w not in sorted(single)[:k]]
-        assert license_scan.scan(" ".join(copy), {"BSD-2-Clause": words})[:2] == ("BSD-2-Clause", len(copy))
+        assert license_scan.scan(" ".join(copy), {"BSD-2-Clause": words})[0][:2] == ("BSD-2-Clause", len(copy))
+
+
+def test_license_scan_reports_every_template_and_place(spark):
+    t = license_scan.TEMPLATES
+    texts = [" some text ".join((t["MIT"], t["GPL-3.0-line"], t["MIT"])), f"{t['Apache-2.0']}\n{t['CC-BY-NC-4.0-line']}", "nothing here", None]
+    out = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    exact = {i: [m.license for m in r.matches if m.coverage == 1] for i, r in out.items()}
+    assert exact == {0: ["MIT", "GPL-3.0-line", "MIT"], 1: ["Apache-2.0-line", "Apache-2.0", "CC-BY-NC-4.0-line"], 2: [], 3: []}
+    assert [out[i].license for i in range(4)] == ["MIT", "Apache-2.0", None, None]
+    for i, r in out.items():
+        words = license_scan.license_words(texts[i] or "")
+        assert all(m.coverage < 1 or words[m.first_word : m.last_word + 1] == license_scan.license_words(t[m.license]) for m in r.matches)
+    assert out[0].first_word == 0 and out[1].matches[-1].last_word == out[1].n_words - 1
