@@ -1,23 +1,26 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, stored as sorted hash arrays, memory-mapped.
+"""Interpolated modified Kneser-Ney model of a given order: counted in Spark, stored as sorted hash arrays, memory-mapped.
 
-Training. Words are counted over all training texts (first shuffle, pre-aggregated in each task). Bigrams are counted per
-task and sent as compact sorted blobs to shards by their context; contexts above 1/HOT of all tokens (fewer than HOT)
-are spread over the shards by their second word. A shard's task writes sorted arrays to the shared folder: bigram
-fingerprints with counts, contexts with their totals and how many words follow once, twice, more often. How many
-contexts precede a word goes, again as sorted blobs, to shards by word, where it meets the word counts.
+Training. Words are counted over all training texts (first shuffle, pre-aggregated in each task). n-grams of the full
+order are counted per task and sent as compact sorted blobs to shards by the last word of their context; where that is
+hot, by its last two words, and so on, and last by the predicted word too. Words above 1/HOT of all tokens
+and contexts above 1/(2 HOT) are hot: fewer than 2 HOT of a length. A shard's task writes sorted arrays to the shared
+folder: n-gram fingerprints with counts, contexts with their totals and how many words follow once, twice, more often.
+Each distinct n-gram then counts once for its last n-1 words, which go as blobs to the shards of the next lower order,
+down to bigrams. How many contexts precede a word goes, again as sorted blobs, to shards by word, where it meets the word
+counts.
 
 Scoring. A worker maps the shards it meets (file pages, not process memory), looks up a chunk of tokens in hash order and
 sums log10 probabilities by text. Nothing of the model passes through the driver but the hot contexts and the
 counts of counts.
 
-P(w|u) = max(c(uw) - D(c(uw)), 0)/c(u) + g(u) P1(w);  P1(w) = max(k(w) - d(k(w)), 0)/K + g1/(V+1), where k(w) counts the
-contexts before w, K their sum, and V+1 leaves room for an unknown word. Discounts D1, D2, D3+ come from the counts
-of counts at each level (Chen & Goodman, 1998). Before its first word a text has a start mark, after its last an end.
+P(w|tu) = max(c(tuw) - D(c(tuw)), 0)/c(tu) + g(tu) P(w|u), and so on with P(w|u) from k(uw), the number of words before uw,
+in place of c, down to P1(w) = max(k(w) - d(k(w)), 0)/K + g1/(V+1), where k(w) counts the
+words before w, K their sum, and V+1 leaves room for an unknown word. Discounts D1, D2, D3+ come from the counts
+of counts at each level (Chen & Goodman, 1998). Before its first word a text has start marks, as many as a context has
+words, after its last an end.
 
-Order 2: bigrams take 0.99 GB of disk on 0.51 GB of input in the check tool; nearly every trigram of these texts is
-distinct, so a third order would add more than as much again, past its limit of 4 x input.
-Words in bigrams are told apart by 40 bits, bigrams of a shard by 32: about one unseen bigram in 10,000 is
-taken for a seen one. Word counts use 64 bits.
+The query's order is ORDER. Words in n-grams and contexts are told apart by 40 bits, n-grams of a shard and contexts that
+occur once by 32: about one unseen n-gram in 10,000 is taken for a seen one. Word counts use 64 bits.
 
 Edge cases: a null or blank text is the end mark alone. Repeated rows count as often as they occur. Without training
 texts the model is uniform. Other columns are ignored; an empty table gives no rows.
@@ -37,6 +40,7 @@ from .hash_arrays import joined, mapped, split, write
 
 #: Hashes of marks that no word can equal, having white space.
 START, END = hashes([b" ", b"\n"])
+ORDER = 3
 HOT = 2000
 FLUSH = 2_000_000
 CHUNK = 400_000
@@ -63,20 +67,76 @@ def before(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def priors_of(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """Each token's prior word, the one before that, and so on."""
+    out = [before(tokens, sizes)]
+    while len(out) < order - 1:
+        out.append(before(out[-1], sizes))
+    return out
+
+
+def contexts_of(priors: list[np.ndarray]) -> list[np.ndarray]:
+    """Contexts (40 bits) of the last word, the last two, and so on, of 40-bit priors."""
+    out = [priors[0]]
+    for p in priors[1:]:
+        out.append(mixed(out[-1] * np.uint64(0x9E3779B97F4A7C15) + p) >> _LOW)
+    return out
+
+
 def fingerprint(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (mixed(u * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(32)).astype(np.uint32)
 
 
-def shard_of(u: np.ndarray, w: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """Shard of each bigram of 40-bit words: by context, hot contexts by both words."""
-    out = u >> np.uint64(40 - bits)
-    if len(hot) and len(u):
-        at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
-        is_hot = hot[at] == u
-        out = np.where(is_hot, mixed(u * np.uint64(3) + w) >> np.uint64(64 - bits), out)
+def found_in(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of keys among sorted_keys, and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def shard_of(contexts: list[np.ndarray], w: np.ndarray, hots: list[np.ndarray], bits: int) -> np.ndarray:
+    """Shard of each n-gram: by its shortest context that isn't hot, or by the longest and the word."""
+    out, busy = contexts[0] >> np.uint64(40 - bits), np.ones(len(w), bool)
+    for j, u in enumerate(contexts):
+        busy = busy & found_in(u, hots[j])[1]
+        further = contexts[j + 1] if j + 1 < len(contexts) else u * np.uint64(3) + w
+        out = np.where(busy, mixed(further) >> np.uint64(64 - bits), out)
     return out.astype(np.int64)
 
 
+def packed(priors: list[np.ndarray], w: np.ndarray, n: np.ndarray, hots: list[np.ndarray], bits: int) -> list[tuple[int, bytes]]:
+    """shard and blob (last words of contexts, how often each follows, the further priors, words, counts) of summed n-grams."""
+    u = contexts_of(priors)[-1]
+    order = np.lexsort((w, u))
+    u, w, n = u[order], w[order], n[order]
+    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+    n, w, priors = np.add.reduceat(n, first), w[first], [p[order][first] for p in priors]
+    shard = shard_of(contexts_of(priors), w, hots, bits)
+    order = np.lexsort((priors[0], shard))
+    w, n, shard, priors = w[order], n[order], shard[order], [p[order] for p in priors]
+    least = lambda x: x.astype("u1" if x.max() < 256 else "<u4")
+    five = lambda x: np.frombuffer(_five(x), np.uint8)
+    cuts, rows = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), []
+    for a, z in zip(cuts, [*cuts[1:], len(w)], strict=True):
+        v = priors[0][a:z]
+        one = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        rows.append((int(shard[a]), joined(five(v[one]), np.diff(np.r_[one, z - a]).astype("<u4"), *(five(p[a:z]) for p in priors[1:]), five(w[a:z]), least(n[a:z]))))
+    return rows
+
+
+def unpacked(blobs: list[bytes], level: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    priors, ws, ns = [[] for _ in range(level - 1)], [], []
+    for blob in blobs:
+        v, k, *further, w, n = split(blob, "u1", "<u4", *["u1"] * level)
+        w = _from_five(w)
+        for to, p in zip(priors, [np.repeat(_from_five(v), k), *map(_from_five, further)], strict=True):
+            to.append(p)
+        ws.append(w)
+        ns.append((n if len(n) == len(w) else n.view("<u4")).astype(np.int64))
+    return [np.concatenate(p) for p in priors], np.concatenate(ws), np.concatenate(ns)
+
+
 def _five(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
@@ -96,12 +156,16 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
 
 
+#: n-grams' fingerprints and counts to 255, those of larger counts, contexts and their sums, contexts that occur once.
+ARRAYS = ("<u4", "u1", "<u4", "<u4", "<u8", "<u4", "<u4")
+
+
 class Model:
-    def __init__(self, path: str, bits: int, word_bits: int, hot: dict, stats: dict):
-        self.path, self.bits, self.word_bits = path, bits, word_bits
-        self.hot = np.array(sorted(hot), np.uint64)
-        self.hot_values = np.array([hot[int(u)] for u in self.hot], np.float64).reshape(-1, 4)
-        self.__dict__ |= stats  # tokens, vocabulary, types (K), pair_discount, word_discount, word_rest
+    """hots and hot_sums hold the hot contexts of each length and their sums; discounts those of contexts of each length."""
+
+    def __init__(self, path: str, bits: int, word_bits: int, hots: list[np.ndarray], hot_sums: list[np.ndarray], stats: dict):
+        self.path, self.bits, self.word_bits, self.hots, self.hot_sums = path, bits, word_bits, hots, hot_sums
+        self.__dict__ |= stats  # tokens, vocabulary, types (K), discounts, word_discount, word_rest
 
     def _by_shard(self, keys: np.ndarray, shards: np.ndarray, look, width: int) -> np.ndarray:
         """keys in ascending order of shards; look(shard, keys) gives rows of values."""
@@ -120,54 +184,64 @@ class Model:
                 out[ok, 0], out[ok, 1] = found[1][at[ok]], found[2][at[ok]]
         return self._by_shard(w, w >> np.uint64(64 - self.word_bits), look, 2)
 
-    def context_values(self, u: np.ndarray) -> np.ndarray:
-        """total and how many words follow once, twice, more often, of ascending distinct 40-bit contexts."""
-        def look(s, keys, out):
-            if (found := mapped(f"{self.path}/pair-{s}", "<u4", "u1", "<u4", "<u4", "<u8", "<u4")) and len(found[4]):
-                at = np.minimum(np.searchsorted(found[4], keys), len(found[4]) - 1)
-                ok = found[4][at] == keys
-                out[ok] = found[5].reshape(-1, 4)[at[ok]]
-        out = self._by_shard(u, u >> np.uint64(40 - self.bits), look, 4)
-        if len(self.hot) and len(u):
-            at = np.minimum(np.searchsorted(self.hot, u), len(self.hot) - 1)
-            ok = self.hot[at] == u
-            out[ok] = self.hot_values[at[ok]]
-        return out
+    def _looked_up(self, contexts: list[np.ndarray], w: np.ndarray, keys: np.ndarray, look, width: int) -> np.ndarray:
+        """look(arrays, keys, out) for the arrays of each shard."""
+        shard = shard_of(contexts, w, self.hots, self.bits)
+        order = np.lexsort((keys, shard))
 
-    def pair_counts(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        shard, f = shard_of(u, w, self.hot, self.bits), fingerprint(u, w)
-        order = np.lexsort((f, shard))
+        def of_shard(s, keys, out):
+            if found := mapped(f"{self.path}/pair-{len(contexts) + 1}-{s}", *ARRAYS):
+                look(found, keys, out)
+        out = np.empty((len(keys), width))
+        out[order] = self._by_shard(keys[order], shard[order], of_shard, width)
+        return out
 
-        def look(s, keys, out):
-            if (found := mapped(f"{self.path}/pair-{s}", "<u4", "u1", "<u4", "<u4", "<u8", "<u4")) and len(found[0]):
-                at = np.minimum(np.searchsorted(found[0], keys), len(found[0]) - 1)
-                ok = found[0][at] == keys
-                out[ok, 0] = found[1][at[ok]]
-                if len(found[2]) and (big := np.flatnonzero(out[:, 0] == 255)).size:
-                    out[big, 0] = found[3][np.searchsorted(found[2], keys[big])]
-        out = np.empty(len(u))
-        out[order] = self._by_shard(f[order], shard[order], look, 1)[:, 0]
+    def context_values(self, contexts: list[np.ndarray]) -> np.ndarray:
+        """total and how many words follow once, twice, more often, of the longest of contexts."""
+        def look(found, keys, out):
+            out[found_in(keys.astype("<u4"), found[6])[1]] = (1, 1, 0, 0)
+            at, ok = found_in(keys, found[4])
+            out[ok] = found[5].reshape(-1, 4)[at[ok]]
+        u, j = contexts[-1], len(contexts) - 1
+        out = self._looked_up(contexts, np.zeros(len(u), np.uint64), u, look, 4)
+        at, ok = found_in(u, self.hots[j])
+        out[ok] = self.hot_sums[j][at[ok]]
         return out
 
-    def score(self, tokens: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """log10 P of each token after its prior one, log10 of the base, and whether training has the token."""
+    def pair_counts(self, contexts: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+        def look(found, keys, out):
+            at, ok = found_in(keys, found[0])
+            out[ok, 0] = found[1][at[ok]]
+            if len(found[2]) and (big := np.flatnonzero(out[:, 0] == 255)).size:
+                out[big, 0] = found[3][np.searchsorted(found[2], keys[big])]
+        return self._looked_up(contexts, w, fingerprint(contexts[-1], w), look, 1)[:, 0]
+
+    def score(self, tokens: np.ndarray, priors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 P of each token after its prior ones, log10 of the base, and whether training has the token."""
         w, of = np.unique(tokens, return_inverse=True)
         values = self.word_values(w)
         base = np.log10((values[:, 0] + 1) / (self.tokens + self.vocabulary + 1))
         k = values[:, 1]
-        p1 = self.word_rest / (self.vocabulary + 1) + np.maximum(k - self.word_discount[np.minimum(k, 3).astype(int)], 0) / max(self.types, 1)
-        u = prior >> _LOW
-        distinct, at = np.unique(u, return_inverse=True)
-        ctx = self.context_values(distinct)
-        rest = np.where(ctx[:, 0] > 0, ctx[:, 1:] @ self.pair_discount[1:] / np.maximum(ctx[:, 0], 1), 1)
-        total = ctx[at, 0]
-        c = np.where(total > 0, self.pair_counts(u, tokens >> _LOW), 0)
-        p = np.maximum(c - self.pair_discount[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + rest[at] * p1[of]
+        p = (self.word_rest / (self.vocabulary + 1) + np.maximum(k - self.word_discount[np.minimum(k, 3).astype(int)], 0) / max(self.types, 1))[of]
+        contexts = contexts_of([x >> _LOW for x in priors])
+        short = tokens >> _LOW
+        for j, d in enumerate(self.discounts):
+            of_length = contexts[: j + 1]
+            _, one, at = np.unique(of_length[-1], return_index=True, return_inverse=True)
+            ctx = self.context_values([u[one] for u in of_length])
+            rest = np.where(ctx[:, 0] > 0, ctx[:, 1:] @ d[1:] / np.maximum(ctx[:, 0], 1), 1)
+            total = ctx[at, 0]
+            c = np.zeros(len(short))
+            seen = np.flatnonzero(total > 0)
+            c[seen] = self.pair_counts([u[seen] for u in of_length], short[seen])
+            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + rest[at] * p
         return np.log10(p), base[of], (values[:, 0] > 0)[of]
 
 
-def train(docs: DataFrame) -> Model:
-    """The model of docs (text), its arrays in the shared folder."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """The model of docs (text) of an order of 2 or more, its arrays in the shared folder."""
+    if order < 2:
+        raise ValueError(f"an order of 2 or more, not {order}")
     spark = docs.sparkSession
     texts = docs.select(F.col("text").cast("binary").alias("text"))
 
@@ -188,71 +262,74 @@ def train(docs: DataFrame) -> Model:
         def make(tokens, sizes):
             w, n = np.unique(tokens, return_counts=True)
             for a in range(0, len(w), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(w[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["w", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(w[a : a + 100_000]), np.int32)), pa.array(w[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["len", "w", "n"])
+            # Contexts above 1/(2 HOT) of these tokens: what is above 1/HOT of all is above 1/(2 HOT) by these counts alone.
+            for j, u in enumerate(contexts_of([p >> _LOW for p in priors_of(tokens, sizes, order)])[1:], 2):
+                w, n = np.unique(u, return_counts=True)
+                often = n > len(tokens) / (2 * HOT)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(often.sum(), j, np.int32)), pa.array(w[often].view(np.int64)), pa.array(n[often])], ["len", "w", "n"])
         yield from flushed(batches, make)
 
-    unigrams = kept(texts.mapInArrow(count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    counts = kept(texts.mapInArrow(count_words, "len int, w long, n long").groupBy("len", "w").agg(F.sum("n").alias("n")), "words")
+    unigrams = counts.where("len = 0").drop("len")
     tokens, vocabulary = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     bits = max(2, math.ceil(math.log2(max(1, tokens / SHARD))))
     word_bits = max(2, math.ceil(math.log2(max(1, vocabulary / SHARD * 4))))
     often = [r["w"] for r in unigrams.where(F.col("n") > tokens / HOT).select("w").collect()]  # fewer than HOT rows
-    hot = np.unique(np.append(np.array(often, np.int64).view(np.uint64), START) >> _LOW)
+    hots = [np.unique(np.append(np.array(often, np.int64).view(np.uint64), START) >> _LOW)]
+    longer = counts.where((F.col("len") > 0) & (F.col("n") > tokens / (2 * HOT))).collect()  # fewer than 2 HOT rows of a length
+    hots += [np.array(sorted(r["w"] for r in longer if r["len"] == j), np.uint64) for j in range(2, order)]
     uri = shared_dir(spark, "ngram-model")
     path = local_path(uri)
 
-    def count_pairs(batches):
+    def count_ngrams(batches):
         def make(tokens, sizes):
-            u, w = before(tokens, sizes) >> _LOW, tokens >> _LOW
-            order = np.lexsort((w, u))
-            u, w = u[order], w[order]
-            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-            u, w, n = u[first], w[first], np.diff(np.r_[first, len(u)])
-            shard = shard_of(u, w, hot, bits)
-            order = np.argsort(shard, kind="stable")
-            u, w, n, shard = u[order], w[order], n[order], shard[order]
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-            rows = []
-            for a, z in zip(cuts, [*cuts[1:], len(u)], strict=True):
-                one = np.flatnonzero(np.r_[True, u[a + 1 : z] != u[a : z - 1]])
-                kind = "u1" if n[a:z].max() < 256 else "<u4"
-                rows.append((shard[a], joined(np.frombuffer(_five(u[a:z][one]), np.uint8), np.diff(np.r_[one, z - a]).astype("<u4"), np.frombuffer(_five(w[a:z]), np.uint8), n[a:z].astype("<u4") if kind == "<u4" else n[a:z].astype("u1"))))
-            yield pa.RecordBatch.from_arrays([pa.array([int(s) for s, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["shard", "pairs"])
+            rows = packed([p >> _LOW for p in priors_of(tokens, sizes, order)], tokens >> _LOW, np.ones(len(tokens), np.int64), hots, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["key", "found"])
         yield from flushed(batches, make)
 
-    def build_pairs(t: pa.Table) -> pa.Table:
-        shard, us, ws, ns = t.column("shard")[0].as_py(), [], [], []
-        for blob in t.column("pairs").to_pylist():
-            u, k, w, n = split(blob, "u1", "<u4", "u1", "u1")
-            w = _from_five(w)
-            us.append(np.repeat(_from_five(u), k))
-            ws.append(w)
-            ns.append((n if len(n) == len(w) else n.view("<u4")).astype(np.int64))
-        u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate(ns)
-        order = np.lexsort((w, u))
-        u, w, n = u[order], w[order], n[order]
-        first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-        n = np.add.reduceat(n, first)
-        u, w = u[first], w[first]
-        f = fingerprint(u, w)
-        order = np.lexsort((-n, f))
-        one = order[np.flatnonzero(np.r_[True, np.diff(f[order].astype(np.int64)) != 0])]
-        big = one[n[one] >= 255]
-        at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        sums = np.stack([np.add.reduceat(x, at) for x in (n, n == 1, n == 2, n > 2)], axis=1).astype(np.int64)
-        ctx = u[at]
-        is_hot = np.isin(ctx, hot)
-        write(f"{path}/pair-{shard}", f[one], np.minimum(n[one], 255).astype("u1"), f[big], n[big].astype("<u4"), ctx[~is_hot], sums[~is_hot].astype("<u4").reshape(-1))
-        w.sort()
-        first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        k, w = np.diff(np.r_[first, len(w)]), w[first]
-        ends = np.searchsorted(w, np.arange((1 << word_bits) + 1, dtype=np.uint64) << np.uint64(40 - word_bits))
-        rows = [("word", s, joined(np.frombuffer(_five(w[a:z]), np.uint8), k[a:z].astype("<u4") if k[a:z].max() > 255 else k[a:z].astype("u1")), None) for s, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
-        rows += [("hot", int(x), None, v.tolist()) for x, v in zip(ctx[is_hot], sums[is_hot], strict=True)]
-        rows.append(("stat", 0, None, [int((n == i).sum()) for i in (1, 2, 3, 4)]))
-        return pa.table({"kind": [r[0] for r in rows], "key": pa.array([r[1] for r in rows], pa.int64()), "found": pa.array([r[2] for r in rows], pa.binary()), "sums": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
-
-    counted = texts.mapInArrow(count_pairs, "shard int, pairs binary").groupBy("shard").applyInArrow(build_pairs, "kind string, key long, found binary, sums array<long>")
-    counted = kept(counted, "pairs")
+    def builder(level: int):
+        def build(t: pa.Table) -> pa.Table:
+            shard = t.column("key")[0].as_py()
+            priors, w, n = unpacked(t.column("found").to_pylist(), level)
+            u = contexts_of(priors)[-1]
+            by = np.lexsort((w, u))
+            u, w, n = u[by], w[by], n[by]
+            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            n = np.add.reduceat(n, first)
+            u, w, priors = u[first], w[first], [p[by][first] for p in priors]
+            f = fingerprint(u, w)
+            by = np.lexsort((-n, f))
+            one = by[np.flatnonzero(np.r_[True, np.diff(f[by].astype(np.int64)) != 0])]
+            big = one[n[one] >= 255]
+            at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+            sums = np.stack([np.add.reduceat(x, at) for x in (n, n == 1, n == 2, n > 2)], axis=1).astype(np.int64)
+            ctx = u[at]
+            is_hot = np.isin(ctx, hots[level - 2])
+            single = ~is_hot & (sums[:, 0] == 1)
+            held = ~is_hot & ~single
+            write(f"{path}/pair-{level}-{shard}", f[one], np.minimum(n[one], 255).astype("u1"), f[big], n[big].astype("<u4"), ctx[held], sums[held].astype("<u4").reshape(-1), np.unique(ctx[single].astype("<u4")))
+            rows = [("hot", int(x), None, v.tolist()) for x, v in zip(ctx[is_hot], sums[is_hot], strict=True)]
+            rows.append(("stat", 0, None, [int((n == i).sum()) for i in (1, 2, 3, 4)]))
+            if level > 2:
+                rows += [("pair", s, blob, None) for s, blob in packed(priors[:-1], w, np.ones(len(w), np.int64), hots, bits)]
+            else:
+                w.sort()
+                first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                k, w = np.diff(np.r_[first, len(w)]), w[first]
+                ends = np.searchsorted(w, np.arange((1 << word_bits) + 1, dtype=np.uint64) << np.uint64(40 - word_bits))
+                rows += [("word", s, joined(np.frombuffer(_five(w[a:z]), np.uint8), k[a:z].astype("<u4") if k[a:z].max() > 255 else k[a:z].astype("u1")), None) for s, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+            return pa.table({"kind": [r[0] for r in rows], "key": pa.array([r[1] for r in rows], pa.int64()), "found": pa.array([r[2] for r in rows], pa.binary()), "sums": pa.array([r[3] for r in rows], pa.list_(pa.int64()))})
+        return build
+
+    total = lambda df, n: [df.agg(F.sum(F.col("sums")[i])).first()[0] or 0 for i in range(n)]
+    blobs, pair_discounts, hot_sums = texts.mapInArrow(count_ngrams, "key long, found binary"), [], []
+    for level in range(order, 1, -1):
+        counted = kept(blobs.groupBy("key").applyInArrow(builder(level), "kind string, key long, found binary, sums array<long>"), f"pairs-{level}")
+        pair_discounts.insert(0, discounts(total(counted.where("kind = 'stat'"), 4)))
+        found = {r[0]: list(r)[1:] for r in counted.where("kind = 'hot'").groupBy("key").agg(*(F.sum(F.col("sums")[i]) for i in range(4))).collect()}  # 2 HOT rows at most
+        hot_sums.insert(0, np.array([found.get(int(u), [0] * 4) for u in hots[level - 2]], np.float64).reshape(-1, 4))
+        blobs = counted.where("kind = 'pair'").select("key", "found")
 
     def build_words(key, left: pa.Table, right: pa.Table) -> pa.Table:
         s = key[0].as_py()
@@ -276,16 +353,13 @@ def train(docs: DataFrame) -> Model:
     top = F.shiftrightunsigned("w", 64 - word_bits).cast("int")
     of_words = counted.where("kind = 'word'").select(F.col("key").cast("int").alias("at"), "found")
     word_stats = kept(unigrams.withColumn("shard", top).groupBy("shard").cogroup(of_words.groupBy("at")).applyInArrow(build_words, "sums array<long>"), "word-stats")
-    total = lambda df, n: [df.agg(F.sum(F.col("sums")[i])).first()[0] or 0 for i in range(n)]
-    pair_n = total(counted.where("kind = 'stat'"), 4)
     types, *word_n, more = total(word_stats, 6)
-    hot_rows = counted.where("kind = 'hot'").groupBy("key").agg(*(F.sum(F.col("sums")[i]) for i in range(4))).collect()  # HOT rows at most
     d = discounts(word_n)
     stats = {
-        "tokens": tokens, "vocabulary": vocabulary, "types": types, "pair_discount": discounts(pair_n), "word_discount": d,
+        "tokens": tokens, "vocabulary": vocabulary, "types": types, "discounts": pair_discounts, "word_discount": d,
         "word_rest": (d[1] * word_n[0] + d[2] * word_n[1] + d[3] * more) / types if types else 1.0,
     }
-    return Model(path, bits, word_bits, {r[0]: list(r)[1:] for r in hot_rows}, stats)
+    return Model(path, bits, word_bits, hots, hot_sums, stats)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -297,10 +371,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in slices(batches):
             tokens, sizes = token_hashes([x.as_py() for x in b.column("text")])
-            prior, ends = before(tokens, sizes), np.cumsum(sizes)
+            priors, ends = priors_of(tokens, sizes, len(m.hots) + 1), np.cumsum(sizes)
             sums = np.zeros((3, len(tokens)))
             for a in range(0, len(tokens), CHUNK):
-                sums[:, a : a + CHUNK] = m.score(tokens[a : a + CHUNK], prior[a : a + CHUNK])
+                sums[:, a : a + CHUNK] = m.score(tokens[a : a + CHUNK], [p[a : a + CHUNK] for p in priors])
             by_text = np.add.reduceat(sums, ends - sizes, axis=1) if len(sizes) else np.zeros((3, 0))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes), pa.array(by_text[2].astype(np.int64)), pa.array(by_text[1]), pa.array(by_text[0])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
@@ -313,6 +387,6 @@ def held_out(doc_id: Column) -> Column:
 
 def op1_ngram_lm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))), ORDER)
     out = score(docs, model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -254,3 +254,47 @@ def test_license_scan_reports_every_template_and_place(spark):
         words = license_scan.license_words(texts[i] or "")
         assert all(m.coverage < 1 or words[m.first_word : m.last_word + 1] == license_scan.license_words(t[m.license]) for m in r.matches)
     assert out[0].first_word == 0 and out[1].matches[-1].last_word == out[1].n_words - 1
+
+
+def kneser_ney_of_order(texts, order):
+    """P(w|context) of a plain model of any order, for comparison."""
+    levels = [Counter(tuple((["<"] * (order - 1) + t)[i : i + order]) for t in texts for i in range(len(t)))]
+    for _ in range(order - 1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    d = [ngram_lm.discounts([Counter(c.values())[i] for i in (1, 2, 3, 4)]) for c in levels]
+    total, rest = defaultdict(int), defaultdict(float)
+    for c, e in zip(levels, d, strict=True):
+        for g, n in c.items():
+            total[g[:-1]] += n
+            rest[g[:-1]] += e[min(n, 3)]
+    size = len(levels[0])
+
+    def p(context, w):
+        lower = p(context[1:], w) if context else 1 / (size + 1)
+        if not total[context]:
+            return lower
+        n = levels[len(context)][(*context, w)]
+        return max(n - d[len(context)][min(n, 3)], 0) / total[context] + rest[context] / total[context] * lower
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order_against_brute_force(docs, corpus, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "FLUSH", 500)
+    monkeypatch.setattr(ngram_lm, "SHARD", 400)
+    monkeypatch.setattr(ngram_lm, "HOT", 300)
+    tokens = lambda t: (t or "").encode().lower().split() + ["end"]
+    train = [tokens(t) for i, t, *_ in corpus if i % 3]
+    p = kneser_ney_of_order(train, order)
+    model = ngram_lm.train(docs.where("doc_id % 3 <> 0"), order)
+    assert len(model.discounts) == order - 1 and all(len(u) for u in model.hots)
+    text = {i: (["<"] * (order - 1), tokens(t)) for i, t, *_ in corpus}
+    for r in ngram_lm.score(docs, model).collect():
+        marks, t = text[r.doc_id]
+        padded = marks + t
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(t)))
+
+
+def test_language_model_query_has_order_three():
+    assert ngram_lm.ORDER == 3
