@@ -4,28 +4,41 @@ from __future__ import annotations
 
 from math import erf, sqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .training import deciles
+from .training import deciles, percentiles
+
+
+def _row_of_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row of exact percentiles (name: value and share) over all rows."""
+    shares = {f"s{i}": s for i, s in enumerate(sorted({s for _, s in wanted.values()}))}
+    of = {s: k for k, s in shares.items()}
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("_what"), v.cast("double").alias("_value")) for k, (v, _) in wanted.items()))).alias("x")).select("x.*")
+    return percentiles(long, ["_what"], "_value", shares).agg(*(F.max(F.when(F.col("_what") == k, F.col(of[s]))).alias(k) for k, (_, s) in wanted.items()))
 
 
 def regression_metrics(df: DataFrame, y: str = "y_log", p: str = "p_log", price: str = "price") -> DataFrame:
     """One row of twelve measures of predictions of log prices."""
     e, guess = F.col(p) - F.col(y), F.exp(F.col(p))
     rel, brl = F.abs(guess - F.col(price)) / F.col(price), guess - F.col(price)
-    return df.agg(
+    means = df.agg(
         F.avg(F.abs(e)).alias("mae_log"), F.sqrt(F.avg(e * e)).alias("rmse_log"),
-        F.median(rel).alias("mdape"), F.percentile(rel, 0.9).alias("p90_ape"),
         F.sqrt(F.avg(brl * brl)).alias("rmse_brl"), F.avg(F.abs(brl)).alias("mae_brl"),
         F.avg((rel <= 0.10).cast("double")).alias("within_10"), F.avg((rel <= 0.20).cast("double")).alias("within_20"),
-        F.avg(e).alias("bias_log"), F.avg(brl).alias("bias_brl"), F.median(brl).alias("bias_median_brl"), F.median(e).alias("bias_median_log"),
+        F.avg(e).alias("bias_log"), F.avg(brl).alias("bias_brl"),
     )
+    ranks = _row_of_percentiles(df, {"mdape": (rel, 0.5), "p90_ape": (rel, 0.9), "bias_median_brl": (brl, 0.5), "bias_median_log": (e, 0.5)})
+    return means.crossJoin(ranks).select("mae_log", "rmse_log", "mdape", "p90_ape", "rmse_brl", "mae_brl", "within_10", "within_20", "bias_log", "bias_brl", "bias_median_brl", "bias_median_log")
 
 
 def decile_calibration(df: DataFrame, p: str, real: str, tie: str) -> DataFrame:
     """decil, n, median prediction and median value by decile of the prediction."""
-    return deciles(df, [p, tie]).groupBy("decil").agg(F.count("*").alias("n"), F.median(p).alias("previsto"), F.median(real).alias("real"))
+    binned = deciles(df.select(F.col(p).alias("previsto"), F.col(real).alias("real"), F.col(tie).alias("_tie")), ["previsto", "_tie"])
+    both = F.explode(F.array(*(F.struct(F.lit(c).alias("_what"), F.col(c).cast("double").alias("_value")) for c in ("previsto", "real"))))
+    medians = percentiles(binned.select("decil", both.alias("x")).select("decil", "x.*"), ["decil", "_what"], "_value", {"_median": 0.5})
+    medians = medians.groupBy("decil").agg(*(F.max(F.when(F.col("_what") == k, F.col("_median"))).alias(k) for k in ("previsto", "real")))
+    return binned.groupBy("decil").agg(F.count("*").alias("n")).join(medians, "decil", "left").select("decil", "n", "previsto", "real")
 
 
 def interval(df: DataFrame, low: str, centre: str, high: str) -> DataFrame:
@@ -35,7 +48,10 @@ def interval(df: DataFrame, low: str, centre: str, high: str) -> DataFrame:
 
 def coverage(df: DataFrame, real: str) -> DataFrame:
     """Share inside, median width (absolute and relative) and crossings of interval()'s rows."""
-    return df.agg(F.avg(F.col(real).between(F.col("lo"), F.col("hi")).cast("double")).alias("cobertura"), F.median(F.col("hi") - F.col("lo")).alias("largura_mediana"), F.median((F.col("hi") - F.col("lo")) / F.col(real)).alias("largura_pct"), F.count_if("cruzou").alias("cruzamentos"))
+    shares = df.agg(F.avg(F.col(real).between(F.col("lo"), F.col("hi")).cast("double")).alias("cobertura"), F.count_if("cruzou").alias("cruzamentos"))
+    width = F.col("hi") - F.col("lo")
+    ranks = _row_of_percentiles(df, {"largura_mediana": (width, 0.5), "largura_pct": (width / F.col(real), 0.5)})
+    return shares.crossJoin(ranks).select("cobertura", "largura_mediana", "largura_pct", "cruzamentos")
 
 
 def fold_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:

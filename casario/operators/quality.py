@@ -49,8 +49,12 @@ def changed(before: DataFrame, after: DataFrame, key: str, column: str) -> DataF
 
 def card_limits(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
     """campo, p01, p99, minimo, maximo of the columns with at least `least` known values."""
-    aggs = [F.struct(F.lit(c).alias("campo"), F.percentile(c, 0.01).alias("p01"), F.percentile(c, 0.99).alias("p99"), F.min(F.col(c).cast("double")).alias("minimo"), F.max(F.col(c).cast("double")).alias("maximo"), F.count(c).alias("n")).alias(f"_{c}") for c in columns]
-    return df.agg(*aggs).select(F.explode(F.array(*(f"_{c}" for c in columns))).alias("x")).select("x.*").where(F.col("n") >= least)
+    from .training import percentiles
+
+    aggs = [F.struct(F.lit(c).alias("campo"), F.min(F.col(c).cast("double")).alias("minimo"), F.max(F.col(c).cast("double")).alias("maximo"), F.count(c).alias("n")).alias(f"_{c}") for c in columns]
+    ends = df.agg(*aggs).select(F.explode(F.array(*(f"_{c}" for c in columns))).alias("x")).select("x.*").where(F.col("n") >= least)
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("campo"), F.col(c).cast("double").alias("_value")) for c in columns))).alias("x")).select("x.*")
+    return ends.join(percentiles(long, ["campo"], "_value", {"p01": 0.01, "p99": 0.99}), "campo").select("campo", "p01", "p99", "minimo", "maximo", "n")
 
 
 def nearest_mean(points: DataFrame, known: DataFrame, k: int, id_col: str, cell: float) -> DataFrame:

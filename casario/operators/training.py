@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,18 +58,59 @@ def holdout(df: DataFrame, group: str, share: float = HOLDOUT, seed: int = 42) -
     return df.join(chosen, F.col(group) == F.col("_chosen"), "left").withColumn("is_holdout", F.col("_chosen").isNotNull()).drop("_chosen")
 
 
+def by_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _range, in the order of its ranges of order, written to the shared folder: ranges are drawn from a sample, anew in each run."""
+    spark = df.sparkSession
+    to = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:/tmp/checkpoints').rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    out = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
+    out.write.parquet(to)
+    return spark.read.schema(out.schema).parquet(to)
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "_rank") -> DataFrame:
+    """df with its row number by order (from 1) and _all, the number of rows: rows of the ranges before and the number within the range."""
+    dealt = by_range(df, order)
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # a row for each range
+    out = dealt.join(F.broadcast(before), "_range")
+    return out.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order))).drop("_range", "_before")
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and the exact percentiles (name: share) of each group's known values, as F.percentile gives them.
+
+    Values are counted first, then dealt by ranges; only ranges that hold a wanted rank are numbered.
+    """
+    dealt = by_range(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), [*by, value])
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+    group = W.partitionBy(*by)
+    before = sums.withColumns({"_before": F.sum("_in").over(group.orderBy("_range")) - F.col("_in"), "_all": F.sum("_in").over(group)})  # a row for each group and range
+    position = {k: (F.col("_all") - 1) * F.lit(float(s)) for k, s in shares.items()}
+    holds = lambda rank, first, n: (rank >= first) & (rank < first + n)
+    ends = [f(p) for p in position.values() for f in (F.floor, F.ceil)]
+    wanted = F.lit(False)
+    for rank in ends:
+        wanted = wanted | holds(rank, F.col("_before"), F.col("_in"))
+    rows = dealt.join(F.broadcast(before.where(wanted)), [*by, "_range"])
+    rows = rows.withColumn("_first", F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(value)) - F.col("_n"))
+    at = lambda rank: F.max(F.when(holds(rank, F.col("_first"), F.col("_n")), F.col(value).cast("double")))
+    found = rows.groupBy(*by).agg(F.first("_all").alias("_all"), *(at(f(p)).alias(f"_{f.__name__}_{k}") for k, p in position.items() for f in (F.floor, F.ceil)))
+    lo, hi = (lambda k: F.col(f"_floor_{k}")), (lambda k: F.col(f"_ceil_{k}"))
+    return found.select(*by, *(F.when(lo(k) == hi(k), lo(k)).otherwise((F.ceil(p) - p) * lo(k) + (p - F.floor(p)) * hi(k)).alias(k) for k, p in position.items()))
+
+
 def deciles(df: DataFrame, order: list[str], bins: int = 10, name: str = "decil") -> DataFrame:
     """df with its bin of equal size by order (ties by the further columns of order), as quantile cuts of the ranks."""
-    w = W.orderBy(*order)
-    n, r = F.count("*").over(W.partitionBy()), F.row_number().over(w)
-    return df.withColumn(name, F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(F.round((r - 1) * bins / F.greatest(n - 1, F.lit(1)), 9)) - 1)).cast("int"))
+    n, r = F.col("_all"), F.col("_rank")
+    return ranked(df, order).withColumn(name, F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(F.round((r - 1) * bins / F.greatest(n - 1, F.lit(1)), 9)) - 1)).cast("int")).drop("_all", "_rank")
 
 
 def group_folds(df: DataFrame, group: str, price: str, folds: int = 5, seed: int = 20260829) -> DataFrame:
     """df with fold: groups dealt in turn within deciles of their median price, in the order of a seeded hash."""
     of = deciles(df.groupBy(group).agg(F.median(price).alias("_p")), ["_p", group])
-    turn = F.row_number().over(W.partitionBy("decil").orderBy(F.sha1(F.concat(F.lit(f"{seed}|"), F.col(group)))))
-    return df.join(of.select(group, ((turn - 1) % folds).cast("int").alias("fold")), group)
+    turns = ranked(of.select(group, "decil", F.sha1(F.concat(F.lit(f"{seed}|"), F.col(group))).alias("_h")), ["decil", "_h"])
+    starts = turns.groupBy("decil").agg(F.min("_rank").alias("_first"))
+    return df.join(turns.join(F.broadcast(starts), "decil").select(group, ((F.col("_rank") - F.col("_first")) % folds).cast("int").alias("fold")), group)
 
 
 def target_encoding(df: DataFrame, key: str, value: Column, smoothing: float = SMOOTHING) -> DataFrame:

@@ -96,7 +96,7 @@ def write_day(new: DataFrame, root: str, state: str, city: str, day: str, platfo
     target, fresh, old = (hadoop.Path(p) for p in (to, f"{to}.new-{uuid.uuid4().hex}", f"{to}.old-{uuid.uuid4().hex}"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = upsert(as_record(spark.read.parquet(to)), new, ["property_id"]) if fs.exists(target) else new
-    out.coalesce(1).write.parquet(str(fresh))
+    out.repartition("property_id").write.parquet(str(fresh))
     had = fs.exists(target)
     if had:
         fs.rename(target, old)

@@ -293,3 +293,24 @@ def test_medians_impute_and_axes(spark):
     assert axes.a > 20 * axes.b and abs(axes.r) < 1e-6
     ci = modelling.bootstrap_median(df.limit(200), "x", 100).first()
     assert 6 < ci.lo <= ci.hi < 14
+
+
+def test_exact_percentiles_by_ranges(spark):
+    df = spark.range(997).selectExpr("id % 3 AS g", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 5 = 0 THEN 2.5 ELSE sin(id) END AS v", "id")
+    shares = {"p01": 0.01, "p50": 0.5, "p90": 0.9, "top": 1.0}
+    got = {r.g: r for r in training.percentiles(df, ["g"], "v", shares).collect()}
+    want = {r.g: r for r in df.groupBy("g").agg(*(F.percentile("v", s).alias(k) for k, s in shares.items())).collect()}
+    assert got.keys() == want.keys() and all(got[g][k] == pytest.approx(want[g][k], abs=1e-12) for g in want for k in shares)
+    assert training.percentiles(df.where("v > 9"), ["g"], "v", shares).count() == 0
+    assert metrics.coverage(df.selectExpr("v AS lo", "v AS hi", "v AS y", "false AS cruzou").where("lo > 9"), "y").first().largura_mediana is None
+
+
+def test_ranks_are_not_numbered_in_one_task(spark):
+    df = spark.range(5000).selectExpr("pmod(id * 7919, 5000) AS v", "id AS tie", "cast(id AS string) AS g")
+    for out in (training.deciles(df, ["v", "tie"]), training.group_folds(df, "g", "v"), metrics.decile_calibration(df, "v", "v", "tie")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" not in plan
+        assert all("_range" in line or "_n#" in line or "_in#" in line for line in plan.splitlines() if "windowspecdefinition" in line)
+    dealt = training.by_range(df, ["v", "tie"])
+    assert dealt.select("_range").distinct().count() > 1
+    assert [r.v for r in training.ranked(df, ["v", "tie"]).orderBy("_rank").collect()] == list(range(5000))
