@@ -53,6 +53,7 @@ def normalised(raw: DataFrame, cities: list[str] | None = None) -> DataFrame:
     df = as_record(typed(df))
     for c in TEXTS:
         df = df.withColumn(c, F.nullif(pii.scrub(F.col(c))["text"], F.lit("")))
+    df = df.withColumn("amenities", F.filter(F.transform("amenities", lambda x: pii.scrub(x)["text"]), lambda x: x != ""))
     df = coerce.within_ranges(df)
     outside = F.lit(False)
     if cities is not None:

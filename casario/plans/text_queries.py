@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None):
 @query("pii_scrub")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", pii.scrub(F.col("text")).alias("s"))
-    return d.select("doc_id", F.sha2("s.text", 256).alias("texto_sha256"), F.size("s.hits").alias("n_achados"))
+    found = F.array_join(F.transform("s.hits", lambda h: F.concat(h["kind"], F.lit("="), h["value"])), "|")
+    return d.select("doc_id", F.sha2("s.text", 256).alias("texto_sha256"), found.alias("achados"), F.size("s.hits").alias("n_achados"))
 
 
 @query("pii_scan_email", r"SELECT doc_id, len(regexp_extract_all(text, '[\w.+-]+@[\w-]+\.[\w.]{2,}'))::BIGINT AS n_email FROM documents WHERE regexp_matches(text, '[\w.+-]+@[\w-]+\.[\w.]{2,}')")
@@ -55,7 +56,7 @@ def _(spark, sf_dir):
 @query("amenity_extract")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", amenities.mentioned(F.col("text")).alias("m"))
-    return d.select("doc_id", F.size("m.pos").alias("n_pos"), F.size("m.neg").alias("n_neg"))
+    return d.select("doc_id", F.array_join("m.pos", "|").alias("pos"), F.array_join("m.neg", "|").alias("neg"))
 
 
 _URL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)), '/+$', '')"
