@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.folds import slug
 from ..functions.pii import gate
-from ..operators.history import require_rows, upsert
+from ..operators.history import last_per_key, require_rows, upsert
 
 #: The record: every stage reads and writes exactly these columns and types.
 RECORD = T.StructType([T.StructField(n, k) for n, k in (
@@ -83,26 +83,42 @@ def path_token(text: str) -> str:
     return re.sub(r"[^a-z0-9._-]+", "-", text.strip().lower()).strip("-")
 
 
+def swap(spark: SparkSession, fresh: str, target: str) -> None:
+    """Puts a written folder in another's place by two renames; the old one is moved back if the second fails, and deleted last."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, to, old = (hadoop.Path(p) for p in (fresh, target, f"{target}.old-{uuid.uuid4().hex}"))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to.getParent())
+    had = fs.exists(to)
+    if had and not fs.rename(to, old):
+        raise OSError(f"{target} can't be moved aside; it stays as it was")
+    if not fs.rename(new, to):
+        if had and not fs.rename(old, to):
+            raise OSError(f"{target} can't be replaced nor moved back; its rows are in {old}")
+        raise OSError(f"{target} can't be replaced; it stays as it was")
+    if had:
+        fs.delete(old, True)
+
+
 def write_day(new: DataFrame, root: str, state: str, city: str, day: str, platform: str, domain: str) -> str:
     """Upserts one source's day: the gate, then old rows without the new ids and the new rows, then a swap.
 
-    The new partition is written beside the old one and replaces it by renames, so that a failed run leaves the old
-    one readable. No rows or an unreadable partition is an error.
+    Of several new rows of an id the last seen counts, then the greatest by its whole content. The new partition is
+    written beside the old one and replaces it by renames, so that a failed run leaves the old one readable. No rows or
+    an unreadable partition is an error.
     """
     spark = new.sparkSession
-    new = gate(require_rows(as_record(new).dropDuplicates(["property_id"]), "records"), f"{platform}/{domain}")
+    content = F.sha2(F.to_json(F.struct(*RECORD.fieldNames())), 256)
+    one = last_per_key(as_record(new), ["property_id"], [F.desc_nulls_last("listing_last_seen"), content.desc()])
+    one = gate(require_rows(one, "records"), f"{platform}/{domain}")
     to = "/".join((root, slug(state), slug(city), *day.split("-"), path_token(platform), path_token(domain)))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, fresh, old = (hadoop.Path(p) for p in (to, f"{to}.new-{uuid.uuid4().hex}", f"{to}.old-{uuid.uuid4().hex}"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = upsert(as_record(spark.read.parquet(to)), new, ["property_id"]) if fs.exists(target) else new
-    out.repartition("property_id").write.parquet(str(fresh))
-    had = fs.exists(target)
-    if had:
-        fs.rename(target, old)
-    fs.rename(fresh, target)
-    if had:
-        fs.delete(old, True)
+    target = hadoop.Path(to)
+    had = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    out = upsert(as_record(spark.read.parquet(to)), one, ["property_id"]) if had else one
+    fresh = f"{to}.new-{uuid.uuid4().hex}"
+    out.repartition("property_id").write.parquet(fresh)
+    swap(spark, fresh, to)
     return to
 
 
@@ -119,14 +135,37 @@ def write_months(df: DataFrame, to: str, keys: tuple[str, ...] = ("uf", "cidade"
 
 def read_months(spark: SparkSession, root: str, month: str | None = None) -> DataFrame:
     """The monthly table, its keys as text; one month is a partition filter."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    df = spark.read.option("basePath", root).parquet(root)
+    keys = ("uf", "cidade", "ano", "mes")
+    found = spark.read.option("basePath", root).parquet(root).schema
+    texts = T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in found])
+    df = spark.read.schema(texts).option("basePath", root).parquet(root)
     return df if month is None else df.where((F.col("ano") == month[:4]) & (F.col("mes") == month[5:]))
 
 
 def file_counts(spark: SparkSession, glob: str) -> DataFrame:
-    """file and rows of each file of a glob."""
-    return spark.read.parquet(glob).select(F.col("_metadata.file_path").alias("arquivo")).groupBy("arquivo").agg(F.count("*").alias("linhas"))
+    """file and rows of each file of a glob; -1 for one that can't be read, which is not the same as 0 rows."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(glob)
+    files = [str(f.getPath()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
+    every = spark.createDataFrame([(f,) for f in files], "arquivo string")
+    lenient = spark.read.option("ignoreCorruptFiles", "true")
+    rows = lenient.schema(T.StructType([T.StructField("property_id", T.StringType())])).parquet(*files) if files else None
+    if rows is None:
+        return every.withColumn("linhas", F.lit(0).cast("long"))
+    counted = rows.select(F.col("_metadata.file_path").alias("_f")).groupBy("_f").agg(F.count("*").alias("linhas"))
+    # Files without rows and broken ones have no count: a footer tells them apart, in a task for each.
+    odd = every.join(counted, every["arquivo"] == counted["_f"], "left_anti")
+    names = [r[0] for r in odd.collect()]
+    broken = [f for f in names if not _readable(spark, f)]
+    return every.join(counted, every["arquivo"] == counted["_f"], "left").select("arquivo", F.when(F.col("arquivo").isin(broken), F.lit(-1)).otherwise(F.coalesce("linhas", F.lit(0))).cast("long").alias("linhas"))
+
+
+def _readable(spark: SparkSession, file: str) -> bool:
+    try:
+        spark.read.parquet(file).count()
+    except Exception:  # whatever the reader makes of a file that is no Parquet
+        return False
+    return True
 
 
 def same_after_copy(before: DataFrame, after: DataFrame) -> bool:
