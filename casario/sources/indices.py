@@ -49,7 +49,8 @@ def layout(grid: DataFrame, blocks: dict = BLOCKS, header: tuple[int, ...] = HEA
 
 
 def _text_at(column: int):
-    return lambda r: F.coalesce(F.get(r["t"], F.lit(column)), F.lit(""))
+    # A header that ends before the column goes on to the end of the sheet.
+    return lambda r: F.coalesce(F.get(r["t"], F.lit(column)), F.try_element_at(r["t"], F.lit(-1)), F.lit(""))
 
 
 def sheet_series(grid: DataFrame, blocks: dict = BLOCKS, header: tuple[int, ...] = HEADER, date: int = DATE) -> DataFrame:
