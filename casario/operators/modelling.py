@@ -24,8 +24,11 @@ def price_model(numbers: list[str], categories: list[str], seed: int = 42, round
 
 
 def with_missing(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df with numbers as doubles, aus_<column> (1 where unknown) and n_campos_ausentes."""
-    flags = {f"aus_{c}": F.col(c).isNull().cast("double") for c in columns}
+    """df with numbers as doubles, aus_<column> (1 where unknown) and n_campos_ausentes.
+
+    A flag that is there stays: it tells what was unknown before an imputation.
+    """
+    flags = {f"aus_{c}": (F.col(f"aus_{c}") if f"aus_{c}" in df.columns else F.col(c).isNull()).cast("double") for c in columns}
     df = df.withColumns(flags).withColumns({c: F.col(c).cast("double") for c in columns})
     return df.withColumn("n_campos_ausentes", sum((F.col(f) for f in flags), F.lit(0.0)))
 
@@ -35,9 +38,10 @@ def erased(df: DataFrame, column: str, derived: list[str], where) -> DataFrame:
     out = {c: F.when(~where, F.col(c)) for c in (column, *derived) if c in df.columns}
     flags = [c for c in df.columns if c.startswith("aus_")]
     if f"aus_{column}" in flags:
-        out[f"aus_{column}"] = F.when(where, 1.0).otherwise(F.col(f"aus_{column}"))
+        flag = F.col(f"aus_{column}")
+        out[f"aus_{column}"] = F.when(where, F.lit(1).cast(df.schema[f"aus_{column}"].dataType)).otherwise(flag)
     df = df.withColumns(out)
-    return df.withColumn("n_campos_ausentes", sum((F.col(f) for f in flags), F.lit(0.0))) if flags else df
+    return df.withColumn("n_campos_ausentes", sum((F.col(f).cast("double") for f in flags), F.lit(0.0))) if flags else df
 
 
 def hashed_share(share: float, seed: int, *columns: str):
