@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import hashes, kept, local_path, shared_dir, slices, table
 from .encoders import pieces_of
-from .hash_arrays import mapped, write
+from .hash_arrays import Files, write
 
 BUCKETS = 1 << 14
 LONG = 256
@@ -143,7 +143,7 @@ class Words:
     """Ids of words from the arrays of one dictionary, in a worker."""
 
     def __init__(self, path: str, bits: int, vocabulary: str, pattern: str):
-        self.path, self.bits, self.ranks, self.split = path, bits, read_ranks(vocabulary), regex.compile(pattern)
+        self.path, self.bits, self.ranks, self.split, self.files = path, bits, read_ranks(vocabulary), regex.compile(pattern), Files()
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.pieces[rank] = token
@@ -157,7 +157,7 @@ class Words:
         shards, out = (keys >> np.uint64(64 - self.bits)).astype(np.int64)[order], {}
         cuts = np.flatnonzero(np.r_[True, shards[1:] != shards[:-1]]) if len(words) else []
         for a, z in zip(cuts, [*cuts[1:], len(words)], strict=True) if len(words) else []:
-            known = mapped(f"{self.path}/words-{shards[a]}", "<u8", "<u4", "<u4")
+            known = self.files.arrays(f"{self.path}/words-{shards[a]}", "<u8", "<u4", "<u4")
             if known is None or not len(known[0]):
                 continue
             own, ends, ids = known

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -10,11 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: White space of the word rule: everything else belongs to a word.
 SPACE = r"\x20\x09-\x0D"
-#: Used only where the session names no spark.checkpoint.dir (tests, one machine).
-LOCAL_DIR = "file:/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
+
+    Where the setting is missing, only a session on one machine (master local) has a folder of its own.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file:/tmp/checkpoints"
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -55,6 +62,26 @@ def slices(batches, rows: int = 500):
             yield b.slice(a, rows)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and later stages need the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def trimmed(run):
+    """run(batches) with trim() at its end."""
+    def of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return of
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words of lower-cased (A-Z only) UTF-8 text; bytes.split() splits at exactly the white space of SPACE."""
     return text.lower().split() if text else []
@@ -78,12 +105,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 
 def with_columns_of_text(df: DataFrame, text_col: str, added: list[T.StructField], make) -> DataFrame:
-    """df with columns that make(texts as UTF-8 bytes) gives as arrays, all other columns unchanged."""
-    schema = T.StructType([*df.schema.fields, *added])
+    """df with columns that make(texts as UTF-8 bytes) gives as arrays, all other columns unchanged.
+
+    Only the texts go to the workers, once and a few hundred at a time, and only the new columns come back.
+    """
+    kind, names = T.StructType(added), [f.name for f in added]
+    empty = pa.array([], to_arrow_type(kind))
 
-    def run(batches):
-        for b in batches:
-            texts = b.column("_text").to_pylist()
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(b.columns, b.schema.names, strict=True) if n != "_text"), *make(texts)], schema.names)
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays(make(texts.slice(a, 500).to_pylist()), fields=list(empty.type)) for a in range(0, len(texts), 500)]
+        trim()
+        return pa.concat_arrays([empty, *parts])
 
-    return df.withColumn("_text", F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    made = F.arrow_udf(run, kind).asNondeterministic()  # so that the optimiser never runs it twice
+    return df.withColumn("_made", made(F.col(text_col).cast("binary"))).select(*(F.col(f"`{c}`") for c in df.columns), *(F.col("_made")[n].alias(n) for n in names))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import functools
+import mmap
 import os
+import sys
 
 import numpy as np
 
@@ -33,7 +34,24 @@ def write(path: str, *arrays: np.ndarray) -> None:
     os.replace(own, path)
 
 
-@functools.lru_cache(maxsize=700)
-def mapped(path: str, *kinds: str) -> tuple[np.ndarray, ...] | None:
-    """The arrays of a file as plain views of the mapping (memmap's own slices cost a call each), or None without one."""
-    return tuple(split(np.memmap(path, np.uint8, "r").view(np.ndarray), *kinds)) if os.path.exists(path) else None
+class Files:
+    """The arrays of files as views of their mappings, each mapped once; they are unmapped with this object, which a task has to itself.
+
+    A mapping holds no open file (from Python 3.13 on).
+    """
+
+    def __init__(self):
+        self._open: dict[str, tuple[np.ndarray, ...] | None] = {}
+
+    def arrays(self, path: str, *kinds: str) -> tuple[np.ndarray, ...] | None:
+        """The arrays of a file, or None without one."""
+        if path not in self._open:
+            self._open[path] = None
+            if os.path.exists(path):
+                with open(path, "rb") as f:
+                    free = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+                    self._open[path] = tuple(split(np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **free), np.uint8), *kinds))
+        return self._open[path]
+
+    def __reduce__(self):
+        return Files, ()

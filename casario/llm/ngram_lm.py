@@ -19,8 +19,9 @@ words before w, K their sum, and V+1 leaves room for an unknown word. Discounts
 of counts at each level (Chen & Goodman, 1998). Before its first word a text has start marks, as many as a context has
 words, after its last an end.
 
-The query's order is ORDER. Words in n-grams and contexts are told apart by 40 bits, n-grams of a shard and contexts that
-occur once by 32: about one unseen n-gram in 10,000 is taken for a seen one. Word counts use 64 bits.
+The query's order is ORDER. Words in n-grams and contexts are told apart by 40 bits. n-grams of a shard are found by 32 bits of
+their hash; those of training that share these bits are kept by all 64, so that no seen n-gram loses or lends a count. An
+unseen n-gram or context is taken for a seen one about once in 10,000. Counts and sums have 64 bits where they need them.
 
 Edge cases: a null or blank text is the end mark alone. Repeated rows count as often as they occur. Without training
 texts the model is uniform. Other columns are ignored; an empty table gives no rows.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, hashes, kept, local_path, mixed, shared_dir, slices, table, words
-from .hash_arrays import joined, mapped, split, write
+from .hash_arrays import Files, joined, split, write
 
 #: Hashes of marks that no word can equal, having white space.
 START, END = hashes([b" ", b"\n"])
@@ -45,7 +46,7 @@ HOT = 2000
 FLUSH = 2_000_000
 CHUNK = 400_000
 #: Tokens of a shard.
-SHARD = 500_000
+SHARD = 1_000_000
 _LOW = np.uint64(24)
 
 
@@ -83,8 +84,13 @@ def contexts_of(priors: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def fingerprint(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (mixed(u * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(32)).astype(np.uint32)
+def keys_of(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit keys of words behind contexts; the upper half is the fingerprint."""
+    return mixed(u * np.uint64(0x9E3779B97F4A7C15) + w)
+
+
+def fingerprint(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(32)).astype(np.uint32)
 
 
 def found_in(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,15 +162,16 @@ def discounts(n: list[int]) -> np.ndarray:
     return np.array([0.0, *(min(max(x, 0.05), k - 0.05) for k, x in enumerate(d, 1))])
 
 
-#: n-grams' fingerprints and counts to 255, those of larger counts, contexts and their sums, contexts that occur once.
-ARRAYS = ("<u4", "u1", "<u4", "<u4", "<u8", "<u4", "<u4")
+#: n-grams' fingerprints and counts below 255, those of larger counts; whole keys and counts of n-grams that share a fingerprint
+#: (whose count is 0 in the former); contexts and their sums below 255, those of larger sums; contexts that occur once.
+ARRAYS = ("<u4", "u1", "<u4", "<u8", "<u8", "<u8", "<u8", "u1", "<u8", "<u8", "<u4")
 
 
 class Model:
     """hots and hot_sums hold the hot contexts of each length and their sums; discounts those of contexts of each length."""
 
     def __init__(self, path: str, bits: int, word_bits: int, hots: list[np.ndarray], hot_sums: list[np.ndarray], stats: dict):
-        self.path, self.bits, self.word_bits, self.hots, self.hot_sums = path, bits, word_bits, hots, hot_sums
+        self.path, self.bits, self.word_bits, self.hots, self.hot_sums, self.files = path, bits, word_bits, hots, hot_sums, Files()
         self.__dict__ |= stats  # tokens, vocabulary, types (K), discounts, word_discount, word_rest
 
     def _by_shard(self, keys: np.ndarray, shards: np.ndarray, look, width: int) -> np.ndarray:
@@ -178,7 +185,7 @@ class Model:
     def word_values(self, w: np.ndarray) -> np.ndarray:
         """count and number of contexts of ascending distinct 64-bit words."""
         def look(s, keys, out):
-            if (found := mapped(f"{self.path}/word-{s}", "<u8", "<u4", "<u4")) and len(found[0]):
+            if (found := self.files.arrays(f"{self.path}/word-{s}", "<u8", "<u8", "<u8")) and len(found[0]):
                 at = np.minimum(np.searchsorted(found[0], keys), len(found[0]) - 1)
                 ok = found[0][at] == keys
                 out[ok, 0], out[ok, 1] = found[1][at[ok]], found[2][at[ok]]
@@ -190,7 +197,7 @@ class Model:
         order = np.lexsort((keys, shard))
 
         def of_shard(s, keys, out):
-            if found := mapped(f"{self.path}/pair-{len(contexts) + 1}-{s}", *ARRAYS):
+            if found := self.files.arrays(f"{self.path}/pair-{len(contexts) + 1}-{s}", *ARRAYS):
                 look(found, keys, out)
         out = np.empty((len(keys), width))
         out[order] = self._by_shard(keys[order], shard[order], of_shard, width)
@@ -199,9 +206,12 @@ class Model:
     def context_values(self, contexts: list[np.ndarray]) -> np.ndarray:
         """total and how many words follow once, twice, more often, of the longest of contexts."""
         def look(found, keys, out):
-            out[found_in(keys.astype("<u4"), found[6])[1]] = (1, 1, 0, 0)
-            at, ok = found_in(keys, found[4])
-            out[ok] = found[5].reshape(-1, 4)[at[ok]]
+            ctx, sums, large, large_sums, single = found[6:]
+            out[found_in(keys.astype("<u4"), single)[1]] = (1, 1, 0, 0)
+            at, ok = found_in(keys, ctx)
+            out[ok] = sums.reshape(-1, 4)[at[ok]]
+            at, ok = found_in(keys, large)
+            out[ok] = large_sums.reshape(-1, 4)[at[ok]]
         u, j = contexts[-1], len(contexts) - 1
         out = self._looked_up(contexts, np.zeros(len(u), np.uint64), u, look, 4)
         at, ok = found_in(u, self.hots[j])
@@ -210,11 +220,15 @@ class Model:
 
     def pair_counts(self, contexts: list[np.ndarray], w: np.ndarray) -> np.ndarray:
         def look(found, keys, out):
-            at, ok = found_in(keys, found[0])
-            out[ok, 0] = found[1][at[ok]]
-            if len(found[2]) and (big := np.flatnonzero(out[:, 0] == 255)).size:
-                out[big, 0] = found[3][np.searchsorted(found[2], keys[big])]
-        return self._looked_up(contexts, w, fingerprint(contexts[-1], w), look, 1)[:, 0]
+            prints, counts, large, large_counts, shared, shared_counts = found[:6]
+            f = fingerprint(keys)
+            at, ok = found_in(f, prints)
+            out[ok, 0] = counts[at[ok]]
+            if len(large) and (big := np.flatnonzero(out[:, 0] == 255)).size:
+                out[big, 0] = large_counts[np.searchsorted(large, f[big])]
+            at, ok = found_in(keys, shared)
+            out[ok, 0] = shared_counts[at[ok]]
+        return self._looked_up(contexts, w, keys_of(contexts[-1], w), look, 1)[:, 0]
 
     def score(self, tokens: np.ndarray, priors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 P of each token after its prior ones, log10 of the base, and whether training has the token."""
@@ -298,17 +312,23 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
             n = np.add.reduceat(n, first)
             u, w, priors = u[first], w[first], [p[by][first] for p in priors]
-            f = fingerprint(u, w)
-            by = np.lexsort((-n, f))
-            one = by[np.flatnonzero(np.r_[True, np.diff(f[by].astype(np.int64)) != 0])]
-            big = one[n[one] >= 255]
+            keys = keys_of(u, w)
+            by = np.argsort(keys)
+            keys, count = keys[by], n[by]
+            f = fingerprint(keys)
+            new = np.r_[True, f[1:] != f[:-1], True]
+            alone, one = new[:-1] & new[1:], new[:-1]  # fingerprints of one n-gram, and the first of each
+            big = alone & (count >= 255)
+            small = np.where(alone, np.minimum(count, 255), 0)[one].astype("u1")
             at = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
             sums = np.stack([np.add.reduceat(x, at) for x in (n, n == 1, n == 2, n > 2)], axis=1).astype(np.int64)
             ctx = u[at]
             is_hot = np.isin(ctx, hots[level - 2])
             single = ~is_hot & (sums[:, 0] == 1)
-            held = ~is_hot & ~single
-            write(f"{path}/pair-{level}-{shard}", f[one], np.minimum(n[one], 255).astype("u1"), f[big], n[big].astype("<u4"), ctx[held], sums[held].astype("<u4").reshape(-1), np.unique(ctx[single].astype("<u4")))
+            large = ~is_hot & (sums[:, 0] >= 255)
+            held = ~is_hot & ~single & ~large
+            write(f"{path}/pair-{level}-{shard}", f[one], small, f[big], count[big].astype("<u8"), keys[~alone], count[~alone].astype("<u8"), ctx[held], sums[held].astype("u1").reshape(-1),
+                  ctx[large], sums[large].astype("<u8").reshape(-1), np.unique(ctx[single].astype("<u4")))
             rows = [("hot", int(x), None, v.tolist()) for x, v in zip(ctx[is_hot], sums[is_hot], strict=True)]
             rows.append(("stat", 0, None, [int((n == i).sum()) for i in (1, 2, 3, 4)]))
             if level > 2:
@@ -345,8 +365,8 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         x, back = np.unique(np.concatenate(ks), return_inverse=True)
         k = np.bincount(back, np.concatenate(vs), len(x))
         at = np.minimum(np.searchsorted(x, w >> _LOW), max(len(x) - 1, 0))
-        contexts = np.where(x[at] == w >> _LOW, k[at], 0).astype("<u4") if len(x) else np.zeros(len(w), "<u4")
-        write(f"{path}/word-{s}", w, np.minimum(n, 2**32 - 1).astype("<u4"), contexts)
+        contexts = np.where(x[at] == w >> _LOW, k[at], 0).astype("<u8") if len(x) else np.zeros(len(w), "<u8")
+        write(f"{path}/word-{s}", w, n.astype("<u8"), contexts)
         return pa.table({"sums": pa.array([[int(contexts.sum()), *(int((contexts == i).sum()) for i in (1, 2, 3, 4)), int((contexts > 2).sum())]], pa.list_(pa.int64()))})
 
     # The top bits of the word, as the arrays' shards.

@@ -41,16 +41,17 @@ MIN_GROUP = 100
 RATIOS = {
     "symbol_ratio": ("n_symbols", "word_chars", 0.01, False),
     "upper_ratio": ("n_upper", "word_chars", 0.02, False),
-    "repeat_ratio": ("n_repeat_words", "n_words", 0.1, False),
+    "repeat_ratio": ("n_repeat_words", "n_words", 0.05, False),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 0.08, False),
     "word_length": ("word_chars", "n_words", 0.6, True),
 }
 SPREADS = 4.0
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
 
 
 def counts(text: bytes | None) -> tuple[int, ...]:
-    """The six counts of FEATURES for one UTF-8 text."""
+    """The counts of FEATURES for one UTF-8 text."""
     text = text or b""
     words = text.split()
     n = len(words)
@@ -66,7 +67,7 @@ def counts(text: bytes | None) -> tuple[int, ...]:
             repeated = int(hit.sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
     inside = text.translate(None, _SPACES)
-    return n, len(inside.translate(None, _TAILS)), len(inside) - len(inside.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(inside) - len(inside.translate(None, _UPPER))
+    return n, len(inside.translate(None, _TAILS)), len(inside) - len(inside.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(inside) - len(inside.translate(None, _UPPER)), len(lines)
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -146,14 +147,21 @@ def rules(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Limits are few rows; texts aren't shuffled where they fit."""
-    _, limits = rules(docs)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), "lang", "source", "text")
-    return judge(with_ratios(features(own).drop("text")), limits).where("kept").select("_row.*")
+    """The rows of docs that the rules keep, with docs' columns.
+
+    Rows are written once with their features; limits come from the narrow columns, and few rows of limits meet the
+    written rows, so no text is counted twice or shuffled.
+    """
+    names = [f"_d{i}" for i in range(len(docs.columns))]  # docs may have columns with the names of features
+    text = names[docs.columns.index("text")]
+    own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)), "lang", "source")
+    f = kept(with_ratios(features(own, text)), "quality-rows")
+    limits = kept(thresholds(f.drop(*names)), "quality-limits")
+    return judge(f, limits).where("kept").select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return judge(*rules(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_upper")
+    return judge(*rules(table(spark, sf_dir, "documents"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "n_upper", "n_lines")
 
 
 def _sql() -> str:
@@ -172,10 +180,10 @@ tri AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS t FROM (
 again AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, t) > 1),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY doc_id),
 lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n, count(*) AS lines FROM lines GROUP BY doc_id),
 f AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words,
-  length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper FROM texts JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id)),
+  length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, coalesce(dup.lines, 0)::BIGINT AS n_lines FROM texts JOIN w USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id)),
 r AS (SELECT * EXCLUDE ({", ".join(RATIOS)}), {zero} FROM (SELECT *, {values}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)),
 good AS (SELECT * FROM r WHERE NOT base_failed),
 b AS (SELECT lang, source, ratio, CASE WHEN x > 0 THEN ceil(ln(x) / {math.log(GAMMA)!r}) ELSE -100000 END::INT AS bucket, count(*) AS n FROM ({each}) GROUP BY ALL),
@@ -186,7 +194,7 @@ runs AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, ratio) AS tota
 q AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN upto >= ceil(0.25 * total) THEN v END) AS q1, min(CASE WHEN upto >= ceil(0.75 * total) THEN v END) AS q3 FROM runs GROUP BY ALL),
 fence AS (SELECT level, lang, source, ratio, total, q3 + greatest(q3 - q1, {least}) * {SPREADS} AS hi, CASE WHEN ratio IN ({two}) THEN q1 - greatest(q3 - q1, {least}) * {SPREADS} ELSE -1.0 END AS lo FROM q),
 wide AS (SELECT level, lang, source, max(total) AS total, {wide} FROM fence GROUP BY level, lang, source)
-SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept, r.lang, r.source, n_upper
+SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept, r.lang, r.source, n_upper, n_lines
 FROM r LEFT JOIN wide o ON o.level = 2 AND o.total >= {MIN_GROUP} AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
 LEFT JOIN wide l ON l.level = 1 AND l.total >= {MIN_GROUP} AND l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN wide w ON w.level = 0
 """

@@ -60,8 +60,8 @@ def test_language_model_of_nothing(docs, nothing):
 
 
 def test_rules_count_as_defined():
-    assert quality_rules.counts(b"a b c a b c d\n\nx#y\nx#y\n \n") == (9, 13, 2, 1, 6, 0)
-    assert quality_rules.counts(None) == quality_rules.counts(b" \n") == (0, 0, 0, 0, 0, 0)
+    assert quality_rules.counts(b"a b c a b c d\n\nx#y\nx#y\n \n") == (9, 13, 2, 1, 6, 0, 3)
+    assert quality_rules.counts(None) == quality_rules.counts(b" \n") == (0, 0, 0, 0, 0, 0, 0)
     assert quality_rules.counts("É Ünï".encode())[:2] == (2, 4)
 
 
@@ -80,7 +80,7 @@ def test_rules_reject_outliers_of_their_group(spark):
 
 def test_sketch_quantiles_are_within_their_error(spark):
     values = np.random.default_rng(4).lognormal(0, 2, 3000)
-    f = spark.createDataFrame([("en", "s", False, float(v), 0.0, 0.0, 0.0) for v in values], "lang string, source string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RATIOS))
+    f = spark.createDataFrame([("en", "s", False, float(v), *[0.0] * (len(quality_rules.RATIOS) - 1)) for v in values], "lang string, source string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RATIOS))
     for r in quality_rules.quartiles(quality_rules.sketches(f)).where(f"ratio = '{next(iter(quality_rules.RATIOS))}'").collect():
         for q, got in ((0.25, r.q1), (0.75, r.q3)):
             assert abs(got / np.quantile(values, q, method="inverted_cdf") - 1) <= quality_rules.ACCURACY * 1.01
@@ -110,8 +110,42 @@ def test_classifier_edge_cases(spark, docs, nothing):
     assert quality_classifier.train(docs, labels.where("quality = 1"))[1] == {"share": 1.0}
 
 
-def test_word_vectors_don_t_depend_on_partitions(docs):
-    assert (quality_classifier.word_vectors(docs) == quality_classifier.word_vectors(docs.repartition(7))).all()
+@pytest.mark.parametrize("window", [300, 2_000_000])
+def test_word_vectors_against_brute_force(docs, corpus, monkeypatch, window):
+    """One vector a token, whatever the windows, steps and partitions."""
+    monkeypatch.setattr(quality_classifier, "WINDOW", window)
+    monkeypatch.setattr(quality_classifier, "STEP", 170)
+    monkeypatch.setattr(quality_classifier, "SHARD", 500)
+    sums, counts = defaultdict(lambda: np.zeros(quality_classifier.DIM)), Counter()
+    for _, text, *_ in corpus:
+        found = quality_classifier.tokens((text or "").encode())
+        index = quality_classifier.index_vectors(found).astype(float)
+        for i, t in enumerate(found.tolist()):
+            counts[t] += 1
+            for j in range(max(0, i - 2), min(len(found), i + 3)):
+                if i != j:
+                    sums[t] += index[j]
+    own = np.array(sorted(counts), np.uint64)
+    for df in (docs, docs.repartition(7)):
+        values, has = quality_classifier.word_vectors(df).of(own)
+        for t, v, h in zip(own.tolist(), values, has, strict=True):
+            norm = np.sqrt((sums[t] ** 2).sum())
+            assert h == (counts[t] >= quality_classifier.MIN_COUNT)
+            assert np.allclose(v, sums[t] / norm if h and norm else 0, atol=1e-3)
+
+
+def test_labels_without_documents_take_no_place_in_the_sample(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 30)
+    good = [(i, i % 2) for i in range(5, 35)]
+    one = quality_classifier.train(docs, spark.createDataFrame(good, "doc_id long, quality int"))[1]
+    # without documents, of both kinds, of neither kind
+    many = good + [(i, i % 2) for i in range(1000, 3000)] + [(50, 0), (50, 1), (51, 5)]
+    two = quality_classifier.train(docs, spark.createDataFrame(many, "doc_id long, quality int"))[1]
+    assert all((a == b).all() for a, b in zip(one["p"], two["p"], strict=True))
+
+
+def test_null_ids_are_not_held_out(spark):
+    assert spark.createDataFrame([(None,)], "doc_id long").select(quality_classifier.held_out(F.col("doc_id"))).first()[0] is False
 
 
 def neighbours(rows, k=10, every=100):
@@ -146,6 +180,13 @@ def test_vector_search(spark, kind):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_vector_search_keeps_large_ids_beside_null_ones(spark):
+    far = 1 << 60
+    rows = [(None, [1.0, 1.0]), (0, [1.0, 1.0]), (far + 1, [1.0, 1.5]), (far + 3, [1.0, 2.5]), (far + 3, [1.0, 3.0]), (None, [0.0, 0.0])]
+    out = additive_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1), F.col("id") == 0).collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in sorted(out, key=lambda r: r["rank"])] == [(0, 1, far + 1, 0.5), (0, 2, far + 3, 1.5), (0, 3, far + 3, 2.0)]
+
+
 def test_vector_search_of_nothing(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert additive_ann.search(df, F.col("id") % 100 == 0).count() == 0
@@ -296,5 +337,17 @@ def test_language_model_of_any_order_against_brute_force(docs, corpus, monkeypat
         assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(t)))
 
 
+def test_ngrams_that_share_a_fingerprint_keep_their_counts(docs, corpus, monkeypatch):
+    """With eight bits for a fingerprint nearly all share one; scores stay those of brute force for texts of training."""
+    monkeypatch.setattr(ngram_lm, "fingerprint", lambda keys: (keys >> np.uint64(56)).astype(np.uint32))
+    tokens = lambda t: (t or "").encode().lower().split() + ["end"]
+    p = kneser_ney_of_order([tokens(t) for _, t, *_ in corpus], 3)
+    model = ngram_lm.train(docs, 3)
+    for _, text, *_ in corpus:  # here, as workers would score with the module's own fingerprint
+        t, (of, sizes) = ["<", "<", *tokens(text)], ngram_lm.token_hashes([(text or "").encode()])
+        score = model.score(of, ngram_lm.priors_of(of, sizes, 3))[0].sum()
+        assert score == pytest.approx(sum(math.log10(p(tuple(t[i : i + 2]), w)) for i, w in enumerate(t[2:])))
+
+
 def test_language_model_query_has_order_three():
     assert ngram_lm.ORDER == 3
