@@ -21,7 +21,8 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 def collapse_month(df: DataFrame, keys: list[str], date: str = "extraction_date", tie: str = "tie", price: str = "price") -> DataFrame:
     """The last whole row of each key by (date, tie), with first and last known price, days observed and whether the price changed.
 
-    One aggregation: the row, prices and days are partial aggregates, so nothing is sorted or windowed.
+    One aggregation without a window: the row, prices and days are partial aggregates. As a whole row is no fixed-width
+    state, Spark aggregates sorted rows, within each task before the shuffle and after it.
     """
     order = F.struct(date, tie)
     known = lambda c: F.when(F.col(price).isNotNull(), c)

@@ -17,14 +17,14 @@ def market_by(df: DataFrame, keys: list[str], cep: str = "cep") -> DataFrame:
 
     Exact quantiles hold a group's distinct values with their counts, so their memory is bounded by a group's distinct prices.
     """
-    return df.withColumn("_m2", price_per_area()).groupBy(*keys).agg(
+    out = df.withColumn("_m2", price_per_area()).groupBy(*keys).agg(
         F.count("*").alias("n_anuncios"),
-        F.median("price").alias("preco_mediano"),
-        F.percentile("price", 0.1).alias("preco_p10"),
-        F.percentile("price", 0.9).alias("preco_p90"),
+        F.percentile("price", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("_p"),
         F.median("_m2").alias("preco_m2_mediano"),
         F.mode(F.substring(cep, 1, 5), True).alias("cep_prefixo"),
     )
+    quantiles = [F.col("_p")[i].alias(c) for i, c in enumerate(("preco_mediano", "preco_p10", "preco_p90"))]
+    return out.select(*keys, "n_anuncios", *quantiles, "preco_m2_mediano", "cep_prefixo")
 
 
 def as_of(left: DataFrame, right: DataFrame, left_month: str, right_month: str, by: list[str], suffix: str) -> DataFrame:

@@ -64,6 +64,8 @@ def nearest_mean(points: DataFrame, known: DataFrame, k: int, id_col: str, cell:
     might have a nearer one outside, and is tried again on a grid four times as wide, until each has k or one cell
     spans all known points.
     """
+    from .training import written
+
     def near(p: DataFrame, side: float) -> DataFrame:
         at = lambda c: F.floor(F.col(c) / side).cast("long")
         shift = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
@@ -80,11 +82,11 @@ def nearest_mean(points: DataFrame, known: DataFrame, k: int, id_col: str, cell:
     span = known.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
     out, rest, side = None, points, cell
     while True:
-        found = near(rest, side)
+        found = written(near(rest, side), "nearest")  # a round begins from the last one's table
         last = side > 2 * span
         done = found if last else found.where(F.col("n") >= k)
         out = done if out is None else out.unionByName(done)
-        rest = rest.join(done, rest[id_col] == done["_q"], "left_anti")
+        rest = written(rest.join(done, rest[id_col] == done["_q"], "left_anti"), "rest")
         if last or rest.isEmpty():
             return out.select(F.col("_q").alias(id_col), "media", "n")
         side *= 4

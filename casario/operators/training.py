@@ -58,13 +58,21 @@ def holdout(df: DataFrame, group: str, share: float = HOLDOUT, seed: int = 42) -
     return df.join(chosen, F.col(group) == F.col("_chosen"), "left").withColumn("is_holdout", F.col("_chosen").isNotNull()).drop("_chosen")
 
 
-def by_range(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _range, in the order of its ranges of order, written to the shared folder: ranges are drawn from a sample, anew in each run."""
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table of the shared folder: cuts lineage and survives lost executors. Only one machine has a folder of its own."""
     spark = df.sparkSession
-    to = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:/tmp/checkpoints').rstrip('/')}/ranges-{uuid.uuid4().hex}"
-    out = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_range", F.spark_partition_id())
-    out.write.parquet(to)
-    return spark.read.schema(out.schema).parquet(to)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    to = f"{(root or 'file:/tmp/checkpoints').rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
+def by_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """df with _range, in the order of its ranges of order, written: ranges are drawn from a sample, anew in each run."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "_rank") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import amenities, coerce, folds, pii, text_rules, vocabulary
 from ..operators import market
 from ..sources import pages
-from ..sources.listings import read
+from ..sources.listings import read, spread
 from ..streaming import limiter
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("pii_scrub")
 def _(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", pii.scrub(F.col("text")).alias("s"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", pii.scrub(F.col("text")).alias("s"))
     found = F.array_join(F.transform("s.hits", lambda h: F.concat(h["kind"], F.lit("="), h["value"])), "|")
     return d.select("doc_id", F.sha2("s.text", 256).alias("texto_sha256"), found.alias("achados"), F.size("s.hits").alias("n_achados"))
 
@@ -44,7 +44,7 @@ def _(spark, sf_dir):
 
 @query("text_rules")
 def _(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", folds.fold(F.col("text"), "prose").alias("t"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", folds.fold(F.col("text"), "prose").alias("t"))
     return text_rules.with_rules(d, "t").drop("t")
 
 
@@ -55,7 +55,7 @@ def _(spark, sf_dir):
 
 @query("amenity_extract")
 def _(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", amenities.mentioned(F.col("text")).alias("m"))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", amenities.mentioned(F.col("text")).alias("m"))
     return d.select("doc_id", F.array_join("m.pos", "|").alias("pos"), F.array_join("m.neg", "|").alias("neg"))
 
 

@@ -13,6 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its files make fewer splits than there are; heavy work on texts is worth that shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """property_id, source_domain, transaction_type, property_type, city, state, neighborhood, price, area_m2, bedrooms,
     condo_fee, cep, extraction_date, mes_referencia, tie."""
