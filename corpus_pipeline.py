@@ -17,24 +17,29 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the rules of its language and source reject; a null or blank text has no words and goes."""
     return quality_rules.filter_quality(docs).select(*COLUMNS)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what scores below the cut. Labels without a document and documents without a label do no harm; empty texts get a score too."""
     model = quality_classifier.train(table(spark, sf_dir, "documents"), quality_classifier.training_labels(table(spark, sf_dir, "labels")))
     return quality_classifier.filter_quality(docs, model).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that a smaller doc_id holds; a document that loses all of them stays with an empty text. n_chars is counted anew."""
     kind = docs.schema["n_chars"].dataType
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast(kind)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of near duplicates; texts without words belong to none and stay."""
     return jaccard_join.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left, with their sequences. Repeated rows are packed each; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
