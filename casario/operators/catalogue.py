@@ -18,6 +18,24 @@ def collection_plan(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return named.unionByName(rest).withColumn("transaction", F.explode("transactions")).drop("transactions")
 
 
+def serving_sources(sources: DataFrame, platform: str | None = None, city: str | None = None) -> DataFrame:
+    """Enabled sources, of one platform and serving one city where these are given; a source without cities serves all."""
+    ok = F.col("enabled")
+    if platform:
+        ok = ok & (F.col("platform") == platform)
+    if city:
+        ok = ok & ((F.coalesce(F.size("cities"), F.lit(0)) <= 0) | F.array_contains("cities", city))
+    return sources.where(ok)
+
+
+def checked_transactions(discovered: DataFrame, known: tuple[str, ...] = ("venda", "locacao")) -> DataFrame:
+    """discovered, or ValueError when a row's transaction is none of the known ones."""
+    odd = discovered.where(~F.coalesce(F.col("transaction_type").isin(*known), F.lit(False))).select("transaction_type").limit(3).collect()
+    if odd:
+        raise ValueError(f"unknown transactions: {[r[0] for r in odd]}")
+    return discovered
+
+
 def availability(pairs: DataFrame, models: DataFrame) -> DataFrame:
     """city, target, version, served, reason: configuration before models, the newest complete model winning."""
     newest = models.where("complete").groupBy("city", "target").agg(F.max("version").alias("version"))

@@ -12,8 +12,8 @@ def price_per_area(price: str = "price", area: str = "area_m2"):
     return F.when(F.col(area) == 0, F.when(F.col(price) > 0, F.lit(float("inf"))).when(F.col(price) < 0, F.lit(float("-inf")))).otherwise(F.col(price) / F.col(area))
 
 
-def market_by(df: DataFrame, keys: list[str], cep: str = "cep") -> DataFrame:
-    """Count, exact price quantiles, median price by area and the most frequent CEP prefix (the least of equals) of each group; null keys are groups.
+def market_by(df: DataFrame, keys: list[str], cep: str = "cep", points: tuple[str, ...] = ()) -> DataFrame:
+    """Count, exact price quantiles, median price by area and the most frequent CEP prefix (the least of equals) of each group, and the medians of its points' coordinates; null keys are groups.
 
     Exact quantiles hold a group's distinct values with their counts, so their memory is bounded by a group's distinct prices.
     """
@@ -22,9 +22,10 @@ def market_by(df: DataFrame, keys: list[str], cep: str = "cep") -> DataFrame:
         F.percentile("price", F.array(F.lit(0.5), F.lit(0.1), F.lit(0.9))).alias("_p"),
         F.median("_m2").alias("preco_m2_mediano"),
         F.mode(F.substring(cep, 1, 5), True).alias("cep_prefixo"),
+        *(F.median(c).alias(c) for c in points),
     )
     quantiles = [F.col("_p")[i].alias(c) for i, c in enumerate(("preco_mediano", "preco_p10", "preco_p90"))]
-    return out.select(*keys, "n_anuncios", *quantiles, "preco_m2_mediano", "cep_prefixo")
+    return out.select(*keys, "n_anuncios", *quantiles, "preco_m2_mediano", "cep_prefixo", *points)
 
 
 def as_of(left: DataFrame, right: DataFrame, left_month: str, right_month: str, by: list[str], suffix: str) -> DataFrame:
@@ -53,6 +54,12 @@ def only_in_index(index: DataFrame, market: DataFrame, key: str, month: str) ->
     return index.join(market.select(key).distinct(), key, "left_anti").withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc(month)))).where("_rank = 1").drop("_rank")
 
 
+def with_index_only(market: DataFrame, index: DataFrame, key: str = "cidade", month: str = "mes_referencia") -> DataFrame:
+    """market and a row without neighbourhood and listings for each city that only the index knows, at its latest month."""
+    rest = only_in_index(index, market, key, month).withColumn("n_anuncios", F.lit(0).cast("long"))
+    return market.unionByName(rest, allowMissingColumns=True)
+
+
 def wide(df: DataFrame, keys: list[str], field: str, value: str, fields: list[str], order: str) -> DataFrame:
     """Long series to one column a field: the last known value by order. The fields are given, so no job looks for them."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys).pivot(field, fields).agg(F.max_by(value, order))

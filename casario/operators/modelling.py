@@ -9,18 +9,43 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def price_model(numbers: list[str], categories: list[str], seed: int = 42, rounds: int = 20, depth: int = 5, bins: int = 64) -> Pipeline:
+#: Estimators by name; users add their own with estimator().
+ESTIMATORS: dict = {}
+
+
+def estimator(name: str):
+    """Registers a factory of an estimator (labelCol, seed, rounds, depth, bins); a name has one."""
+    def keep(f):
+        if name in ESTIMATORS:
+            raise ValueError(f"{name} is taken")
+        ESTIMATORS[name] = f
+        return f
+
+    return keep
+
+
+@estimator("gbt")
+def _gbt(label: str, seed: int, rounds: int, depth: int, bins: int):
+    return GBTRegressor(labelCol=label, maxIter=rounds, maxDepth=depth, maxBins=bins, seed=seed, validationIndicatorCol="_early")
+
+
+@estimator("forest")
+def _forest(label: str, seed: int, rounds: int, depth: int, bins: int):
+    return RandomForestRegressor(labelCol=label, numTrees=rounds, maxDepth=depth, maxBins=bins, seed=seed)
+
+
+def price_model(numbers: list[str], categories: list[str], seed: int = 42, rounds: int = 20, depth: int = 5, bins: int = 64, kind: str = "gbt") -> Pipeline:
     """Numbers imputed by their medians with a flag each, categories with the levels seen at the fit (others are a level of their own)."""
     stages = [StringIndexer(inputCols=categories, outputCols=[f"{c}_ix" for c in categories], handleInvalid="keep")] if categories else []
     stages += [Imputer(strategy="median", inputCols=numbers, outputCols=[f"{c}_im" for c in numbers])]
     stages += [VectorAssembler(inputCols=[f"{c}_im" for c in numbers] + [f"aus_{c}" for c in numbers] + [f"{c}_ix" for c in categories], outputCol="features")]
-    return Pipeline(stages=[*stages, GBTRegressor(labelCol="log_price", maxIter=rounds, maxDepth=depth, maxBins=bins, seed=seed, validationIndicatorCol="_early")])
+    return Pipeline(stages=[*stages, ESTIMATORS[kind]("log_price", seed, rounds, depth, bins)])
 
 
 def with_missing(df: DataFrame, columns: list[str]) -> DataFrame:

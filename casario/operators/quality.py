@@ -33,6 +33,24 @@ def counts_by_month(df: DataFrame, rows: str, months: list[str], month: str = "m
     return df.where(F.col(month).isin(months)).groupBy(rows).pivot(month, months).count().na.fill(0)
 
 
+def counts_by_target(df: DataFrame, targets: DataFrame, keys: list[str], month: str = "mes_referencia") -> DataFrame:
+    """Rows and last month of each target (a row of keys), 0 where nothing was collected."""
+    found = df.groupBy(*keys).agg(F.count("*").alias("n"), F.max(month).alias("ultimo_mes"))
+    return targets.select(*keys).distinct().join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def layer_health(files: DataFrame, layer: str) -> DataFrame:
+    """verificacao, ok, detalhe of a layer's files (linhas; -1: unreadable): some, all readable, none empty."""
+    one = files.agg(F.count("*").alias("n"), F.count_if(F.col("linhas") < 0).alias("bad"), F.count_if(F.col("linhas") == 0).alias("empty"))
+    check = lambda what, ok, n: F.struct(F.lit(f"{layer}_{what}").alias("verificacao"), ok.alias("ok"), n.cast("double").alias("detalhe"))
+    return one.select(F.explode(F.array(check("arquivos", F.col("n") > 0, F.col("n")), check("ilegiveis", F.col("bad") == 0, F.col("bad")), check("vazios", F.col("empty") == 0, F.col("empty")))).alias("x")).select("x.*")
+
+
+def thin_neighbourhoods(df: DataFrame, place: str = "neighborhood", least: int = 30) -> DataFrame:
+    """place and n of the places with fewer than `least` rows, which a card names."""
+    return df.where(F.col(place).isNotNull()).groupBy(place).agg(F.count("*").alias("n")).where(F.col("n") < least)
+
+
 def health(df: DataFrame, month: str, critical: list[str], least: float = 0.9) -> DataFrame:
     """verificacao, ok, detalhe: rows present, the month present, critical columns filled."""
     one = df.agg(F.count("*").alias("n"), F.count_if(F.col("mes_referencia") == month).alias("m"), *(F.avg(_filled(df, c).cast("double")).alias(f"f_{c}") for c in critical))

@@ -27,6 +27,12 @@ def city_rollup(market: DataFrame) -> DataFrame:
     return market.groupBy("city").agg(F.count_distinct("neighborhood").alias("n_bairros"), F.sum("n_anuncios").alias("n_anuncios"), F.median("preco_mediano").alias("preco_mediano"), F.median("preco_m2_mediano").alias("preco_m2_mediano"))
 
 
+def city_view(market: DataFrame, index_columns: list[str]) -> DataFrame:
+    """city_rollup with the index columns of each city's latest row."""
+    index = newest(market.select("city", "mes_referencia", *index_columns).distinct(), ["city"])
+    return city_rollup(market).join(index, "city", "left")
+
+
 def terciles(df: DataFrame, by: str, value: str) -> DataFrame:
     """df with faixa: abaixo, media or acima within its group; null below three known values or where value is."""
     w = W.partitionBy(by)

@@ -172,3 +172,30 @@ def same_after_copy(before: DataFrame, after: DataFrame) -> bool:
     """Whether a migrated lake holds the same rows and ids."""
     sums = lambda d: d.agg(F.count("*"), F.count_distinct("property_id"), F.sum(F.xxhash64("property_id").cast("decimal(38,0)"))).first()
     return sums(before) == sums(after)
+
+
+def migrate(spark: SparkSession, old: str, new: str) -> DataFrame:
+    """Copies partitions of the former layout ({uf}/{cidade}/yyyy-MM-dd/...) to {uf}/{cidade}/yyyy/MM/dd/..., and compares them.
+
+    Files are copied byte by byte; antes, depois (rows) and mesmos (the same rows and ids) of each day are returned. A target that
+    is there already is an error, so nothing is overwritten.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{old}/*/*/*-*-*/*/*")
+    fs = path.getFileSystem(conf)
+    moves = []
+    for found in fs.globStatus(path) or []:
+        source = str(found.getPath())
+        uf, city, day, platform, domain = source.split("/")[-5:]
+        if re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", day):
+            moves.append((source, "/".join((new, uf, city, *day.split("-"), platform, domain))))
+    rows = []
+    for source, target in moves:
+        a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+        if fs.exists(b):
+            raise FileExistsError(target)
+        fs.mkdirs(b.getParent())
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, b.getFileSystem(conf), b, False, conf)
+        before, after = spark.read.parquet(source), spark.read.parquet(target)
+        rows.append((source, target, before.count(), after.count(), same_after_copy(before, after)))
+    return spark.createDataFrame(rows, "origem string, destino string, antes long, depois long, mesmos boolean")

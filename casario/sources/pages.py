@@ -83,6 +83,32 @@ def value_at(block_json: Column, path: str) -> Column:
     return F.coalesce(F.get_json_object(out, "$[0]"), out)
 
 
+def first_of_type(blocks_column: Column, types: tuple[str, ...], path: str | None = None) -> Column:
+    """The first block of one of the types (its JSON, or the value at a path that the first such block has); null without one."""
+    fitting = F.filter(blocks_column, lambda b: F.arrays_overlap(b["types"], F.array(*map(F.lit, types))))
+    values = F.transform(fitting, lambda b: value_at(b["json"], path) if path else b["json"])
+    return F.try_element_at(F.array_compact(values), F.lit(1))
+
+
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """loc and lastmod of a sitemap's entries."""
-    return spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+    """loc and lastmod of a sitemap's entries, each loc once."""
+    found = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
+    return found.groupBy(F.trim("loc").alias("loc")).agg(F.max("lastmod").alias("lastmod"))
+
+
+def nested_sitemap(spark: SparkSession, path: str, located, depth: int = 3) -> DataFrame:
+    """The entries of a sitemap and of the sitemaps that it names, `depth` levels down; each loc once. What is no XML has no entries.
+
+    located(loc) gives the path of a fetched sitemap. An index names a few dozen files.
+    """
+    level, seen, out = [path], {path}, None
+    for _ in range(depth):
+        for p in level:
+            own = sitemap(spark, p)
+            out = own if out is None else out.unionByName(own)
+        names = [r[0] for p in level for r in spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(p).where("loc IS NOT NULL").collect()]
+        level = [q for q in dict.fromkeys(located(n.strip()) for n in names) if q not in seen]
+        seen.update(level)
+        if not level:
+            break
+    return out.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
