@@ -93,7 +93,7 @@ def first_of_type(blocks_column: Column, types: tuple[str, ...], path: str | Non
 def sitemap(spark: SparkSession, path: str) -> DataFrame:
     """loc and lastmod of a sitemap's entries, each loc once."""
     found = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
-    return found.groupBy(F.trim("loc").alias("loc")).agg(F.max("lastmod").alias("lastmod"))
+    return found.where("loc IS NOT NULL").groupBy(F.trim("loc").alias("loc")).agg(F.max("lastmod").alias("lastmod"))
 
 
 def nested_sitemap(spark: SparkSession, path: str, located, depth: int = 3) -> DataFrame:
