@@ -7,32 +7,37 @@ its codes, the squared norm of its approximation and its residual's length. A qu
 the estimate, are then ranked by exact distance. No fixed number of candidates is set: a tight group of near-equal
 vectors, which codes can't tell apart, becomes candidates as a whole.
 
-Blocks: rows are dealt into blocks of about BLOCK, queries into blocks of QUERIES, and each pair of blocks is one
-bounded task; the k best of each pair meet in a window per query. Codes need one byte a stage.
+Blocks: vectors stay in their partitions. Queries are written once to the shared folder as Arrow files, which the
+workers memory-map; a task takes its rows in blocks of BLOCK and the queries in steps of QUERIES, and sends the k best
+of a block for each query, which meet in a window per query. Codes need one byte a stage. All rows are scored for all
+queries: the work grows with their product, the traffic with the queries times the blocks.
 
 Edge cases: vectors that are null or zero, that hold null or non-finite components, or that have another length than
-most of the sample take no part, as queries or candidates. Equal distances rank by the smaller id. Rows of one id are
-candidates each, but never of a query of that id. Fewer rows than k: all of them. An empty table gives no rows. Other columns are
-ignored.
+most of the sample take no part, as queries or candidates, nor do rows of a null id. Equal distances rank by the smaller id. Rows of one id
+are candidates each, but never of a query of that id; its different vectors are queries of their own. Fewer rows than k: all of them. An
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, local_path, shared_dir, table
 
 STAGES = 8
 WORDS = 256
 BEAM = 8
 SAMPLE = 16_384
 BLOCK = 8_192
-QUERIES = 1_024
+QUERIES = 64
 #: Half-width of an estimate, in standard deviations of its error.
 Z = 2.5
 
@@ -85,12 +90,12 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 def build(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.ndarray | None]:
     """The index (id, vector, codes, norm, err), written to the shared folder, and its codebooks."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).where(usable(F.col("vector")))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toPandas()["vector"]
     if not len(sample):
         return rows, None
-    sizes = pd.Series([len(v) for v in sample]).value_counts()
-    dim = int(sizes[sizes == sizes.max()].index.max())
+    sizes, times = np.unique([len(v) for v in sample], return_counts=True)
+    dim = int(sizes[times == times.max()].max())
     books = codebooks(np.array([v for v in sample if len(v) == dim]))
     shared = vectors.sparkSession.sparkContext.broadcast(books)
 
@@ -109,28 +114,29 @@ def build(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.
     return kept(index, "ann-index"), books
 
 
-def best(q: np.ndarray, q_ids, rows: pd.DataFrame, books: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of one block of rows for each query of one block."""
-    x = np.array(rows["vector"].tolist())
-    ids, norm, err = rows["id"].to_numpy(), rows["norm"].to_numpy(), rows["err"].to_numpy()
-    codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(x), -1)
-    tables = np.einsum("qd,mwd->qmw", q, books.astype(np.float64))
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, norm: np.ndarray, err: np.ndarray, books: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of a block for each query: positions of the queries and of the rows, and distances."""
+    tables = np.einsum("qd,mwd->mqw", q, books.astype(np.float64))
+    dot = np.zeros((len(q), len(x)))
+    for m in range(codes.shape[1]):
+        dot += tables[m][:, codes[:, m]]
+    guess = np.maximum(norm - 2 * dot + (q * q).sum(axis=1, keepdims=True), 0) + err * err
+    spread = Z * 2 * np.sqrt(guess) * err / np.sqrt(x.shape[1])
+    mine = ids[None, :] != q_ids[:, None]
+    upper = np.where(mine, guess + spread, np.inf)
+    limit = np.partition(upper, k - 1, axis=1)[:, k - 1 : k] if len(x) >= k else np.full((len(q), 1), np.inf)
+    near = mine & (guess - spread <= limit)
     out = []
     for i in range(len(q)):
-        dot = np.zeros(len(x))
-        for m in range(codes.shape[1]):
-            dot += tables[i, m][codes[:, m]]
-        near = np.maximum(norm - 2 * dot + q[i] @ q[i], 0)
-        guess = near + err * err
-        spread = Z * 2 * np.sqrt(guess) * err / np.sqrt(x.shape[1])
-        mine = ids != q_ids[i]
-        upper = np.where(mine, guess + spread, np.inf)
-        limit = np.partition(upper, k - 1)[k - 1] if len(x) >= k else np.inf
-        at = np.flatnonzero(mine & (guess - spread <= limit))
+        at = np.flatnonzero(near[i])
         d = np.sqrt(((x[at] - q[i]) ** 2).sum(axis=1))
         top = np.lexsort((ids[at], d))[:k]
-        out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[at][top], "score": d[top]}))
-    return pd.concat(out, ignore_index=True)
+        out.append((np.full(len(top), i), at[top], d[top]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -138,25 +144,61 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_
     spark = vectors.sparkSession
     index, books = build(vectors, id_col, vec_col)
     kind = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query_id {kind}, vec_id {kind}, score double"
     if books is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
-    shared = spark.sparkContext.broadcast(books)
-    n = index.count()
-    blocks = -(-n // BLOCK)
-    asked = index.where(queries).select("id", "vector").dropDuplicates(["id", "vector"])
-    groups = max(1, -(-asked.count() // QUERIES))
-    each = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    data = index.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int")).withColumn("group", each)
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best(np.array(right["vector"].tolist()), right["id"].to_numpy(), left, shared.value, k)
-
-    found = data.groupBy("block", "group").cogroup(asked.groupBy("block", "group")).applyInPandas(run, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    shared, dim = spark.sparkContext.broadcast(books), books.shape[2]
+    path = local_path(shared_dir(spark, "ann-queries"))
+    asked = kept(index.where(queries).select("id", "vector").dropDuplicates(["id", "vector"]), "ann-asked")
+
+    def write(batches):
+        os.makedirs(path, exist_ok=True)
+        own = f"{path}/part-{TaskContext.get().partitionId()}"
+        new, n = f"{own}.{os.getpid()}.{os.urandom(4).hex()}", 0
+        with open(new, "wb") as f:
+            writer = None
+            for b in batches:
+                writer = writer or pa.ipc.new_file(f, b.schema)
+                for a in range(0, b.num_rows, QUERIES):
+                    writer.write_batch(b.slice(a, QUERIES))
+                n += b.num_rows
+            if writer:
+                writer.close()
+        # Whole files only: a repeated task replaces its own.
+        os.replace(new, f"{own}.arrow") if n else os.remove(new)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    asked.mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def run(batches):
+        held, n = [], 0
+
+        def block():
+            t = pa.Table.from_batches(held).combine_chunks()
+            of = {c: t.column(c).combine_chunks() for c in ("id", "codes", "norm", "err", "vector")}
+            ids, x = of["id"].to_numpy(zero_copy_only=False), _matrix(of["vector"], dim)
+            codes = np.frombuffer(b"".join(of["codes"].to_pylist()), np.uint8).reshape(len(x), -1)
+            for file in sorted(Path(path).glob("*.arrow")):
+                with pa.memory_map(str(file)) as f:
+                    reader = pa.ipc.open_file(f)
+                    for i in range(reader.num_record_batches):
+                        b = reader.get_batch(i)
+                        q = _matrix(b.column("vector"), dim)
+                        at, row, d = best(b.column("id").to_numpy(zero_copy_only=False), q, ids, x, codes, of["norm"].to_numpy(), of["err"].to_numpy(), shared.value, k)
+                        marks = pa.array([f"{file.stem}-{i}-{j}" for j in at], pa.string())
+                        yield pa.RecordBatch.from_arrays([marks, b.column("id").take(pa.array(at)), of["id"].take(pa.array(row)), pa.array(d)], ["query", "query_id", "vec_id", "score"])
+
+        for b in batches:
+            for a in range(0, b.num_rows, BLOCK):
+                held.append(b.slice(a, BLOCK))
+                n += held[-1].num_rows
+                if n >= BLOCK:
+                    yield from block()
+                    held, n = [], 0
+        if n:
+            yield from block()
+
+    found = index.mapInArrow(run, f"query string, query_id {kind}, vec_id {kind}, score double")
+    rank = F.row_number().over(W.partitionBy("query", "query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
