@@ -23,7 +23,7 @@ VARIABLES = {"63": "ipca_mensal", "2265": "ipca_12m", "69": "ipca_ano", "2266":
 COVERS = "Brasil"
 #: Spread of yields between properties, relative to the median.
 SPREAD = {"p10": 0.438 / 0.625, "p90": 0.882 / 0.625}
-SPREAD_NOTE = "relativa medida em Santos (MEDICOES §5, n=151), aplicada ao centro FipeZAP; a FipeZAP nao publica dispersao entre imoveis"
+SPREAD_NOTE = "relativa, medida em Santos (n=151), aplicada ao centro do indice, que nao publica dispersao entre imoveis"
 
 
 class UnexpectedLayout(ValueError):
