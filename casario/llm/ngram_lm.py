@@ -111,15 +111,23 @@ def shard_of(contexts: list[np.ndarray], w: np.ndarray, hots: list[np.ndarray],
     return out.astype(np.int64)
 
 
+def by_context(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """An order in which equal contexts, and within them equal words, are together: one sort of 64-bit keys unless words clash in them."""
+    key = (u << _LOW) | (mixed(w) >> np.uint64(40))
+    order = np.argsort(key)
+    k, v = key[order], w[order]
+    return np.lexsort((w, u)) if ((k[1:] == k[:-1]) & (v[1:] != v[:-1])).any() else order
+
+
 def packed(priors: list[np.ndarray], w: np.ndarray, n: np.ndarray, hots: list[np.ndarray], bits: int) -> list[tuple[int, bytes]]:
     """shard and blob (last words of contexts, how often each follows, the further priors, words, counts) of summed n-grams."""
     u = contexts_of(priors)[-1]
-    order = np.lexsort((w, u))
+    order = by_context(u, w)
     u, w, n = u[order], w[order], n[order]
     first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-    n, w, priors = np.add.reduceat(n, first), w[first], [p[order][first] for p in priors]
+    n, w, priors = np.add.reduceat(n, first), w[first], [p[order[first]] for p in priors]
     shard = shard_of(contexts_of(priors), w, hots, bits)
-    order = np.lexsort((priors[0], shard))
+    order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | priors[0])
     w, n, shard, priors = w[order], n[order], shard[order], [p[order] for p in priors]
     least = lambda x: x.astype("u1" if x.max() < 256 else "<u4")
     five = lambda x: np.frombuffer(_five(x), np.uint8)
@@ -191,44 +199,45 @@ class Model:
                 out[ok, 0], out[ok, 1] = found[1][at[ok]], found[2][at[ok]]
         return self._by_shard(w, w >> np.uint64(64 - self.word_bits), look, 2)
 
-    def _looked_up(self, contexts: list[np.ndarray], w: np.ndarray, keys: np.ndarray, look, width: int) -> np.ndarray:
-        """look(arrays, keys, out) for the arrays of each shard."""
-        shard = shard_of(contexts, w, self.hots, self.bits)
-        order = np.lexsort((keys, shard))
-
-        def of_shard(s, keys, out):
-            if found := self.files.arrays(f"{self.path}/pair-{len(contexts) + 1}-{s}", *ARRAYS):
-                look(found, keys, out)
-        out = np.empty((len(keys), width))
-        out[order] = self._by_shard(keys[order], shard[order], of_shard, width)
-        return out
+    def looked_up(self, contexts: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the longest of contexts, total and how many words follow once, twice, more often; and how often w follows.
 
-    def context_values(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """total and how many words follow once, twice, more often, of the longest of contexts."""
-        def look(found, keys, out):
-            ctx, sums, large, large_sums, single = found[6:]
-            out[found_in(keys.astype("<u4"), single)[1]] = (1, 1, 0, 0)
-            at, ok = found_in(keys, ctx)
-            out[ok] = sums.reshape(-1, 4)[at[ok]]
-            at, ok = found_in(keys, large)
-            out[ok] = large_sums.reshape(-1, 4)[at[ok]]
+        A context that isn't hot lies in the shard of its n-grams, so one order serves both.
+        """
         u, j = contexts[-1], len(contexts) - 1
-        out = self._looked_up(contexts, np.zeros(len(u), np.uint64), u, look, 4)
+        shard, keys = shard_of(contexts, w, self.hots, self.bits), keys_of(contexts[-1], w)
+        order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | u)
+        shard, us, keys = shard[order], u[order], keys[order]
+        sums, counts = np.zeros((len(u), 4)), np.zeros(len(u))
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(u) else []
+        for a, z in zip(cuts, [*cuts[1:], len(u)], strict=True) if len(u) else []:
+            if found := self.files.arrays(f"{self.path}/pair-{j + 2}-{int(shard[a])}", *ARRAYS):
+                self._in_shard(found, us[a:z], keys[a:z], sums[a:z], counts[a:z])
+        back = np.empty(len(u), np.int64)
+        back[order] = np.arange(len(u))
+        sums, counts = sums[back], counts[back]
         at, ok = found_in(u, self.hots[j])
-        out[ok] = self.hot_sums[j][at[ok]]
-        return out
-
-    def pair_counts(self, contexts: list[np.ndarray], w: np.ndarray) -> np.ndarray:
-        def look(found, keys, out):
-            prints, counts, large, large_counts, shared, shared_counts = found[:6]
-            f = fingerprint(keys)
-            at, ok = found_in(f, prints)
-            out[ok, 0] = counts[at[ok]]
-            if len(large) and (big := np.flatnonzero(out[:, 0] == 255)).size:
-                out[big, 0] = large_counts[np.searchsorted(large, f[big])]
+        sums[ok] = self.hot_sums[j][at[ok]]
+        return sums, counts
+
+    @staticmethod
+    def _in_shard(found: tuple[np.ndarray, ...], u: np.ndarray, keys: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
+        """Fills sums of ascending contexts and counts of n-grams' keys from a shard's arrays."""
+        prints, small, large, large_counts, shared, shared_counts, ctx, ctx_sums, big, big_sums, single = found
+        sums[found_in(u.astype("<u4"), single)[1]] = (1, 1, 0, 0)
+        at, ok = found_in(u, ctx)
+        sums[ok] = ctx_sums.reshape(-1, 4)[at[ok]]
+        if len(big):
+            at, ok = found_in(u, big)
+            sums[ok] = big_sums.reshape(-1, 4)[at[ok]]
+        f = fingerprint(keys)
+        at, ok = found_in(f, prints)
+        counts[ok] = small[at[ok]]
+        if len(large) and (many := np.flatnonzero(counts == 255)).size:
+            counts[many] = large_counts[np.searchsorted(large, f[many])]
+        if len(shared):
             at, ok = found_in(keys, shared)
-            out[ok, 0] = shared_counts[at[ok]]
-        return self._looked_up(contexts, w, keys_of(contexts[-1], w), look, 1)[:, 0]
+            counts[ok] = shared_counts[at[ok]]
 
     def score(self, tokens: np.ndarray, priors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 P of each token after its prior ones, log10 of the base, and whether training has the token."""
@@ -240,15 +249,11 @@ class Model:
         contexts = contexts_of([x >> _LOW for x in priors])
         short = tokens >> _LOW
         for j, d in enumerate(self.discounts):
-            of_length = contexts[: j + 1]
-            _, one, at = np.unique(of_length[-1], return_index=True, return_inverse=True)
-            ctx = self.context_values([u[one] for u in of_length])
-            rest = np.where(ctx[:, 0] > 0, ctx[:, 1:] @ d[1:] / np.maximum(ctx[:, 0], 1), 1)
-            total = ctx[at, 0]
-            c = np.zeros(len(short))
-            seen = np.flatnonzero(total > 0)
-            c[seen] = self.pair_counts([u[seen] for u in of_length], short[seen])
-            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + rest[at] * p
+            sums, c = self.looked_up(contexts[: j + 1], short)
+            total = sums[:, 0]
+            c[total == 0] = 0
+            rest = np.where(total > 0, sums[:, 1:] @ d[1:] / np.maximum(total, 1), 1)
+            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + rest * p
         return np.log10(p), base[of], (values[:, 0] > 0)[of]
 
 
@@ -307,11 +312,11 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             shard = t.column("key")[0].as_py()
             priors, w, n = unpacked(t.column("found").to_pylist(), level)
             u = contexts_of(priors)[-1]
-            by = np.lexsort((w, u))
+            by = by_context(u, w)
             u, w, n = u[by], w[by], n[by]
             first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
             n = np.add.reduceat(n, first)
-            u, w, priors = u[first], w[first], [p[by][first] for p in priors]
+            u, w, priors = u[first], w[first], [p[by[first]] for p in priors]
             keys = keys_of(u, w)
             by = np.argsort(keys)
             keys, count = keys[by], n[by]
