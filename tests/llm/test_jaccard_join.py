@@ -37,10 +37,11 @@ def test_against_brute_force(docs, corpus):
     assert got(near_duplicates(docs)) == brute(corpus)
 
 
-@pytest.mark.parametrize("heavy", [2, 64])
-def test_large_groups_of_near_copies(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "block"), [(2, 5), (8, 2048), (64, 2048)])
+def test_large_groups_of_near_copies(spark, monkeypatch, heavy, block):
     """Groups whose every shingle is heavy, links only through others, and a boilerplate in unrelated documents."""
     monkeypatch.setattr(jaccard_join, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = random.Random(1)
     word = lambda: f"w{rng.randrange(5000)}"
     boiler, rows = [word() for _ in range(25)], []
@@ -50,6 +51,9 @@ def test_large_groups_of_near_copies(spark, monkeypatch, heavy):
             text = list(base)
             for _ in range(i % 4):
                 text[rng.randrange(80)] = word()
+            if i > 9:  # an edit that several share, and one of their own
+                text[40:46] = [f"g{g}"] * 6
+                text[i] = word()
             rows.append((len(rows), " ".join(text)))
     for _ in range(12):
         rows.append((len(rows), " ".join([word() for _ in range(40)] + boiler + [word() for _ in range(20)])))
@@ -81,6 +85,14 @@ def test_components_of_a_long_chain(spark):
     assert {out[i] for i in range(100, 141)} == {100} and {out[i] for i in (3, 5, 7)} == {3} and 9 not in out
 
 
+def test_rows_of_one_id_and_null_ids(spark):
+    """One row of each group stays: of repeated ids, of null ones, of equal rows; texts without words all stay."""
+    a, b = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, a), (1, a), (2, a + " x"), (2, b), (None, b), (None, b), (None, "only here"), (3, ""), (3, ""), (None, None)]
+    out = jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, a), (2, b), (None, "only here"), (3, ""), (3, ""), (None, None)], key=str)
+
+
 def test_drop_keeps_one_of_each_group(docs, corpus):
     kept = {r.doc_id for r in jaccard_join.drop_near_duplicates(docs).collect()}
     assert kept == {i for i, _, c in brute(corpus) if i == c}
