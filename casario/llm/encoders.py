@@ -3,20 +3,29 @@
 A text is cut before a blank or line feed that follows a character other than white space and precedes another one.
 Neither pre-tokenizer's pattern crosses such a cut, so the ids of the chunks, one after another, are the ids of the
 text. Natural text repeats its chunks; a worker encodes each distinct one once and keeps its ids.
+
+As the library does it, strings of special tokens in a text give their ids; with special=False they are ordinary text.
+A text that may hold one goes to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCT = r"!-&(-/:-@\[-`{-~"
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _PLAIN = re.compile(rf"(\n?)( ?[{_LETTERS}]+)([{_PUNCT}]*)")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Entries of a worker's memo; when full, it starts anew.
-MEMO = 1_000_000
+#: The chunks that _CUT parts a text into, which has a character other than white space.
+_CHUNK = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*")
+#: Entries of a worker's memo; when full, it becomes the old one.
+MEMO = 700_000
 
 
 def pieces_of(text: str | None) -> tuple[str, list[str]]:
@@ -43,18 +52,42 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Run(Exception):
+    """A piece that is no chunk: the text has white space behind a blank or line feed."""
+
+
+class Memo(dict):
+    """Ids of chunks without their leading blank. A full memo becomes the old one, whose entries move back when they come again."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, p: str) -> bytes:
+        if (x := self.old.get(p)) is None:
+            if not ("!" < p < "\x7f" or _begins(p)):
+                raise _Run
+            x = self.make(p)
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
+        self[p] = x
+        return x
+
+
 class Encoder:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes. blanks: a chunk keeps its leading blank."""
 
-    def __init__(self, path: str, blanks: bool):
+    def __init__(self, path: str, blanks: bool, special: bool = True):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = not special
+        added = [t.content for t in self.full.get_added_tokens_decoder().values()] if special else []
+        self.marks = {a[:2].lower() for a in added} | {a[:2] for a in added}
         self.model = self.full.model
         self.blanks = blanks
         self.table = _byte_letters()
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._new)
         self.parts: dict[str, list[int]] = {}
 
     def _part(self, s: str) -> list[int]:
@@ -74,7 +107,7 @@ class Encoder:
                 ids = self._part(word.lstrip(" ").lower())
             if marks:
                 ids = ids + self._known(marks)
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
     def _known(self, marks: str) -> list[int]:
         if (ids := self.parts.get(marks)) is None:
@@ -86,31 +119,32 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.replace("\n", " \n").split(" ")
-        memo = self.memo
-        out = list(map(memo.get, rest))
-        if None in out:
-            for i, x in enumerate(out):
-                if x is None:
-                    p = rest[i]
-                    if (x := memo.get(p)) is None:
-                        head = p[1:] if p[:1] == "\n" else p
-                        if not head or head[0].isspace():  # runs of white space: cut with care
-                            return b"".join(self._chunk(c) for c in _CUT.split(text))
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        x = memo[p] = self._chunk(p if p[0] == "\n" else " " + p)
-                    out[i] = x
-        if first:
-            out.insert(0, self._chunk(first))
-        return b"".join(out)
-
-
-_OPEN: dict[tuple[str, bool], Encoder] = {}
-
-
-def opened(path: str, blanks: bool) -> Encoder:
+        if any(m in text for m in self.marks):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        parts = iter(text.replace("\n", " \n").split(" "))
+        first = next(parts)
+        try:
+            rest = b"".join(map(self.memo.__getitem__, parts))
+        except _Run:  # cut with care
+            first, *chunks = _CHUNK.findall(text) or [text]
+            rest = b"".join([self.memo[c[1:] if c[0] == " " else c] for c in chunks])
+        return self._chunk(first) + rest if first else rest
+
+    def _new(self, p: str) -> bytes:
+        word = p.rstrip(_MARKS)
+        if not (word.isascii() and word.isalpha()):
+            return self._chunk(p if p[0] == "\n" else " " + p)
+        ids = [t.id for t in self.model.tokenize(self.table[32] + word if self.blanks else word.lower())]
+        if len(word) < len(p):
+            ids += self._known(p[len(word) :])
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
+
+
+_OPEN: dict[tuple, Encoder] = {}
+
+
+def opened(path: str, blanks: bool, special: bool = True) -> Encoder:
     """This worker's encoder of a vocabulary file; workers are reused, and with them their memo."""
-    if (path, blanks) not in _OPEN:
-        _OPEN[path, blanks] = Encoder(path, blanks)
-    return _OPEN[path, blanks]
+    if (path, blanks, special) not in _OPEN:
+        _OPEN[path, blanks, special] = Encoder(path, blanks, special)
+    return _OPEN[path, blanks, special]

@@ -7,7 +7,8 @@ piece alone when nothing fits beside it; with its exact complement; with the lon
 fit together). What the reduction leaves is packed best-fit decreasing. The plan gives slots: runs of ranks within a
 length, with first sequence and offset; each piece looks its slot up by its rank.
 
-Ranks within a length are counted over (length, salt), so that a length that a third of all pieces share is spread.
+Ranks within a length are counted over (length, salt), so that a length that a third of all pieces share is spread; salts
+grow with the pieces, RANKED to a salt at most on average.
 
 Edge cases: a null or empty text is the end id alone. Equal rows are packed each. A text of more than ``size`` tokens
 is cut into pieces of ``size``, the last may be shorter. An empty table packs to no rows. Columns other than doc_id and
@@ -25,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import kept, table
+from .common import kept, slices, table, trimmed
 from .encoders import opened
 
 
+#: Pieces of a salt.
+RANKED = 100_000
+
+
 def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -36,7 +41,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
 
     def run(batches):
         coder = opened(vocabulary, False)
-        for b in batches:
+        for b in slices(batches, 1000):
             doc, cols = [], ([], [], [], [])
             for i, t in enumerate(b.column("text")):
                 ids = coder.encode(t.as_py()) + end
@@ -48,7 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(c, x) for c, x in zip(cols, types, strict=True))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def reduce(counts: dict[int, int], size: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -132,14 +137,14 @@ def plan(counts: dict[int, int], size: int) -> dict[int, np.ndarray]:
 def pack(found: DataFrame, size: int = 2048) -> DataFrame:
     """found (doc_id, piece, length, ...) with sequence_id and offset."""
     spark = found.sparkSession
-    salts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salts = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // RANKED))
     found = found.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     by_salt = kept(found.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `size` rows
     places = spark.sparkContext.broadcast(plan(counts, size))
     before = by_salt.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", *(c for c in ("ids_crc32",) if c in found.columns)))
-    # At most size * salts rows: bounded, whatever the input.
+    # At most size rows a salt: fewer than one in RANKED / size pieces.
     ranked = found.withColumn("_own", own).join(before, ["length", "_salt"]).withColumn("_rank", (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_salt", "_before", "_own")
     names = [c for c in ranked.columns if c != "_rank"]
 

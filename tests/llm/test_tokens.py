@@ -3,30 +3,45 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from casario.llm import byte_bpe, packing, token_output
+from casario.llm import byte_bpe, encoders, packing, token_output
 from casario.llm.common import shared_dir
 from casario.llm.encoders import Encoder
 
 HARD = ["", " ", "\n", "a", "  a  b\n\n c\n", "\x1ca \x1c b", "É é\n\nÉ ̈ x", "it's 'll the's foo's. A's", "\tab\t c\t\n d", "x\r\ny z\xa0\xa0w q　 r \xa0b a\xa0 \xa0b",
-        "a\n\n\nb \n c", "<|endoftext|> a <|endoftext|>", "ªº 12 3²45 ½ x×y", "don't, \"quoted\" -- yes!!! $$$ a_b", "naïve 😀😀 é", "日本語のテキスト" * 9]
+        "a\n\n\nb \n c", "<|endoftext|> a <|endoftext|>", "a <|ENDOFTEXT|>b <|startoftext|> c<|", "<| x |>", "ªº 12 3²45 ½ x×y", "don't, \"quoted\" -- yes!!! $$$ a_b", "naïve 😀😀 é", "日本語のテキスト" * 9]
 
 
-def library(name):
+def library(name, special=True):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = not special
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
-def test_chunks_encode_as_the_library(corpus, name, blanks):
+def test_chunks_encode_as_the_library(corpus, name, blanks, special):
     texts = HARD + [t or "" for _, t, *_ in corpus]
-    coder = Encoder(P.path(name), blanks)
+    coder = Encoder(P.path(name), blanks, special)
     for _ in range(2):  # with an empty and a filled memo
-        assert [np.frombuffer(coder.encode(t), "<u4").tolist() for t in texts] == library(name)(texts)
+        assert [np.frombuffer(coder.encode(t), "<u4").tolist() for t in texts] == library(name, special)(texts)
+
+
+def test_chunks_are_those_of_the_cut():
+    rng = np.random.default_rng(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice(list("ab,é \n\t\xa0\u3000\x1c"), rng.integers(1, 14)))
+        if text.strip():
+            assert encoders._CHUNK.findall(text) == encoders._CUT.split(text), repr(text)
+
+
+def test_special_tokens_by_default():
+    assert np.frombuffer(Encoder(P.path("byte_bpe_50k.json"), True).encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    assert np.frombuffer(Encoder(P.path("word_bpe_49k.json"), False).encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
 
 
 def test_token_files(spark, docs, corpus):
@@ -35,7 +50,8 @@ def test_token_files(spark, docs, corpus):
     ids = {i: [*x, 0] for (i, *_), x in zip(corpus, library("byte_bpe_50k.json")([t or "" for _, t, *_ in corpus]), strict=True)}
     rows = token_output.read_tokens(spark, to).collect()
     assert len(rows) == len(corpus) and all(r.tokens == ids[r.doc_id] for r in rows)
-    done = token_output.with_starts(token_output.crc_of_ids(token_output.read_tokens(spark, to, ("doc_id", "n_tokens", "part", "tokens")))).orderBy("start").collect()
+    read = token_output.crc_of_ids(token_output.read_tokens(spark, to, ("doc_id", "n_tokens", "part", "at", "tokens")))
+    done = token_output.with_starts(read, token_output.read_tokens(spark, to, ("n_tokens", "part"))).orderBy("start").collect()
     assert [r.doc_id for r in done] == sorted(i for i, *_ in corpus)
     at = 0
     for r in done:
@@ -45,6 +61,38 @@ def test_token_files(spark, docs, corpus):
     assert "tokens" not in meta._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
 
 
+def test_token_files_have_dictionaries_indexes_and_small_groups(spark, tmp_path, monkeypatch):
+    """What a reader of a few documents or of metadata alone relies on."""
+    monkeypatch.setitem(token_output.FILES, "parquet.block.size", str(256 << 10))
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 60))) for i in range(6000)]
+    to = f"file://{tmp_path}/t"
+    token_output.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), to, P.path("byte_bpe_50k.json"))
+    groups = [f.row_group(i) for p in sorted(tmp_path.glob("t/*.parquet")) for f in [pq.ParquetFile(p).metadata] for i in range(f.num_row_groups)]
+    assert len(groups) > 4 and all(g.num_rows < 6000 for g in groups)
+    for g in groups:
+        cols = {g.column(i).path_in_schema.split(".")[0]: g.column(i) for i in range(g.num_columns)}
+        assert set(cols) == set(token_output.OWN)
+        assert any("DICTIONARY" in e for e in cols["tokens"].encodings) and cols["tokens"].has_dictionary_page
+        assert all(c.has_offset_index for c in cols.values()) and cols["doc_id"].has_column_index
+        assert cols["doc_id"].statistics.max - cols["doc_id"].statistics.min == g.num_rows - 1
+    some = spark.read.parquet(to).where("doc_id BETWEEN 100 AND 110").select("doc_id", "tokens")
+    assert "GreaterThanOrEqual(doc_id,100)" in some._jdf.queryExecution().executedPlan().toString() and some.count() == 11
+
+
+def test_token_files_with_clashing_columns_repeats_and_null_ids(spark):
+    to = shared_dir(spark, "t")
+    rows = [(1, "b c", "k"), (1, "a", "k"), (1, "a", "k"), (None, "x y z", None), (0, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS n_tokens", "1 AS at", "2 AS part")
+    token_output.write_tokens(df, to, P.path("byte_bpe_50k.json"), keep=("n_tokens", "at", "part", "lang"))
+    out = token_output.read_tokens(spark, to, ("doc_id", "lang", "n_tokens", "part", "at", "tokens"))
+    done = token_output.with_starts(out, out).orderBy("start").collect()
+    assert [r.doc_id for r in done] == [None, 0, 1, 1, 1] and [r.lang for r in done] == [None, *"kkkk"]
+    assert [r.start for r in done] == [0, *np.cumsum([len(r.tokens) for r in done])[:-1].tolist()]
+    files = [r.tokens for r in spark.read.parquet(to).where("doc_id = 1").orderBy("part", "at").select("tokens").collect()]
+    assert files == [r.tokens for r in done[2:]]
+
+
 def test_token_files_of_nothing(spark, nothing):
     to = shared_dir(spark, "t")
     token_output.write_tokens(nothing, to, P.path("byte_bpe_50k.json"))
