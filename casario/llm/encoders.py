@@ -25,7 +25,7 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: The chunks that _CUT parts a text into, which has a character other than white space.
 _CHUNK = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*")
 #: Entries of a worker's memo; when full, it becomes the old one.
-MEMO = 700_000
+MEMO = 600_000
 
 
 def pieces_of(text: str | None) -> tuple[str, list[str]]:
@@ -59,15 +59,15 @@ class _Run(Exception):
 class Memo(dict):
     """Ids of chunks without their leading blank. A full memo becomes the old one, whose entries move back when they come again."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, p: str) -> bytes:
         if (x := self.old.get(p)) is None:
             if not ("!" < p < "\x7f" or _begins(p)):
                 raise _Run
             x = self.make(p)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[p] = x
@@ -77,7 +77,7 @@ class Memo(dict):
 class Encoder:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes. blanks: a chunk keeps its leading blank."""
 
-    def __init__(self, path: str, blanks: bool, special: bool = True):
+    def __init__(self, path: str, blanks: bool, special: bool = True, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
@@ -87,7 +87,7 @@ class Encoder:
         self.model = self.full.model
         self.blanks = blanks
         self.table = _byte_letters()
-        self.memo = Memo(self._new)
+        self.memo = Memo(self._new, memo)
         self.parts: dict[str, list[int]] = {}
 
     def _part(self, s: str) -> list[int]:
@@ -143,8 +143,8 @@ class Encoder:
 _OPEN: dict[tuple, Encoder] = {}
 
 
-def opened(path: str, blanks: bool, special: bool = True) -> Encoder:
+def opened(path: str, blanks: bool, special: bool = True, memo: int = MEMO) -> Encoder:
     """This worker's encoder of a vocabulary file; workers are reused, and with them their memo."""
     if (path, blanks, special) not in _OPEN:
-        _OPEN[path, blanks, special] = Encoder(path, blanks, special)
+        _OPEN[path, blanks, special] = Encoder(path, blanks, special, memo)
     return _OPEN[path, blanks, special]

@@ -30,6 +30,8 @@ from .common import kept, slices, table, trimmed
 from .encoders import opened
 
 
+#: Entries of a worker's memo; a pipeline's workers have had other work before.
+MEMO = 350_000
 #: Pieces of a salt.
 RANKED = 100_000
 
@@ -40,7 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        coder = opened(vocabulary, False)
+        coder = opened(vocabulary, False, memo=MEMO)
         for b in slices(batches, 1000):
             doc, cols = [], ([], [], [], [])
             for i, t in enumerate(b.column("text")):
