@@ -62,22 +62,27 @@ def slices(batches, rows: int = 500):
             yield b.slice(a, rows)
 
 
-def trim() -> None:
-    """Gives freed memory back to the system: workers outlive their tasks, and later stages need the room."""
+def trim(heap: bool = True) -> None:
+    """Gives freed memory back to the system: workers outlive their tasks, and later stages need the room.
+
+    Without heap only Arrow's: a worker that goes on with a large memo would fault its pages in again.
+    """
     pa.default_memory_pool().release_unused()
+    if not heap:
+        return
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library
 
 
-def trimmed(run):
+def trimmed(run, heap: bool = True):
     """run(batches) with trim() at its end."""
     def of(batches):
         try:
             yield from run(batches)
         finally:
-            trim()
+            trim(heap)
 
     return of
 

@@ -25,7 +25,7 @@ _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: The chunks that _CUT parts a text into, which has a character other than white space.
 _CHUNK = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*")
 #: Entries of a worker's memo; when full, it becomes the old one.
-MEMO = 600_000
+MEMO = 700_000
 
 
 def pieces_of(text: str | None) -> tuple[str, list[str]]:

@@ -60,7 +60,7 @@ def encode(docs: DataFrame, vocabulary: str, blanks: bool, end_id: int = 0, keep
                 ["doc_id", *keep, "n_tokens", "at", "tokens"])
 
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{extra}, n_tokens long, at long, tokens array<int>")
+    return docs.mapInArrow(trimmed(run, heap=False), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{extra}, n_tokens long, at long, tokens array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, blanks: bool = True, end_id: int = 0, keep: tuple[str, ...] = ()) -> None:
