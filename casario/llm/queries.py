@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, byte_bpe, jaccard_join, license_scan, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, token_output
+from . import additive_ann, byte_bpe, decontamination, jaccard_join, license_scan, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, token_output
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_additive_ann": additive_ann.op8_additive_ann,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
 }
 
 SQL = {
     "op2_quality_rules": quality_rules.SQL,
     "op5_jaccard_join": jaccard_join.SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op11_benchmark_decontamination": decontamination.SQL,
 }
