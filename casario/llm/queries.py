@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, byte_bpe, conversation_repair, decontamination, jaccard_join, license_scan, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, token_output
+from . import additive_ann, byte_bpe, conversation_repair, decontamination, hard_negatives, jaccard_join, license_scan, line_dedup, ngram_lm, packing, quality_classifier, quality_rules, token_output
 
 QUERIES = {
     "op1_ngram_lm": ngram_lm.op1_ngram_lm,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     "op11_benchmark_decontamination": decontamination.op11_benchmark_decontamination,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 
@@ -24,5 +25,6 @@ SQL = {
     "op5_jaccard_join": jaccard_join.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op11_benchmark_decontamination": decontamination.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_conversation_repair": conversation_repair.SQL,
 }
