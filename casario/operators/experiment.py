@@ -11,7 +11,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import features, metrics, modelling, training
+from . import boosting, features, metrics, modelling, training
 
 #: What derives from the optional fees, the least rows that a served model is trained on.
 DERIVED = {"condo_fee": ["condo_por_m2"], "iptu_tax": ["iptu_por_m2"]}
@@ -25,7 +25,12 @@ class NotTrainable(ValueError):
 
 @dataclass(frozen=True)
 class Config:
-    """One arm of an experiment. numbers and categories are the model's columns; the switches add steps before the fit."""
+    """One arm of an experiment. numbers and categories are the model's columns; the switches add steps before the fit.
+
+    imputer: "medians" by group or "model" (boosted, from all columns but the optional fees). dropout: the share of training rows whose
+    optional fees are masked at the fit, as users leave them out. kind: a Spark ML estimator's name, or "boosted" with the mean of
+    ``seeds`` fits and quantile models.
+    """
 
     name: str
     segment: str = "global"
@@ -33,6 +38,10 @@ class Config:
     numbers: tuple[str, ...] = ("area_m2", "bedrooms", "condo_fee", "iptu_tax")
     categories: tuple[str, ...] = ()
     impute: bool = True
+    imputer: str = "medians"
+    dropout: float = 0.0
+    kind: str = "gbt"
+    seeds: int = 1
     encode: tuple[str, ...] = ()
     spatial: bool = False
     group: str = "grupo"
@@ -66,7 +75,14 @@ def one_of_twins(df: DataFrame, cfg: Config) -> DataFrame:
 def prepared(train: DataFrame, test: DataFrame, cfg: Config) -> tuple[DataFrame, DataFrame]:
     """train, and test with its twins fused and its scenario applied before anything is estimated; every step is fitted on train alone."""
     test = in_scenario(one_of_twins(test, cfg), cfg.scenario)
-    if cfg.impute:
+    if cfg.impute and cfg.imputer == "model":
+        out = {*DERIVED, *(d for ds in DERIVED.values() for d in ds)}
+        fields, numbers = [c for c in DERIVED if c in train.columns], [c for c in cfg.numbers if c not in out]
+        places = [c for c in dict.fromkeys((*cfg.categories, *cfg.by)) if c in train.columns]
+        both = modelling.imputed_by_model(train, train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True)), allowMissingColumns=True), fields, numbers, places, "property_id")
+        both = training.written(both, "imputed")  # estimated once
+        train, test = (with_derived(both.where(F.col("_test") == t).drop("_test")).select(d.columns) for t, d in ((False, train), (True, test)))
+    elif cfg.impute:
         for column in DERIVED:
             if column in train.columns:
                 test = modelling.imputed(train, test, column, list(cfg.by))
@@ -85,12 +101,25 @@ def _columns(cfg: Config, df: DataFrame) -> list[str]:
     return [*cfg.numbers, *(f"te_{c}" for c in cfg.encode), *spatial]
 
 
-def fitted(train: DataFrame, cfg: Config) -> PipelineModel:
+def masked(train: DataFrame, share: float, seed: int) -> DataFrame:
+    """train with the optional fees, what derives from them and their flags as unknown in a hashed share of the rows; one row loses all or none."""
+    if share > 0:
+        where = modelling.hashed_share(share, seed, "property_id")
+        for column, derived in DERIVED.items():
+            if column in train.columns:
+                train = modelling.erased(train, column, derived, where)
+    return train
+
+
+def fitted(train: DataFrame, cfg: Config) -> PipelineModel | boosting.Model:
     numbers = _columns(cfg, train)
-    return modelling.fit(modelling.with_missing(train, numbers), "property_id", numbers, list(cfg.categories), cfg.seed)
+    rows = modelling.with_missing(masked(train, cfg.dropout, cfg.seed), numbers)
+    if cfg.kind == "boosted":
+        return modelling.fit_boosted(rows, "property_id", numbers, list(cfg.categories), cfg.seeds)
+    return modelling.fit(rows, "property_id", numbers, list(cfg.categories), cfg.seed, cfg.kind)
 
 
-def measured(model: PipelineModel, test: DataFrame, cfg: Config) -> DataFrame:
+def measured(model: PipelineModel | boosting.Model, test: DataFrame, cfg: Config) -> DataFrame:
     """One row of measures."""
     rows = modelling.predicted(model, modelling.with_missing(test, _columns(cfg, test)))
     return metrics.regression_metrics(rows.withColumn("y_log", F.ln("price")))
@@ -150,7 +179,7 @@ def leaderboard(log: DataFrame, measure: str = "mae_log") -> DataFrame:
     return log.orderBy(F.asc_nulls_last(measure), "quando")
 
 
-def train_pair(abt: DataFrame, holdout: DataFrame, city: str, target: str, cfg: Config) -> tuple[PipelineModel, DataFrame, DataFrame]:
+def train_pair(abt: DataFrame, holdout: DataFrame, city: str, target: str, cfg: Config) -> tuple[PipelineModel | boosting.Model, DataFrame, DataFrame]:
     """The model of one city and target, its measures on the holdout (one row), and its training rows; a pair that can't be served is refused."""
     own = lambda d, out: features.city_cut(d.where(F.col("transaction_type") == target), city).withColumns({"_holdout": F.lit(out), "log_price": F.ln("price")})
     train, test = own(abt, False), own(holdout, True)
@@ -164,16 +193,17 @@ def train_pair(abt: DataFrame, holdout: DataFrame, city: str, target: str, cfg:
     return model, measured(model, b, cfg), train
 
 
-def estimates(requests: DataFrame, model: PipelineModel, cfg: Config, quantiles: DataFrame, group: str, limits: tuple[float, float] | None, index: DataFrame | None) -> DataFrame:
+def estimates(requests: DataFrame, model: PipelineModel | boosting.Model, cfg: Config, quantiles: DataFrame | None, group: str, limits: tuple[float, float] | None, index: DataFrame | None) -> DataFrame:
     """requests with previsto, lo, hi, rent by the city's yield (sales alone) and ressalvas.
 
-    limits: prices between which the model was trained; quantiles: residual_quantiles of its calibration rows; index: city
+    limits: prices between which the model was trained; quantiles: residual_quantiles of its calibration rows (a boosted model has its own); index: city
     and its yields (yield_mensal, yield_p10, yield_p90), a row a city.
     """
     from .serving import rent_anchor
 
     numbers = _columns(cfg, requests)
-    out = modelling.with_interval(modelling.predicted(model, modelling.with_missing(requests, numbers)), quantiles, group)
+    out = modelling.predicted(model, modelling.with_missing(requests, numbers))
+    out = modelling.quantile_interval(out) if isinstance(model, boosting.Model) else modelling.with_interval(out, quantiles, group)
     out = out.withColumns({c: F.round(c, 2) for c in ("previsto", "lo", "hi")})
     notes: list[Column] = []
     if limits:

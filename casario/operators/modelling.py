@@ -1,7 +1,8 @@
-"""Price model on Spark ML: boosted trees on log prices, conformal intervals, imputation, spatial axes, dropout.
+"""Price models on log prices, intervals, imputation, spatial axes, dropout.
 
-Spark's boosted trees have no quantile loss: the interval comes from residual quantiles on rows held out from the fit
-(split conformal), by group where a group has enough of them.
+Two kinds of models: Spark ML's trees (``fit``), whose interval comes from residual quantiles on rows held out from the fit (split
+conformal), by group where a group has enough of them; and boosted histograms (``fit_boosted``) with quantile models of their own,
+native categories and the mean of several seeds, whose interval is the quantile models' (``quantile_interval``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import boosting
 
 #: Estimators by name; users add their own with estimator().
 ESTIMATORS: dict = {}
@@ -74,28 +76,50 @@ def hashed_share(share: float, seed: int, *columns: str):
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1_000_000)) < int(share * 1_000_000)
 
 
-def fit(df: DataFrame, id_col: str, numbers: list[str], categories: list[str], seed: int = 42) -> PipelineModel:
+def fit(df: DataFrame, id_col: str, numbers: list[str], categories: list[str], seed: int = 42, kind: str = "gbt") -> PipelineModel:
     """The model of df (with log_price and with_missing's columns); a hashed 15 % stops the boosting early."""
-    return price_model(numbers, categories, seed).fit(df.withColumn("_early", hashed_share(0.15, seed, id_col)))
+    return price_model(numbers, categories, seed, kind=kind).fit(df.withColumn("_early", hashed_share(0.15, seed, id_col)))
 
 
-def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """df with p_log."""
+def fit_boosted(df: DataFrame, id_col: str, numbers: list[str], categories: list[str], n_seeds: int = 1, quantiles: tuple[float, ...] = (0.1, 0.9), settings: boosting.Settings | None = None) -> boosting.Model:
+    """The central model of log_price (the mean of n_seeds fits) and one for each quantile, grown together over one binned table."""
+    members = [*boosting.seeds("p_log", n_seeds), *(boosting.Member(f"q{round(q * 100)}_log", boosting.QUANTILE, q) for q in quantiles)]
+    return boosting.fit(df, "log_price", [*numbers, *(f"aus_{c}" for c in numbers)], categories, members, [id_col], settings)
+
+
+def predicted(model: PipelineModel | boosting.Model, df: DataFrame) -> DataFrame:
+    """df with p_log, and with q<percent>_log for each quantile model."""
+    if isinstance(model, boosting.Model):
+        return boosting.predicted(model, df)
     return model.transform(df.withColumn("_early", F.lit(False))).drop("features", "_early").withColumnRenamed("prediction", "p_log")
 
 
+def quantile_interval(df: DataFrame, low: str = "q10_log", high: str = "q90_log") -> DataFrame:
+    """df with previsto, lo and hi in currency from the quantile models; crossed quantiles change places, the estimate lies within."""
+    centre, a, b = F.exp("p_log"), F.exp(low), F.exp(high)
+    return df.withColumns({"previsto": centre, "lo": F.least(a, b, centre), "hi": F.greatest(a, b, centre)})
+
+
 def residual_quantiles(calibration: DataFrame, group: str, least: int = 50) -> DataFrame:
-    """group, q10, q90 of residuals y_log - p_log by group; the row of a null group is for groups of fewer rows."""
-    r = F.col("y_log") - F.col("p_log")
-    q = [F.percentile(r, 0.1).alias("q10"), F.percentile(r, 0.9).alias("q90")]
-    own = calibration.groupBy(group).agg(F.count("*").alias("_n"), *q).where(F.col("_n") >= least).select(group, "q10", "q90")
-    return own.unionByName(calibration.agg(*q).select(F.lit(None).cast(calibration.schema[group].dataType).alias(group), "q10", "q90"))
+    """group, q10, q90 of residuals y_log - p_log by group; the row of a null group is for groups of fewer rows.
+
+    Exact percentiles over ranges of the residuals, so that neither a large group nor the whole table meets in one task.
+    """
+    from .training import percentiles
+
+    kind = calibration.schema[group].dataType
+    rows = calibration.select(F.col(group).alias("_g"), (F.col("y_log") - F.col("p_log")).alias("_r")).where("_r IS NOT NULL")
+    large = rows.where("_g IS NOT NULL").groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("_g")
+    shares = {"q10": 0.1, "q90": 0.9}
+    own = percentiles(rows.join(large, "_g", "left_semi"), ["_g"], "_r", shares)
+    whole = percentiles(rows.withColumn("_g", F.lit(0)), ["_g"], "_r", shares).withColumn("_g", F.lit(None).cast(kind))
+    return own.unionByName(whole).withColumnRenamed("_g", group)
 
 
 def with_interval(df: DataFrame, quantiles: DataFrame, group: str) -> DataFrame:
     """df with previsto, lo and hi in currency."""
     whole = quantiles.where(F.col(group).isNull()).select(F.col("q10").alias("_a"), F.col("q90").alias("_b"))
-    out = df.join(quantiles.where(F.col(group).isNotNull()), group, "left").join(F.broadcast(whole), F.lit(True))
+    out = df.join(quantiles.where(F.col(group).isNotNull()), group, "left").join(F.broadcast(whole), F.lit(True))  # one row
     centre = F.exp("p_log")
     lo, hi = F.exp(F.col("p_log") + F.coalesce("q10", "_a")), F.exp(F.col("p_log") + F.coalesce("q90", "_b"))
     return out.withColumns({"previsto": centre, "lo": F.least(lo, hi, centre), "hi": F.greatest(lo, hi, centre)}).drop("q10", "q90", "_a", "_b")
@@ -123,6 +147,22 @@ def imputed(train: DataFrame, df: DataFrame, field: str, by: list[str], least: i
     return df
 
 
+def imputed_by_model(train: DataFrame, df: DataFrame, fields: list[str], numbers: list[str], categories: list[str], id_col: str, least: int = 60, settings: boosting.Settings | None = None) -> DataFrame:
+    """df with unknown values of the fields from a model of each field's logarithm, fitted on train's rows that know it.
+
+    numbers and categories must hold neither the fields nor what derives from them. A row whose value is unknown has no part in the
+    fit, so estimates are out of sample in train too. A field known (and positive) in fewer than ``least`` rows stays as it is.
+    """
+    s = settings or boosting.Settings(rounds=25, rate=0.3, depth=4, least=30)
+    for field in fields:
+        known = train.where(F.col(field) > 0).withColumn("_log", F.ln(F.col(field)))
+        if known.limit(least).count() < least:
+            continue
+        model = boosting.fit(known, "_log", numbers, categories, [boosting.Member("_estimate")], [id_col], s)
+        df = boosting.predicted(model, df).withColumn(field, F.coalesce(F.col(field).cast("double"), F.exp("_estimate"))).drop("_estimate")
+    return df
+
+
 def bootstrap_median(df: DataFrame, value: str, resamples: int = 400, seed: int = 7) -> DataFrame:
     """lo and hi: 95 % interval of the median, by resampling with Poisson(1) weights from a hash of row and resample.
 

@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators.features import MissingColumns
 from ..operators.history import require_rows
 from .lake import swap
@@ -83,26 +84,31 @@ def next_version(spark: SparkSession, folder: str, day: str) -> str:
     raise FileExistsError(f"26 versions of {day} in {folder}")
 
 
-def save(model: PipelineModel, spark: SparkSession, to: str, columns: list[str], card: dict) -> str:
+def save(model: PipelineModel | boosting.Model, spark: SparkSession, to: str, columns: list[str], card: dict) -> str:
     """Writes the model, the order of its columns and its checked card beside their place, then swaps them in."""
     checked_card(card)
     fresh = f"{to}.parcial"
     fs, p = _fs(spark, fresh)
     if fs.exists(p):
         raise FileExistsError(f"{fresh} is left of an earlier run")
-    model.write().save(f"{fresh}/modelo")
+    if isinstance(model, boosting.Model):  # with its level table: the same codes in every session
+        _write_text(spark, f"{fresh}/modelo.json", model.to_json())
+    else:
+        model.write().save(f"{fresh}/modelo")
     _write_text(spark, f"{fresh}/colunas.json", json.dumps(columns, ensure_ascii=False))
     _write_text(spark, f"{fresh}/model_card.json", json.dumps(card, ensure_ascii=False))
     swap(spark, fresh, to)
     return to
 
 
-def load(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[PipelineModel, list[str], dict]:
+def load(spark: SparkSession, path: str, columns: list[str] | None = None) -> tuple[PipelineModel | boosting.Model, list[str], dict]:
     """The model, its columns and its card; columns, if given, must be the stored ones in their order."""
     own = json.loads(_read_text(spark, f"{path}/colunas.json"))
     if columns is not None and list(columns) != own:
         raise MissingColumns(f"the model of {path} has other columns: {own[:8]}")
-    return PipelineModel.load(f"{path}/modelo"), own, checked_card(json.loads(_read_text(spark, f"{path}/model_card.json")))
+    fs, p = _fs(spark, f"{path}/modelo.json")
+    model = boosting.Model.from_json(_read_text(spark, f"{path}/modelo.json")) if fs.exists(p) else PipelineModel.load(f"{path}/modelo")
+    return model, own, checked_card(json.loads(_read_text(spark, f"{path}/model_card.json")))
 
 
 def cards(spark: SparkSession, glob: str) -> DataFrame:

@@ -135,3 +135,57 @@ def test_vocabulary_treatment_and_reports(spark):
     r = features.extraction_report(texts).first()
     assert (r.linhas, r.com_descricao, r.da_fonte, r.do_texto, r.negadas, r.ganharam, r.estavam_vazias, r.com_negacao) == (3, 1, 1, 2, 1, 2, 1, 1)
     assert [tuple(x) for x in features.most_common(texts, "amenities", 1).collect()] == [("B", 2)]
+
+
+@pytest.fixture(scope="module")
+def optional(spark):
+    """A market whose fees say much of the price, and depend on rooms and place; users leave them out."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        place, area, rooms, lift = rng.randrange(6), rng.randrange(30, 200), rng.randrange(1, 5), rng.randrange(2)
+        fee = (200 + 90 * rooms + 250 * lift) * (1 + 0.2 * place) * rng.uniform(0.95, 1.05)
+        price = area * (4000 + 900 * place) * (1 + fee / 4000) * rng.uniform(0.97, 1.03)
+        rows.append((f"p{i}", f"g{i}", "Santos", f"bairro {place}", "venda", float(price), float(area), rooms, lift, 1, 1, 2, fee if i % 3 else None, price / 300, i % 10 == 0, fee))
+    names = "property_id string, grupo string, city string, neighborhood string, transaction_type string, price double, area_m2 double, bedrooms int, bathrooms int, suites int, parking_spots int, floor_level int, condo_fee double, iptu_tax double, _holdout boolean, true_fee double"
+    return spark.createDataFrame(rows, names).cache()
+
+
+def test_model_imputer_beats_medians(optional):
+    unknown = optional.where("condo_fee IS NULL")
+    error = lambda d: d.agg(F.avg(F.abs(F.ln("condo_fee") - F.ln("true_fee")))).first()[0]
+    medians = error(modelling.imputed(optional, unknown, "condo_fee", ["city", "neighborhood"]))
+    own = modelling.imputed_by_model(optional, unknown, ["condo_fee"], ["bedrooms", "bathrooms"], ["neighborhood"], "property_id")
+    assert own.where("condo_fee IS NULL").count() == 0 and error(own) < 0.5 * medians
+    few = modelling.imputed_by_model(optional.limit(20), unknown, ["condo_fee"], ["bedrooms"], [], "property_id")
+    assert few.where("condo_fee IS NOT NULL").count() == 0
+
+
+def test_masked_rows_lose_the_fee_with_its_traces(optional):
+    d = features.base_features(optional.withColumn("log_price", F.ln("price")))
+    out = experiment.masked(d, 0.4, 3)
+    lost = out.where("iptu_tax IS NULL")
+    assert 0.3 < lost.count() / out.count() < 0.5 and lost.where("iptu_por_m2 IS NOT NULL OR condo_fee IS NOT NULL OR NOT aus_iptu_tax").count() == 0
+    assert experiment.masked(d, 0, 3) is d
+
+
+def test_arms_of_dropout_imputer_and_boosting(optional):
+    common = dict(numbers=("area_m2", "bedrooms", "bathrooms", "condo_fee", "iptu_tax"), categories=("neighborhood",), folds=2)
+    arms = [experiment.Config("plain", impute=False, **common), experiment.Config("dropout", impute=False, dropout=0.5, **common), experiment.Config("model", imputer="model", **common)]
+    out = {r.experimento: r.media for r in experiment.ablation(optional, arms).collect()}
+    assert out["dropout"] < out["plain"] and out["model"] < out["plain"]
+
+
+def test_boosted_kind_serves_with_its_own_interval(spark, optional, tmp_path):
+    cfg = experiment.Config("b", kind="boosted", seeds=2, numbers=("area_m2", "bedrooms", "bathrooms"), categories=("neighborhood",), impute=False)
+    d = features.base_features(optional.withColumn("log_price", F.ln("price")))
+    train, test = experiment.prepared(d.where("NOT _holdout"), d.where("_holdout"), cfg)
+    model = experiment.fitted(train, cfg)
+    assert experiment.measured(model, test, cfg).first().mae_log < 0.15
+    limits = {"uso_pretendido": "estimativa"}
+    own = models.card(optional.where("NOT _holdout"), optional.where("_holdout"), experiment.measured(model, test, cfg), city="Santos", target="venda", version="v", scope="cidade", limits=limits, environment={})
+    to = models.save(model, spark, f"file://{tmp_path}/boosted", list(cfg.numbers), own)
+    again, _, _ = models.load(spark, to)
+    rows = lambda m: sorted((r.property_id, r.lo, r.previsto, r.hi) for r in experiment.estimates(test, m, cfg, None, "city", None, None).collect())
+    got = rows(again)
+    assert got == rows(model) and all(lo <= p <= hi for _, lo, p, hi in got) and sum(lo < hi for _, lo, _, hi in got) > 0.9 * len(got)
