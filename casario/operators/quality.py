@@ -73,38 +73,3 @@ def card_limits(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame
     ends = df.agg(*aggs).select(F.explode(F.array(*(f"_{c}" for c in columns))).alias("x")).select("x.*").where(F.col("n") >= least)
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("campo"), F.col(c).cast("double").alias("_value")) for c in columns))).alias("x")).select("x.*")
     return ends.join(percentiles(long, ["campo"], "_value", {"p01": 0.01, "p99": 0.99}), "campo").select("campo", "p01", "p99", "minimo", "maximo", "n")
-
-
-def nearest_mean(points: DataFrame, known: DataFrame, k: int, id_col: str, cell: float) -> DataFrame:
-    """Mean target of the k nearest known points (x, y, target) of each point, itself left out, equal distances by id.
-
-    Points meet in grid cells of side `cell` and the eight around. A point with fewer than k neighbours within one side
-    might have a nearer one outside, and is tried again on a grid four times as wide, until each has k or one cell
-    spans all known points.
-    """
-    from .training import written
-
-    def near(p: DataFrame, side: float) -> DataFrame:
-        at = lambda c: F.floor(F.col(c) / side).cast("long")
-        shift = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1))))
-        q = p.select(F.col(id_col).alias("_q"), F.col("x").alias("_x"), F.col("y").alias("_y"), at("x").alias("_i"), at("y").alias("_j")).withColumn("_s", shift)
-        q = q.select("_q", "_x", "_y", (F.col("_i") + F.col("_s.a")).alias("_i"), (F.col("_j") + F.col("_s.b")).alias("_j"))
-        r = known.select(F.col(id_col).alias("_r"), F.col("x").alias("_rx"), F.col("y").alias("_ry"), F.col("target").alias("_t"), at("x").alias("_i"), at("y").alias("_j"))
-        d = F.sqrt((F.col("_x") - F.col("_rx")) * (F.col("_x") - F.col("_rx")) + (F.col("_y") - F.col("_ry")) * (F.col("_y") - F.col("_ry")))
-        pairs = q.join(r, ["_i", "_j"]).where("_q <> _r").withColumn("_d", d).where(F.col("_d") <= side)
-        from .serving import top_per_group
-
-        best = top_per_group(pairs, ["_q"], [F.col("_d"), F.col("_r")], k)
-        return best.groupBy("_q").agg(F.avg("_t").alias("media"), F.count("*").alias("n"))
-
-    span = known.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
-    out, rest, side = None, points, cell
-    while True:
-        found = written(near(rest, side), "nearest")  # a round begins from the last one's table
-        last = side > 2 * span
-        done = found if last else found.where(F.col("n") >= k)
-        out = done if out is None else out.unionByName(done)
-        rest = written(rest.join(done, rest[id_col] == done["_q"], "left_anti"), "rest")
-        if last or rest.isEmpty():
-            return out.select(F.col("_q").alias(id_col), "media", "n")
-        side *= 4

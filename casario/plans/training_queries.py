@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import coerce
-from ..operators import metrics, quality, training
+from ..operators import metrics, nearest, quality, training
 from ..sources.listings import SQL as L
 from ..sources.listings import listings, read
 
@@ -184,4 +184,4 @@ def _(spark, sf_dir):
   SELECT vec_id, avg(target) AS media, count(*)::BIGINT AS n FROM N WHERE r <= 15 GROUP BY vec_id""")
 def _(spark, sf_dir):
     p = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"), F.col("label").cast("double").alias("target"))
-    return quality.nearest_mean(p, p, 15, "vec_id", 0.05)
+    return nearest.nearest_mean(p, p, 15, "vec_id")
