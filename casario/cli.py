@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import folds
-from .operators import features, history, market, training
+from .operators import enrichment, features, history, market, training
 from .session import ship
 from .sources import indices, lake, models, register
 
@@ -49,6 +49,13 @@ def _vocabulary(spark: SparkSession, args) -> DataFrame:
     return features.treated(lake.read_months(spark, args.source, args.month))
 
 
+def _enriched(spark: SparkSession, args) -> DataFrame:
+    """The monthly history with its texts' amenities as columns; what the extraction found is printed."""
+    rows = enrichment.with_amenities(lake.read_months(spark, args.source, args.month))
+    print(", ".join(f"{k} {v}" for k, v in enrichment.report(rows).first().asDict().items()))
+    return enrichment.expanded(rows)
+
+
 def _training(spark: SparkSession, args) -> DataFrame:
     """The monthly history to training rows and holdout, whole groups of equal listings only."""
     rows = training.filtered(lake.read_months(spark, args.source, args.month))
@@ -66,7 +73,7 @@ def _write(df: DataFrame, to: str, _month: str | None) -> None:
 
 
 STAGES = {
-    "month": (_month, lambda df, to, _: lake.write_months(df, to)), "market": (_market, lambda df, to, _: models.write_market(df, to)), "training": (_training, _write_training),
+    "month": (_month, lambda df, to, _: lake.write_months(df, to)), "enriched": (_enriched, lambda df, to, _: enrichment.write_enriched(df, to)), "market": (_market, lambda df, to, _: models.write_market(df, to)), "training": (_training, _write_training),
     "index": (_index, _write), "inflation": (_inflation, _write), "streets": (_streets, _write), "points": (_points, _write), "vocabulary": (_vocabulary, _write),
 }
 

@@ -81,8 +81,35 @@ def top_per_group(df: DataFrame, by: list[str], order: list, k: int) -> DataFram
     return df.withColumn("posicao", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("posicao") <= k)
 
 
+def _binned(df: DataFrame, value: str, cuts) -> DataFrame:
+    """df with faixa_cor: the place of the first cut that the value doesn't exceed (their number, if it exceeds all); null without a value.
+
+    cuts makes them, in order, from the least and greatest known value.
+    """
+    made = cuts(F.col("_lo"), F.col("_hi"))
+    above = F.lit(len(made))
+    for i in reversed(range(len(made))):
+        above = F.when(F.col(value) <= made[i], i).otherwise(above)
+    edges = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))  # one row
+    return df.join(F.broadcast(edges), F.lit(True)).withColumn("faixa_cor", F.when(F.col(value).isNotNull(), above.cast("int"))).drop("_lo", "_hi")
+
+
 def width_bins(df: DataFrame, value: str, bins: int = 5) -> DataFrame:
-    """df with faixa_cor: bins of equal width between the least and the greatest value (the only value is in the first)."""
-    edges = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0)
-    return df.join(F.broadcast(edges), F.lit(True)).withColumn("faixa_cor", F.when(F.col(value).isNotNull(), at.cast("int"))).drop("_lo", "_hi")
+    """df with faixa_cor: bins of equal width between the least and the greatest value; a cut itself belongs to the lower one."""
+    def cuts(lo, hi):
+        step = F.when(hi > lo, (hi - lo) / bins).otherwise(1.0)
+        return [lo + i * step for i in range(1, bins)]
+
+    return _binned(df, value, cuts)
+
+
+def diverging_bins(df: DataFrame, value: str, pivot: float = 0.0) -> DataFrame:
+    """df with faixa_cor: five bins around a pivot, the middle one a tenth of either side wide; a cut itself belongs to the lower one.
+
+    Fixed values: the cuts lie at 0.45 of the way from the least value to the pivot, 0.10 before and after the pivot, and 0.50 beyond it.
+    """
+    def cuts(lo, hi):
+        below, beyond = F.greatest(F.lit(pivot) - lo, F.lit(1e-9)), F.greatest(hi - F.lit(pivot), F.lit(1e-9))
+        return [lo + below * 0.45, F.lit(pivot) - below * 0.10, F.lit(pivot) + beyond * 0.10, F.lit(pivot) + beyond * 0.50]
+
+    return _binned(df, value, cuts)

@@ -214,11 +214,23 @@ def _(spark, sf_dir):
     return serving.top(listings(spark, sf_dir).groupBy("city").agg(F.count("*").alias("n")), "n", 8)
 
 
-@query("width_bins", _HOODS + """ , E AS (SELECT min(v) AS lo, max(v) AS hi FROM H) SELECT city, neighborhood, least(floor((v - lo) / (hi - lo) * 5), 4)::INT AS faixa_cor FROM H, E""")
+@query("width_bins", _HOODS + """ , E AS (SELECT min(v) AS lo, max(v) AS hi FROM H) SELECT city, neighborhood, ((v > lo + 1 * ((hi - lo) / 5))::INT + (v > lo + 2 * ((hi - lo) / 5))::INT + (v > lo + 3 * ((hi - lo) / 5))::INT + (v > lo + 4 * ((hi - lo) / 5))::INT)::INT AS faixa_cor FROM H, E""")
 def _(spark, sf_dir):
     return serving.width_bins(_hoods(spark, sf_dir), "v").select("city", "neighborhood", "faixa_cor")
 
 
+_CHANGE = _HOODS + """ , M AS (SELECT city, median(v) AS m FROM H GROUP BY city), D AS (SELECT city, neighborhood, CASE WHEN n_anuncios > 1 THEN v / m - 1 END AS d FROM H JOIN M USING (city)),
+ E AS (SELECT min(d) AS lo, greatest(0 - min(d), 1e-9) AS a, greatest(max(d) - 0, 1e-9) AS b FROM D)"""
+
+
+@query("diverging_bins", _CHANGE + """ SELECT city, neighborhood, CASE WHEN d <= lo + a * 0.45 THEN 0 WHEN d <= 0 - a * 0.10 THEN 1 WHEN d <= 0 + b * 0.10 THEN 2 WHEN d <= 0 + b * 0.50 THEN 3 WHEN d IS NOT NULL THEN 4 END::INT AS faixa_cor FROM D, E""")
+def _(spark, sf_dir):
+    hoods = _hoods(spark, sf_dir)
+    middle = hoods.groupBy("city").agg(F.median("v").alias("m"))
+    d = hoods.join(middle, "city").withColumn("d", F.when(F.col("n_anuncios") > 1, F.col("v") / F.col("m") - 1))
+    return serving.diverging_bins(d, "d").select("city", "neighborhood", "faixa_cor")
+
+
 @query("last_turn_per_conversation", "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1")
 def _(spark, sf_dir):
     return history.last_per_key(read(spark, sf_dir, "conversations"), ["conv_id"], [F.desc("turn"), F.desc("role"), F.desc("text")]).select("conv_id", "turn", "role", "text")

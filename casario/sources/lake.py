@@ -50,16 +50,15 @@ def read_month(spark: SparkSession, root: str, month: str) -> DataFrame:
     """All captures of one month (yyyy-MM) with their keys; none is an error.
 
     Foreign files of one column with whole and with decimal numbers don't merge in Spark: files are grouped by their
-    footers' types, each group read and cast to the record.
+    footers' types, which one job reads, and each group is read and cast to the record.
     """
     year, number = month.split("-")
-    glob = f"{root}/*/*/{year}/{number}/*/*/*/*.parquet"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(glob)
-    files = [str(f.getPath()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
+    files = listed(spark, f"{root}/*/*/{year}/{number}/*/*/*/*.parquet")
     groups: dict[str, list[str]] = {}
-    for f in files:  # one footer a file, read on the driver: a month has a file per source and day
-        groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+    for r in footers(spark, files).collect():  # a row for each file, whose names are here already
+        if r["campos"] is None:
+            raise OSError(f"{r['arquivo']} is no readable Parquet file")
+        groups.setdefault("|".join(c for c in r["campos"] if c.split(":")[0] in RECORD.fieldNames()), []).append(r["arquivo"])
     out = None
     for same in groups.values():
         d = with_keys(spark.read.parquet(*same))
@@ -70,12 +69,73 @@ def read_month(spark: SparkSession, root: str, month: str) -> DataFrame:
     return require_rows(out, f"captures of {month}")
 
 
+def listed(spark: SparkSession, glob: str) -> list[str]:
+    """The files of a glob, by directory listings alone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(glob)
+    return [str(f.getPath()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
+
+
+#: Schemes whose files a task opens by itself and reads from their end; files of other stores come to the tasks whole, by Spark's reader.
+OPENED = {"file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+#: Files whose footers one task reads.
+PER_TASK = 64
+
+
+def _footer(source) -> tuple[int | None, list[str] | None]:
+    """Rows and fields (name:type) of an open Parquet file; None for what is none."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    try:
+        f = pq.ParquetFile(source)
+        return f.metadata.num_rows, sorted(f"{c.name}:{c.type}" for c in f.schema_arrow)
+    except (pa.ArrowException, OSError):
+        return None, None
+
+
+def footers(spark: SparkSession, files: list[str]) -> DataFrame:
+    """arquivo, linhas and campos (sorted name:type) from the files' footers, null for what is no Parquet: one job, one task for PER_TASK files."""
+    import pyarrow as pa
+
+    kind = "arquivo string, linhas long, campos array<string>"
+    if not files:
+        return spark.createDataFrame([], kind)
+    scheme = files[0].partition(":")[0] if ":" in files[0] else "file"
+
+    def batch(names, found):
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.list_(pa.string()))], ["arquivo", "linhas", "campos"])
+
+    def opened(batches):
+        from pyarrow import fs
+
+        def one(name: str):
+            rest = name.partition(":")[2] if ":" in name else name
+            if OPENED[scheme] == "file":
+                return _footer("/" + rest.lstrip("/"))
+            store, path = fs.FileSystem.from_uri(f"{OPENED[scheme]}:{rest}")
+            with store.open_input_file(path) as f:
+                return _footer(f)
+
+        for b in batches:
+            names = b.column(0).to_pylist()
+            yield batch(names, [one(n) for n in names])
+
+    def carried(batches):
+        import io
+
+        for b in batches:
+            for i in range(b.num_rows):  # one file at a time: only its footer is looked at
+                yield batch([b.column(0)[i].as_py()], [_footer(io.BytesIO(b.column(1)[i].as_buffer().to_pybytes()))])
+
+    if scheme in OPENED:
+        rows = spark.createDataFrame([(f,) for f in files], "arquivo string").repartition(-(-len(files) // PER_TASK))
+        return rows.mapInArrow(opened, kind)
+    return spark.read.format("binaryFile").load(files).select("path", "content").mapInArrow(carried, kind)
+
+
 def months(spark: SparkSession, root: str) -> list[str]:
     """Months with captures, oldest first, from directory names alone."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{root}/*/*/*/*/*/*/*/*.parquet")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted({"-".join(str(f.getPath()).split("/")[-6:-4]) for f in found})
+    return sorted({"-".join(f.split("/")[-6:-4]) for f in listed(spark, f"{root}/*/*/*/*/*/*/*/*.parquet")})
 
 
 def path_token(text: str) -> str:
@@ -143,29 +203,9 @@ def read_months(spark: SparkSession, root: str, month: str | None = None) -> Dat
 
 
 def file_counts(spark: SparkSession, glob: str) -> DataFrame:
-    """file and rows of each file of a glob; -1 for one that can't be read, which is not the same as 0 rows."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(glob)
-    files = [str(f.getPath()) for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []]
-    every = spark.createDataFrame([(f,) for f in files], "arquivo string")
-    lenient = spark.read.option("ignoreCorruptFiles", "true")
-    rows = lenient.schema(T.StructType([T.StructField("property_id", T.StringType())])).parquet(*files) if files else None
-    if rows is None:
-        return every.withColumn("linhas", F.lit(0).cast("long"))
-    counted = rows.select(F.col("_metadata.file_path").alias("_f")).groupBy("_f").agg(F.count("*").alias("linhas"))
-    # Files without rows and broken ones have no count: a footer tells them apart, in a task for each.
-    odd = every.join(counted, every["arquivo"] == counted["_f"], "left_anti")
-    names = [r[0] for r in odd.collect()]
-    broken = [f for f in names if not _readable(spark, f)]
-    return every.join(counted, every["arquivo"] == counted["_f"], "left").select("arquivo", F.when(F.col("arquivo").isin(broken), F.lit(-1)).otherwise(F.coalesce("linhas", F.lit(0))).cast("long").alias("linhas"))
-
-
-def _readable(spark: SparkSession, file: str) -> bool:
-    try:
-        spark.read.parquet(file).count()
-    except Exception:  # whatever the reader makes of a file that is no Parquet
-        return False
-    return True
+    """arquivo and linhas of each file of a glob, from its footer; -1 for one that can't be read or has no ids, which is not the same as 0 rows."""
+    known = F.exists("campos", lambda c: c.startswith("property_id:"))
+    return footers(spark, listed(spark, glob)).select("arquivo", F.when(known, F.col("linhas")).otherwise(F.lit(-1)).cast("long").alias("linhas"))
 
 
 def same_after_copy(before: DataFrame, after: DataFrame) -> bool:

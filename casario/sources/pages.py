@@ -112,3 +112,38 @@ def nested_sitemap(spark: SparkSession, path: str, located, depth: int = 3) -> D
         if not level:
             break
     return out.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+
+
+def facets(url: Column, html: Column) -> Column:
+    """Whole addresses of the facets that a page links: links below its own path, of 4 to 81 characters more, that end in a slash.
+
+    They come from the page's own links, as each city has its own grammar of paths.
+    """
+    path = F.parse_url(url, F.lit("PATH"))
+    host = F.concat(F.parse_url(url, F.lit("PROTOCOL")), F.lit("://"), F.parse_url(url, F.lit("HOST")))
+    found = F.regexp_extract_all(html, F.lit('href="([^"?#]+/)"'), F.lit(1))
+    more = lambda link: F.char_length(link) - F.char_length(path)
+    below = F.filter(found, lambda link: F.startswith(link, path) & (more(link) >= 4) & (more(link) <= 81))
+    return F.coalesce(F.transform(F.array_distinct(below), lambda link: F.concat(host, link)), F.array().cast("array<string>"))
+
+
+def harvest(pages: DataFrame, seeds: DataFrame, rounds: int = 30) -> DataFrame:
+    """url, rodada and lida (whether the page is stored) of all that can be reached from the seeds by facets, each once.
+
+    Breadth first: a round reads the facets of the stored pages of the last one and drops what any round has met. pages may
+    hold an address several times; seeds is a table with url. Rounds are written, so that a lost executor repeats one at most.
+    """
+    from ..operators.training import written
+
+    links = written(pages.where("url IS NOT NULL").select("url", facets(F.col("url"), F.col("html")).alias("facetas")).groupBy("url").agg(F.array_distinct(F.flatten(F.collect_set("facetas"))).alias("facetas")), "links")
+    new = written(seeds.where("url IS NOT NULL").select("url").distinct().withColumn("rodada", F.lit(0)), "frontier")
+    seen = new
+    for n in range(1, rounds + 1):
+        found = new.join(links, "url").select(F.explode("facetas").alias("url")).distinct()
+        new = written(found.join(seen, "url", "left_anti").withColumn("rodada", F.lit(n)), "frontier")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+    else:
+        raise RuntimeError(f"facets go deeper than {rounds} rounds")
+    return seen.join(links.select("url", F.lit(True).alias("lida")), "url", "left").withColumn("lida", F.coalesce("lida", F.lit(False)))
