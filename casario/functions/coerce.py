@@ -69,7 +69,7 @@ def month_number(month: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Trimmed, non-empty items of a comma list."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def brazilian_or_plain(text: Column, plain: bool) -> Column:

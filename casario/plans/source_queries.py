@@ -151,12 +151,12 @@ def _(spark, sf_dir):
     return out.select("tie", "cep_n_enderecos", *(F.round(c, 9).alias(c) for c in ("cep_lat_mm", "cep_lon_mm", "geo_prod", "geo_soma", "geo_dif", "geo_raio")))
 
 
-@query("encoded_rows", """ , T AS (SELECT * FROM L WHERE tie % 3 <> 0 AND city <> 'FRANCE'), G AS (SELECT avg(ln(price / area_m2)) AS g FROM T),
+@query("encoded_rows", """ , T AS (SELECT * FROM L WHERE tie % 3 <> 0 AND city <> 'NATION_5'), G AS (SELECT avg(ln(price / area_m2)) AS g FROM T),
  E AS (SELECT city, sum(ln(price / area_m2)) AS s, count(*)::BIGINT AS n FROM T GROUP BY city)
  SELECT tie, round(coalesce((s + 20 * g) / (n + 20), g), 6) AS te_city, coalesce(n, 0)::BIGINT AS n_city FROM L CROSS JOIN G LEFT JOIN E USING (city)""")
 def _(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    out = features.encoded(rows.where("tie % 3 <> 0 AND city <> 'FRANCE'"), rows, ["city"], F.ln(F.col("price") / F.col("area_m2")))
+    out = features.encoded(rows.where("tie % 3 <> 0 AND city <> 'NATION_5'"), rows, ["city"], F.ln(F.col("price") / F.col("area_m2")))
     return out.select("tie", F.round("te_city", 6).alias("te_city"), "n_city")
 
 
@@ -203,10 +203,10 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", features.client_key(F.col("c_name"), "sal").alias("chave"))
 
 
-@query("neighbourhood_view", " SELECT city AS cidade, neighborhood AS bairro, count(*)::BIGINT AS n_anuncios, median(price) AS preco_mediano, CASE WHEN min(bedrooms) = 1 THEN min(area_m2) END AS lat FROM L WHERE city = 'UNITED STATES' GROUP BY ALL HAVING min(bedrooms) = 1")
+@query("neighbourhood_view", " SELECT city AS cidade, neighborhood AS bairro, count(*)::BIGINT AS n_anuncios, median(price) AS preco_mediano, CASE WHEN min(bedrooms) = 1 THEN min(area_m2) END AS lat FROM L WHERE city = 'NATION_1' GROUP BY ALL HAVING min(bedrooms) = 1")
 def _(spark, sf_dir):
     d = listings(spark, sf_dir).groupBy(F.col("city").alias("cidade"), F.col("neighborhood").alias("bairro")).agg(F.count("*").alias("n_anuncios"), F.median("price").alias("preco_mediano"), F.when(F.min("bedrooms") == 1, F.min("area_m2")).alias("lat"))
-    return views.neighbourhood_view(d, "United-States", True)
+    return views.neighbourhood_view(d, "Nation-1", True)
 
 
 @query("neighbourhood_totals", " , N AS (SELECT city, neighborhood, min(bedrooms) = 2 AS sem FROM L GROUP BY ALL) SELECT (count(*) FILTER (NOT sem))::BIGINT AS n, count(*)::BIGINT AS n_total, (count(*) FILTER (sem))::BIGINT AS sem_coordenada FROM N")
@@ -225,9 +225,9 @@ def _(spark, sf_dir):
     return features.segment(listings(spark, sf_dir), "venda_ate800k", 50_000.0).select("tie", "price")
 
 
-@query("city_cut", " SELECT tie FROM L WHERE city = 'UNITED KINGDOM'")
+@query("city_cut", " SELECT tie FROM L WHERE city = 'NATION_3'")
 def _(spark, sf_dir):
-    return features.city_cut(listings(spark, sf_dir), "united  kingdom").select("tie")
+    return features.city_cut(listings(spark, sf_dir), "nation_3").select("tie")
 
 
 @query("request_rows", """SELECT p_partkey, p_size::DOUBLE AS area_m2, CASE p_size % 3 WHEN 0 THEN 'mar_total' WHEN 1 THEN 'livre' ELSE 'nao_menciona' END AS rx_vista, p_size % 2 = 0 AS amen_piscina, p_size % 5 = 0 AS sem_elevador FROM part""")

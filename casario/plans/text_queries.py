@@ -53,12 +53,6 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length("text") >= 40, text_rules.richness(F.col("text"))).alias("riqueza"))
 
 
-@query("amenity_extract")
-def _(spark, sf_dir):
-    d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", amenities.mentioned(F.col("text")).alias("m"))
-    return d.select("doc_id", F.array_join("m.pos", "|").alias("pos"), F.array_join("m.neg", "|").alias("neg"))
-
-
 _URL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)), '/+$', '')"
 
 
@@ -73,11 +67,6 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.size(pages.links(F.col("html"))).alias("n_links"))
 
 
-@query("jsonld_blocks")
-def _(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(pages.blocks(F.col("html"))).alias("n_blocos"))
-
-
 @query("fold_group", "SELECT lower(strip_accents(lang || ' ' || source)) AS chave, count(*)::BIGINT AS n FROM documents GROUP BY 1")
 def _(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select(F.concat_ws(" ", "lang", "source").alias("x"))
@@ -93,12 +82,6 @@ def _(spark, sf_dir):
     return market.canonical_spelling(folds.folded(x, "form", "ascii_key", "chave"), "chave", "form").select("chave", "canonical")
 
 
-@query("property_types")
-def _(spark, sf_dir):
-    kinds = read(spark, sf_dir, "part").select("p_type").distinct().withColumn("tipo", vocabulary.property_type(F.col("p_type")))
-    return kinds.select("p_type", "tipo", vocabulary.residential(F.col("tipo")).alias("residencial"), vocabulary.family(F.col("tipo")).alias("familia"))
-
-
 @query("coercion", r"""WITH X AS (SELECT p_partkey, 'R$ ' || (p_partkey * 7)::VARCHAR || '.' || lpad((p_partkey % 1000)::VARCHAR, 3, '0') || ',50' AS dinheiro, (p_size)::VARCHAR || '-' || (p_size + 9)::VARCHAR || ' m2' AS area, lpad(p_partkey::VARCHAR, 5, '0') || '-350' AS cep FROM part)
   SELECT p_partkey, replace(replace(regexp_replace(dinheiro, '[^0-9,.\-]', '', 'g'), '.', ''), ',', '.')::DOUBLE AS valor, regexp_extract(area, '\d+')::INT AS area, regexp_matches(area, '\d+\s*-\s*\d+') AS faixa, regexp_replace(cep, '\D', '', 'g') AS cep, substr(cep, 1, 5) AS cep_prefix FROM X""")
 def _(spark, sf_dir):
