@@ -95,3 +95,9 @@ def reject_reason(required: list[str], kinds: tuple[str, ...] = ("venda", "locac
     missing = F.array_compact(F.array(*(F.when(F.coalesce(F.col(c).cast("string") == "", F.lit(True)), F.lit(c)) for c in required)))
     kind = F.coalesce(F.col("transaction_type").isin(*kinds), F.lit(False))
     return F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ","))).when(~kind, F.lit("transaction_type"))
+
+
+def month_of(date: Column) -> Column:
+    """yyyy-MM of a date or of text that begins with one; of yyyyMM too. Null for anything else."""
+    text = date.cast("string")
+    return F.when(text.rlike(r"^\d{4}-(0[1-9]|1[0-2])(-|$)"), F.substring(text, 1, 7)).when(text.rlike(r"^\d{4}(0[1-9]|1[0-2])$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2)))

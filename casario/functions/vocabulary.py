@@ -126,3 +126,8 @@ def amenities(column: Column) -> Column:
         return s.map(lambda xs: sorted({a for x in xs if (a := amenity_of(x))}) if xs is not None else [])
 
     return run(column)
+
+
+def model_type(column: Column) -> Column:
+    """The canonical type as a category of the model: null for what is unknown, so that titles in the wrong field are no levels."""
+    return F.nullif(property_type(column), F.lit(""))

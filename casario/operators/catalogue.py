@@ -92,3 +92,51 @@ PHYSICAL = {"area_m2": (15.0, 2_000.0), "bedrooms": (0.0, 12.0), "bathrooms": (0
 def missing_optionals(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with ausentes: the names of unknown optional answers."""
     return df.withColumn("ausentes", F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in columns))))
+
+
+def resolved(requests: DataFrame, pairs: DataFrame, models: DataFrame) -> DataFrame:
+    """requests (city, target) with version, or motivo: the configuration (city, target, available, why) is asked before the models.
+
+    Fixed values: the reasons' texts. A pair that is switched off is refused though a model of it may be there.
+    """
+    newest = models.where("complete").groupBy("city", "target").agg(F.max("version").alias("version"))
+    known = pairs.select("city", "target", "available", "why", F.lit(True).alias("_known"))
+    out = requests.join(known, ["city", "target"], "left").join(newest, ["city", "target"], "left")
+    reason = F.when(F.col("_known").isNull(), "cidade ou transacao fora do escopo atendido").when(~F.col("available"), F.coalesce("why", F.lit("modelo estatistico ainda nao disponivel")))
+    reason = reason.when(F.col("version").isNull(), "modelo declarado disponivel mas ausente no disco -- a publicacao do modelo falhou")
+    return out.withColumn("motivo", reason).withColumn("version", F.when(reason.isNull(), F.col("version"))).drop("available", "why", "_known")
+
+
+def caveats(df: DataFrame, booleans: list[str]) -> DataFrame:
+    """df with ressalvas: what an estimate can't hold for the answers given.
+
+    nao_menos_confiavel:<questions> for answers of no (texts that don't mention a thing and texts that deny it look alike),
+    sem_elevador where that is the answer on lifts, vista_nao_informada without a view.
+    """
+    denied = F.array_compact(F.array(*(F.when(~F.col(c), F.lit(c)) for c in booleans)))
+    notes = [F.when(F.size(denied) > 0, F.concat(F.lit("nao_menos_confiavel:"), F.array_join(denied, ",")))]
+    if "elevador" in df.columns:
+        notes.append(F.when(~F.col("elevador"), F.lit("sem_elevador")))
+    if "vista" in df.columns:
+        notes.append(F.when(F.coalesce(F.col("vista").isin("nenhuma", "nao_sei"), F.lit(True)), F.lit("vista_nao_informada")))
+    return df.withColumn("ressalvas", F.array_compact(F.array(*notes)))
+
+
+def missing_ids(df: DataFrame, layer: DataFrame, key: str) -> DataFrame:
+    """The keys of df that a layer lacks, each once."""
+    return df.select(key).distinct().join(layer.select(key), key, "left_anti")
+
+
+def disjoint(a: DataFrame, b: DataFrame, key: str) -> None:
+    """ValueError when two sets share a key."""
+    both = [r[0] for r in a.select(key).intersect(b.select(key)).limit(5).collect()]
+    if both:
+        raise ValueError(f"{key} in both sets: {both}")
+
+
+def absent_yields(cities: DataFrame, yields_table: DataFrame, city: str = "city") -> DataFrame:
+    """The cities without a usable yield and motivo: no row at all, or one whose numbers are out of order."""
+    own = yields_table.select(F.col(city), F.lit(True).alias("_any"), (F.expr("p10 > 0 AND p10 <= median AND median <= p90 AND p90 < 0.05")).alias("_ok"))
+    found = own.groupBy(city).agg(F.max("_any").alias("_any"), F.max(F.coalesce("_ok", F.lit(False))).alias("_ok"))
+    out = cities.select(city).distinct().join(found, city, "left").where(~F.coalesce("_ok", F.lit(False)))
+    return out.select(city, F.when(F.col("_any").isNull(), "sem_rendimento").otherwise("rendimento_invalido").alias("motivo"))

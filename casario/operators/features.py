@@ -265,3 +265,14 @@ def digests(spark, glob: str) -> DataFrame:
 def as_types(df: DataFrame, schema: T.StructType) -> DataFrame:
     """df's columns of schema, each of its type; missing ones null."""
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def form_cut(df: DataFrame, form: list[str], machinery: list[str]) -> DataFrame:
+    """Only the form's columns and what folds and measures need; a missing one of either is an error."""
+    return form_matrix(df, [*dict.fromkeys([*form, *machinery])])
+
+
+def family_prevalence(df: DataFrame, families: list[str]) -> DataFrame:
+    """familia and its share of rows in percent, of boolean family columns; unknown counts as no."""
+    shares = df.agg(*(F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) * 100, 2).alias(c) for c in families))
+    return shares.select(F.explode(F.array(*(F.struct(F.lit(c).alias("familia"), F.col(c).alias("prevalencia")) for c in families))).alias("x")).select("x.*")

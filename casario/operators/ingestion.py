@@ -12,8 +12,23 @@ TEXTS = ("description_clean", "address", "neighborhood", "city", "property_type"
 NUMBERS = {"price": "money", "condo_fee": "money", "iptu_tax": "money", "area_m2": "int", "area_total_m2": "int", "bedrooms": "int", "bathrooms": "int", "suites": "int", "parking_spots": "int", "floor_level": "int"}
 
 
-def with_provenance(raw: DataFrame, domain: str, day: str, city: str | None = None, state: str | None = None) -> DataFrame:
-    """raw with its source and day; the target's city and state fill what the page leaves out."""
+def with_hints(raw: DataFrame) -> DataFrame:
+    """raw with what its address or search knew of a page (columns hint_<name>) where the page itself says nothing; the hints go."""
+    hints = [c for c in raw.columns if c.startswith("hint_")]
+    return raw.withColumns({c[5:]: F.coalesce(F.col(c[5:]), F.col(c)) if c[5:] in raw.columns else F.col(c) for c in hints}).drop(*hints)
+
+
+def with_provenance(raw: DataFrame, domain: str, day: str, city: str | None = None, state: str | None = None, platform: str | None = None) -> DataFrame:
+    """raw with its source and day: hints below the page, then the target's city and state for what both leave out.
+
+    What the collector knows by itself lies above the page: domain, platform and day, and, where raw has columns discovered_link
+    and discovered_transaction_type, the link and the transaction by which it came.
+    """
+    raw = with_hints(raw)
+    above = {c[11:]: F.coalesce(F.col(c), F.col(c[11:])) if c[11:] in raw.columns else F.col(c) for c in ("discovered_link", "discovered_transaction_type") if c in raw.columns}
+    raw = raw.withColumns(above).drop("discovered_link", "discovered_transaction_type")
+    if platform:
+        raw = raw.withColumn("source_platform", F.lit(platform))
     have = set(raw.columns)
     for c in ("listing_id", "link", "city", "state", "listing_first_seen"):
         if c not in have:
@@ -68,3 +83,12 @@ def report(records: DataFrame) -> DataFrame:
     return records.groupBy("motivo").agg(F.count("*").alias("n"))
 
 
+def run_report(runs: DataFrame) -> DataFrame:
+    """fonte (platform:domain), situacao (SKIP, FAIL, OK), n runs and linhas of source runs (platform, domain, skipped, error, rows), and their totals (fonte TOTAL, situacao null).
+
+    A skipped run adds no rows; one that failed adds what it had.
+    """
+    status = F.when(F.col("skipped").isNotNull(), "SKIP").when(F.col("error").isNotNull(), "FAIL").otherwise("OK")
+    each = runs.select(F.concat_ws(":", "platform", "domain").alias("fonte"), status.alias("situacao"), F.when(F.col("skipped").isNull(), F.coalesce("rows", F.lit(0))).otherwise(0).cast("long").alias("linhas"))
+    own = each.groupBy("fonte", "situacao").agg(F.count("*").alias("n"), F.sum("linhas").alias("linhas"))
+    return own.unionByName(own.agg(F.sum("n").alias("n"), F.sum("linhas").alias("linhas")).select(F.lit("TOTAL").alias("fonte"), F.lit(None).cast("string").alias("situacao"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("linhas", F.lit(0)).cast("long").alias("linhas")))

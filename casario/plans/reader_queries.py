@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce, vocabulary
-from ..operators import catalogue, enrichment, features, training, views
+from ..operators import catalogue, enrichment, features, ingestion, training, views
 from ..sources import captures, html_platforms, lake, pages
 from ..sources.listings import SQL as L
 from ..sources.listings import listings, read
@@ -379,3 +379,149 @@ def _(spark, sf_dir):
     for month, where in (("08", "p_partkey % 4 IN (0, 1)"), ("09", "p_partkey % 4 IN (2, 3)")):  # months that name other labels
         enrichment.write_enriched(enrichment.expanded(enrichment.with_amenities(d.where(where).withColumn("mes", F.lit(month)))), to)
     return enrichment.read_enriched(spark, to).select("property_id", "mes", "amen_piscina", "amen_elevador", "nega_piscina", "nega_elevador", "amen_academia", "em_obra", "rx_vaga_tipo", "rx_vista")
+
+
+@query("form_cut", "SELECT p_partkey, p_size AS area, p_brand AS bairro, p_retailprice AS price FROM part")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "part").select("*", F.col("p_size").alias("area"), F.col("p_brand").alias("bairro"), F.col("p_retailprice").alias("price"), F.lit(True).alias("amen_piscina"))
+    return features.form_cut(d, ["p_partkey", "area", "bairro"], ["price", "p_partkey"])
+
+
+@query("family_prevalence", "SELECT 'agua' AS familia, round(avg((p_partkey % 3 = 0)::INT) * 100, 2) AS prevalencia FROM part UNION ALL SELECT 'carro', round(avg((p_partkey % 5 = 0)::INT) * 100, 2) FROM part")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    return features.family_prevalence(read(spark, sf_dir, "part").select(F.when(k % 3 == 0, True).alias("agua"), (k % 5 == 0).alias("carro")), ["agua", "carro"])
+
+
+@query("provenance", """SELECT 'p' || p_partkey::VARCHAR AS listing_id, CASE WHEN p_partkey % 2 = 0 THEN 'Página' WHEN p_partkey % 3 = 0 THEN 'Dica' ELSE 'Alvo' END AS city, CASE WHEN p_partkey % 3 = 0 THEN 'XX' ELSE 'SP' END AS state, 'venda' AS transaction_type,
+  'https://a.com/' || p_partkey::VARCHAR AS link, 'a.com' AS source_domain, 'plat' AS source_platform, '2026-08-01' AS extraction_date, CASE WHEN p_partkey % 5 = 0 THEN '2020-01-01' ELSE '2026-08-01' END AS listing_first_seen FROM part""")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    raw = read(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), k.cast("string")).alias("listing_id"), F.when(k % 2 == 0, "Página").alias("city"), F.when(k % 3 == 0, "Dica").alias("hint_city"), F.when(k % 3 == 0, "XX").alias("hint_state"), F.lit("locacao").alias("transaction_type"), F.lit("venda").alias("discovered_transaction_type"),
+        F.concat(F.lit("https://a.com/"), k.cast("string")).alias("discovered_link"), F.lit("outro").alias("source_platform"), F.when(k % 5 == 0, "2020-01-01").alias("listing_first_seen"))
+    out = ingestion.with_provenance(raw, "a.com", "2026-08-01", "Alvo", "SP", "plat")
+    return out.select("listing_id", "city", "state", "transaction_type", "link", "source_domain", "source_platform", "extraction_date", "listing_first_seen")
+
+
+@query("normalised_records", """WITH X AS (SELECT o_orderkey AS k, o_orderkey % 6 AS m FROM orders)
+  SELECT k, CASE m WHEN 1 THEN 'link' WHEN 2 THEN 'city' END AS motivo, CASE WHEN m NOT IN (1) THEN 'https://a.com/' || k::VARCHAR END AS link, CASE WHEN m = 4 THEN 'Ligue [CONTATO]' ELSE 'Casa ampla' END AS descricao, CASE WHEN m = 5 THEN NULL ELSE 450000 END::DOUBLE AS price FROM X WHERE m <> 3""")
+def _(spark, sf_dir):
+    k, m = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    raw = read(spark, sf_dir, "orders").where(m != 3).select(
+        k.alias("k"), k.cast("string").alias("listing_id"), F.when(m == 1, F.lit("tel:139911")).otherwise(F.concat(F.lit("https://a.com/"), k.cast("string"))).alias("link"), F.when(m == 2, "Outra").otherwise("Santos").alias("city"), F.lit("SP").alias("state"), F.lit("venda").alias("transaction_type"), F.lit("p").alias("source_platform"),
+        F.when(m == 5, "R$ 45,00").otherwise("R$ 450.000,00").alias("price"), F.lit("100").alias("area_m2"), F.when(m == 4, "Ligue (13) 99123-4567").otherwise("Casa ampla").alias("description_clean"))
+    out = ingestion.normalised(ingestion.with_provenance(raw, "a.com", "2026-08-01"), ["Santos", "São Vicente"])
+    ids = raw.select("k", coerce.property_id(F.lit("a.com"), F.col("listing_id"), F.col("link")).alias("property_id"))
+    return ids.join(out, "property_id").select("k", "motivo", "link", F.col("description_clean").alias("descricao"), "price")
+
+
+@query("run_report", """WITH X AS (SELECT 'p' || (s_suppkey % 3)::VARCHAR || ':d' || (s_suppkey % 7)::VARCHAR AS fonte, CASE WHEN s_suppkey % 5 = 0 THEN 'SKIP' WHEN s_suppkey % 4 = 0 THEN 'FAIL' ELSE 'OK' END AS situacao, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE s_suppkey END AS linhas FROM supplier)
+  SELECT fonte, situacao, count(*)::BIGINT AS n, sum(linhas)::BIGINT AS linhas FROM X GROUP BY ALL UNION ALL SELECT 'TOTAL', NULL, count(*)::BIGINT, sum(linhas)::BIGINT FROM X""")
+def _(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return ingestion.run_report(read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("p"), (k % 3).cast("string")).alias("platform"), F.concat(F.lit("d"), (k % 7).cast("string")).alias("domain"), F.when(k % 5 == 0, "robots").alias("skipped"), F.when(k % 4 == 0, "timeout").alias("error"), k.alias("rows")))
+
+
+@query("resolved_models", """WITH M AS (SELECT 'NATION_' || (c_custkey % 20)::VARCHAR AS city, 'venda' AS target, max('2026-' || lpad((c_custkey % 90)::VARCHAR, 3, '0')) AS version FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 20 <> 7 GROUP BY ALL),
+  R AS (SELECT s_suppkey, 'NATION_' || (s_suppkey % 30)::VARCHAR AS city FROM supplier), Q AS (SELECT s_suppkey, R.city, n_nationkey, M.version AS v, CASE WHEN n_nationkey IS NULL THEN 'cidade ou transacao fora do escopo atendido' WHEN n_nationkey % 6 = 0 THEN CASE WHEN n_nationkey % 4 <> 0 THEN 'poucos' ELSE 'modelo estatistico ainda nao disponivel' END
+  WHEN M.version IS NULL THEN 'modelo declarado disponivel mas ausente no disco -- a publicacao do modelo falhou' END AS motivo FROM R LEFT JOIN nation ON n_name = R.city LEFT JOIN M ON M.city = R.city) SELECT s_suppkey, city, motivo, CASE WHEN motivo IS NULL THEN v END AS version FROM Q""")
+def _(spark, sf_dir):
+    k, n, s = F.col("c_custkey"), F.col("n_nationkey"), F.col("s_suppkey")
+    models = read(spark, sf_dir, "customer").select(F.concat(F.lit("NATION_"), (k % 20).cast("string")).alias("city"), F.lit("venda").alias("target"), F.concat(F.lit("2026-"), F.lpad((k % 90).cast("string"), 3, "0")).alias("version"), ((k % 3 == 0) & (k % 20 != 7)).alias("complete"))
+    pairs = read(spark, sf_dir, "nation").select(F.col("n_name").alias("city"), F.lit("venda").alias("target"), (n % 6 != 0).alias("available"), F.when(n % 4 != 0, "poucos").alias("why"))
+    asked = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("NATION_"), (s % 30).cast("string")).alias("city"), F.lit("venda").alias("target"))
+    return catalogue.resolved(asked, pairs, models).select("s_suppkey", "city", "motivo", "version")
+
+
+@query("caveats", """SELECT p_partkey, concat_ws('|', CASE WHEN p_partkey % 3 = 0 OR p_partkey % 5 = 0 THEN 'nao_menos_confiavel:' || concat_ws(',', CASE WHEN p_partkey % 3 = 0 THEN 'piscina' END, CASE WHEN p_partkey % 5 = 0 THEN 'elevador' END) END,
+  CASE WHEN p_partkey % 5 = 0 THEN 'sem_elevador' END, CASE WHEN p_partkey % 4 IN (0, 1) THEN 'vista_nao_informada' END) AS ressalvas FROM part""")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    d = read(spark, sf_dir, "part").select("p_partkey", F.when(k % 3 == 0, False).when(k % 3 == 1, True).alias("piscina"), F.when(k % 5 == 0, False).alias("elevador"), F.when(k % 4 == 1, "nao_sei").when(k % 4 > 1, "mar").alias("vista"))
+    return catalogue.caveats(d, ["piscina", "elevador"]).select("p_partkey", F.array_join("ressalvas", "|").alias("ressalvas"))
+
+
+@query("absent_yields", "SELECT n_name AS city, CASE WHEN n_nationkey % 3 = 0 THEN 'sem_rendimento' ELSE 'rendimento_invalido' END AS motivo FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 3 = 1 AND n_nationkey % 2 = 0")
+def _(spark, sf_dir):
+    n = read(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    table = n.where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("city"), F.when((k % 3 == 1) & (k % 2 == 0), 0.006).otherwise(0.003).alias("p10"), F.lit(0.004).alias("median"), F.lit(0.005).alias("p90"))
+    return catalogue.absent_yields(n.select(F.col("n_name").alias("city")), table)
+
+
+@query("missing_ids", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 20 = 0)")
+def _(spark, sf_dir):
+    return catalogue.missing_ids(read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("card_summaries", """SELECT 'v' || s_suppkey::VARCHAR AS versao, CASE WHEN s_suppkey % 2 = 0 THEN 'b.parquet' ELSE '' END AS base, n_name || '/venda' AS segmento, s_suppkey * 10 AS n_treino, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE 0 END AS n_holdout, s_acctbal AS rmse_holdout,
+  NULL::DOUBLE AS mae_holdout, n_name AS cidade, 'cidade' AS escopo_treino FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def _(spark, sf_dir):
+    from ..sources import models
+
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    card = F.to_json(F.struct(
+        F.struct(F.col("n_name").alias("cidade"), F.lit("venda").alias("alvo"), F.concat(F.lit("v"), k.cast("string")).alias("versao")).alias("identificacao"), F.struct(F.lit("cidade").alias("escopo_treino"), (k * 10).alias("n_treino"), F.when(k % 3 == 0, k).alias("n_holdout")).alias("escopo"),
+        F.struct(F.when(k % 2 == 0, "b.parquet").alias("abt")).alias("dados"), F.struct(F.col("s_acctbal").alias("rmse_brl")).alias("desempenho"), F.struct(F.lit(1).alias("x")).alias("limites")))
+    texts = rows.select(card.alias("value"))
+    texts = texts.unionByName(texts.limit(1).select(F.lit("{no card").alias("value")))
+    return models.summaries(texts).select("versao", "base", "segmento", "n_treino", "n_holdout", "rmse_holdout", "mae_holdout", "cidade", "escopo_treino")
+
+
+@query("card_metadata", """SELECT 'v' || s_suppkey::VARCHAR AS versao, n_name || '/venda' AS segmento, s_suppkey * 10 AS n_treino, '{"mae_log":0.5}' AS holdout, '{}' AS limites, '[]' AS calibracao_holdout FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def _(spark, sf_dir):
+    from ..sources import models
+
+    k = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    card = F.to_json(F.struct(F.struct(F.col("n_name").alias("cidade"), F.lit("venda").alias("alvo"), F.concat(F.lit("v"), k.cast("string")).alias("versao")).alias("identificacao"), F.struct((k * 10).alias("n_treino")).alias("escopo"), F.struct(F.lit(0.5).alias("mae_log")).alias("desempenho")))
+    return models.metadata(rows.select(card.alias("value"))).select("versao", "segmento", "n_treino", "holdout", "limites", "calibracao_holdout")
+
+
+@query("search_page_links", "SELECT page_id, page_id::VARCHAR || '|' || (page_id + 1)::VARCHAR AS ids, '/imovel/a-id-' || page_id::VARCHAR || '/' AS primeira FROM pages")
+def _(spark, sf_dir):
+    k = F.col("page_id")
+    links = _text('<a href="/imovel/a-id-', k, '/">x</a><a href="/imovel/b-id-', k + 1, '/">x</a><a href="/imovel/outra-id-', k, '/?x=1">x</a><a href="/sobre/">x</a>')
+    d = read(spark, sf_dir, "pages").select("page_id", pages.listing_links(F.concat("html", links)).alias("l"))
+    return d.select("page_id", F.array_join(F.transform("l", lambda x: x["id"]), "|").alias("ids"), F.get("l", F.lit(0))["url"].alias("primeira"))
+
+
+@query("block_types", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Apartment|Product' WHEN 1 THEN '' ELSE 'Offer' END AS tipos FROM pages")
+def _(spark, sf_dir):
+    kinds = F.element_at(F.array(F.array(F.lit("Apartment"), F.lit("Product"), F.lit("Thing")), F.array(F.lit("Product"), F.lit("Person"), F.lit("x")), F.array(F.lit("Offer"), F.lit("y"), F.lit("z"))), (F.col("page_id") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(pages.allowed_types(kinds), "|").alias("tipos"))
+
+
+@query("months_of_text", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') END AS mes, CASE WHEN o_orderkey % 2 = 0 THEN 'casa' END AS tipo FROM orders")
+def _(spark, sf_dir):
+    k = F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k % 3 == 1, F.date_format("o_orderdate", "yyyyMM")).otherwise("13/2026").alias("t"), F.when(k % 2 == 0, "Casa").otherwise("um refúgio na praia").alias("k"))
+    return o.select("o_orderkey", coerce.month_of(F.col("t")).alias("mes"), vocabulary.model_type(F.col("k")).alias("tipo"))
+
+
+@query("file_counts", "SELECT CASE WHEN l_linenumber = 7 THEN -1 ELSE count(*) END::BIGINT AS linhas FROM lineitem GROUP BY l_linenumber")
+def _(spark, sf_dir):
+    to = _place(spark, "files")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("property_id"), "l_linenumber")
+    for n in range(1, 8):  # a file each; the last has no ids
+        one = lines.where(F.col("l_linenumber") == n).select("property_id").coalesce(1)
+        (one if n < 7 else one.withColumnRenamed("property_id", "outro")).write.parquet(f"{to}/{n}")
+    return lake.file_counts(spark, f"{to}/*/*.parquet").select("linhas")
+
+
+@query("city_month_upsert", """WITH X AS (SELECT 'p' || (o_orderkey % 400)::VARCHAR AS property_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Santos' ELSE 'Campinas' END AS city, strftime(o_orderdate, '%Y-%m-%d') AS d, o_totalprice AS price, 's' || o_orderkey::VARCHAR AS s FROM orders),
+  T AS (SELECT * FROM X WHERE substr(d, 6, 2) IN ('03', '04')) SELECT lower(city) AS cidade, substr(d, 6, 2) AS mes, property_id, d AS extraction_date, price FROM T QUALIFY row_number() OVER (PARTITION BY property_id, city, substr(d, 1, 7) ORDER BY d DESC, s DESC, price DESC) = 1""")
+def _(spark, sf_dir):
+    from ..streaming import incremental
+
+    to, k = _place(spark, "upsert"), F.col("o_orderkey")
+    o = read(spark, sf_dir, "orders").where("month(o_orderdate) IN (3, 4)").select(
+        F.concat(F.lit("p"), (k % 400).cast("string")).alias("property_id"), F.when(k % 2 == 0, "Santos").otherwise("Campinas").alias("city"), F.lit("SP").alias("state"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("extraction_date"), F.col("o_totalprice").alias("price"), F.concat(F.lit("s"), k.cast("string")).alias("source_domain"))
+    put = incremental.upsert_batch(to)
+    for n in range(3):  # batches as a stream hands them over, the second one twice
+        put(o.where(F.crc32(F.col("source_domain").cast("binary")) % 3 == n), n)
+    put(o.where(F.crc32(F.col("source_domain").cast("binary")) % 3 == 1), 1)
+    return lake.read_months(spark, to).select("cidade", "mes", "property_id", "extraction_date", "price")

@@ -42,12 +42,65 @@ def _(spark, sf_dir):
     return pii.scan_columns(read(spark, sf_dir, "documents").select("text", "lang")).groupBy("field", "kind").agg(F.count("*").alias("n"))
 
 
-@query("text_rules")
+_TOLD = (
+    "Vagas demarcadas e escrituradas, varanda gourmet, vista para o mar, porcelanato, apartamento novo.", "Vaga rotativa, sacada com vista livre, piso frio, precisa de reforma, mas bem localizado.",
+    "Sem vaga de garagem; terraço amplo com vista lateral para o mar; box de vidro; reformado.", "Uma casa com quintal, perto de tudo, em rua tranquila e arborizada do bairro.", "curto demais",
+)
+_TOLD_FIELDS = {
+    "rx_vaga_tipo": ("privativa_demarcada", "rotativa", "sem_vaga", "nao_menciona", "sem_descricao"), "rx_varanda_tipo": ("gourmet", "sacada", "comum", "nao_menciona", "sem_descricao"), "rx_vista": ("mar_total", "livre", "mar_parcial", "nao_menciona", "sem_descricao"),
+    "rx_padrao_acabamento": ("alto", "simples", "medio", "nao_menciona", "sem_descricao"), "rx_estado_conservacao": ("novo", "precisa_reforma", "reformado", "nao_menciona", "sem_descricao"),
+}
+_TOLD_ORDER = {"rx_vaga_tipo": (6, 2, 0, 1), "rx_varanda_tipo": (4, 2, 3, 1), "rx_vista": (4, 2, 3, 1), "rx_padrao_acabamento": (3, 0, 2, 1), "rx_estado_conservacao": (6, 0, 5, 2)}
+
+
+@query("text_rules", "WITH X AS (SELECT p_partkey, p_partkey % 5 AS m, (ARRAY[" + ", ".join(f"'{t}'" for t in _TOLD) + "])[p_partkey % 5 + 1] AS t FROM part) SELECT p_partkey, " + ", ".join(
+    f"(ARRAY[{', '.join(repr(v) for v in vs)}])[m + 1] AS {f}, CASE m {' '.join(f'WHEN {i} THEN {o}' for i, o in enumerate(_TOLD_ORDER[f]))} END::INT AS {f}_ord" for f, vs in _TOLD_FIELDS.items())
+    + ", CASE WHEN m < 4 THEN CASE WHEN length(t) < 130 THEN 1 ELSE 2 END END::INT AS rx_riqueza_anuncio, CASE WHEN m < 4 THEN 0 END::INT AS rx_n_itens, CASE WHEN m < 4 THEN length(t) END::INT AS rx_desc_chars, CASE WHEN m < 4 THEN len(string_split(t, ' ')) END::INT AS rx_n_palavras FROM X")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    told = F.element_at(F.array(*map(F.lit, _TOLD)), (k % 5 + 1).cast("int"))
+    return text_rules.with_rules(folds.folded(read(spark, sf_dir, "part").select("p_partkey", told.alias("texto")), "texto", "prose", "t"), "t").drop("t", "texto")
+
+
+@query("text_rules_documents")
 def _(spark, sf_dir):
     d = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", folds.fold(F.col("text"), "prose").alias("t"))
     return text_rules.with_rules(d, "t").drop("t")
 
 
+_CONTACT = """WITH X AS (SELECT c_custkey, c_custkey % 6 AS m, '9' || lpad((c_custkey % 9000 + 1000)::VARCHAR, 4, '0') AS a, lpad((c_custkey * 7 % 10000)::VARCHAR, 4, '0') AS b FROM customer)"""
+
+
+def _contacts(spark, sf_dir):
+    k = F.col("c_custkey")
+    a, b = F.concat(F.lit("9"), F.lpad((k % 9000 + 1000).cast("string"), 4, "0")), F.lpad((k * 7 % 10000).cast("string"), 4, "0")
+    forms = [
+        F.concat(F.lit("Ligue (13) "), a, F.lit("-"), b, F.lit("  agora, CEP 11055-300")), F.concat(F.lit("Escreva para joão."), k.cast("string"), F.lit("@Casa-nova.com.br hoje")), F.concat(F.lit("CPF 123.456.789-"), F.substring(b, 1, 2), F.lit(" do dono")),
+        F.concat(F.lit("Falar com Maria da Silva, CRECI/SP "), b, F.lit("-F")), F.concat(F.lit(" https://wa.me/55139"), a, F.lit(" ou o site")), F.concat(F.lit("Casa de "), b, F.lit(" metros, sem contato"))]
+    return read(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*forms), (k % 6 + 1).cast("int")).alias("texto"))
+
+
+@query("pii_contacts", _CONTACT + """ SELECT c_custkey, CASE m WHEN 0 THEN 'Ligue [CONTATO] agora, CEP 11055-300' WHEN 1 THEN 'Escreva para [CONTATO] hoje' WHEN 2 THEN 'CPF [CONTATO] do dono' WHEN 3 THEN 'Falar com [CONTATO], CRECI/SP ' || b || '-F' WHEN 4 THEN '[CONTATO] ou o site' ELSE 'Casa de ' || b || ' metros, sem contato' END AS limpo,
+  CASE m WHEN 0 THEN 'phone=(13) ' || a || '-' || b WHEN 1 THEN 'email=joão.' || c_custkey::VARCHAR || '@Casa-nova.com.br' WHEN 2 THEN 'cpf=123.456.789-' || substr(b, 1, 2) WHEN 3 THEN 'labelled_name=Maria da Silva' WHEN 4 THEN 'contact_url=https://wa.me/55139' || a ELSE '' END AS achados FROM X""")
+def _(spark, sf_dir):
+    d = _contacts(spark, sf_dir).select("c_custkey", pii.scrub(F.col("texto")).alias("s"))
+    return d.select("c_custkey", F.col("s.text").alias("limpo"), F.array_join(F.transform("s.hits", lambda h: F.concat(h["kind"], F.lit("="), h["value"])), "|").alias("achados"))
+
+
+@query("pii_columns", """WITH X AS (SELECT c_custkey % 6 AS m, c_custkey % 4 = 0 AS l FROM customer) SELECT 'texto' AS field, (ARRAY['phone', 'email', 'cpf', 'labelled_name', 'contact_url'])[m + 1] AS kind, count(*)::BIGINT AS n FROM X WHERE m < 5 GROUP BY ALL
+  UNION ALL SELECT 'lista', 'email', count(*)::BIGINT FROM X WHERE l GROUP BY ALL""")
+def _(spark, sf_dir):
+    d = _contacts(spark, sf_dir).withColumn("lista", F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("um texto"), F.lit("a@b.com"))))
+    return pii.scan_columns(d.select("texto", "lista")).groupBy("field", "kind").agg(F.count("*").alias("n"))
+
+
+@query("scrubbed_links", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://a.com/' || page_id::VARCHAR || '?pagina=2' WHEN 1 THEN 'https://a.com/' || page_id::VARCHAR END AS link FROM pages""")
+def _(spark, sf_dir):
+    k = F.col("page_id").cast("string")
+    forms = [F.concat(F.lit(" https://a.com/"), k, F.lit("?pagina=2 ")), F.concat(F.lit("HTTPS://a.com/"), k, F.lit("?tel=13988887777")), F.concat(F.lit("tel:139"), k), F.concat(F.lit("https://a.com/ana.lima@b.com/"), k)]
+    return read(spark, sf_dir, "pages").select("page_id", pii.scrub_url(F.element_at(F.array(*forms), (F.col("page_id") % 4 + 1).cast("int"))).alias("link"))
+
+
 @query("text_richness", "SELECT doc_id, CASE WHEN length(text) < 40 THEN NULL WHEN length(text) < 130 THEN 1 WHEN length(text) < 293 THEN 2 WHEN length(text) < 500 THEN 3 WHEN length(text) < 1071 THEN 4 ELSE 5 END::INT AS riqueza FROM documents")
 def _(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.when(F.char_length("text") >= 40, text_rules.richness(F.col("text"))).alias("riqueza"))
@@ -91,6 +144,10 @@ def _(spark, sf_dir):
     return x.select("p_partkey", coerce.currency(F.col("dinheiro")).alias("valor"), coerce.integer(F.col("area")).alias("area"), coerce.is_range(F.col("area")).alias("faixa"), coerce.cep(F.col("cep")).alias("cep"), coerce.cep_prefix(F.col("cep")).alias("cep_prefix"))
 
 
-@query("limiter")
+@query("limiter", """WITH RECURSIVE E AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
+  W AS (SELECT user_id, 0::BIGINT AS i, []::BIGINT[] AS held, 0::BIGINT AS ok FROM (SELECT DISTINCT user_id FROM E)
+    UNION ALL SELECT user_id, i, CASE WHEN len(k) < 5 THEN list_append(k, t) ELSE k END, ok + CASE WHEN len(k) < 5 THEN 1 ELSE 0 END
+    FROM (SELECT W.user_id, E.i, E.t, W.ok, list_filter(W.held, lambda x: x > E.t - 86400000000) AS k FROM W JOIN E ON E.user_id = W.user_id AND E.i = W.i + 1))
+  SELECT user_id, max(ok)::BIGINT AS admitidos, (max(i) - max(ok))::BIGINT AS recusados FROM W GROUP BY user_id""")
 def _(spark, sf_dir):
     return limiter.admitted(read(spark, sf_dir, "events"), "user_id", "ts", 5, 86_400.0).groupBy("user_id").agg(F.count_if("admitido").alias("admitidos"), F.count_if(~F.col("admitido")).alias("recusados"))

@@ -180,3 +180,52 @@ def yield_tables(spark: SparkSession, pointer: str) -> DataFrame:
     path = name if ":" in name or name.startswith("/") else f"{pointer.rsplit('/', 1)[0]}/{name}"
     rows = spark.read.text(path, wholetext=True).select(F.explode(F.map_entries(F.from_json("value", "map<string,struct<p10:double,median:double,p90:double>>"))).alias("e"))
     return rows.select(F.col("e.key").alias("city"), "e.value.*")
+
+
+_CARD = """identificacao struct<cidade:string,alvo:string,versao:string>, escopo struct<escopo_treino:string,n_treino:long,n_holdout:long>, dados struct<abt:string>, ambiente struct<gerado_em:string>,
+ desempenho struct<rmse_brl:double,mae_brl:double,erro_mediano:double,dentro_20pct:double,cobertura_intervalo:double,vies_brl:double,vies_mediano:double>"""
+
+
+def summaries(card_texts: DataFrame) -> DataFrame:
+    """The block that goes with each estimate, from cards as JSON (value): names are changed, nothing is computed; text that is no card gives no row."""
+    c = card_texts.select(F.from_json("value", _CARD).alias("c")).select("c.*").where("identificacao.cidade IS NOT NULL")
+    return c.select(
+        F.col("identificacao.versao").alias("versao"), F.coalesce("dados.abt", F.lit("")).alias("base"), F.concat_ws("/", "identificacao.cidade", "identificacao.alvo").alias("segmento"), F.col("escopo.n_treino").alias("n_treino"),
+        F.coalesce("escopo.n_holdout", F.lit(0)).alias("n_holdout"), F.coalesce("ambiente.gerado_em", F.lit("")).alias("treinado_em"), *(F.col(f"desempenho.{a}").alias(b) for a, b in SUMMARY.items()),
+        F.col("identificacao.cidade").alias("cidade"), F.col("identificacao.alvo").alias("alvo"), F.col("escopo.escopo_treino").alias("escopo_treino"))
+
+
+#: Measures of a card and their names beside an estimate.
+SUMMARY = {
+    "rmse_brl": "rmse_holdout", "mae_brl": "mae_holdout", "erro_mediano": "erro_mediano_holdout", "dentro_20pct": "dentro_20pct_holdout", "cobertura_intervalo": "cobertura_intervalo",
+    "vies_brl": "vies_brl_holdout", "vies_mediano": "vies_mediano_holdout",
+}
+
+
+def metadata(card_texts: DataFrame) -> DataFrame:
+    """What the model screen shows of each card (value): version, segment, rows, when, the holdout's measures, limits and environment as JSON."""
+    at = lambda path: F.get_json_object("value", f"$.{path}")
+    return card_texts.where(at("identificacao.cidade").isNotNull()).select(
+        at("identificacao.versao").alias("versao"), F.concat_ws("/", at("identificacao.cidade"), at("identificacao.alvo")).alias("segmento"), F.coalesce(at("dados.abt"), F.lit("")).alias("base"),
+        at("escopo.n_treino").cast("long").alias("n_treino"), F.coalesce(at("escopo.n_holdout").cast("long"), F.lit(0)).alias("n_holdout"), F.coalesce(at("ambiente.gerado_em"), F.lit("")).alias("treinado_em"),
+        F.lit("sem_opcionais").alias("cenario_de_decisao"), F.coalesce(at("desempenho"), F.lit("{}")).alias("holdout"), F.coalesce(at("calibracao_por_decil"), F.lit("[]")).alias("calibracao_holdout"),
+        F.coalesce(at("limites"), F.lit("{}")).alias("limites"), F.coalesce(at("ambiente"), F.lit("{}")).alias("ambiente"))
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A checked source configuration from a JSON file, or from a YAML file where a YAML reader is installed."""
+    text = _read_text(spark, path)
+    if path.endswith((".yml", ".yaml")):
+        try:
+            import yaml
+        except ModuleNotFoundError:
+            raise InvalidConfig(f"{path}: no YAML reader is installed; give the configuration as JSON") from None
+        found = yaml.safe_load(text)
+    else:
+        try:
+            found = json.loads(text)
+        except ValueError as e:
+            raise InvalidConfig(f"{path}: {e}") from None
+    if not isinstance(found, dict):
+        raise InvalidConfig(f"{path} holds no configuration")
+    return checked_config(found)

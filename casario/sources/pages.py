@@ -147,3 +147,17 @@ def harvest(pages: DataFrame, seeds: DataFrame, rounds: int = 30) -> DataFrame:
     else:
         raise RuntimeError(f"facets go deeper than {rounds} rounds")
     return seen.join(links.select("url", F.lit(True).alias("lida")), "url", "left").withColumn("lida", F.coalesce("lida", F.lit(False)))
+
+
+def listing_links(html: Column) -> Column:
+    """array(struct(id, url)) of the listings that a search page links (addresses with -id-<number>), the first address of each id."""
+    at = r'href="([^"]*-id-(\d+)[^"]*)"'
+    urls, ids = (F.regexp_extract_all(html, F.lit(at), F.lit(g)) for g in (1, 2))
+    firsts = F.filter(F.transform(ids, lambda x, i: F.when(F.array_position(ids, x) == i + 1, i)), lambda i: i.isNotNull())
+    return F.transform(firsts, lambda i: F.struct(F.get(ids, i).alias("id"), F.get(urls, i).alias("url")))
+
+
+def allowed_types(types: Column) -> Column:
+    """The types of a block that may be kept; empty where one of them is forbidden."""
+    of = lambda names: F.array(*map(F.lit, sorted(names)))
+    return F.when(F.size(F.array_intersect(types, of(FORBIDDEN))) == 0, F.array_intersect(types, of(ALLOWED))).otherwise(F.array().cast("array<string>"))
