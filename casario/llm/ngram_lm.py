@@ -101,13 +101,20 @@ def found_in(keys: np.ndarray, sorted_keys: np.ndarray) -> tuple[np.ndarray, np.
     return at, sorted_keys[at] == keys
 
 
-def shard_of(contexts: list[np.ndarray], w: np.ndarray, hots: list[np.ndarray], bits: int) -> np.ndarray:
+def among_hot(contexts: list[np.ndarray], hots: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of contexts, their positions among the hot ones and whether they are hot."""
+    return [found_in(u, h) for u, h in zip(contexts, hots, strict=False)]
+
+
+def shard_of(contexts: list[np.ndarray], w: np.ndarray, hot: list[tuple[np.ndarray, np.ndarray]], bits: int) -> np.ndarray:
     """Shard of each n-gram: by its shortest context that isn't hot, or by the longest and the word."""
-    out, busy = contexts[0] >> np.uint64(40 - bits), np.ones(len(w), bool)
+    out, busy = contexts[0] >> np.uint64(40 - bits), np.arange(len(w))
     for j, u in enumerate(contexts):
-        busy = busy & found_in(u, hots[j])[1]
-        further = contexts[j + 1] if j + 1 < len(contexts) else u * np.uint64(3) + w
-        out = np.where(busy, mixed(further) >> np.uint64(64 - bits), out)
+        busy = busy[hot[j][1][busy]]
+        if not len(busy):
+            break
+        further = contexts[j + 1][busy] if j + 1 < len(contexts) else u[busy] * np.uint64(3) + w[busy]
+        out[busy] = mixed(further) >> np.uint64(64 - bits)
     return out.astype(np.int64)
 
 
@@ -126,7 +133,8 @@ def packed(priors: list[np.ndarray], w: np.ndarray, n: np.ndarray, hots: list[np
     u, w, n = u[order], w[order], n[order]
     first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
     n, w, priors = np.add.reduceat(n, first), w[first], [p[order[first]] for p in priors]
-    shard = shard_of(contexts_of(priors), w, hots, bits)
+    contexts = contexts_of(priors)
+    shard = shard_of(contexts, w, among_hot(contexts, hots), bits)
     order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | priors[0])
     w, n, shard, priors = w[order], n[order], shard[order], [p[order] for p in priors]
     least = lambda x: x.astype("u1" if x.max() < 256 else "<u4")
@@ -199,13 +207,13 @@ class Model:
                 out[ok, 0], out[ok, 1] = found[1][at[ok]], found[2][at[ok]]
         return self._by_shard(w, w >> np.uint64(64 - self.word_bits), look, 2)
 
-    def looked_up(self, contexts: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the longest of contexts, total and how many words follow once, twice, more often; and how often w follows.
+    def looked_up(self, contexts: list[np.ndarray], w: np.ndarray, hot: list[tuple[np.ndarray, np.ndarray]], d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the longest of contexts, its total and what d takes off the counts behind it, and how often w follows.
 
         A context that isn't hot lies in the shard of its n-grams, so one order serves both.
         """
         u, j = contexts[-1], len(contexts) - 1
-        shard, keys = shard_of(contexts, w, self.hots, self.bits), keys_of(contexts[-1], w)
+        shard, keys = shard_of(contexts, w, hot, self.bits), keys_of(contexts[-1], w)
         order = np.argsort((shard.astype(np.uint64) << np.uint64(40)) | u)
         shard, us, keys = shard[order], u[order], keys[order]
         sums, counts = np.zeros((len(u), 4)), np.zeros(len(u))
@@ -213,12 +221,12 @@ class Model:
         for a, z in zip(cuts, [*cuts[1:], len(u)], strict=True) if len(u) else []:
             if found := self.files.arrays(f"{self.path}/pair-{j + 2}-{int(shard[a])}", *ARRAYS):
                 self._in_shard(found, us[a:z], keys[a:z], sums[a:z], counts[a:z])
-        back = np.empty(len(u), np.int64)
-        back[order] = np.arange(len(u))
-        sums, counts = sums[back], counts[back]
-        at, ok = found_in(u, self.hots[j])
-        sums[ok] = self.hot_sums[j][at[ok]]
-        return sums, counts
+        at, ok = hot[j]
+        busy = ok[order]
+        sums[busy] = self.hot_sums[j][at[order[busy]]]
+        total, off, count = np.empty(len(u)), np.empty(len(u)), np.empty(len(u))
+        total[order], off[order], count[order] = sums[:, 0], sums[:, 1:] @ d[1:], counts
+        return total, off, count
 
     @staticmethod
     def _in_shard(found: tuple[np.ndarray, ...], u: np.ndarray, keys: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
@@ -231,13 +239,16 @@ class Model:
             at, ok = found_in(u, big)
             sums[ok] = big_sums.reshape(-1, 4)[at[ok]]
         f = fingerprint(keys)
+        by = np.argsort(f)  # ascending keys are found several times as fast
+        f = f[by]
         at, ok = found_in(f, prints)
-        counts[ok] = small[at[ok]]
-        if len(large) and (many := np.flatnonzero(counts == 255)).size:
-            counts[many] = large_counts[np.searchsorted(large, f[many])]
-        if len(shared):
-            at, ok = found_in(keys, shared)
-            counts[ok] = shared_counts[at[ok]]
+        by, f, n = by[ok], f[ok], small[at[ok]]
+        counts[by] = n
+        if (many := np.flatnonzero(n == 255)).size:
+            counts[by[many]] = large_counts[np.searchsorted(large, f[many])]
+        if (none := by[n == 0]).size:  # n-grams of training share this fingerprint: they are told apart by whole keys
+            at, ok = found_in(keys[none], shared)
+            counts[none[ok]] = shared_counts[at[ok]]
 
     def score(self, tokens: np.ndarray, priors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 P of each token after its prior ones, log10 of the base, and whether training has the token."""
@@ -248,12 +259,12 @@ class Model:
         p = (self.word_rest / (self.vocabulary + 1) + np.maximum(k - self.word_discount[np.minimum(k, 3).astype(int)], 0) / max(self.types, 1))[of]
         contexts = contexts_of([x >> _LOW for x in priors])
         short = tokens >> _LOW
+        hot = among_hot(contexts, self.hots)
         for j, d in enumerate(self.discounts):
-            sums, c = self.looked_up(contexts[: j + 1], short)
-            total = sums[:, 0]
-            c[total == 0] = 0
-            rest = np.where(total > 0, sums[:, 1:] @ d[1:] / np.maximum(total, 1), 1)
-            p = np.maximum(c - d[np.minimum(c, 3).astype(int)], 0) / np.maximum(total, 1) + rest * p
+            total, off, c = self.looked_up(contexts[: j + 1], short, hot, d)
+            new = total == 0
+            c[new], off[new], total[new] = 0, 1, 1  # an unknown context leaves all to the shorter one
+            p = (np.maximum(c - d[np.minimum(c, 3).astype(np.int8)], 0) + off * p) / total
         return np.log10(p), base[of], (values[:, 0] > 0)[of]
 
 
