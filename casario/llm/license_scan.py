@@ -1,12 +1,17 @@
 """License scan by patience alignment of each text with each template.
 
 Words that occur once in the text's range and once in the template's are anchors; the longest increasing subsequence of
-their positions is kept; the gaps before, between and after them are aligned the same way. Coverage is the share of the
-template's words that are aligned. A text may hold a license anywhere and more than once, which would leave no word
-unique; so each copy is first bounded by itself, as the stretch with the most common words in order for its length
-(at most three times the template and ten words), and then aligned. Where the anchors of a stretch leave too little,
-its exact number of common words in order counts. A template is tried only on texts whose words make up enough of its
-occurrences, and from each word whose reach does, which no stretch that reaches the coverage can miss.
+their positions is kept; the gaps before, between and after them are aligned the same way, equal words at a gap's ends first. A gap
+without such words is anchored on runs of 2, 4, ... RUN words that occur once in both. Coverage is the share of the
+template's words that are aligned, and this alone decides what is a match.
+
+A text may hold a license anywhere and more than once, which would leave no word unique, so stretches are bounded before they are
+aligned. Close copies: the stretch with the most common words in order for its length, at most three times the template and
+ten words, which tells copies side by side apart. What these leave is searched for scattered copies, whose words have others
+between them: ranges whose words make up enough of the template's within ``spread`` words for each of it are aligned as a
+whole; where several copies in a range hide each other's anchors, the range is parted at a word of each copy. Words scattered further
+than that are no license, and one-line notices (of fewer than LINE words), whose words any long text has in some order, are looked for as
+close copies alone.
 
 One narrow map: no shuffle, nothing depends on other documents, and work on a text is linear in its words times the
 template's. Templates are a parameter of fixed size.
@@ -15,12 +20,13 @@ Every place of every template is reported. The best match is given once more as
 words, then the greater coverage, then the smaller name, then the first place. Places of one template don't overlap, those
 of two may: a notice within a longer one, or a template that another's notice covers.
 
-Edge cases: a null or blank text matches nothing and has an empty list of matches. Repeated rows are scanned each. Other columns are ignored; an
-empty table gives no rows.
+Edge cases: a null or blank text matches nothing and has an empty list of matches. Repeated rows are scanned each, a null id is an id.
+Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -50,6 +56,8 @@ TEMPLATES = {
 }
 #: Least coverage of a match.
 COVERAGE = 0.75
+#: Words of a stretch for each of the template's, words from which on a template is more than a line, and the longest runs as anchors.
+SPREAD, LINE, RUN = 8, 40, 32
 _WORD = re.compile(r"[0-9a-z]+(?:[.\-][0-9a-z]+)*")
 
 
@@ -77,6 +85,13 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def _once(words: list[str], a: int, b: int, n: int) -> dict:
+    """Positions of the words (runs of n words) that occur once between a and b."""
+    runs = words[a:b] if n == 1 else list(zip(*(words[a + k : b - n + 1 + k] for k in range(n)), strict=True))
+    counts = Counter(runs)
+    return {w: i for i, w in enumerate(runs, a) if counts[w] == 1}
+
+
 def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """Aligned pairs of positions, ascending in both."""
     out: list[tuple[int, int]] = []
@@ -91,10 +106,12 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
             out.append((b, d))
         if a >= b or c >= d:
             continue
-        left, right = Counter(text[a:b]), Counter(template[c:d])
-        place = {w: j for j, w in enumerate(template[c:d], c) if right[w] == 1}
-        pairs = [(i, place[w]) for i, w in enumerate(text[a:b], a) if left[w] == 1 and w in place]
-        kept = [pairs[k] for k in increasing([j for _, j in pairs])]
+        n, kept = 1, []
+        while not kept and n <= min(RUN, b - a, d - c):  # words that occur once in both, else runs that do; their ends follow as equal ends of gaps
+            left, right = _once(text, a, b, n), _once(template, c, d, n)
+            pairs = sorted((left[w], j) for w, j in right.items() if w in left)
+            kept = [pairs[k] for k in increasing([j for _, j in pairs])]
+            n *= 2
         if not kept:
             continue
         out += kept
@@ -103,12 +120,100 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def places(words: list[str], template: list[str], least: float = COVERAGE) -> list[tuple[int, int, int]]:
-    """First position, end and aligned words of the stretches that hold enough of the template in order, by position.
+def places(words: list[str], template: list[str], least: float = COVERAGE, spread: float = SPREAD) -> list[tuple[int, int, int]]:
+    """First position, end and aligned words of the template's copies, by position: close ones, then scattered ones between them."""
+    taken = close(words, template, least)
+    if len(template) < LINE:
+        return taken
+    reach = int(spread * len(template))
+    for i, (a, z, n) in enumerate(taken):  # a close stretch may be the begin of a scattered copy
+        if n < len(template):
+            x, y = max(taken[i - 1][1] if i else 0, a - reach), min(taken[i + 1][0] if i + 1 < len(taken) else len(words), z + reach)
+            wider = [m for m in scattered(words, x, y, template, least, reach) if m[0] < z and a < m[1]]
+            if wider and (m := max(wider, key=lambda m: m[2]))[2] > n + 0.05 * len(template):
+                taken[i] = m
+    edges = [0, *(x for a, z, _ in taken for x in (a, z)), len(words)]
+    for a, z in zip(edges[::2], edges[1::2], strict=True):
+        taken += scattered(words, a, z, template, least, reach)
+    return sorted(taken)
+
+
+def _ranges(words: list[str], a: int, z: int, template: list[str], need: float, reach: int) -> list[tuple[int, int]]:
+    """Ranges between a and z in which some stretch of ``reach`` words has enough of the template's words in any order."""
+    counts = Counter(template)
+    spots = [i for i in range(a, z) if words[i] in counts]
+    held, common, j, out = Counter(), 0, 0, []
+    for i in spots:
+        while j < len(spots) and spots[j] < i + reach:
+            w = words[spots[j]]
+            held[w] += 1
+            common += held[w] <= counts[w]
+            j += 1
+        if common >= need:
+            end = spots[j - 1] + 1
+            if out and i < out[-1][1]:
+                out[-1] = (out[-1][0], max(end, out[-1][1]))
+            else:
+                out.append((i, end))
+        w = words[i]
+        common -= held[w] <= counts[w]
+        held[w] -= 1
+    return out
+
+
+def scattered(words: list[str], a: int, z: int, template: list[str], least: float, reach: int) -> list[tuple[int, int, int]]:
+    """Copies between a and z whose words have others between them, by alignment of whole ranges."""
+    need, out = least * len(template), []
+    once = {w: j for w, j in _once(template, 0, len(template), 1).items()}
+
+    def aligned(a: int, z: int) -> tuple[int, int, int] | None:
+        """The densest part of a range's alignment that is a copy."""
+        at, k = [a + i for i, _ in align(words[a:z], template)], math.ceil(need)
+        if not k or len(at) < k:
+            return None
+        i = min(range(len(at) - k + 1), key=lambda i: at[i + k - 1] - at[i])
+        if at[i + k - 1] - at[i] >= reach:
+            return None
+        j = i + k - 1
+        while True:  # grown by the nearer neighbour
+            left = at[j] - at[i - 1] if i else reach
+            right = at[j + 1] - at[i] if j + 1 < len(at) else reach
+            if min(left, right) >= reach:
+                return at[i], at[j] + 1, j - i + 1
+            i, j = (i - 1, j) if left <= right else (i, j + 1)
+
+    todo = _ranges(words, a, z, template, need, reach)
+    while todo:
+        x, y = todo.pop()
+        if found := aligned(x, y):
+            out.append(found)
+            todo += [r for u, v in ((x, found[0]), (found[1], y)) for r in _ranges(words, u, v, template, need, reach)]
+            continue
+        spots: dict[str, list[int]] = {}
+        for i in range(x, y):
+            if words[i] in once:
+                spots.setdefault(words[i], []).append(i)
+        times = Counter(len(v) for v in spots.values())
+        copies = max((m for m in times if m > 1), key=lambda m: (times[m], m), default=0)
+        if copies:  # parted at the first and the last word of the template that each copy has
+            each = sorted((once[w], v) for w, v in spots.items() if len(v) == copies)
+            first, last = each[0][1], each[-1][1]
+            bounds = [(last[i - 1] + 1 if i else x, first[i + 1] if i + 1 < copies else y) for i in range(copies)]
+            end = x
+            for u, v in bounds:
+                if (found := aligned(max(u, end), v)) if max(u, end) < v else None:
+                    out.append(found)
+                    end = found[1]
+    return sorted(out)
+
+
+def close(words: list[str], template: list[str], least: float = COVERAGE) -> list[tuple[int, int, int]]:
+    """First position, end and aligned words of the close stretches that hold enough of the template, by position.
 
-    A stretch is scored by 2 * common words in order / (its words + the template's). The best one is taken (then the
-    first), and so on among those that don't overlap one taken: copies side by side are told apart, since a stretch over two
-    scores less than either. The common words are counted exactly, by a row of bits for the template.
+    A stretch is scored by 2 * common words in order / (its words + the template's), counted by a row of bits for the template: a
+    bound of what can be aligned. The best one is aligned first (then the first one), and taken if its coverage is
+    enough, and so on among those that don't overlap one taken: copies side by side are told apart, since a stretch over two
+    scores less than either.
     """
     size, counts = len(template), Counter(template)
     need, full, reach = least * size, (1 << size) - 1, 2 * (size + size // 2 + 5)
@@ -160,8 +265,8 @@ def places(words: list[str], template: list[str], least: float = COVERAGE) -> li
             if top := best(k, taken[at][0]):
                 heappush(todo, (-top[0], a, top[1], k, top[2]))
             continue
-        aligned = len(align(words[a:z], template))
-        taken.insert(at, (a, z, aligned if aligned >= need else n))
+        if (aligned := len(align(words[a:z], template))) >= need:
+            taken.insert(at, (a, z, aligned))
     return taken
 
 

@@ -231,30 +231,62 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.scan_licenses(nothing).count() == 0
 
 
-def common_places(words, template, least=license_scan.COVERAGE):
-    """Greedy choice among all stretches by score, start and end, for comparison."""
-    found = []
-    for a in range(len(words)):
-        for z in range(a + 1, min(len(words), a + 2 * (len(template) + len(template) // 2 + 5)) + 1):
-            if words[a] in template and (n := longest_common(words[a:z], template)) >= least * len(template):
-                found.append((-2 * n / (len(template) + z - a), a, z))
-    taken = []
-    for _, a, z in sorted(found):
-        if all(z <= x or y <= a for x, y in taken):
-            taken.append((a, z))
-    return sorted(taken)
-
-
-def test_license_places_against_brute_force():
+def planted(rng, template, words):
+    """A text with copies of the template, some words lost and some fillers put between, and where they are."""
+    text, at = [f"f{i}" for i in rng.integers(0, 50, rng.integers(0, 30))], []
+    for _ in range(rng.integers(1, 4)):
+        fillers, lost = rng.integers(0, 6), rng.choice([0, 0.05, 0.15])
+        copy = [x for w in template if rng.random() >= lost for x in (w, *[f"f{i}" for i in rng.integers(0, 50, rng.integers(0, fillers + 1))])]
+        at.append((len(text), len(text) + len(copy)))
+        text += copy + [f"f{i}" for i in rng.integers(0, 50, rng.integers(20, 60))]
+    return text, at
+
+
+def test_license_places_against_alignment_of_planted_copies():
+    """Alignment is the judge: what a copy's own range aligns is found there, and whatever is reported has that many aligned words."""
     rng = np.random.default_rng(8)
-    for _ in range(40):
-        template = [f"w{i}" for i in rng.integers(0, 6, rng.integers(4, 8))]
-        words = [f"w{i}" for i in rng.integers(0, 9, 8)]
-        for _ in range(rng.integers(1, 4)):
-            words += [w for w in template if rng.random() > 0.1] + [f"w{i}" for i in rng.integers(0, 9, rng.integers(0, 4))]
-        got = license_scan.places(words, template)
-        assert [(a, z) for a, z, _ in got] == common_places(words, template)
-        assert all(0.75 * len(template) <= n <= longest_common(words[a:z], template) for a, z, n in got)
+    for name in ("MIT", "BSD-2-Clause", "Apache-2.0", "GPL-3.0"):
+        template = license_scan.license_words(license_scan.TEMPLATES[name])
+        need = 0.75 * len(template)
+        for _ in range(15):
+            text, at = planted(rng, template, 0)
+            got = license_scan.places(text, template)
+            assert all(z <= a for (_, z, _), (a, _, _) in zip(got, got[1:], strict=False))
+            for a, z, n in got:
+                assert need <= n <= longest_common(text[a:z], template) and any(x < z and a < y for x, y in at)
+            for x, y in at:
+                own = len(license_scan.align(text[x:y], template))
+                if own >= need:
+                    assert max((n for a, z, n in got if a < y and x < z), default=0) >= 0.9 * own
+
+
+@pytest.mark.parametrize("fillers", [1, 2, 3, 4, 6])
+def test_license_with_words_between_its_words(fillers):
+    words = license_scan.license_words(license_scan.TEMPLATES["MIT"])
+    copy = [x for w in words for x in (w, *["filler"] * fillers)]
+    (one,) = license_scan.places(["before"] * 50 + copy + ["after"] * 50, words)
+    assert one == (50, 50 + len(copy) - fillers, len(words))
+    assert [n for _, _, n in license_scan.places(copy + ["x"] * 30 + copy, words)] == [len(words)] * 2
+
+
+def test_license_words_scattered_over_a_long_text_are_none():
+    words = license_scan.license_words(license_scan.TEMPLATES["MIT"])
+    assert license_scan.places([x for w in words for x in (w, *["filler"] * 40)], words) == []
+
+
+def test_alignment_alone_decides():
+    """Without a word or a run that occurs once, nothing but equal ends is aligned, and the copy is none."""
+    template = [f"w{i}" for i in range(8)] * 3
+    text = ["q", *template[1:9], "r", *template[10:20], "s", *template[21:]]
+    assert longest_common(text, template) >= 0.75 * len(template) > len(license_scan.align(text, template))
+    assert license_scan.places(["x", *text, "y"], template) == []
+    assert license_scan.places(["x", *template, "y"], template) == [(1, 25, 24)]
+
+
+def test_runs_anchor_where_no_word_is_single():
+    template = "a b c d a c b d b a d c".split()
+    text = [*template[:4], "x", *template[4:8], "y", *template[8:]]
+    assert [j for _, j in license_scan.align(["z", *text, "z"], template)] == list(range(12))
 
 
 @pytest.mark.parametrize("between", ["\n", " and so on ", " x" * 30 + " "])
