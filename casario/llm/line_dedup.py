@@ -9,8 +9,8 @@ task; the join back is a plain equi-join, which adaptive execution splits where
 
 Edge cases: a null or empty text is one empty line. Keys under ``min_chars`` code points never count. Equal rows of
 one doc_id count as one document and get the same mask; different texts of one doc_id are one document as well.
-Extra columns pass through untouched; the operator's own columns have a ``_ld_`` prefix. An empty table gives an
-empty table.
+Rows of a null doc_id are never a copy's first and lose nothing. n_lines and n_dropped replace such columns of the input; all others
+pass through untouched; names with the prefix ``_ld_`` are the operator's own. An empty table gives an empty table.
 """
 
 from __future__ import annotations
