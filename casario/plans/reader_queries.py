@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import coerce, vocabulary
-from ..operators import catalogue, enrichment, features, ingestion, training, views
-from ..sources import captures, html_platforms, lake, pages
+from ..functions import coerce, folds, pii, vocabulary
+from ..operators import boosting, catalogue, enrichment, features, ingestion, modelling, training, views
+from ..sources import captures, html_platforms, indices, lake, models, pages
 from ..sources.listings import SQL as L
 from ..sources.listings import listings, read
 
@@ -459,8 +460,6 @@ def _(spark, sf_dir):
 @query("card_summaries", """SELECT 'v' || s_suppkey::VARCHAR AS versao, CASE WHEN s_suppkey % 2 = 0 THEN 'b.parquet' ELSE '' END AS base, n_name || '/venda' AS segmento, s_suppkey * 10 AS n_treino, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE 0 END AS n_holdout, s_acctbal AS rmse_holdout,
   NULL::DOUBLE AS mae_holdout, n_name AS cidade, 'cidade' AS escopo_treino FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def _(spark, sf_dir):
-    from ..sources import models
-
     k = F.col("s_suppkey")
     rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     card = F.to_json(F.struct(
@@ -473,8 +472,6 @@ def _(spark, sf_dir):
 
 @query("card_metadata", """SELECT 'v' || s_suppkey::VARCHAR AS versao, n_name || '/venda' AS segmento, s_suppkey * 10 AS n_treino, '{"mae_log":0.5}' AS holdout, '{}' AS limites, '[]' AS calibracao_holdout FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def _(spark, sf_dir):
-    from ..sources import models
-
     k = F.col("s_suppkey")
     rows = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     card = F.to_json(F.struct(F.struct(F.col("n_name").alias("cidade"), F.lit("venda").alias("alvo"), F.concat(F.lit("v"), k.cast("string")).alias("versao")).alias("identificacao"), F.struct((k * 10).alias("n_treino")).alias("escopo"), F.struct(F.lit(0.5).alias("mae_log")).alias("desempenho")))
@@ -525,3 +522,147 @@ def _(spark, sf_dir):
         put(o.where(F.crc32(F.col("source_domain").cast("binary")) % 3 == n), n)
     put(o.where(F.crc32(F.col("source_domain").cast("binary")) % 3 == 1), 1)
     return lake.read_months(spark, to).select("cidade", "mes", "property_id", "extraction_date", "price")
+
+
+@query("validation_rows", f"""WITH X AS (SELECT p_partkey, {_TYPE} AS tipo, p_partkey % 4 = 0 AS fora FROM part) SELECT p_partkey, fora AS _holdout, CASE WHEN fora THEN 7 END::INT AS extra,
+  CASE WHEN tipo IN ('apartamento', 'kitnet', 'cobertura') THEN 'residencial' WHEN tipo IN ('casa', 'sobrado') THEN 'casa' WHEN tipo IN ('sala', 'galpao') THEN 'comercial' WHEN tipo = 'terreno' THEN 'terreno' ELSE 'outro' END AS familia FROM X""")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = read(spark, sf_dir, "part").select("p_partkey", F.when(k % 9 != 8, _one_of(k, _KINDS)).alias("property_type"))
+    return features.with_validation(p.where(k % 4 != 0), p.where(k % 4 == 0).withColumn("extra", F.lit(7))).select("p_partkey", "_holdout", "extra", "familia")
+
+
+@query("erased_fields", """WITH X AS (SELECT p_partkey AS k, p_partkey % 3 = 0 AS apaga, CASE WHEN p_partkey % 5 <> 0 THEN p_size::DOUBLE END AS condo_fee FROM part)
+  SELECT k, CASE WHEN NOT apaga THEN condo_fee END AS condo_fee, CASE WHEN NOT apaga THEN condo_fee / 2 END AS condo_por_m2, CASE WHEN apaga OR condo_fee IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS aus_condo_fee, CASE WHEN apaga OR condo_fee IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS n_campos_ausentes FROM X""")
+def _(spark, sf_dir):
+    k = F.col("p_partkey")
+    d = read(spark, sf_dir, "part").select(k.alias("k"), F.when(k % 5 != 0, F.col("p_size").cast("double")).alias("condo_fee")).withColumn("condo_por_m2", F.col("condo_fee") / 2)
+    return modelling.erased(modelling.with_missing(d, ["condo_fee"]), "condo_fee", ["condo_por_m2"], F.col("k") % 3 == 0)
+
+
+@query("listing_urls", """SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id::VARCHAR WHEN 1 THEN 'casa-bairro-centro-' || page_id::VARCHAR END AS listing_id, CASE WHEN page_id % 3 = 0 THEN 'Casa' END AS property_type, CASE WHEN page_id % 3 = 0 THEN 'Praia Grande' END AS city,
+  CASE WHEN page_id % 3 = 0 THEN 'Vila Nova' END AS neighborhood, page_id % 3 <> 2 AS anuncio FROM pages""")
+def _(spark, sf_dir):
+    k = F.col("page_id")
+    url = F.when(k % 3 == 0, _text("https://m.com/", k, "-casa-em-praia-grande-bairro-vila_nova.html")).when(k % 3 == 1, _text("https://m.com/casa-bairro-centro-", k, ".html")).otherwise(F.lit("https://m.com/sobre.html"))
+    hints = html_platforms.url_hints(url)
+    return read(spark, sf_dir, "pages").select("page_id", *(hints[c].alias(c) for c in ("listing_id", "property_type", "city", "neighborhood")), html_platforms.is_listing_url(url).alias("anuncio"))
+
+
+@query("gate_of_clean_rows", "SELECT c_custkey, 'Casa de ' || c_custkey::VARCHAR || ' metros' AS texto FROM customer")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Casa de "), k.cast("string"), F.lit(" metros, fone 13 99123-4567")).alias("texto"))
+    try:
+        pii.gate(rows, "contacts")
+    except pii.PersonalData:  # what the gate is for: these rows never pass
+        return pii.gate(rows.withColumn("texto", F.regexp_replace("texto", ", fone.*", "")), "clean")
+    raise AssertionError("the gate let contacts pass")
+
+
+@query("typed_columns", "SELECT c_custkey::VARCHAR AS id, round(c_acctbal)::INT AS saldo, NULL::DOUBLE AS falta FROM customer")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.round("c_acctbal").alias("saldo"), F.lit(1).alias("sobra"))
+    return features.as_types(d, T.StructType([T.StructField("id", T.StringType()), T.StructField("saldo", T.IntegerType()), T.StructField("falta", T.DoubleType())]))
+
+
+@query("training_tables", """WITH X AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS v, o_orderkey % 10 = 0 AS h FROM orders) SELECT k, CASE WHEN h THEN 'holdout' ELSE 'abt' END AS parte, '2026-09' AS mes FROM X WHERE v AND (h OR k % 3 = 0)""")
+def _(spark, sf_dir):
+    root, k = _place(spark, "training"), F.col("k")
+    d = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, "venda").otherwise("locacao").alias("transaction_type"))
+    abt, holdout = d.where(k % 10 != 0), d.where(k % 10 == 0)
+    models.write_training(abt, holdout, root, "2026-08")
+    models.write_training(abt, holdout, root, "2026-09")
+    models.write_training(abt.where(k % 3 == 0), holdout, root, "2026-09")  # the month is replaced
+    train, test, month = models.latest_training(spark, root, "venda")
+    return train.select("k", F.lit("abt").alias("parte")).unionByName(test.select("k", F.lit("holdout").alias("parte"))).withColumn("mes", F.lit(month))
+
+
+@query("market_months", " SELECT mes_referencia, city, count(*)::BIGINT AS n FROM L WHERE mes_referencia LIKE '%-0%' GROUP BY ALL")
+def _(spark, sf_dir):
+    root, rows = _place(spark, "market"), listings(spark, sf_dir)
+    counts = rows.groupBy("mes_referencia", "city").agg(F.count("*").alias("n")).where("mes_referencia LIKE '%-0%'")
+    models.write_market(counts.withColumn("n", F.lit(0).cast("long")), root)
+    models.write_market(counts, root)  # its months take the place of the former ones
+    return spark.read.schema("city string, n long, mes_referencia string").parquet(f"{root}/mercado").select("mes_referencia", "city", "n")
+
+
+@query("captures_of_series", "SELECT n_name AS cidade, n_nationkey::DOUBLE AS valor FROM nation")
+def _(spark, sf_dir):
+    root = _place(spark, "series")
+    d = read(spark, sf_dir, "nation").select(F.col("n_name").alias("cidade"), F.col("n_nationkey").cast("double").alias("valor"))
+    indices.write_capture(d.withColumn("valor", F.lit(-1.0)), root, "2026-07-31")
+    indices.write_capture(d, root, "2026-08-31")
+    indices.write_derived(indices.latest_capture(spark, root, 2), f"{root}/derived")
+    return spark.read.parquet(f"{root}/derived")
+
+
+@query("sitemap_entries", "SELECT 'https://s.com/' || page_id::VARCHAR AS loc, '2026-08-0' || (page_id % 9 + 1)::VARCHAR AS lastmod FROM pages")
+def _(spark, sf_dir):
+    to, k = _place(spark, "sitemap"), F.col("page_id")
+    entry = _text("<url><loc> https://s.com/", k, " </loc><lastmod>2026-08-0", k % 9 + 1, "</lastmod></url><url><loc>https://s.com/", k, "</loc><lastmod>2026-01-01</lastmod></url>")
+    files = read(spark, sf_dir, "pages").groupBy((k / 100).cast("int").alias("b")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("value"))  # of a hundred pages each
+    files.repartition("b").write.partitionBy("b").text(to)
+    return pages.sitemap(spark, f"{to}/*/*.txt")
+
+
+@query("stored_cards", "SELECT n_name AS cidade, 'venda' AS alvo, 'v1' AS versao, n_nationkey * 10 AS n_treino, n_regionkey / 10.0::DOUBLE AS mae_log FROM nation")
+def _(spark, sf_dir):
+    to, n = _place(spark, "cards"), F.col("n_nationkey")
+    card = F.to_json(F.struct(F.struct(F.col("n_name").alias("cidade"), F.lit("venda").alias("alvo"), F.lit("v1").alias("versao")).alias("identificacao"), F.struct((n * 10).alias("n_treino")).alias("escopo"), F.struct((F.col("n_regionkey") / 10).alias("mae_log")).alias("desempenho")))
+    d = read(spark, sf_dir, "nation").select(card.alias("value"), n.alias("n"))
+    d.repartition(25, "n").write.partitionBy("n").text(to)
+    d.limit(1).select(F.lit("{broken").alias("value")).write.text(f"{to}/n=x")
+    return models.cards(spark, f"{to}/*/*.txt").select("cidade", "alvo", "versao", "n_treino", "mae_log")
+
+
+@query("migrated_lake", "SELECT '2026-08-0' || (n_regionkey + 1)::VARCHAR AS dia, count(*)::BIGINT AS antes, count(*)::BIGINT AS depois, true AS mesmos FROM nation GROUP BY ALL")
+def _(spark, sf_dir):
+    old, new = _place(spark, "old"), _place(spark, "new")
+    n = read(spark, sf_dir, "nation").select(F.col("n_name").alias("property_id"), F.concat(F.lit("2026-08-0"), (F.col("n_regionkey") + 1).cast("string")).alias("dia"))
+    for day in [r[0] for r in n.select("dia").distinct().collect()]:  # a folder for each of five regions
+        n.where(F.col("dia") == day).select("property_id").write.parquet(f"{old}/sp/santos/{day}/p/a.com")
+    out = lake.migrate(spark, old, new)
+    return out.select(F.regexp_extract("origem", "/([0-9-]{10})/p/", 1).alias("dia"), "antes", "depois", "mesmos")
+
+
+@query("street_keys", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'rua visconde rio branco' WHEN 1 THEN 'xy' ELSE '' END AS chave, s_suppkey % 3 = 0 AS usavel FROM supplier")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "supplier").select("s_suppkey", _one_of(F.col("s_suppkey"), ("R. Visc. do Rio Branco", "  Xy!", "de da")).alias("rua"))
+    return folds.folded(d, "rua", "street_key", "chave").select("s_suppkey", "chave", F.coalesce(folds.usable(F.col("chave")), F.lit(False)).alias("usavel"))
+
+
+@query("targets_of_a_state", "SELECT n_name AS cidade FROM nation WHERE n_nationkey % 3 = 1")
+def _(spark, sf_dir):
+    d = read(spark, sf_dir, "nation").select(F.col("n_name").alias("cidade"), _one_of(F.col("n_nationkey"), ("coletando", "inventariando", "a_inventariar")).alias("estado"))
+    return views.of_state(d, "inventariando").select("cidade")
+
+
+@query("bootstrap_median", " SELECT bedrooms, true AS contem, true AS estreito FROM (SELECT DISTINCT bedrooms FROM L WHERE bedrooms <= 2)")
+def _(spark, sf_dir):
+    rows, out = listings(spark, sf_dir).where("bedrooms <= 2"), None
+    for n in (1, 2):
+        own = rows.where(F.col("bedrooms") == n)
+        interval = modelling.bootstrap_median(own, "price", resamples=100)
+        one = own.agg(F.median("price").alias("m"), F.max("price").alias("hi_all"), F.min("price").alias("lo_all"), F.first("bedrooms").alias("bedrooms")).join(F.broadcast(interval), F.lit(True))  # one row each
+        one = one.select("bedrooms", F.col("m").between(F.col("lo"), F.col("hi")).alias("contem"), ((F.col("hi") - F.col("lo")) < 0.5 * (F.col("hi_all") - F.col("lo_all"))).alias("estreito"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("hashed_shares", " SELECT transaction_type, true AS perto, true AS igual FROM (SELECT DISTINCT transaction_type FROM L)")
+def _(spark, sf_dir):
+    share = lambda d: d.groupBy("transaction_type").agg(F.avg(modelling.hashed_share(0.15, 42, "tie").cast("double")).alias("s"))
+    rows = listings(spark, sf_dir)
+    again = share(rows.repartition(3, "price")).withColumnRenamed("s", "t")
+    return share(rows).join(again, "transaction_type").select("transaction_type", (F.abs(F.col("s") - 0.15) < 0.02).alias("perto"), (F.abs(F.col("s") - F.col("t")) < 1e-12).alias("igual"))
+
+
+@query("boosted_quantiles")
+def _(spark, sf_dir):
+    """Quantile and central models of the price, fitted on four fifths of the listings' groups and measured on the rest."""
+    rows = listings(spark, sf_dir).withColumns({"log_price": F.ln("price"), "bedrooms": F.col("bedrooms").cast("double")}).withColumn("_out", modelling.hashed_share(0.2, 3, "property_id"))
+    members = [boosting.Member("p_log"), boosting.Member("q10_log", boosting.QUANTILE, 0.1), boosting.Member("q90_log", boosting.QUANTILE, 0.9)]
+    model = boosting.fit(rows.where("NOT _out"), "log_price", ["area_m2", "bedrooms"], ["city", "neighborhood"], members, ["tie"], boosting.Settings(rounds=12, rate=0.3, depth=3))
+    out = modelling.quantile_interval(boosting.predicted(model, rows.where("_out")))
+    return out.groupBy("transaction_type").agg(F.count("*").alias("n"), F.avg(F.col("price").between(F.col("lo"), F.col("hi")).cast("double")).alias("cobertura"), F.avg(F.abs(F.col("log_price") - F.col("p_log"))).alias("mae_log"))
