@@ -2,9 +2,13 @@
 
 Each document gets counts (words, code points, symbols, repeated lines and 3-word windows, capitals). The ratios of the
 documents that pass the base rule are sketched per (language, source) as logarithmic buckets with counts, a
-quantile sketch of relative error ACCURACY that merges by adding counts: map tasks pre-aggregate, small groups fall
-back to the merged sketch of their language and then of the corpus. Fences from the sketches' quartiles replace fixed
-cut-offs; a join on language and source applies them.
+quantile sketch of relative error ACCURACY that merges by adding counts: map tasks pre-aggregate, and the merged sketches
+of a language and of the corpus are sums of theirs. Fences from the sketches' quartiles replace fixed cut-offs; a group's fences
+are blended with its language's, and these with the corpus's, by weight: a group of n documents has n parts of its own and WEIGHT parts
+of the next wider sketch, so no number of documents makes a step. A join on language and source applies them.
+
+The quartiles of a narrow group may lie so close that a fence would cut through ordinary texts: RATIOS sets the least spread of each ratio
+(with SPREADS of 4, a text needs at least 0.32 of repeated lines above its group's third quartile to go). These five numbers are parameters.
 
 Scale: only narrow feature rows leave the map tasks. A sketch has at most some 1,500 buckets a ratio whatever the
 number of documents, so no group is unbounded and a hot source is as cheap as any other.
@@ -34,8 +38,8 @@ _UPPER = bytes(range(65, 91))
 #: Relative error of a sketched quantile.
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: A group with fewer documents takes its language's thresholds, a small language the corpus's.
-MIN_GROUP = 100
+#: Documents whose weight the next wider sketch has in a group's fences.
+WEIGHT = 100
 #: ratio: (numerator, denominator, least spread, lower fence too). A fence is a quartile plus SPREADS times the
 #: distance between the quartiles (or the least spread, if that is larger).
 RATIOS = {
@@ -121,13 +125,14 @@ def thresholds(f: DataFrame) -> DataFrame:
     aggs = [F.max(F.when(F.col("ratio") == r, F.col(c))).alias(f"{r}_{c}") for r in RATIOS for c in ("lo", "hi")]
     wide = q.groupBy("level", "lang", "source").agg(F.max("total").alias("total"), *aggs)
     names = [f"{r}_{c}" for r in RATIOS for c in ("lo", "hi")]
-    level = lambda n, p: wide.where((F.col("level") == n) & ((F.col("total") >= MIN_GROUP) if n else F.lit(True))).select(
-        *(F.col(c).alias(f"{p}_{c}") for c in (["lang", "source"] if n == 2 else ["lang"] if n == 1 else []) + names))
+    level = lambda n, p: wide.where(F.col("level") == n).select(
+        *(F.col(c).alias(f"{p}_{c}") for c in (["lang", "source"] if n == 2 else ["lang"] if n == 1 else []) + ["total"] + names))
     groups = f.groupBy("lang", "source").agg(F.count("*").alias("_n"))
     own, lang, whole = level(2, "o"), level(1, "l"), level(0, "w")
     out = groups.join(own, groups["lang"].eqNullSafe(own["o_lang"]) & groups["source"].eqNullSafe(own["o_source"]), "left")
     out = out.join(lang, out["lang"].eqNullSafe(lang["l_lang"]), "left").join(F.broadcast(whole), F.lit(True), "left")  # whole: one row
-    return out.select("lang", "source", *(F.coalesce(f"o_{c}", f"l_{c}", f"w_{c}").alias(c) for c in names))
+    blend = lambda p, c, wider: F.coalesce((F.col(f"{p}_total") * F.col(f"{p}_{c}") + WEIGHT * wider) / (F.col(f"{p}_total") + WEIGHT), wider)
+    return out.select("lang", "source", *(blend("o", c, blend("l", c, F.col(f"w_{c}"))).alias(c) for c in names))
 
 
 def judge(f: DataFrame, limits: DataFrame) -> DataFrame:
@@ -172,7 +177,11 @@ def _sql() -> str:
     least = "CASE ratio " + " ".join(f"WHEN '{r}' THEN {s}" for r, (_, _, s, _) in RATIOS.items()) + " END"
     two = ", ".join(f"'{r}'" for r, x in RATIOS.items() if x[3])
     wide = ", ".join(f"max(CASE WHEN ratio = '{r}' THEN lo END) AS {r}_lo, max(CASE WHEN ratio = '{r}' THEN hi END) AS {r}_hi" for r in RATIOS)
-    ok = " AND ".join(f"coalesce({r} BETWEEN coalesce(o.{r}_lo, l.{r}_lo, w.{r}_lo) AND coalesce(o.{r}_hi, l.{r}_hi, w.{r}_hi), true)" for r in RATIOS)
+    def blended(c: str) -> str:
+        lang = f"coalesce((l.total * l.{c} + {WEIGHT} * w.{c}) / (l.total + {WEIGHT}), w.{c})"
+        return f"coalesce((o.total * o.{c} + {WEIGHT} * {lang}) / (o.total + {WEIGHT}), {lang})"
+
+    ok = " AND ".join(f"coalesce({r} BETWEEN {blended(f'{r}_lo')} AND {blended(f'{r}_hi')}, true)" for r in RATIOS)
     return rf"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts),
@@ -195,8 +204,8 @@ q AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN upto
 fence AS (SELECT level, lang, source, ratio, total, q3 + greatest(q3 - q1, {least}) * {SPREADS} AS hi, CASE WHEN ratio IN ({two}) THEN q1 - greatest(q3 - q1, {least}) * {SPREADS} ELSE -1.0 END AS lo FROM q),
 wide AS (SELECT level, lang, source, max(total) AS total, {wide} FROM fence GROUP BY level, lang, source)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {ok} AS kept, r.lang, r.source, n_upper, n_lines
-FROM r LEFT JOIN wide o ON o.level = 2 AND o.total >= {MIN_GROUP} AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
-LEFT JOIN wide l ON l.level = 1 AND l.total >= {MIN_GROUP} AND l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN wide w ON w.level = 0
+FROM r LEFT JOIN wide o ON o.level = 2 AND o.lang IS NOT DISTINCT FROM r.lang AND o.source IS NOT DISTINCT FROM r.source
+LEFT JOIN wide l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN wide w ON w.level = 0
 """
 
 

@@ -86,6 +86,19 @@ def test_sketch_quantiles_are_within_their_error(spark):
             assert abs(got / np.quantile(values, q, method="inverted_cdf") - 1) <= quality_rules.ACCURACY * 1.01
 
 
+def test_no_size_of_a_group_makes_a_step(spark):
+    """Groups of one distribution and of n and n + 1 documents in a wider language: their fences lie close together, between their own and the language's."""
+    rng = np.random.default_rng(9)
+    sizes = (1, 2, 50, 51, 99, 100, 101, 400)
+    rows = [("en", "wide", False, float(v)) for v in rng.uniform(2, 12, 800)] + [("en", f"s{n}", False, 6.0 + 0.001 * (i % 5)) for n in sizes for i in range(n)]
+    names = list(quality_rules.RATIOS)
+    f = spark.createDataFrame([(*r[:3], *[r[3] if x == "word_length" else 0.0 for x in names]) for r in rows], "lang string, source string, base_failed boolean, " + ", ".join(f"{x} double" for x in names))
+    hi = {r.source: r.word_length_hi for r in quality_rules.thresholds(f).collect()}
+    for a, b in ((1, 2), (50, 51), (99, 100), (100, 101)):
+        assert abs(hi[f"s{a}"] - hi[f"s{b}"]) < 0.05 * hi[f"s{a}"]
+    assert [hi[f"s{n}"] for n in sizes] == sorted((hi[f"s{n}"] for n in sizes), reverse=True) and hi["s400"] < hi["s1"]
+
+
 def test_rules_on_nothing(nothing):
     assert quality_rules.filter_quality(nothing).count() == 0
 

@@ -28,7 +28,7 @@ def test_stages_keep_clean_documents_and_columns(spark, sf_dir):
 
 def test_run_and_names(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "line dedup", "n-gram Jaccard join", "best-fit packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
 
