@@ -11,8 +11,8 @@ Words of more than LONG bytes (runs without a break) are merged in a worker with
 takes quadratic time; so is a word whose 64-bit hash another one shares. Nothing of the vocabulary of the corpus goes
 through the driver. Bytes are held as ISO-8859-1 characters inside the fold.
 
-Edge cases: a null or empty text has no ids. Repeated rows are encoded each. Other columns are ignored; an empty table
-gives no rows.
+Edge cases: a null or empty text has no ids. Repeated rows are encoded each; a null doc_id is an id. Other columns, whatever their
+names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ Ranks within a length are counted over (length, salt), so that a length that a t
 grow with the pieces, RANKED to a salt at most on average.
 
 Edge cases: a null or empty text is the end id alone. Equal rows are packed each. A text of more than ``size`` tokens
-is cut into pieces of ``size``, the last may be shorter. An empty table packs to no rows. Columns other than doc_id and
-text are ignored.
+is cut into pieces of ``size``, the last may be shorter. A null doc_id is an id. An empty table packs to no rows. Columns other
+than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
