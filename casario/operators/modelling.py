@@ -7,6 +7,9 @@ native categories and the mean of several seeds, whose interval is the quantile
 
 from __future__ import annotations
 
+from math import exp, fsum, lgamma, log, log1p, sqrt
+from statistics import NormalDist
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -163,23 +166,43 @@ def imputed_by_model(train: DataFrame, df: DataFrame, fields: list[str], numbers
     return df
 
 
-def bootstrap_median(df: DataFrame, value: str, resamples: int = 400, seed: int = 7) -> DataFrame:
-    """lo and hi: 95 % interval of the median, by resampling with Poisson(1) weights from a hash of row and resample.
+def _resampled_rank(n: int, q: float) -> int:
+    """The least k for which the median of a resample of n values is at most the kth of them with a chance of q or more.
 
-    Weighted medians come from counts by value, so each resample is an aggregation, not a copy of the rows.
+    A resample's (lower) median is at most the kth value when at least half of its n draws are, each with a chance of k / n: a
+    binomial tail, summed for n up to 2,000 and taken as normal beyond.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "_i", "_row"), F.lit(1 << 30)) / float(1 << 30)
-    weight, p, k = F.lit(0), 0.36787944117144233, 0
-    cut = p
-    while cut < 0.9999999:
-        weight = F.when(u >= cut, k + 1).otherwise(weight)
-        k += 1
-        p /= k
-        cut += p
-    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), F.monotonically_increasing_id().alias("_row"))
-    each = rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", weight).where("_w > 0")
-    medians = each.groupBy("_i").agg(F.expr("percentile(_v, 0.5, _w)").alias("_m"))
-    return medians.agg(F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi"))
+    half = (n + 1) // 2
+
+    def chance(k: int) -> float:
+        p = k / n
+        if p <= 0 or p >= 1:
+            return float(p >= 1)
+        if n > 2_000:
+            return 1 - NormalDist(n * p, sqrt(n * p * (1 - p))).cdf(half - 0.5)
+        return fsum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p)) for i in range(half, n + 1))
+
+    lo, hi = 1, n
+    while lo < hi:
+        k = (lo + hi) // 2
+        lo, hi = (lo, k) if chance(k) >= q else (k + 1, hi)
+    return lo
+
+
+def bootstrap_median(df: DataFrame, value: str, share: float = 0.95) -> DataFrame:
+    """lo and hi: the interval of the median that resampling without end would give (one row; nulls without values).
+
+    Where a resample's median falls depends on ranks alone, so the interval's ends are two order statistics: no row is copied
+    or drawn, and the ranks are found by ranges.
+    """
+    from .training import percentiles
+
+    rows = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_g"), F.col(value).cast("double").alias("_v"))
+    n = rows.count()
+    if not n:
+        return df.sparkSession.createDataFrame([(None, None)], "lo double, hi double")
+    at = {name: (_resampled_rank(n, q) - 1) / max(n - 1, 1) for name, q in (("lo", (1 - share) / 2), ("hi", (1 + share) / 2))}
+    return percentiles(rows, ["_g"], "_v", at).select("lo", "hi")
 
 
 def shuffled_rank(df: DataFrame, by: list[str], seed: int, *columns: str) -> DataFrame:

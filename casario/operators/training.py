@@ -99,7 +99,7 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, floa
     wanted = F.lit(False)
     for rank in ends:
         wanted = wanted | holds(rank, F.col("_before"), F.col("_in"))
-    rows = dealt.join(F.broadcast(before.where(wanted)), [*by, "_range"])
+    rows = dealt.join(before.where(wanted), [*by, "_range"])  # grows with the groups: Spark chooses the join
     rows = rows.withColumn("_first", F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(value)) - F.col("_n"))
     at = lambda rank: F.max(F.when(holds(rank, F.col("_first"), F.col("_n")), F.col(value).cast("double")))
     found = rows.groupBy(*by).agg(F.first("_all").alias("_all"), *(at(f(p)).alias(f"_{f.__name__}_{k}") for k, p in position.items() for f in (F.floor, F.ceil)))

@@ -643,7 +643,7 @@ def _(spark, sf_dir):
     rows, out = listings(spark, sf_dir).where("bedrooms <= 2"), None
     for n in (1, 2):
         own = rows.where(F.col("bedrooms") == n)
-        interval = modelling.bootstrap_median(own, "price", resamples=100)
+        interval = modelling.bootstrap_median(own, "price")
         one = own.agg(F.median("price").alias("m"), F.max("price").alias("hi_all"), F.min("price").alias("lo_all"), F.first("bedrooms").alias("bedrooms")).join(F.broadcast(interval), F.lit(True))  # one row each
         one = one.select("bedrooms", F.col("m").between(F.col("lo"), F.col("hi")).alias("contem"), ((F.col("hi") - F.col("lo")) < 0.5 * (F.col("hi_all") - F.col("lo_all"))).alias("estreito"))
         out = one if out is None else out.unionByName(one)

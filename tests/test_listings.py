@@ -319,7 +319,7 @@ def test_medians_impute_and_axes(spark):
     assert out.where("fee IS NULL").count() == 0 and {round(r.fee) for r in out.where("c = 'c1'").collect()} == {150}
     axes = modelling.rotated(df, df, "x", "y").agg(F.variance("eixo_1").alias("a"), F.variance("eixo_2").alias("b"), F.corr("eixo_1", "eixo_2").alias("r")).first()
     assert axes.a > 20 * axes.b and abs(axes.r) < 1e-6
-    ci = modelling.bootstrap_median(df.limit(200), "x", 100).first()
+    ci = modelling.bootstrap_median(df.limit(200), "x").first()
     assert 6 < ci.lo <= ci.hi < 14
 
 

@@ -57,3 +57,18 @@ def test_months_and_lists_of_text(spark):
     d = spark.createDataFrame([("2026-08",), ("2026-08-31x",), ("2026-13-01",), ("202612",), ("20261",), (None,)], "t string")
     assert [r[0] for r in d.select(coerce.month_of(F.col("t"))).collect()] == ["2026-08", "2026-08", None, "2026-12", None, None]
     assert spark.range(1).select(coerce.split_list(F.lit(" a 0, ,1 b ,"))).first()[0] == ["a 0", "1 b"]
+
+
+def test_interval_of_the_median_is_what_resampling_gives(spark):
+    import numpy as np
+
+    from casario.operators import modelling
+
+    rng = np.random.default_rng(2)
+    values = np.sort(rng.exponential(3, 301))
+    medians = np.sort(values[rng.integers(0, 301, (4000, 301))], axis=1)[:, 150]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(3)
+    got = modelling.bootstrap_median(df, "x").first()
+    near = [abs(np.searchsorted(values, got[i]) - np.searchsorted(values, np.quantile(medians, q, method="inverted_cdf"))) for i, q in ((0, 0.025), (1, 0.975))]
+    assert max(near) <= 2
+    assert tuple(modelling.bootstrap_median(df.where("x < 0"), "x").first()) == (None, None)
