@@ -6,6 +6,7 @@ The loops run over a handful of folds, arms or pairs; each step of them is a Spa
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
+from math import isfinite
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -214,3 +215,17 @@ def estimates(requests: DataFrame, model: PipelineModel | boosting.Model, cfg: C
         out = out.withColumns({c: F.when(sale, F.col(c)) for c in ("aluguel", "aluguel_lo", "aluguel_hi", "motivo")})
         notes.append(F.col("motivo"))
     return out.withColumn("ressalvas", F.array_compact(F.array(*notes)) if notes else F.array().cast("array<string>"))
+
+
+def synthetic_case(spark, model: boosting.Model, cfg: Config) -> DataFrame:
+    """One request in the middle of what a boosted model was fitted on: each number at its middle cut, each category at its first level."""
+    middle = {c: v[len(v) // 2] if v else None for c, v in model.bins.numbers.items() if not c.startswith("aus_")}
+    first = {c: v[0] if v else None for c, v in model.bins.categories.items()}
+    row = spark.range(1).select(*(F.lit(v).cast("double").alias(c) for c, v in middle.items()), *(F.lit(v).cast("string").alias(c) for c, v in first.items()))
+    return modelling.with_missing(row, [c for c in _columns(cfg, row) if c in row.columns])
+
+
+def ready(spark, model: boosting.Model, cfg: Config) -> bool:
+    """Whether a loaded model answers a synthetic request with a finite, positive estimate inside its interval: asked before it serves."""
+    out = modelling.quantile_interval(modelling.predicted(model, synthetic_case(spark, model, cfg))).select("lo", "previsto", "hi").first()
+    return all(v is not None and isfinite(v) and v > 0 for v in out) and out.lo <= out.previsto <= out.hi

@@ -186,6 +186,7 @@ def test_boosted_kind_serves_with_its_own_interval(spark, optional, tmp_path):
     own = models.card(optional.where("NOT _holdout"), optional.where("_holdout"), experiment.measured(model, test, cfg), city="Santos", target="venda", version="v", scope="cidade", limits=limits, environment={})
     to = models.save(model, spark, f"file://{tmp_path}/boosted", list(cfg.numbers), own)
     again, _, _ = models.load(spark, to)
+    assert experiment.ready(spark, again, cfg) and experiment.synthetic_case(spark, again, cfg).first().neighborhood == "bairro 0"
     rows = lambda m: sorted((r.property_id, r.lo, r.previsto, r.hi) for r in experiment.estimates(test, m, cfg, None, "city", None, None).collect())
     got = rows(again)
     assert got == rows(model) and all(lo <= p <= hi for _, lo, p, hi in got) and sum(lo < hi for _, lo, _, hi in got) > 0.9 * len(got)
