@@ -8,9 +8,9 @@ visits lists by falling upper bound, skips those whose bounds lie outside the wi
 below the kth score so far (equal bounds may hold a tie with a smaller id). Scores are integer inner products, computed exactly.
 
 Scale: rows move once, to their lists, which are sorted by label and written to the shared folder; workers memory-map them. A list
-has about LIST rows: a larger cluster is dealt out by the hash of the id to several lists, each with a centroid and a radius of
+has about LIST rows (or a MOST_LISTS-th of all): a larger cluster is dealt out by the hash of the id to several lists, each with a centroid and a radius of
 its own, so one vector that a third of all rows hold makes many small tight lists. Anchors are dealt by cluster in ranges; a task
-holds BATCH anchors, the lists' centroids and one list's scores, and its results need no shuffle. Where vectors form no clusters
+holds BATCH anchors, the lists' centroids and their scores for BLOCK rows, and its results need no shuffle. Where vectors form no clusters
 no bound prunes and every list is visited: work grows with anchors times rows then, memory doesn't.
 
 Edge cases: rows with a null id, label or vector, or a null component, take no part; nor do vectors of another length than the
@@ -33,8 +33,10 @@ from .common import local_path, shared_dir, table, trim
 
 CLUSTERS, PER_CLUSTER = 256, 64
 SAMPLE = 16_384
-LIST = 8_192
-BATCH = 128
+#: Rows of a list, more where there would be more than MOST_LISTS of them: a worker maps them all, a file each.
+LIST, MOST_LISTS = 8_192, 20_000
+#: Anchors and rows that are scored at once.
+BATCH, BLOCK = 128, 8_192
 #: Scores below this are exact in double precision, whatever the order of the sum.
 EXACT = 2.0**52
 
@@ -140,8 +142,7 @@ def positives(lists: Lists, ids: np.ndarray, labels: np.ndarray, x: np.ndarray,
         own, starts, row_ids, rows = lists.rows(at)
         for j, label in enumerate(own):
             a = [i for i in np.flatnonzero(labels == label) if best[i].reaches(upper[i, at])]
-            if a:
-                part = slice(starts[j], starts[j + 1])
+            for part in _blocks(starts[j], starts[j + 1]) if a else ():
                 for i, s in zip(a, lists.scores(at, x[a], rows[part]), strict=True):
                     other = row_ids[part] != ids[i]
                     best[i].add(s[other], row_ids[part][other])
@@ -157,24 +158,30 @@ def negatives(lists: Lists, ids: np.ndarray, labels: np.ndarray, x: np.ndarray,
         open_ = [j for j, (i, lo, hi) in enumerate(wanted) if lo <= upper[i, at] and lower[i, at] <= hi and best[j].reaches(upper[i, at])]
         if not open_:
             continue
-        a = sorted({wanted[j][0] for j in open_})
+        of: dict[int, list[int]] = {}
+        for j in open_:
+            of.setdefault(wanted[j][0], []).append(j)
         own, starts, row_ids, rows = lists.rows(at)
-        scores = lists.scores(at, x[a], rows)
-        for i, s in zip(a, scores, strict=True):
-            other = row_ids != ids[i]
-            found = np.flatnonzero(own == labels[i])
-            if len(found):
-                other[starts[found[0]] : starts[found[0] + 1]] = False
-            s, those = s[other], row_ids[other]
-            for j in open_:
-                if wanted[j][0] == i:
+        for part in _blocks(0, len(row_ids)):
+            block = row_ids[part]
+            for (i, those), s in zip(of.items(), lists.scores(at, x[list(of)], rows[part]), strict=True):
+                other = block != ids[i]
+                found = np.flatnonzero(own == labels[i])
+                if len(found):
+                    other[max(starts[found[0]] - part.start, 0) : max(starts[found[0] + 1] - part.start, 0)] = False
+                s, near = s[other], block[other]
+                for j in those:
                     least = wanted[j][1] if best[j].kth is None else max(wanted[j][1], best[j].kth)
                     inside = (s >= least) & (s <= wanted[j][2])
                     if inside.any():
-                        best[j].add(s[inside], those[inside])
+                        best[j].add(s[inside], near[inside])
     return best
 
 
+def _blocks(a: int, z: int) -> list[slice]:
+    return [slice(k, min(k + BLOCK, z)) for k in range(int(a), int(z), BLOCK)]
+
+
 def _visits(upper: np.ndarray):
     """Lists by the greatest upper bound of a batch of anchors, falling."""
     most = upper.max(axis=0)
@@ -229,7 +236,9 @@ def mine(rows: DataFrame, anchors: Column, id_col: str = "id", label_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.empty(0, np.int64), *at]).astype(np.int32))], ["id", "label", "vector", "cluster"])
 
     rows = rows.mapInArrow(dealt, "id long, label long, vector array<long>, cluster int")
-    parts = {r["cluster"]: -(-r["n"] // LIST) for r in rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
+    sizes = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
+    each = max(LIST, -(-sum(sizes.values()) // MOST_LISTS))
+    parts = {c: -(-n // each) for c, n in sizes.items()}
     folder = local_path(shared_dir(spark, "negative-lists"))
     n = F.element_at(F.array(*[F.lit(parts.get(c, 1)) for c in range(len(centres))]), F.col("cluster") + 1)
     lists = rows.withColumn("part", F.pmod(F.xxhash64("id"), n).cast("int")).repartition("cluster", "part").sortWithinPartitions("cluster", "part", "label", "id")

@@ -44,9 +44,11 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "id long, label int, vector array<long>").withColumns({"cluster": F.lit("x"), "rank": F.lit(1), "a.b": F.lit(2)}).repartition(3)
 
 
-@pytest.mark.parametrize("size", [40, 8192])
-def test_against_brute_force(spark, rows, monkeypatch, size):
+@pytest.mark.parametrize(("size", "most", "block"), [(40, 20_000, 8192), (8192, 20_000, 7), (40, 3, 64)])
+def test_against_brute_force(spark, rows, monkeypatch, size, most, block):
     monkeypatch.setattr(hn, "LIST", size)
+    monkeypatch.setattr(hn, "MOST_LISTS", most)
+    monkeypatch.setattr(hn, "BLOCK", block)
     assert got(hn.mine(frame(spark, rows), F.col("id") % 20 == 0)) == expected(rows, lambda i: i % 20 == 0)
 
 
