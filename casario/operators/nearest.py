@@ -109,20 +109,23 @@ def _cut(lo: float, hi: float, middle: float) -> float:
     return middle if lo <= middle < hi else lo + (hi - lo) / 2 if lo + (hi - lo) / 2 < hi else lo
 
 
-def _seeded(tree: _Growing, p: np.ndarray, share: float, bound: int) -> None:
-    """Cuts from a sample, down to what would be about the bound among all locations."""
-    stack = [(0, p)]
+def _seeded(tree: _Growing, p: np.ndarray, share: float, bound: int) -> dict[int, tuple]:
+    """Cuts from a sample, down to what would be about the bound among all locations; boxes and counts of the sample by cell."""
+    stack, boxes = [(0, p)], {}
     while stack:
         node, own = stack.pop()
-        if len(own) * share <= bound or len(own) < 32:
+        if len(own) * share <= bound or share > 1 and len(own) < 32:
+            boxes[node] = ((own[:, 0].min(), own[:, 0].max(), own[:, 1].min(), own[:, 1].max()), len(own))
             continue
         axis = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
         v = own[:, axis]
-        if v.max() <= v.min():
+        if v.max() <= v.min():  # one place: locations are distinct, but a sample's cell may be a single one
+            boxes[node] = ((own[:, 0].min(), own[:, 0].max(), own[:, 1].min(), own[:, 1].max()), len(own))
             continue
         cut = _cut(v.min(), v.max(), float(np.median(v)))
         a, b = tree.split(node, axis, cut)
         stack += [(a, own[v <= cut]), (b, own[v > cut])]
+    return boxes
 
 
 def _cell_of(spark, tree: Cells, x: str, y: str):
@@ -137,12 +140,13 @@ def _cell_of(spark, tree: Cells, x: str, y: str):
 
 def partition(locations: DataFrame, bound: int = BOUND) -> Cells:
     """The tree over locations (x, y, each once): no cell has more than ``bound`` of them, or MOST-th parts of all."""
-    spark, n = locations.sparkSession, locations.count()
+    spark, tree = locations.sparkSession, _Growing()
+    sample = locations.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE + 1).select("x", "y").toPandas().to_numpy(np.float64)
+    if len(sample) <= SAMPLE:  # all of them: no round is needed
+        return tree.cells(_seeded(tree, sample, 1, bound) if len(sample) else {})
+    n = locations.count()
     bound = max(bound, -(-n // MOST))
-    tree = _Growing()
-    sample = locations.orderBy(F.xxhash64("x", "y"), "x", "y").limit(SAMPLE).select("x", "y").toPandas().to_numpy(np.float64)
-    if len(sample):
-        _seeded(tree, sample, n / len(sample), bound)
+    _seeded(tree, sample, n / len(sample), bound)
     while True:
         half = lambda c: F.percentile_approx(c, 0.5, 1000).alias(f"m{c}")
         dealt = locations.withColumn("cell", _cell_of(spark, tree.cells(), "x", "y"))
@@ -169,8 +173,8 @@ def nearest_mean(points: DataFrame, known: DataFrame, k: int, id_col: str, bound
     some = top_per_group(real(known).select("x", "y", F.col(id_col).alias("_r"), F.col("target").alias("_t")), ["x", "y"], [F.col("_r")], k + 1)
     sites = written(some.groupBy("x", "y").agg(F.collect_list(F.struct("_r", "_t")).alias("_own")), "sites")
     tree = partition(sites.select("x", "y"), bound)
-    sites = written(sites.withColumn("cell", _cell_of(spark, tree, "x", "y")).select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), "_own", "cell"), "sites")
-    asked = written(real(points).select(F.col(id_col).alias("_q"), "x", "y").distinct().withColumn("cell", _cell_of(spark, tree, "x", "y")), "asked")
+    sites = sites.withColumn("cell", _cell_of(spark, tree, "x", "y")).select(F.col("x").alias("_sx"), F.col("y").alias("_sy"), "_own", "cell")
+    asked = real(points).select(F.col(id_col).alias("_q"), "x", "y").distinct().withColumn("cell", _cell_of(spark, tree, "x", "y"))
 
     def pairs(q: DataFrame) -> DataFrame:
         """The k best known points of each point's listed cells."""
