@@ -37,6 +37,8 @@ SAMPLE = 16_384
 LIST, MOST_LISTS = 8_192, 20_000
 #: Anchors and rows that are scored at once.
 BATCH, BLOCK = 128, 8_192
+#: Anchors of a task: their rows are small and their search is not, so their bytes say nothing of a task's size.
+ANCHORS = 64
 #: Scores below this are exact in double precision, whatever the order of the sum.
 EXACT = 2.0**52
 
@@ -235,6 +237,7 @@ def mine(rows: DataFrame, anchors: Column, id_col: str = "id", label_col: str =
             at = [np.argmax(_matrix(b.column("vector").slice(a, 4096), dim) @ c.T - half, axis=1) for a in range(0, b.num_rows, 4096)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.empty(0, np.int64), *at]).astype(np.int32))], ["id", "label", "vector", "cluster"])
 
+    n_anchors = rows.where(anchors).count()
     rows = rows.mapInArrow(dealt, "id long, label long, vector array<long>, cluster int")
     sizes = {r["cluster"]: r["n"] for r in rows.groupBy("cluster").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
     each = max(LIST, -(-sum(sizes.values()) // MOST_LISTS))
@@ -289,7 +292,7 @@ def mine(rows: DataFrame, anchors: Column, id_col: str = "id", label_col: str =
             yield searched(rest)
         trim()
 
-    asked = rows.where(anchors).repartitionByRange("cluster", "id").sortWithinPartitions("cluster", "id")
+    asked = rows.where(anchors).repartitionByRange(max(1, -(-n_anchors // ANCHORS)), "cluster", "id").sortWithinPartitions("cluster", "id")
     out = asked.mapInArrow(found, schema.format("long"))
     return out.select(*(F.col(c).cast(kind) if c in ("anchor_id", "positive_id", "negative_id") else F.col(c) for c in out.columns))
 
