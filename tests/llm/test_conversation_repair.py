@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import random
@@ -24,6 +25,11 @@ def faults(rows):
 
 def cheapest(rows):
     """Every sequence of edits with at most two inserts at a place, tried."""
+    return tried(tuple(rows))
+
+
+@functools.cache
+def tried(rows):
     best = None
     marks = faults(rows)
     edits = [["D"] if m in ("blank", "duplicate") else ["K", "Ru", "Ra", "D"] for m in marks]
