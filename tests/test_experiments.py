@@ -1,11 +1,12 @@
 """Experiments, final training, estimates and the model store on a small synthetic market."""
 
+import functools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from casario.operators import experiment, features, modelling
+from casario.operators import boosting, experiment, features, modelling
 from casario.sources import models
 
 NUMBERS = ("area_m2", "bedrooms", "condo_fee", "iptu_tax")
@@ -169,7 +170,9 @@ def test_masked_rows_lose_the_fee_with_its_traces(optional):
     assert experiment.masked(d, 0, 3) is d
 
 
-def test_arms_of_dropout_imputer_and_boosting(optional):
+def test_arms_of_dropout_imputer_and_boosting(optional, monkeypatch):
+    few = functools.partial(modelling.imputed_by_model, settings=boosting.Settings(rounds=8, rate=0.5, depth=3))
+    monkeypatch.setattr(modelling, "imputed_by_model", few)
     common = dict(numbers=("area_m2", "bedrooms", "bathrooms", "condo_fee", "iptu_tax"), categories=("neighborhood",), folds=2)
     arms = [experiment.Config("plain", impute=False, **common), experiment.Config("dropout", impute=False, dropout=0.5, **common), experiment.Config("model", imputer="model", **common)]
     out = {r.experimento: r.media for r in experiment.ablation(optional, arms).collect()}
