@@ -35,6 +35,8 @@ from .encoders import pieces_of
 from .hash_arrays import Files, write
 
 BUCKETS = 1 << 14
+#: Stands for the rank of a pair that is no token.
+NO_RANK = 2**31 - 1
 LONG = 256
 #: Entries of a worker's set or memo; when full, it starts anew.
 MEMO = 400_000
@@ -63,19 +65,22 @@ def _let(value: Column, body) -> Column:
 def fold(word: Column, ranks: Column) -> Column:
     """ids of one word, given as bytes in ISO-8859-1 characters."""
     rank = lambda x: F.element_at(F.element_at(ranks, (F.crc32(x.cast("binary")) % BUCKETS + 1).cast("int")), x)
-    chars = F.regexp_extract_all(word, F.lit("(?s)(.)"), 1)
+    some = lambda x: F.coalesce(rank(x), F.lit(NO_RANK))
     state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
-    start = _let(chars, lambda p: state(p, F.transform(F.slice(p, 2, F.size(p)), lambda x, i: rank(F.concat(p[i], x)))))
+    start = _let(F.split(word, ""), lambda p: state(p, F.transform(F.slice(p, 2, F.size(p)), lambda x, i: some(F.concat(p[i], x)))))
 
-    def merge(s: Column, least: Column, at: Column) -> Column:
-        p, r = s["p"], s["r"]
-        whole = F.concat(p[at - 1], p[at])
-        left = F.when(at > 1, F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), F.array(rank(F.concat(p[at - 2], whole))))).otherwise(F.slice(r, 1, 0))
-        right = F.when(at < F.size(r), F.concat(F.array(rank(F.concat(whole, p[at + 1]))), F.slice(r, at + 2, F.size(r)))).otherwise(F.slice(r, 1, 0))
-        return state(F.concat(F.slice(p, 1, at - 1), F.array(whole), F.slice(p, at + 2, F.size(p))), F.concat(left, right))
+    def merge(p: Column, r: Column, at: Column) -> Column:
+        """The pieces with at and the next one (from 0) as one, and the ranks of adjacent pairs, two of them new."""
+        def put(whole: Column) -> Column:
+            pieces = F.transform(p, lambda x, i: F.when(i == at, whole).when(i != at + 1, x))
+            pairs = F.transform(r, lambda x, i: F.when(i == at - 1, some(F.concat(F.get(p, at - 1), whole))).when(i == at + 1, some(F.concat(whole, F.get(p, at + 2)))).when(i != at, x))
+            return state(F.filter(pieces, lambda x: x.isNotNull()), F.filter(pairs, lambda x: x.isNotNull()))
+
+        return _let(F.concat(F.get(p, at), F.get(p, at + 1)), put)
 
     def step(s: Column, _: Column) -> Column:
-        return _let(F.array_min(s["r"]), lambda least: F.when(least.isNull(), s).otherwise(_let(F.array_position(s["r"], least).cast("int"), lambda at: merge(s, least, at))))
+        at = lambda least: (F.array_position(s["r"], least) - 1).cast("int")
+        return _let(F.array_min(s["r"]), lambda least: F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, s).otherwise(_let(at(least), lambda i: merge(s["p"], s["r"], i))))
 
     merged = _let(start, lambda s: F.aggregate(F.slice(s["p"], 2, F.size(s["p"])), s, step))
     return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(F.transform(merged["p"], rank))
