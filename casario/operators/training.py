@@ -129,13 +129,18 @@ def target_encoding(df: DataFrame, key: str, value: Column, smoothing: float = S
     return sums.join(F.broadcast(whole), F.lit(True)).select(key, ((F.col("_s") + smoothing * F.col("_g")) / (F.col("n") + smoothing)).alias("encoded"), "n")
 
 
+def exact_mean(column: str) -> Column:
+    """The mean of decimals, whose sum no order changes, to ten decimals; of doubles where one has more than eighteen digits before them."""
+    exact = F.col(column).try_cast("decimal(28,10)")
+    return F.when(F.count(exact) == F.count(column), F.avg(exact).cast("double")).otherwise(F.avg(column))
+
+
 def fused(df: DataFrame, keys: list[str], order: list[str], means: list[str], firsts: list[str]) -> DataFrame:
-    """Twins (equal keys, none null) as one row: means of the numbers, first known value of the rest; others as they are."""
+    """Twins (equal keys, none null) as one row: means of the numbers, first known value of the rest, the least of those that order leaves equal; others as they are."""
     complete = F.lit(True)
     for k in keys:
         complete = complete & F.col(k).isNotNull()
-    by = F.struct(*order)
-    one = df.where(complete).groupBy(*keys).agg(*(F.avg(c).alias(c) for c in means), *(F.min_by(c, F.when(F.col(c).isNotNull(), by)).alias(c) for c in firsts), F.count("*").alias("n_gemeos"))
+    one = df.where(complete).groupBy(*keys).agg(*(exact_mean(c).alias(c) for c in means), *(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, c))).alias(c) for c in firsts), F.count("*").alias("n_gemeos"))
     rest = df.where(~complete).select(*keys, *(F.col(c).cast("double").alias(c) for c in means), *firsts, F.lit(1).cast("long").alias("n_gemeos"))
     return one.unionByName(rest)
 

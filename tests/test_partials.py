@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casario.functions import coerce
-from casario.operators import catalogue, features, ingestion
+from casario.operators import catalogue, features, ingestion, training
 from casario.sources import models
 
 
@@ -72,3 +72,9 @@ def test_interval_of_the_median_is_what_resampling_gives(spark):
     near = [abs(np.searchsorted(values, got[i]) - np.searchsorted(values, np.quantile(medians, q, method="inverted_cdf"))) for i, q in ((0, 0.025), (1, 0.975))]
     assert max(near) <= 2
     assert tuple(modelling.bootstrap_median(df.where("x < 0"), "x").first()) == (None, None)
+
+
+def test_means_of_twins_in_any_order(spark):
+    rows = [("x", 1, 0.1, "b"), ("x", 1, 0.2, "a"), ("x", 1, 0.3, "c"), ("y", 2, 1e300, "d"), ("y", 2, 1e300, "e")]
+    found = {tuple(training.fused(spark.createDataFrame(r, "k string, o int, v double, s string").coalesce(1), ["k"], ["o"], ["v"], ["s"]).orderBy("k").collect()) for r in (rows, rows[::-1])}
+    assert [[tuple(r) for r in f] for f in found] == [[("x", 0.2, "a", 3), ("y", 1e300, "d", 2)]]
