@@ -12,7 +12,7 @@ from ..functions import coerce, folds, pii, vocabulary
 from ..operators import boosting, catalogue, enrichment, features, ingestion, modelling, training, views
 from ..sources import captures, html_platforms, indices, lake, models, pages
 from ..sources.listings import SQL as L
-from ..sources.listings import listings, read
+from ..sources.listings import dealt, listings, read
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -358,7 +358,7 @@ _SAID = ("Apartamento com piscina e elevador, vista livre e duas vagas de garage
 
 def _described(spark, sf_dir) -> DataFrame:
     k = F.col("p_partkey")
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("property_id"), k, _one_of(k, _SAID).alias("description_clean"), F.when(k % 3 == 0, F.array(F.lit("Piscina"))).alias("amenities"))
+    return dealt(read(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(F.lit("p"), k.cast("string")).alias("property_id"), k, _one_of(k, _SAID).alias("description_clean"), F.when(k % 3 == 0, F.array(F.lit("Piscina"))).alias("amenities"))
 
 
 @query("amenity_extract", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Elevador|Garagem|Piscina|Vista Livre' WHEN 1 THEN 'Churrasqueira|Quintal' WHEN 2 THEN 'Academia|Salão de Festas' ELSE '' END AS pos, CASE p_partkey % 4 WHEN 1 THEN 'Piscina' WHEN 2 THEN 'Elevador' ELSE '' END AS neg FROM part""")

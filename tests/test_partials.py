@@ -2,11 +2,13 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from casario.functions import coerce
+from casario.functions import amenities, coerce
 from casario.operators import catalogue, features, ingestion, training
+from casario.plans import reader_queries
 from casario.sources import models
 
 
@@ -78,3 +80,12 @@ def test_means_of_twins_in_any_order(spark):
     rows = [("x", 1, 0.1, "b"), ("x", 1, 0.2, "a"), ("x", 1, 0.3, "c"), ("y", 2, 1e300, "d"), ("y", 2, 1e300, "e")]
     found = {tuple(training.fused(spark.createDataFrame(r, "k string, o int, v double, s string").coalesce(1), ["k"], ["o"], ["v"], ["s"]).orderBy("k").collect()) for r in (rows, rows[::-1])}
     assert [[tuple(r) for r in f] for f in found] == [[("x", 0.2, "a", 3), ("y", 1e300, "d", 2)]]
+
+
+def test_repeated_descriptions_are_looked_at_once(spark, sf_dir, monkeypatch):
+    seen, plain = [], amenities.extract
+    monkeypatch.setattr(amenities, "extract", lambda t: seen.append(t) or plain(t))
+    out = amenities.extracted(pd.Series(["sem piscina", None, "com piscina", "sem piscina", ""]))
+    assert list(zip(out.pos, out.neg)) == [([], ["Piscina"]), ([], []), (["Piscina"], []), ([], ["Piscina"]), ([], [])]
+    assert sorted(t for t in seen if t) == ["com piscina", "sem piscina"]
+    assert reader_queries._described(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
