@@ -36,7 +36,7 @@ _HOME = """WITH P AS (SELECT p_partkey AS k, (p_partkey * 137 % 900 + 100) AS mi
 
 def _homes(spark, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return read(spark, sf_dir, "part").select(
+    return dealt(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_name"), "p_partkey").select(
         k.alias("k"), (k * 137 % 900 + 100).alias("mil"), (30 + F.col("p_size")).alias("area"), (k % 5).alias("quartos"), (k % 3 + 1).alias("banhos"), (k % 3).alias("suites"), (k % 4).alias("vagas"),
         (200 + k % 50 * 10).alias("condo"), (k % 7 * 100).alias("iptu"), (k % 20).alias("andar"), F.translate("p_brand", "#", " ").alias("bairro"), F.col("p_name").alias("nome"))
 

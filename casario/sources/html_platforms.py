@@ -179,29 +179,31 @@ def offers_page(captures: DataFrame) -> DataFrame:
     offers = F.filter("_b", lambda b: F.exists(b["types"], lambda t: F.lower(t) == "offer"))
     kinds = F.create_map(*[F.lit(x) for pair in OFFER_KINDS.items() for x in pair])
     plain = lambda v: F.coalesce(positive(v.try_cast("double")), pt_money(v))
-    each = F.transform(offers, lambda b: F.struct(kinds[F.lower(F.substring_index(pages.value_at(b["json"], "businessFunction"), "#", -1))].alias("kind"), plain(pages.value_at(b["json"], "price")).alias("price")))
-    each = F.filter(each, lambda o: o["kind"].isNotNull() & o["price"].isNotNull())
+    d = d.withColumn("_offers", F.transform(offers, lambda b: F.struct(pages.value_at(b["json"], "businessFunction").alias("kind"), pages.value_at(b["json"], "price").alias("price"))))
+    d = d.withColumn("_offers", F.transform("_offers", lambda o: F.struct(kinds[F.lower(F.substring_index(o["kind"], "#", -1))].alias("kind"), plain(o["price"]).alias("price"))))
+    each = F.filter("_offers", lambda o: o["kind"].isNotNull() & o["price"].isNotNull())
     one = F.array_compact(F.array(*(F.try_element_at(F.filter(each, _of_kind(kind)), F.lit(1)) for kind in OFFER_KINDS.values())))
     d = d.withColumn("_o", F.explode(one))
-    home = lambda path, types=HOME_TYPES: _in_blocks(F.col("_b"), path, types)
-    title = F.coalesce(home("name"), F.lit(""))
-    region = F.split(home("addressRegion", ("PostalAddress",)), "-")
+    # What several fields are taken from is a column of its own, so that no field searches the page again.
+    of_types = lambda types: F.filter("_b", lambda b: F.arrays_overlap(b["types"], F.array(*map(F.lit, types))))
+    d = d.withColumns({"_homes": of_types(HOME_TYPES), "_places": of_types(("PostalAddress",)), "_ads": of_types(("RealEstateListing",)), "_money": pairs(F.col("body"), LABELLED_MONEY), "_stats": pairs(F.col("body"), STATISTIC)})
+    home = lambda path, of="_homes": first_of(F.transform(of, lambda b: pages.value_at(b["json"], path)))
+    labelled = lambda pair: F.struct(ascii_label(pair["k"]).alias("k"), pair["v"].alias("v"))
+    d = d.withColumns({"_title": F.coalesce(home("name"), F.lit("")), "_region": F.split(home("addressRegion", "_places"), "-"), "_money": F.transform("_money", labelled), "_stats": F.transform("_stats", labelled)})
+    title, region = F.col("_title"), F.col("_region")
     two = F.size(region) == 2
-    money = pairs(F.col("body"), LABELLED_MONEY)
-    fee = lambda start: plain(first_of(F.transform(F.filter(money, lambda m: F.startswith(ascii_label(m["k"]), F.lit(start))), lambda m: m["v"])))
-    stats = pairs(F.col("body"), STATISTIC)
-    stat = lambda names: first_of(F.transform(F.filter(stats, lambda m: ascii_label(m["k"]).isin(*names)), lambda m: whole(m["v"])))
-    fitting = F.filter("_b", lambda b: F.arrays_overlap(b["types"], F.array(*map(F.lit, HOME_TYPES))))
-    features = first_of(F.transform(fitting, lambda b: F.from_json(F.get_json_object(b["json"], "$.amenityFeature"), "array<struct<name:string>>")))
+    fee = lambda start: plain(first_of(F.transform(F.filter("_money", lambda m: F.startswith(m["k"], F.lit(start))), lambda m: m["v"])))
+    stat = lambda names: first_of(F.transform(F.filter("_stats", lambda m: m["k"].isin(*names)), lambda m: whole(m["v"])))
+    features = first_of(F.transform("_homes", lambda b: F.from_json(F.get_json_object(b["json"], "$.amenityFeature"), "array<struct<name:string>>")))
     return d.select(
         F.col("url").alias("link"), F.col("platform").alias("source_platform"), F.col("_o.kind").alias("transaction_type"), F.concat_ws("-", part(F.col("url"), CODE_URL), F.col("_o.kind")).alias("listing_id"),
         F.nullif(F.trim(F.split_part(F.split_part(F.split_part(title, F.lit(" com "), F.lit(1)), F.lit(" à "), F.lit(1)), F.lit(","), F.lit(1))), F.lit("")).alias("property_type"), F.col("_o.price").alias("price"),
         F.coalesce(part(title, TITLE_TAIL, 2), F.when(two, F.trim(region[0]))).alias("city"), F.coalesce(part(title, TITLE_TAIL, 3), F.when(two, F.trim(F.get(region, F.lit(1))))).alias("state"),
-        F.coalesce(part(title, TITLE_TAIL, 1), home("addressLocality", ("PostalAddress",))).alias("neighborhood"), whole(part(title, r"(?i)(\d[\d.,]*)\s*m[²2]")).cast("double").alias("area_m2"),
+        F.coalesce(part(title, TITLE_TAIL, 1), home("addressLocality", "_places")).alias("neighborhood"), whole(part(title, r"(?i)(\d[\d.,]*)\s*m[²2]")).cast("double").alias("area_m2"),
         whole(home("floorSize.value")).cast("double").alias("area_total_m2"), F.coalesce(whole(home("numberOfBedrooms")), stat(("dormitorios", "dormitorio", "quartos"))).alias("bedrooms"),
         F.coalesce(whole(home("numberOfBathroomsTotal")), stat(("banheiros", "banheiro"))).alias("bathrooms"), stat(("suites", "suite")).alias("suites"), F.coalesce(whole(home("numberOfParkingSpaces")), stat(("vagas", "vaga"))).alias("parking_spots"),
         fee("condom").alias("condo_fee"), fee("iptu").alias("iptu_tax"), F.filter(F.transform(features, lambda f: f["name"]), lambda n: n.isNotNull() & (n != "")).alias("amenities"),
-        F.nullif(F.trim(home("description", ("RealEstateListing",))), F.lit("")).alias("description_clean"), F.substring(home("datePosted", ("RealEstateListing",)), 1, 10).alias("listing_first_seen"),
+        F.nullif(F.trim(home("description", "_ads")), F.lit("")).alias("description_clean"), F.substring(home("datePosted", "_ads"), 1, 10).alias("listing_first_seen"),
     )
 
 

@@ -77,10 +77,14 @@ def blocks(html: Column) -> Column:
 
 def value_at(block_json: Column, path: str) -> Column:
     """Text at a dotted path of a block; a list on the way gives its first element."""
+    # Only what begins as a list is read as one (parsing plain text fails slowly), and each step's text is bound, not built again.
+    first = lambda text, at: F.when(text.rlike(r"^\s*\["), F.get_json_object(text, f"$[0]{at}"))
+    bound = lambda text, f: F.get(F.transform(F.array(text), f), F.lit(0))
+    member = lambda key: lambda t: F.coalesce(first(t, f".{key}"), F.get_json_object(t, f"$.{key}"))
     out = block_json
     for key in path.split("."):
-        out = F.coalesce(F.get_json_object(out, f"$[0].{key}"), F.get_json_object(out, f"$.{key}"))
-    return F.coalesce(F.get_json_object(out, "$[0]"), out)
+        out = bound(out, member(key))
+    return bound(out, lambda t: F.coalesce(first(t, ""), t))
 
 
 def first_of_type(blocks_column: Column, types: tuple[str, ...], path: str | None = None) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casario.functions import amenities, coerce
 from casario.operators import catalogue, features, ingestion, training
 from casario.plans import reader_queries
-from casario.sources import models
+from casario.sources import models, pages
 
 
 def test_configuration_files(spark, tmp_path):
@@ -89,3 +89,12 @@ def test_repeated_descriptions_are_looked_at_once(spark, sf_dir, monkeypatch):
     assert list(zip(out.pos, out.neg)) == [([], ["Piscina"]), ([], []), (["Piscina"], []), ([], ["Piscina"]), ([], [])]
     assert sorted(t for t in seen if t) == ["com piscina", "sem piscina"]
     assert reader_queries._described(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_values_of_blocks_and_dealt_pages(spark, sf_dir):
+    df = spark.createDataFrame([('{"a":{"b":"x, y"},"c":[{"d":1},{"d":2}],"e":"[1]","f":[7,8],"g":null}',)], "j string")
+    got = df.select(*(pages.value_at(F.col("j"), p).alias(p.replace(".", "_")) for p in ("a.b", "c.d", "e", "f", "g", "h.i"))).first()
+    assert tuple(got) == ("x, y", "1", "1", "7", None, None)
+    plan = df.select(pages.value_at(F.col("j"), "a.b.c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$[0]") + plan.count("$.") == 7  # two reads a key and one for the end: steps don't multiply
+    assert reader_queries._homes(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
