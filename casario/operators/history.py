@@ -22,7 +22,8 @@ def collapse_month(df: DataFrame, keys: list[str], date: str = "extraction_date"
     """The last whole row of each key by (date, tie), with first and last known price, days observed and whether the price changed.
 
     One aggregation without a window: the row, prices and days are partial aggregates. As a whole row is no fixed-width
-    state, Spark aggregates sorted rows, within each task before the shuffle and after it.
+    state, Spark aggregates sorted rows, within each task before the shuffle and after it. Days are a set, of a month's length
+    at most: a distinct count would shuffle the whole rows once more.
     """
     order = F.struct(date, tie)
     known = lambda c: F.when(F.col(price).isNotNull(), c)
@@ -31,7 +32,7 @@ def collapse_month(df: DataFrame, keys: list[str], date: str = "extraction_date"
         F.max_by(F.struct(*rest), order).alias("_row"),
         F.min_by(price, known(order)).alias("preco_primeiro"),
         F.max_by(price, known(order)).alias("preco_ultimo"),
-        F.count_distinct(date).alias("n_dias_observado"),
+        F.size(F.collect_set(date)).cast("long").alias("n_dias_observado"),
         F.coalesce(F.min(price) != F.max(price), F.lit(False)).alias("preco_mudou_no_mes"),
     )
     return out.select(*keys, "_row.*", "preco_primeiro", "preco_ultimo", "n_dias_observado", "preco_mudou_no_mes")

@@ -42,7 +42,8 @@ _COLLAPSE = """ SELECT property_id, mes_referencia, arg_max(price, (extraction_d
 
 @query("month_collapse", _COLLAPSE)
 def _(spark, sf_dir):
-    out = history.collapse_month(listings(spark, sf_dir), ["property_id", "mes_referencia"])
+    own = listings(spark, sf_dir).select("property_id", "mes_referencia", "price", "area_m2", "city", "extraction_date", "tie")  # whole rows are collapsed: only what is asked for
+    out = history.collapse_month(own, ["property_id", "mes_referencia"])
     return out.select("property_id", "mes_referencia", "price", "area_m2", "city", "preco_primeiro", "preco_ultimo", "n_dias_observado", "preco_mudou_no_mes")
 
 
@@ -50,7 +51,8 @@ def _(spark, sf_dir):
   count(DISTINCT extraction_date)::BIGINT AS n_dias_observado FROM L GROUP BY ALL)
   SELECT property_id, mes_referencia, source_domain, price, n_dias_observado FROM S QUALIFY row_number() OVER (PARTITION BY property_id, mes_referencia ORDER BY d DESC, source_domain DESC) = 1""")
 def _(spark, sf_dir):
-    return history.build_month(listings(spark, sf_dir)).select("property_id", "mes_referencia", "source_domain", "price", "n_dias_observado")
+    own = listings(spark, sf_dir).select("property_id", "mes_referencia", "source_domain", "price", "extraction_date", "tie")
+    return history.build_month(own).select("property_id", "mes_referencia", "source_domain", "price", "n_dias_observado")
 
 
 @query("history_only_cities", """ SELECT city, count(*)::BIGINT AS n FROM L WHERE city IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) GROUP BY city""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casario.functions import amenities, coerce
-from casario.operators import catalogue, features, ingestion, training
+from casario.operators import catalogue, features, history, ingestion, training
 from casario.plans import reader_queries
 from casario.sources import models, pages
 
@@ -95,6 +95,13 @@ def test_values_of_blocks_and_dealt_pages(spark, sf_dir):
     df = spark.createDataFrame([('{"a":{"b":"x, y"},"c":[{"d":1},{"d":2}],"e":"[1]","f":[7,8],"g":null}',)], "j string")
     got = df.select(*(pages.value_at(F.col("j"), p).alias(p.replace(".", "_")) for p in ("a.b", "c.d", "e", "f", "g", "h.i"))).first()
     assert tuple(got) == ("x, y", "1", "1", "7", None, None)
-    plan = df.select(pages.value_at(F.col("j"), "a.b.c"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = df.select(pages.value_at(F.col("j"), "a.b.c").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("$[0]") + plan.count("$.") == 7  # two reads a key and one for the end: steps don't multiply
     assert reader_queries._homes(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_month_is_collapsed_in_one_shuffle(spark):
+    df = spark.createDataFrame([("a", "2026-01-02", 1, 5.0), ("a", "2026-01-01", 2, 6.0), ("a", "2026-01-02", 3, None), ("b", None, 4, None)], "k string, extraction_date string, tie int, price double")
+    out = history.collapse_month(df, ["k"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [(r.k, r.tie, r.preco_primeiro, r.preco_ultimo, r.n_dias_observado, r.preco_mudou_no_mes) for r in out.orderBy("k").collect()] == [("a", 3, 6.0, 5.0, 2, True), ("b", 4, None, None, 0, False)]
