@@ -22,9 +22,16 @@ STREET_WORDS = {
 STREET_STOP = {"de", "da", "do", "das", "dos", "e", "a", "o"}
 
 
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+def _decomposed(m: re.Match) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", m[0]) if not unicodedata.combining(c))
+
+
 def plain(text: str) -> str:
-    """Compatibility-decomposed, without combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    """Compatibility-decomposed, without combining marks. ASCII is plain already, so only the rest is looked at."""
+    return text if text.isascii() else _BEYOND_ASCII.sub(_decomposed, text)
 
 
 def vocabulary_key(text: str) -> str:
@@ -49,8 +56,8 @@ def place(text: str) -> str:
 
 
 def prose(text: str) -> str:
-    """Lower-case, collapsed white space, not trimmed."""
-    return re.sub(r"\s+", " ", plain(text)).lower()
+    """Lower-case, collapsed white space, not trimmed. Single blanks, most of a text's, need no replacement."""
+    return re.sub(r"\s\s+|[^\S ]", " ", plain(text)).lower()
 
 
 def ascii_key(text: str) -> str:

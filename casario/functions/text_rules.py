@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,14 @@ RULES = {
         ("bom", r"\b(bem\s+conservad[ao]|otimo\s+estado|excelente\s+estado|impecavel|super\s+arrumad[ao]|muito\s+bem\s+cuidad[ao])\b"),
     ),
 }
+#: A text without any of a level's words can't match its pattern: most texts are told by these alone, in RULES' order.
+WORDS = {
+    "rx_vaga_tipo": (("vaga", "garagem"), ("sorteio",), ("rotativ",), ("coleti", "brista", "valet", "compartilhad", "insuficiente", "empilhad"), ("demarcad", "escritura"), ("vaga", "garage")),
+    "rx_varanda_tipo": (("varanda", "terraco"), ("sacada",), ("varanda", "terraco")),
+    "rx_vista": (("lateral", "parcial"), ("vista", "frente"), ("vista",)),
+    "rx_padrao_acabamento": (("padrao", "acabamento", "porcelanato", "marmore", "granito", "gesso", "iluminacao", "piso", "closet", "hidromassagem", "borda"), ("piso", "acabamento", "carpete"), ("planejad", "box", "laminad")),
+    "rx_estado_conservacao": (("reforma", "moderniz"), ("novo", "entregue", "novissimo"), ("construcao", "obras", "planta", "lancamento", "entreg"), ("reformad", "moderniz", "renovad", "eletrica", "pintura"), ("conservad", "estado", "impecavel", "arrumad", "cuidad")),
+}
 SCALES = {
     "rx_vaga_tipo": ("sem_vaga", "nao_menciona", "rotativa", "sorteio", "coletiva", "privativa", "privativa_demarcada"),
     "rx_varanda_tipo": ("nenhuma", "nao_menciona", "sacada", "comum", "gourmet"),
@@ -52,10 +62,11 @@ LEAST = 40
 
 
 def level(text: Column, field: str) -> Column:
-    """The first matching level of a field."""
+    """The first matching level of a field; patterns are tried on texts that hold one of the level's words."""
     out = F.lit("nao_menciona")
-    for name, pattern in reversed(RULES[field]):
-        out = F.when(text.rlike("(?U)" + pattern), name).otherwise(out)
+    for (name, pattern), words in reversed(list(zip(RULES[field], WORDS[field], strict=True))):
+        held = reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+        out = F.when(held & text.rlike("(?U)" + pattern), name).otherwise(out)
     return out
 
 

@@ -1,12 +1,13 @@
 """Configurations, checks and small operators beside their queries."""
 
 import json
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from casario.functions import amenities, coerce
+from casario.functions import amenities, coerce, folds, text_rules
 from casario.operators import catalogue, features, history, ingestion, training
 from casario.plans import reader_queries
 from casario.sources import models, pages
@@ -105,3 +106,17 @@ def test_a_month_is_collapsed_in_one_shuffle(spark):
     out = history.collapse_month(df, ["k"])
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert [(r.k, r.tie, r.preco_primeiro, r.preco_ultimo, r.n_dias_observado, r.preco_mudou_no_mes) for r in out.orderBy("k").collect()] == [("a", 3, 6.0, 5.0, 2, True), ("b", 4, None, None, 0, False)]
+
+
+def test_words_of_text_rules_lose_no_match(spark):
+    said = """sem garagem|vagas a parte|aquisicao de vaga|vaga para moto|garagem para motocicleta|por sorteio|rotativas|coletivos|coletica|manobrista|manbrista|valet|compartilhada|insuficiente|empilhadas|demarcada|escriturado|em escritura
+garagens|varanda gourmet|terraco gourmet|sacada|varandao|vista parcial|lateral para o mar|vista mar|frente ao mar|vista livre|alto padrao|fino acabamento|porcelanato|sanca de gesso|iluminacao embutida|borda infinita|piso frio|acabamento em ceramica
+carpete|moveis planejados|box de vidro|laminado|precisa de reforma|potencial de modernizacao|para reformar|novo em construcao|recem entregue|novissimo|na planta|em obras|entrega prevista|sera entregue|modernizada|renovado|eletrica nova|pintura recente
+bem conservado|otimo estado|impecavel|super arrumado|muito bem cuidada|nada"""
+    texts = said.replace("\n", "|").split("|")
+    first = lambda t, f: next((n for n, p in text_rules.RULES[f] if re.search(p, t)), "nao_menciona")
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", *(text_rules.level(F.col("t"), f).alias(f) for f in text_rules.RULES)).collect()
+    assert [(r.t, f, r[f]) for r in out for f in text_rules.RULES] == [(t, f, first(t, f)) for t in texts for f in text_rules.RULES]
+    plan = spark.createDataFrame([("x",)], "t string").select(text_rules.level(F.col("t"), "rx_vista").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") >= len(text_rules.RULES["rx_vista"])  # patterns are not tried on every text
+    assert folds.prose("São  ﬁm\n á\tÉ  x ") == " ".join(["sao", "fim", "a", "e", "x"]) + " "
