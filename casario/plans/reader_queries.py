@@ -504,7 +504,7 @@ def _(spark, sf_dir):
     to = _place(spark, "files")
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("property_id"), "l_linenumber")
     for n in range(1, 8):  # a file each; the last has no ids
-        one = lines.where(F.col("l_linenumber") == n).select("property_id").coalesce(1)
+        one = lines.where(F.col("l_linenumber") == n).select("property_id").repartition(1)  # the file's task gets its own ids, not all lines
         (one if n < 7 else one.withColumnRenamed("property_id", "outro")).write.parquet(f"{to}/{n}")
     return lake.file_counts(spark, f"{to}/*/*.parquet").select("linhas")
 

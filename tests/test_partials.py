@@ -5,6 +5,7 @@ import re
 
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from casario.functions import amenities, coerce, folds, text_rules
@@ -120,3 +121,10 @@ bem conservado|otimo estado|impecavel|super arrumado|muito bem cuidada|nada"""
     plan = spark.createDataFrame([("x",)], "t string").select(text_rules.level(F.col("t"), "rx_vista").alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lower().count("contains(") >= len(text_rules.RULES["rx_vista"])  # patterns are not tried on every text
     assert folds.prose("São  ﬁm\n á\tÉ  x ") == " ".join(["sao", "fim", "a", "e", "x"]) + " "
+
+
+def test_a_counted_file_reads_its_own_rows(spark, sf_dir, monkeypatch):
+    tasks, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, path: (tasks.append(w._df._jdf.queryExecution().optimizedPlan().toString()), plain(w, path))[1])
+    assert reader_queries.QUERIES["file_counts"](spark, sf_dir).count() == 7
+    assert len(tasks) == 7 and all("Repartition 1, true" in t for t in tasks)  # a shuffle: not one task for the whole table
