@@ -1,12 +1,12 @@
 """Boosted trees on distributed gradient histograms: squared, absolute and quantile loss, native categories, several fits at once.
 
 Spark ML's boosted trees have neither a quantile loss nor categories without one number's order. Here rows are binned once (numbers
-at percentiles of all rows, categories by a level table that the model keeps) and written to the shared folder. All members of a
-fit, each with its loss and seed, grow in lockstep: one job a level adds up, for every member and open node, the gradients by
+at percentiles of all rows, categories by a level table that the model keeps), sorted by their bins and written to the shared folder
+in blocks, where rows of equal bins are one run: trees are applied to runs, and only residuals are taken of rows. All members of a fit, each with its loss and seed, grow in lockstep: one job a level adds up, for every member and open node, the gradients by
 feature and bin in its tasks; sums by node meet in a shuffle, and the driver, which sees only sums, picks the splits. Their
 size is set by members, nodes, features and bins, not by rows. Absolute and quantile loss set a leaf to the quantile of its
 residuals, from a histogram of them. Rows that a hash holds back measure each round; a member stops after ``patience`` rounds
-without gain. Every ``refresh`` rounds the predictions so far are written beside the bins, so that a task applies few trees.
+without gain. Every ``refresh`` rounds the runs' predictions so far are written beside the bins, so that a task applies few trees.
 
 A null, NaN or unseen level is bin 0, which each split sends to the better side. Levels beyond the ``levels`` most frequent
 ones of a category are unseen. Rows without a target take no part in a fit; a fit without rows is refused.
@@ -29,6 +29,10 @@ from .training import written
 SQUARED, QUANTILE = "squared", "quantile"
 #: Bins of a leaf's residuals.
 RESIDUAL_BINS = 1024
+#: Rows of a block at most.
+BLOCK = 1 << 15
+#: A block: bins of its runs, rows of each run, targets and hashes of the rows, members' predictions of the runs (empty: the base).
+BLOCKS = "x binary, n binary, y binary, h binary, p binary"
 
 
 @dataclass(frozen=True)
@@ -189,7 +193,7 @@ def binned(df: DataFrame, bins: Bins):
 
     @F.pandas_udf("binary")
     def of(d: pd.DataFrame) -> pd.Series:
-        return pd.Series([r.tobytes() for r in bins.of([d[str(j)] for j in range(len(bins.columns))])], dtype=object)
+        return pd.Series(bins.of([d[str(j)] for j in range(len(bins.columns))]).view(f"V{2 * len(bins.columns)}").ravel().tolist(), dtype=object)
 
     return of(F.struct(*(_column(df, bins, c).alias(str(j)) for j, c in enumerate(bins.columns))))
 
@@ -245,34 +249,37 @@ def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], m
     s, spark = settings or Settings(), df.sparkSession
     y = F.col(target).cast("double")
     df = df.where(y.isNotNull() & ~F.isnan(y))
-    bins = fit_bins(df, numbers, categories, s)
-    table = written(df.select(binned(df, bins).alias("x"), y.alias("y"), F.xxhash64(*id_cols).alias("h"), F.array().cast("array<double>").alias("p")), "boosting")
-    first = table.agg(F.count("*").alias("n"), F.avg("y").alias("mean"), *(F.percentile_approx("y", m.alpha, 10_000).alias(f"q{i}") for i, m in enumerate(members))).first()
+    rows = written(df.select(*dict.fromkeys([*numbers, *categories]), y.alias("_y"), F.xxhash64(*id_cols).alias("_h")), "boosting-rows")  # df's own joins run once
+    bins = fit_bins(rows, numbers, categories, s)
+    first = rows.agg(F.count("*").alias("n"), F.avg("_y").alias("mean"), *(F.percentile_approx("_y", m.alpha, 10_000).alias(f"q{i}") for i, m in enumerate(members))).first()
     if not first["n"]:
         raise ValueError("no rows to fit")
+    table = _blocks(rows.select(binned(rows, bins).alias("x"), F.col("_y").alias("y"), F.col("_h").alias("h")), len(bins.columns))
     model = Model(bins, members, s.rate, [float(first["mean"] if m.loss == SQUARED else first[f"q{i}"]) for i, m in enumerate(members)], [[] for _ in members], [[] for _ in members])
     sizes, is_number, width, n_features = bins.sizes(), [c in bins.numbers for c in bins.columns], max(bins.sizes(), default=1), len(bins.columns)
     done, best_at = [0] * len(members), [0] * len(members)  # trees that the table's p holds; rounds with the least loss
     open_ = set(range(len(members)))
 
     def job(make, trees: list[list[Tree]], start: list[int], growing: dict[int, Tree], round_: int):
-        """make(member, residuals, held back, drawn, bins, tree) -> {node: arrays} of each batch, added up by member and node."""
+        """make(member, residuals, held back, drawn, runs) -> {node: arrays} of each block, added up by member and node."""
         held = spark.sparkContext.broadcast((trees, start, growing))
 
         def run(batches):
             trees, start, growing = held.value
             total: dict = {}
-            for b in batches:
-                x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint16).reshape(b.num_rows, n_features)
-                y, h = b.column("y").to_numpy(), b.column("h").to_numpy()
-                p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if any(start) else None
+            for x, n, y, h, p in _unpacked(batches, n_features, len(members)):
+                starts = np.cumsum(n) - n
                 back = _mix(h, 77) < s.held_back
+                draws: dict = {}  # of each seed: the rows drawn and how many a run has
                 for m, tree in growing.items():
-                    now = np.full(b.num_rows, model.base[m]) if p is None else p[:, m].copy()
+                    now = np.full(len(x), model.base[m]) if p is None else p[:, m].copy()
                     for t in trees[m][start[m] :]:
                         now += s.rate * t.value[t.nodes(x)]
-                    drawn = ~back & (_mix(h, members[m].seed * 1_000_003 + round_) < s.rows)
-                    for node, arrays in make(m, y - now, back, drawn, x, tree):
+                    if (seed := members[m].seed) not in draws:
+                        drawn = ~back & (_mix(h, seed * 1_000_003 + round_) < s.rows)
+                        draws[seed] = drawn, np.add.reduceat(drawn, starts, dtype=np.int64)
+                    runs = Runs(x, tree.nodes(x), n, starts, draws[seed][1])
+                    for node, arrays in make(m, y - np.repeat(now, n), back, draws[seed][0], runs):
                         key = (m, node)
                         total[key] = [a + c for a, c in zip(total[key], arrays, strict=True)] if key in total else arrays
             keys = list(total)
@@ -294,27 +301,27 @@ def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], m
     def at_level(level: int):
         lowest = 2**level - 1
 
-        def make(m, r, back, drawn, x, tree):
+        def make(m, r, back, drawn, runs):
             if level == 0:  # what the rows held back say of the rounds before, and how far residuals reach
                 yield -1, [np.array([loss(m, r[back]).sum(), back.sum()]), np.zeros(1)]
-                if drawn.any():  # in powers of two, which a sum can carry
-                    e = np.clip(np.ceil(np.log2(np.maximum(np.abs(r[drawn]), 2.0**-30))).astype(int) + 31, 0, 63)
-                    yield -2, [np.bincount(e, minlength=64).astype(np.float64), np.zeros(1)]
-            node, g = tree.nodes(x), gradient(m, r)
+                if drawn.any():  # in powers of two, which a sum can carry: the widest of the block
+                    e = np.clip(int(np.ceil(np.log2(max(np.abs(r[drawn]).max(), 2.0**-30)))) + 31, 0, 63)
+                    yield -2, [np.bincount([e], minlength=64).astype(np.float64), np.zeros(1)]
+            g = np.add.reduceat(np.where(drawn, gradient(m, r), 0.0), runs.starts)
             for k in range(lowest, 2 * lowest + 1):
-                mine = drawn & (node == k)
+                mine = (runs.node == k) & (runs.drawn > 0)
                 if mine.any():
-                    flat = (x[mine] + np.arange(n_features, dtype=np.int64) * width).ravel()
-                    yield k, [np.bincount(flat, np.repeat(g[mine], n_features), n_features * width), np.bincount(flat, minlength=n_features * width).astype(np.float64)]
+                    flat = (runs.x[mine] + np.arange(n_features, dtype=np.int64) * width).ravel()
+                    yield k, [np.bincount(flat, np.repeat(v[mine], n_features), n_features * width) for v in (g, runs.drawn)]
 
         return make
 
     def leaves(reach: dict[int, float]):
-        def make(m, r, back, drawn, x, tree):
-            node = tree.nodes(x)
-            at = np.clip(((r / reach[m] + 1) / 2 * RESIDUAL_BINS).astype(int), 0, RESIDUAL_BINS - 1)
-            for k in np.unique(node[drawn]):
-                yield int(k), [np.bincount(at[drawn & (node == k)], minlength=RESIDUAL_BINS).astype(np.float64), np.zeros(1)]
+        def make(m, r, back, drawn, runs):
+            at = np.clip(((r / reach[m] + 1) / 2 * RESIDUAL_BINS).astype(int), 0, RESIDUAL_BINS - 1) + np.repeat(runs.node * RESIDUAL_BINS, runs.n)
+            counts = np.bincount(at[drawn], minlength=RESIDUAL_BINS * (int(runs.node.max()) + 1)).reshape(-1, RESIDUAL_BINS)
+            for k in np.unique(runs.node[runs.drawn > 0]):
+                yield int(k), [counts[k].astype(np.float64), np.zeros(1)]
 
         return make
 
@@ -371,21 +378,69 @@ def fit(df: DataFrame, target: str, numbers: list[str], categories: list[str], m
     return model
 
 
+@dataclass
+class Runs:
+    """Rows of equal bins in a block: their bins and node, how many there are, where they start, how many are drawn."""
+
+    x: np.ndarray
+    node: np.ndarray
+    n: np.ndarray
+    starts: np.ndarray
+    drawn: np.ndarray
+
+
+def _packed(blocks: list[list[bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*blocks, strict=True)], ["x", "n", "y", "h", "p"])
+
+
+def _unpacked(batches, n_features: int, n_members: int):
+    """x, n, y, h and p (None: the base) of each block."""
+    for b in batches:
+        for x, n, y, h, p in zip(*(b.column(c) for c in ("x", "n", "y", "h", "p")), strict=True):
+            n = np.frombuffer(n.as_py(), np.int64)
+            x = np.frombuffer(x.as_py(), np.uint16).reshape(len(n), n_features)
+            p = np.frombuffer(p.as_py(), np.float64).reshape(len(n), n_members) if len(p.as_py()) else None
+            yield x, n, np.frombuffer(y.as_py(), np.float64), np.frombuffer(h.as_py(), np.int64), p
+
+
+def _blocks(df: DataFrame, n_features: int) -> DataFrame:
+    """Rows of df (x, y, h) in blocks, equal bins together; Spark splits the partition of bins that most rows have."""
+
+    def run(batches):
+        def block(t: pa.Table) -> pa.RecordBatch:
+            x = np.frombuffer(b"".join(t.column("x").to_pylist()), np.uint16).reshape(t.num_rows, n_features)
+            first = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
+            n = np.diff(np.r_[first, t.num_rows])
+            return _packed([[x[first].tobytes(), n.astype(np.int64).tobytes(), t.column("y").to_numpy().tobytes(), t.column("h").to_numpy().tobytes(), b""]])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for a in range(0, b.num_rows, BLOCK):
+                part = b.slice(a, BLOCK)
+                if held and sum(h.num_rows for h in held) + part.num_rows > BLOCK:
+                    yield block(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return written(df.hint("rebalance", "x").sortWithinPartitions("x").mapInArrow(run, BLOCKS), "boosting")
+
+
 def _refreshed(table: DataFrame, model: Model, done: list[int], n_features: int) -> DataFrame:
     """The table with every member's predictions so far."""
     held = table.sparkSession.sparkContext.broadcast((model.base, model.trees, list(done), model.rate))
 
     def run(batches):
         base, trees, start, rate = held.value
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.uint16).reshape(b.num_rows, n_features)
-            p = b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).copy() if any(start) else np.tile(np.array(base), (b.num_rows, 1))
+        for x, n, y, h, p in _unpacked(batches, n_features, len(base)):
+            p = np.tile(np.array(base), (len(x), 1)) if p is None else p.copy()
             for m, own in enumerate(trees):
                 for t in own[start[m] :]:
                     p[:, m] += rate * t.value[t.nodes(x)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("x", "y", "h")), pa.array(list(p), pa.list_(pa.float64()))], ["x", "y", "h", "p"])
+            yield _packed([[a.tobytes() for a in (x, n, y, h, p)]])
 
-    return written(table.mapInArrow(run, "x binary, y double, h long, p array<double>"), "boosting")
+    return written(table.mapInArrow(run, BLOCKS), "boosting")
 
 
 def predicted(model: Model, df: DataFrame, prefix: str = "") -> DataFrame:

@@ -83,3 +83,18 @@ def test_odd_tables(spark):
     assert b.predicted(m, d).first().p == pytest.approx(1.0)
     with pytest.raises(ValueError):
         b.fit(d.withColumn("y", F.lit(None).cast("double")), "y", ["x"], [], [b.Member("p")], ["id"], few)
+
+
+def test_rows_of_equal_bins_are_one_run(frame, monkeypatch):
+    """A fit reads its rows once, and its rounds read blocks in which trees are applied once to rows of equal bins."""
+    tables, real = {}, b.written
+    monkeypatch.setattr(b, "written", lambda d, what: tables.setdefault(what, []).append(real(d, what)) or tables[what][-1])
+    rows = frame.select("id", "y", F.floor(F.col("x") / 2).alias("x"))
+    whole, few = ([t.value.tolist() for ts in b.fit(rows, "y", ["x"], [], [b.Member("p"), b.Member("m", b.QUANTILE, 0.5)], ["id"], b.Settings(rounds=5, depth=2, refresh=r)).trees for t in ts] for r in (9, 2))
+    assert [len(v) for v in tables.values()] == [2, 4]  # the second fit's predictions were written twice
+    assert np.allclose(whole, few)
+    for t in tables["boosting"]:
+        blocks = t.collect()
+        sizes = [np.frombuffer(r.n, np.int64) for r in blocks]
+        assert sum(int(n.sum()) for n in sizes) == sum(len(r.y) // 8 for r in blocks) == rows.count()
+        assert sum(map(len, sizes)) <= 6 + len(blocks)
