@@ -14,6 +14,8 @@ from .market import price_per_area
 PRICE_BANDS = {"venda": (50_000.0, 100_000_000.0), "locacao": (300.0, 200_000.0)}
 AREA_BANDS = {"venda": (500.0, 60_000.0), "locacao": (5.0, 500.0)}
 HOLDOUT, SUPPORT, SMOOTHING = 0.10, 30, 20.0
+#: Rows of a range that one task sorts.
+RANGE = 250_000
 
 
 def in_band(value: Column, bands: dict[str, tuple[float, float]], kind: str = "transaction_type") -> Column:
@@ -69,27 +71,42 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
-def by_range(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _range, in the order of its ranges of order, written: ranges are drawn from a sample, anew in each run."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+def by_range(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """df with _range, in the order of its ranges of order, written: ranges are drawn from a sample, anew in each run.
+
+    Without a number of ranges df is written before, as its rows say how many there are and the sample would run it once more.
+    """
+    if ranges is None:
+        df = written(df, "rows")
+        ranges = ranges_of(df)
+    return written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def ranges_of(df: DataFrame) -> int:
+    """Ranges of about RANGE rows for a written df, but no fewer than partitions of a shuffle."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "_rank") -> DataFrame:
-    """df with its row number by order (from 1) and _all, the number of rows: rows of the ranges before and the number within the range."""
+    """df with its row number by order (from 1) and _all, the number of rows: rows of the ranges before and the number within the range; written."""
     dealt = by_range(df, order)
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # a row for each range
-    out = dealt.join(F.broadcast(before), "_range")
-    return out.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order))).drop("_range", "_before")
+    out = dealt.repartition(ranges_of(dealt), "_range").join(F.broadcast(before), "_range")
+    return written(out.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order))).drop("_range", "_before"), "ranked")
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """by and the exact percentiles (name: share) of each group's known values, as F.percentile gives them.
 
-    Values are counted first, then dealt by ranges; only ranges that hold a wanted rank are numbered.
+    Values are counted first, then dealt by ranges; only ranges that hold a wanted rank are numbered. They are counted in parts of
+    about RANGE rows, and the parts' counts added up in as many, so that no task's table of values grows with the input.
     """
-    dealt = by_range(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n")), [*by, value])
+    values = written(df.where(F.col(value).isNotNull()).select(*by, value, F.monotonically_increasing_id().alias("_part")), "values")
+    n = ranges_of(values)
+    parts = values.withColumn("_part", F.pmod("_part", F.lit(n))).repartition(n, "_part").groupBy(*by, value, "_part").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_part", F.pmod(F.xxhash64(*by, value), F.lit(n))).repartition(n, "_part").groupBy(*by, value, "_part").agg(F.sum("_n").alias("_n"))
+    dealt = by_range(parts.drop("_part"), [*by, value], n)
     sums = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
     group = W.partitionBy(*by)
     before = sums.withColumns({"_before": F.sum("_in").over(group.orderBy("_range")) - F.col("_in"), "_all": F.sum("_in").over(group)})  # a row for each group and range

@@ -342,3 +342,13 @@ def test_ranks_are_not_numbered_in_one_task(spark):
     dealt = training.by_range(df, ["v", "tie"])
     assert dealt.select("_range").distinct().count() > 1
     assert [r.v for r in training.ranked(df, ["v", "tie"]).orderBy("_rank").collect()] == list(range(5000))
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    """More rows make more ranges, values and bins stay the same: no task sorts or counts more than its share."""
+    monkeypatch.setattr(training, "RANGE", 100)
+    df = spark.range(0, 3000, 1, 3).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 3 == 0, -0.0).otherwise(F.col("id") * 7919 % 3000 / 10.0).alias("v"), F.col("id").alias("tie"))
+    assert training.by_range(df, ["v", "tie"]).select("_range").distinct().count() >= 25
+    assert [r.tie for r in training.ranked(df, ["v", "tie"]).orderBy("_rank").collect()] == [r.tie for r in df.orderBy("v", "tie").collect()]
+    got = {r.g: (r.m, r.p) for r in training.percentiles(df, ["g"], "v", {"m": 0.5, "p": 0.9}).collect()}
+    assert got == {r.g: (r.m, r.p) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.9).alias("p")).collect()}
