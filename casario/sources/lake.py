@@ -169,8 +169,8 @@ def write_day(new: DataFrame, root: str, state: str, city: str, day: str, platfo
     """
     spark = new.sparkSession
     content = F.sha2(F.to_json(F.struct(*RECORD.fieldNames())), 256)
-    one = last_per_key(as_record(new), ["property_id"], [F.desc_nulls_last("listing_last_seen"), content.desc()])
-    one = gate(require_rows(one, "records"), f"{platform}/{domain}")
+    one = last_per_key(require_rows(as_record(new), "records"), ["property_id"], [F.desc_nulls_last("listing_last_seen"), content.desc()])
+    one = gate(one, f"{platform}/{domain}")
     to = "/".join((root, slug(state), slug(city), *day.split("-"), path_token(platform), path_token(domain)))
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(to)

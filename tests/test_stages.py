@@ -91,3 +91,11 @@ def test_targets_places_and_estimators(spark):
     with pytest.raises(ValueError):
         modelling.estimator("gbt")(None)
     assert modelling.price_model(["area_m2"], [], kind="forest").getStages()[-1].getNumTrees() == 20
+
+
+def test_a_day_is_not_ranked_to_see_whether_it_has_rows(spark, tmp_path, monkeypatch):
+    plans, real = [], lake.require_rows
+    monkeypatch.setattr(lake, "require_rows", lambda d, what: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d, what))
+    lake.write_day(spark.createDataFrame([("a", 1.0), ("a", 2.0)], "property_id string, price double"), f"file://{tmp_path}/lake", "SP", "Santos", "2026-08-01", "p", "a.com")
+    assert len(plans) == 1 and "Window" not in plans[0]
+    assert spark.read.parquet(f"file://{tmp_path}/lake/sp/santos/2026/08/01/p/a.com").count() == 1
