@@ -1,9 +1,10 @@
 """Byte-level BPE as Spark folds over distinct words, and its decoding.
 
 1. Each task finds the distinct matches ("words") of the splitting pattern in its texts; distinct() makes them global.
-2. Higher-order functions fold ranked merges over a word's bytes: the pieces and the ranks of adjacent pairs are the
-   state, the leftmost pair of least rank is merged, two ranks are looked up anew. Ranks come from one literal: a map
-   of merged bytes to ranks, dealt into buckets by crc32 since Spark scans a map from its start.
+2. Higher-order functions fold ranked merges over a word's bytes: the state is an array of numbers, one for each piece,
+   rank * CELL + place: the rank of the pair it begins and its place in the word. The least one is the leftmost pair of
+   least rank; it is merged, two ranks are looked up anew. A last number stands for the word's end. Ranks come from
+   one literal: a map of merged bytes to ranks, dealt into buckets by crc32 since Spark scans a map from its start.
 3. Words and ids become sorted hash arrays in the shared folder. Workers map them, put each text's ids together from
    its words and decode the ids by joining the vocabulary's byte strings.
 
@@ -31,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashes, kept, local_path, shared_dir, slices, table
-from .encoders import pieces_of
+from .encoders import _begins, pieces_of
 from .hash_arrays import Files, write
 
 BUCKETS = 1 << 14
-#: Stands for the rank of a pair that is no token.
-NO_RANK = 2**31 - 1
 LONG = 256
+#: A power of two beyond the place of any byte of a folded word, its end included.
+CELL = 1 << 10
+#: Stands for the rank of a pair that is no token; rank and place share an int.
+NO_RANK = 2**31 // CELL - 1
 #: Entries of a worker's set or memo; when full, it starts anew.
 MEMO = 400_000
 #: Words of a shard of the arrays.
@@ -51,6 +54,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def literal(ranks: dict[bytes, int]) -> Column:
     """The rank map as one literal: an array of BUCKETS maps (from_json of a constant is folded to a literal)."""
+    if max(ranks.values()) >= NO_RANK:
+        raise ValueError(f"ranks beyond {NO_RANK - 1} are not supported")
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.decode("latin-1")
@@ -62,28 +67,37 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _bound(state: Column, value: Column, body) -> Column:
+    """body(state, value), with value found once and, other than by _let, neither copied nor its type asked for at each call."""
+    return F.aggregate(F.array(value), state, body)
+
+
 def fold(word: Column, ranks: Column) -> Column:
-    """ids of one word, given as bytes in ISO-8859-1 characters."""
-    rank = lambda x: F.element_at(F.element_at(ranks, (F.crc32(x.cast("binary")) % BUCKETS + 1).cast("int")), x)
-    some = lambda x: F.coalesce(rank(x), F.lit(NO_RANK))
-    state = lambda p, r: F.struct(p.alias("p"), r.alias("r"))
-    start = _let(F.split(word, ""), lambda p: state(p, F.transform(F.slice(p, 2, F.size(p)), lambda x, i: some(F.concat(p[i], x)))))
+    """ids of one word of at most LONG bytes, given as bytes in ISO-8859-1 characters."""
+    return _let(word, lambda x: _fold(x, ranks))
 
-    def merge(p: Column, r: Column, at: Column) -> Column:
-        """The pieces with at and the next one (from 0) as one, and the ranks of adjacent pairs, two of them new."""
-        def put(whole: Column) -> Column:
-            pieces = F.transform(p, lambda x, i: F.when(i == at, whole).when(i != at + 1, x))
-            pairs = F.transform(r, lambda x, i: F.when(i == at - 1, some(F.concat(F.get(p, at - 1), whole))).when(i == at + 1, some(F.concat(whole, F.get(p, at + 2)))).when(i != at, x))
-            return state(F.filter(pieces, lambda x: x.isNotNull()), F.filter(pairs, lambda x: x.isNotNull()))
 
-        return _let(F.concat(F.get(p, at), F.get(p, at + 1)), put)
+def _fold(word: Column, ranks: Column) -> Column:
+    rank = lambda x: F.element_at(F.get(ranks, F.crc32(x.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1))), x)
+    cut = lambda a, z: F.substring(word, a + 1, z - a)
+    cell = lambda r, at: F.coalesce(r, F.lit(NO_RANK)) * CELL + at
+    at = lambda x: x.bitwiseAND(F.lit(CELL - 1))
+    start = F.transform(F.sequence(F.lit(0), F.length(word)), lambda i: cell(F.when(i + 2 <= F.length(word), rank(cut(i, i + 2))), i))
 
-    def step(s: Column, _: Column) -> Column:
-        at = lambda least: (F.array_position(s["r"], least) - 1).cast("int")
-        return _let(F.array_min(s["r"]), lambda least: F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, s).otherwise(_let(at(least), lambda i: merge(s["p"], s["r"], i))))
+    def merge(c: Column, m: Column, k: Column) -> Column:
+        """c with its k-th cell m (from 1) and the next one as one, and the ranks of the two pairs that this makes."""
+        prior, behind = F.get(c, k - 2), F.get(c, k + 2)
+        whole = cell(F.when(behind.isNotNull(), rank(cut(at(m), at(behind)))), at(m))
+        left = cell(rank(cut(at(prior), at(F.get(c, k + 1)))), at(prior))
+        return F.transform(F.array_remove(c, F.get(c, k)), lambda x: F.when(x == m, whole).when(x == prior, left).otherwise(x))
 
-    merged = _let(start, lambda s: F.aggregate(F.slice(s["p"], 2, F.size(s["p"])), s, step))
-    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(F.transform(merged["p"], rank))
+    def step(c: Column, _: Column) -> Column:
+        place = lambda c, m: F.array_position(c, m).cast("int")
+        return _bound(c, F.array_min(c), lambda c, m: F.when(m >= NO_RANK * CELL, c).otherwise(_bound(c, place(c, m), lambda c, k: merge(c, m, k))))
+
+    merged = F.aggregate(F.sequence(F.lit(2), F.length(word)), start, step)
+    ids = _let(merged, lambda c: F.transform(F.slice(c, 1, F.size(c) - 1), lambda x, i: rank(cut(at(x), at(F.get(c, i + 1))))))
+    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(ids)
 
 
 def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -113,6 +127,23 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def is_chunk(p: str) -> bool:
+    """Whether what lies between two blanks, a line feed before it included, is a chunk."""
+    return "!" < p < "\x7f" or _begins(p)
+
+
+def cut(text: str | None, known) -> tuple[str, list[str], set[str]]:
+    """pieces_of(text), and those pieces that known lacks; only these are looked at, as known holds nothing but such pieces."""
+    if not text:
+        return "", [], set()
+    first, *rest = text.replace("\n", " \n").split(" ")
+    new = {p for p in rest if p not in known}
+    if not all(map(is_chunk, new)):
+        first, rest = pieces_of(text)
+        new = {p for p in rest if p not in known}
+    return first, rest, new
+
+
 def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word: the distinct matches of pattern in docs (text)."""
 
@@ -125,15 +156,12 @@ def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 50_000], pa.string())], ["word"])
 
         for b in slices(batches):
-            new = set()
             for t in b.column("text"):
-                first, rest = pieces_of(t.as_py())
-                new.update(rest)
+                first, _, new = cut(t.as_py(), done)
                 seen.update(split.findall(first))
-            new -= done
-            for c in new:
-                seen.update(split.findall(c if c[0] == "\n" else " " + c))
-            done |= new
+                for c in new:
+                    seen.update(split.findall(c if c[0] == "\n" else " " + c))
+                done.update(new)
             if len(seen) > MEMO:
                 yield from out()
                 seen.clear()
@@ -149,9 +177,10 @@ class Words:
 
     def __init__(self, path: str, bits: int, vocabulary: str, pattern: str):
         self.path, self.bits, self.ranks, self.split, self.files = path, bits, read_ranks(vocabulary), regex.compile(pattern), Files()
-        self.pieces = [b""] * (max(self.ranks.values()) + 1)
+        pieces = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.pieces[rank] = token
+            pieces[rank] = token
+        self.pieces = pa.array(pieces, pa.large_binary())
         self.memo: dict[str, bytes] = {}  # chunks behind a blank
         self.old: dict[str, bytes] = {}  # those of the memo before, which move back when they come again
 
@@ -179,20 +208,23 @@ class Words:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a chunk of text that comes again is looked up once."""
-        each = [pieces_of(t) for t in texts]
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
-        new = {p for _, r in each for p in r if p not in memo}
+        each = [cut(t, memo) for t in texts]
+        new = set().union(*[lacking for *_, lacking in each])
         memo.update((p, old[p]) for p in new if p in old)
         found = {p: self.split.findall(p if p[0] == "\n" else " " + p) for p in new if p not in old}
-        lead = [self.split.findall(f) for f, _ in each]
+        lead = [self.split.findall(f) for f, *_ in each]
         ids = self.look_up(list({w for x in (*found.values(), *lead) for w in x}))
         memo.update((p, b"".join([ids[w] for w in x])) for p, x in found.items())
-        return [b"".join([ids[w] for w in f]) + b"".join(map(memo.__getitem__, r)) for f, (_, r) in zip(lead, each, strict=True)]
+        return [b"".join([ids[w] for w in f]) + b"".join(map(memo.__getitem__, rest)) for f, (_, rest, _) in zip(lead, each, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The byte strings of ids, one after another: the values that Arrow takes from the vocabulary."""
+        found = self.pieces.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, ends, raw = found.buffers()
+        return raw.to_pybytes()[: np.frombuffer(ends, "<i8")[len(found)]] if raw and len(found) else b""
 
 
 _OPEN: dict[str, Words] = {}
@@ -237,7 +269,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             _OPEN.clear()
             _OPEN[path] = Words(path, bits, vocabulary, pattern)
         words = _OPEN[path]
-        for b in slices(batches):
+        for b in slices(batches, 100):  # the ids of so many texts stay in a core's cache
             ids = words.encode([t.as_py() for t in b.column("text")])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(list(map(words.decode, ids)), pa.binary())], ["doc_id", "ids", "decoded"])
 

@@ -8,6 +8,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from casario.llm import byte_bpe, encoders, packing, token_output
 from casario.llm.common import shared_dir
 from casario.llm.encoders import Encoder
@@ -116,6 +118,30 @@ def test_byte_bpe_against_the_library(spark):
         assert byte_bpe.merge_heap(w.encode(), ranks) == enc.encode_ordinary(w)
 
 
+def test_byte_bpe_folds_numbers(spark):
+    """The fold's state is one array of numbers: no step joins or copies pieces."""
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    words = ["aaaa", "aaaaaaa", " ofanwhtiti", "ñueasñ", " \u4f60\u597d\U0001f600", "x" * byte_bpe.LONG, "ab" * 100, "zqxj", "\n", "-=" * 60]
+    latin = F.decode(F.col("w").cast("binary"), "ISO-8859-1")
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", byte_bpe.fold(latin, byte_bpe.literal(ranks)).alias("ids"))
+    assert {r.w: r.ids for r in df.collect()} == {w: byte_bpe.merge_heap(w.encode(), ranks) for w in words}
+    plan = byte_bpe.fold(latin, F.array(F.create_map(F.lit("a"), F.lit(0))))
+    plan = spark.range(1).select(F.lit("ab").alias("w")).select(plan)._jdf.queryExecution().analyzed().toString()
+    assert "concat(" not in plan
+    with pytest.raises(ValueError):
+        byte_bpe.literal({b"a": byte_bpe.NO_RANK})
+
+
+def test_byte_bpe_cuts_only_new_pieces(monkeypatch):
+    asked = []
+    monkeypatch.setattr(byte_bpe, "is_chunk", lambda p, f=byte_bpe.is_chunk: asked.append(p) or f(p))
+    first, rest, new = byte_bpe.cut("to be or\nnot to be", {"be": b"", "to": b""})
+    assert (first, rest, new) == ("to", ["be", "or", "\nnot", "to", "be"], {"or", "\nnot"}) and set(asked) == new
+    for text in [t for t in HARD if t]:
+        assert byte_bpe.cut(text, {})[:2] == encoders.pieces_of(text)
+    assert byte_bpe.cut(None, {}) == ("", [], set())
+
+
 def packed_items(counts, size):
     bins = []
     for k in sorted(counts, reverse=True):
