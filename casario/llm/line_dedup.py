@@ -31,7 +31,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     print_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     # Row identity that does not depend on partitioning: the id and the text's hash.
-    each = docs.select(F.col(id_col).alias("_ld_id"), print_.alias("_ld_print"), F.posexplode(lines).alias("_ld_pos", "_ld_line"))
+    # Both are made before the lines are exploded, or each line would hash its whole text again.
+    each = docs.select(F.col(id_col).alias("_ld_id"), print_.alias("_ld_print"), lines.alias("_ld_lines"))
+    each = each.select("_ld_id", "_ld_print", F.posexplode("_ld_lines").alias("_ld_pos", "_ld_line"))
     each = each.withColumn("_ld_key", line_key(F.col("_ld_line"))).where(F.char_length("_ld_key") >= min_chars)
     # Two independent 64-bit hashes: equal for different lines with a chance of 2**-128 a pair.
     each = each.select("_ld_id", "_ld_print", "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h"), F.xxhash64(F.lit(7), "_ld_key").alias("_ld_g"))
@@ -44,17 +46,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     masks = drops.groupBy("_ld_id", "_ld_print").agg(F.sort_array(F.collect_set("_ld_pos")).alias("_ld_drop"))
     out = docs.withColumns({"_ld_id": F.col(id_col), "_ld_print": print_}).join(masks, ["_ld_id", "_ld_print"], "left")
     size = F.size(lines)
-    # Kept runs between dropped positions: linear in lines, however many are dropped.
+    # One flag a line, true in the runs between dropped positions: linear in lines, however many are dropped. Within a lambda
+    # stands nothing of the row, as the optimiser would put the split there and run it for each element.
     cuts = F.concat(F.array(F.lit(-1)), F.col("_ld_drop"))
     ends = F.concat(F.col("_ld_drop"), F.array(size))
-    runs = F.filter(F.transform(F.arrays_zip(cuts.alias("a"), ends.alias("b")), lambda z: F.struct((z["a"] + 2).alias("at"), (z["b"] - z["a"] - 1).alias("n"))), lambda z: z["n"] > 0)
-    text = F.array_join(F.flatten(F.transform(runs, lambda z: F.slice(F.col("_ld_lines"), z["at"], z["n"]))), "\n")
-    out = out.withColumn("_ld_lines", F.when(F.col("_ld_drop").isNotNull(), lines))
+    stays = F.flatten(F.transform(F.arrays_zip(cuts.alias("a"), ends.alias("b")), lambda z: F.concat(F.array_repeat(F.lit(True), z["b"] - z["a"] - 1), F.array(F.lit(False)))))  # one more than lines
+    text = F.array_join(F.zip_with(lines, stays, lambda line, stay: F.when(stay, line)), "\n")  # nulls are left out
     return out.withColumns({
         text_col: F.when(F.col("_ld_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(text),
         "n_lines": size.cast("long"),
         "n_dropped": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long"),
-    }).drop("_ld_id", "_ld_print", "_ld_drop", "_ld_lines")
+    }).drop("_ld_id", "_ld_print", "_ld_drop")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

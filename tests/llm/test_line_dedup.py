@@ -49,3 +49,19 @@ def test_other_columns_pass_and_empty_table(docs, nothing):
 def test_plan_is_native(docs):
     plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_a_text_is_split_once_not_for_each_run(spark):
+    rows = [(1, "a line of the first\nanother line of it"), (2, "a line of the first\n\n\nown line\nAnother line of it\n\n"), (3, "another line of it\na line of the first")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got(out) == expected(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    starts = [m.end() for m in re.finditer(r"lambdafunction\(", plan)]
+    assert starts
+    for at in starts:
+        end, depth = at, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(plan[end], 0)
+            end += 1
+        assert "split(" not in plan[at:end]
+    assert "posexplode(split(" not in plan  # else what stands above it hashes the text for each of its lines
