decile_calibration: number ranges in the sort, deal values once

Symptom: a run read 17 rows for each line item, wrote ranks and values as tables of their own and counted tables it had just written.
Evidence: the profiler at sf0.1 gave 10202294 rows read, 86 MB of shuffle written, 107 MB read, 18 exchanges, 1102 CPU seconds a GB; ranges were shuffled again only to be numbered, and values three times (two counts and the ranges).
Fix: rows are counted while they are written; a range is sorted in the task that gets it and a row's place there is its number; percentiles deals the values once, equal ones apart by a number of their own, and takes ranks from places; the sizes of the deciles say how many ranges their values need; the places of twenty medians are broadcast.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 673 -> 420 s, shuffle 4.16 -> 2.36 GB, spill 0.00 -> 0.00 GB, read 5.10 -> 4.77 GB, longest task 21 -> 6 s, most memory of a task 570 -> 503 MB; at 6 GB of input CPU 2766 -> 1660 s, shuffle 23.61 -> 8.90 GB, spill 3.81 -> 0.00 GB, read 28.82 -> 27.95 GB, longest task 6 -> 6 s, most memory of a task 1040 -> 570 MB; with hot keys, at 1 GB of input CPU 650 -> 399 s, shuffle 4.66 -> 1.58 GB, spill 0.00 -> 0.00 GB, read 4.91 -> 4.61 GB, longest task 4 -> 13 s, most memory of a task 537 -> 503 MB.

@@ -7,7 +7,7 @@ from math import erf, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .training import deciles, percentiles
+from .training import deciles, percentiles, ranges_of, written
 
 
 def _row_of_percentiles(df: DataFrame, wanted: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -35,10 +35,13 @@ def regression_metrics(df: DataFrame, y: str = "y_log", p: str = "p_log", price:
 def decile_calibration(df: DataFrame, p: str, real: str, tie: str) -> DataFrame:
     """decil, n, median prediction and median value by decile of the prediction."""
     binned = deciles(df.select(F.col(p).alias("previsto"), F.col(real).alias("real"), F.col(tie).alias("_tie")), ["previsto", "_tie"])
+    sizes = written(binned.groupBy("decil").agg(F.count("*").alias("n")), "sizes")  # ten rows, and the number of all
     both = F.explode(F.array(*(F.struct(F.lit(c).alias("_what"), F.col(c).cast("double").alias("_value")) for c in ("previsto", "real"))))
-    medians = percentiles(binned.select("decil", both.alias("x")).select("decil", "x.*"), ["decil", "_what"], "_value", {"_median": 0.5})
+    long = binned.select("decil", both.alias("x")).select("decil", "x.*")
+    ranges = ranges_of(long, 2 * (sizes.agg(F.sum("n")).first()[0] or 0))
+    medians = percentiles(long, ["decil", "_what"], "_value", {"_median": 0.5}, ranges, few=True)
     medians = medians.groupBy("decil").agg(*(F.max(F.when(F.col("_what") == k, F.col("_median"))).alias(k) for k in ("previsto", "real")))
-    return binned.groupBy("decil").agg(F.count("*").alias("n")).join(medians, "decil", "left").select("decil", "n", "previsto", "real")
+    return sizes.join(medians, "decil", "left").select("decil", "n", "previsto", "real")
 
 
 def interval(df: DataFrame, low: str, centre: str, high: str) -> DataFrame:

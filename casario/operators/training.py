@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -72,54 +72,56 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def by_range(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
-    """df with _range, in the order of its ranges of order, written: ranges are drawn from a sample, anew in each run.
+    """df with _range, in the order of its ranges of order, and _row, the place within its range (from 0), written: ranges are drawn from a sample, anew in each run.
 
     Without a number of ranges df is written before, as its rows say how many there are and the sample would run it once more.
+    They are counted while they are written. Rows are sorted in the task that gets a range, so no second shuffle numbers them.
     """
     if ranges is None:
-        df = written(df, "rows")
-        ranges = ranges_of(df)
-    return written(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+        seen = Observation()
+        df = written(df.observe(seen, F.count("*").alias("n")), "rows")
+        ranges = ranges_of(df, seen.get.get("n", 0))
+    sorted_ = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower bits count a task's rows
+    return written(sorted_.withColumns({"_range": F.spark_partition_id(), "_row": place}), "ranges")
 
 
-def ranges_of(df: DataFrame) -> int:
-    """Ranges of about RANGE rows for a written df, but no fewer than partitions of a shuffle."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
+def ranges_of(df: DataFrame, rows: int) -> int:
+    """Ranges of about RANGE rows for df's rows, but no fewer than partitions of a shuffle."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE))
 
 
 def ranked(df: DataFrame, order: list[str], name: str = "_rank") -> DataFrame:
-    """df with its row number by order (from 1) and _all, the number of rows: rows of the ranges before and the number within the range; written."""
+    """df with its row number by order (from 1) and _all, the number of rows: rows of the ranges before and the place within the range."""
     dealt = by_range(df, order)
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_all"))  # a row for each range
-    out = dealt.repartition(ranges_of(dealt), "_range").join(F.broadcast(before), "_range")
-    return written(out.withColumn(name, F.col("_before") + F.row_number().over(W.partitionBy("_range").orderBy(*order))).drop("_range", "_before"), "ranked")
+    out = dealt.join(F.broadcast(written(before, "starts")), "_range")  # written, as each use of the ranks would count again
+    return out.withColumn(name, F.col("_before") + F.col("_row") + 1).drop("_range", "_row", "_before")
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], ranges: int | None = None, few: bool = False) -> DataFrame:
     """by and the exact percentiles (name: share) of each group's known values, as F.percentile gives them.
 
-    Values are counted first, then dealt by ranges; only ranges that hold a wanted rank are numbered. They are counted in parts of
-    about RANGE rows, and the parts' counts added up in as many, so that no task's table of values grows with the input.
+    Values are dealt by ranges, equal ones by a number of their own, so that no range grows with a frequent value; a value's rank in its
+    group is the group's rows in the ranges before and its place in the range. With a number of ranges (of by_range) df is run twice.
+    Only callers whose groups a constant bounds say that they are few: the places looked for are broadcast then.
     """
-    values = written(df.where(F.col(value).isNotNull()).select(*by, value, F.monotonically_increasing_id().alias("_part")), "values")
-    n = ranges_of(values)
-    parts = values.withColumn("_part", F.pmod("_part", F.lit(n))).repartition(n, "_part").groupBy(*by, value, "_part").agg(F.count("*").alias("_n"))
-    parts = parts.withColumn("_part", F.pmod(F.xxhash64(*by, value), F.lit(n))).repartition(n, "_part").groupBy(*by, value, "_part").agg(F.sum("_n").alias("_n"))
-    dealt = by_range(parts.drop("_part"), [*by, value], n)
-    sums = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_in"))
+    values = df.where(F.col(value).isNotNull()).select(*by, value, F.monotonically_increasing_id().alias("_id"))
+    dealt = by_range(values, [*by, value, "_id"], ranges)
+    sums = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_in"), F.min("_row").alias("_start"))
     group = W.partitionBy(*by)
     before = sums.withColumns({"_before": F.sum("_in").over(group.orderBy("_range")) - F.col("_in"), "_all": F.sum("_in").over(group)})  # a row for each group and range
     position = {k: (F.col("_all") - 1) * F.lit(float(s)) for k, s in shares.items()}
-    holds = lambda rank, first, n: (rank >= first) & (rank < first + n)
-    ends = [f(p) for p in position.values() for f in (F.floor, F.ceil)]
+    ends = {f"_{f.__name__}_{k}": f(p) for k, p in position.items() for f in (F.floor, F.ceil)}
     wanted = F.lit(False)
-    for rank in ends:
-        wanted = wanted | holds(rank, F.col("_before"), F.col("_in"))
-    rows = dealt.join(before.where(wanted), [*by, "_range"])  # grows with the groups: Spark chooses the join
-    rows = rows.withColumn("_first", F.col("_before") + F.sum("_n").over(W.partitionBy(*by, "_range").orderBy(value)) - F.col("_n"))
-    at = lambda rank: F.max(F.when(holds(rank, F.col("_first"), F.col("_n")), F.col(value).cast("double")))
-    found = rows.groupBy(*by).agg(F.first("_all").alias("_all"), *(at(f(p)).alias(f"_{f.__name__}_{k}") for k, p in position.items() for f in (F.floor, F.ceil)))
+    for rank in ends.values():
+        wanted = wanted | ((rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_in")))
+    places = before.where(wanted)  # two for each group and share at most: grows with the groups, Spark chooses the join
+    rows = dealt.join(F.broadcast(places) if few else places, [*by, "_range"])
+    rows = rows.withColumn("_rank", F.col("_before") + F.col("_row") - F.col("_start")).where(F.col("_rank").isin(*ends.values()))
+    known = F.col(value).cast("double") + F.lit(0.0)  # -0.0 is 0.0, as for a group
+    found = rows.groupBy(*by).agg(F.first("_all").alias("_all"), *(F.max(F.when(F.col("_rank") == rank, known)).alias(k) for k, rank in ends.items()))
     lo, hi = (lambda k: F.col(f"_floor_{k}")), (lambda k: F.col(f"_ceil_{k}"))
     return found.select(*by, *(F.when(lo(k) == hi(k), lo(k)).otherwise((F.ceil(p) - p) * lo(k) + (p - F.floor(p)) * hi(k)).alias(k) for k, p in position.items()))
 

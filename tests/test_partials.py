@@ -9,7 +9,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from casario.functions import amenities, coerce, folds, text_rules
-from casario.operators import catalogue, features, history, ingestion, training
+from casario.operators import catalogue, features, history, ingestion, metrics, training
 from casario.plans import reader_queries
 from casario.sources import models, pages
 
@@ -109,6 +109,26 @@ def test_a_month_is_collapsed_in_one_shuffle(spark):
     assert [(r.k, r.tie, r.preco_primeiro, r.preco_ultimo, r.n_dias_observado, r.preco_mudou_no_mes) for r in out.orderBy("k").collect()] == [("a", 3, 6.0, 5.0, 2, True), ("b", 4, None, None, 0, False)]
 
 
+def test_ranks_and_medians_read_each_table_once_a_step(spark, monkeypatch):
+    plain, whole = training.written, []
+    monkeypatch.setattr(training, "written", lambda df, what: (whole.append(what) if what not in ("starts", "sizes") else None, plain(df, what))[1])
+    monkeypatch.setattr(training, "RANGE", 40)
+    odd = [(None, 1.0, 1), (None, None, None), (float("nan"), 2.0, 2), (float("inf"), None, 3), (0.0, 3.0, 4), (-0.0, 3.0, 4), (-0.0, -0.0, 5)]
+    some = odd + [(float(i % 50), float(i * 7919 % 300), i) for i in range(300)] * 2  # each row of these comes twice
+    df = spark.createDataFrame(some, "p double, y double, tie int")
+    got = {r.decil: r for r in metrics.decile_calibration(df, "p", "y", "tie").collect()}
+    assert whole == ["rows", "ranges", "ranges"]  # no table of ranks, no copy of the values
+    df.createOrReplaceTempView("some_predictions")
+    want = spark.sql("""WITH r AS (SELECT *, row_number() OVER (ORDER BY p, tie) AS r, count(*) OVER () AS n FROM some_predictions)
+        SELECT cast(greatest(0, ceil(round((r - 1) * 10 / (n - 1), 9)) - 1) AS int) AS decil, count(*) AS n, percentile(p, 0.5) AS previsto, percentile(y, 0.5) AS real FROM r GROUP BY 1""").collect()
+    assert {k: str(tuple(r)) for k, r in got.items()} == {r.decil: str(tuple(r)) for r in want} and len(got) == 10
+    plan = training.ranked(df, ["p", "tie"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    assert metrics.decile_calibration(df.where("tie > 1000"), "p", "y", "tie").count() == 0
+    v = training.percentiles(spark.sql("SELECT * FROM VALUES (1, -0.0D), (1, NULL), (NULL, 5D), (2, NULL) t(g, v)"), ["g"], "v", {"m": 0.5}).collect()
+    assert [(r.g, str(r.m)) for r in v] == [(1, "0.0")]
+
+
 def test_words_of_text_rules_lose_no_match(spark):
     said = """sem garagem|vagas a parte|aquisicao de vaga|vaga para moto|garagem para motocicleta|por sorteio|rotativas|coletivos|coletica|manobrista|manbrista|valet|compartilhada|insuficiente|empilhadas|demarcada|escriturado|em escritura
 garagens|varanda gourmet|terraco gourmet|sacada|varandao|vista parcial|lateral para o mar|vista mar|frente ao mar|vista livre|alto padrao|fino acabamento|porcelanato|sanca de gesso|iluminacao embutida|borda infinita|piso frio|acabamento em ceramica
