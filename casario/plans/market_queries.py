@@ -43,7 +43,7 @@ _COLLAPSE = """ SELECT property_id, mes_referencia, arg_max(price, (extraction_d
 @query("month_collapse", _COLLAPSE)
 def _(spark, sf_dir):
     own = listings(spark, sf_dir).select("property_id", "mes_referencia", "price", "area_m2", "city", "extraction_date", "tie")  # whole rows are collapsed: only what is asked for
-    out = history.collapse_month(own, ["property_id", "mes_referencia"])
+    out = history.collapse_month(own, ["mes_referencia", "property_id"])  # sorted before the shuffle: rows side by side share most of their dates
     return out.select("property_id", "mes_referencia", "price", "area_m2", "city", "preco_primeiro", "preco_ultimo", "n_dias_observado", "preco_mudou_no_mes")
 
 

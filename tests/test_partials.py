@@ -109,6 +109,23 @@ def test_a_month_is_collapsed_in_one_shuffle(spark):
     assert [(r.k, r.tie, r.preco_primeiro, r.preco_ultimo, r.n_dias_observado, r.preco_mudou_no_mes) for r in out.orderBy("k").collect()] == [("a", 3, 6.0, 5.0, 2, True), ("b", 4, None, None, 0, False)]
 
 
+def test_a_month_shuffles_one_row_and_its_points(spark):
+    some = [("a", "2026-01-02", 1, 5.0, "x"), ("a", "2026-01-01", 9, 6.0, "y"), ("a", "2026-01-03", None, None, "z"), ("a", "2026-01-02", 1, 5.0, "x"), (None, None, None, 7.0, "u"), (None, None, 3, None, None), ("b", "2026-01-01", 2, None, "v"), ("c", "2026-01-01", 4, float("nan"), "w"), ("c", "2026-01-01", 5, float("nan"), None)]
+    df = spark.createDataFrame(some * 2, "k string, extraction_date string, tie int, price double, s string").withColumn("m", F.create_map(F.lit("s"), F.col("s")))  # maps have no order
+    out = history.collapse_month(df, ["k"])
+    assert out.columns == ["k", "extraction_date", "tie", "price", "s", "m", "preco_primeiro", "preco_ultimo", "n_dias_observado", "preco_mudou_no_mes"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_max_by(") == 1 and "partial_min_by(" not in plan
+    got = {r.k: r for r in out.collect()}
+    assert {k: str(tuple(r)[1:5] + tuple(r)[6:]) for k, r in got.items()} == {
+        "a": "('2026-01-03', None, None, 'z', 6.0, 5.0, 3, True)", None: "(None, 3, None, None, 7.0, 7.0, 0, False)",
+        "b": "('2026-01-01', 2, None, 'v', None, None, 1, False)", "c": "('2026-01-01', 5, nan, None, nan, nan, 1, False)"}
+    assert all(r.m == {"s": r.s} for r in got.values())
+    equal = spark.createDataFrame([("a", "2026-01-01", 1, p, f"s{p}") for p in (None, 2.0, 1.0)], "k string, extraction_date string, tie int, price double, s string")
+    assert [(r.price, r.s, r.preco_ultimo, r.preco_primeiro) for n in (1, 3) for r in history.collapse_month(equal.repartition(n, "price"), ["k"]).collect()] == [(2.0, "s2.0", 2.0, 1.0)] * 2
+    assert history.collapse_month(df.where("tie > 99"), ["k"]).count() == 0
+
+
 def test_ranks_and_medians_read_each_table_once_a_step(spark, monkeypatch):
     plain, whole = training.written, []
     monkeypatch.setattr(training, "written", lambda df, what: (whole.append(what) if what not in ("starts", "sizes") else None, plain(df, what))[1])
