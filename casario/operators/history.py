@@ -54,7 +54,8 @@ def last_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 def build_month(df: DataFrame, month: str = "mes_referencia", source: str = "source_domain", tie: str = "tie") -> DataFrame:
     """Each source's month collapsed, then one source per property and month: the latest date, then the last source by name.
 
-    Counts of days stay the winning source's.
+    Counts of days stay the winning source's. Two shuffles, as each begins with a partial step: dealing the observations by property
+    and month alone would save the second, but bring all sources of a frequent property and month to one task.
     """
     own = collapse_month(df, [month, source, "property_id"], tie=tie)
     return last_per_key(own, [month, "property_id"], [F.desc("extraction_date"), F.desc(source)])

@@ -126,6 +126,14 @@ def test_a_month_shuffles_one_row_and_its_points(spark):
     assert history.collapse_month(df.where("tie > 99"), ["k"]).count() == 0
 
 
+def test_sources_shuffle_no_row_beside_its_order(spark):
+    rows = [("p", "2026-01", "s1", 1.0, "2026-01-02", 1), ("p", "2026-01", "s1", 2.0, "2026-01-01", 2), ("p", "2026-01", "s2", 3.0, "2026-01-02", 1), (None, None, None, None, None, None), ("q", "2026-01", None, 4.0, None, None), ("q", "2026-01", "s0", None, None, 1)]
+    out = history.build_month(spark.createDataFrame(rows * 2, "property_id string, mes_referencia string, source_domain string, price double, extraction_date string, tie int"))
+    assert {(r.property_id, r.source_domain, r.price, r.n_dias_observado, r.preco_primeiro) for r in out.collect()} == {("p", "s2", 3.0, 1, 3.0), (None, None, None, 0, None), ("q", "s0", None, 0, None)}
+    plan = out.select("property_id", "source_domain", "price", "n_dias_observado")._jdf.queryExecution().executedPlan().toString()
+    assert "max_by(" not in plan and plan.count("partial_max(") == 1
+
+
 def test_ranks_and_medians_read_each_table_once_a_step(spark, monkeypatch):
     plain, whole = training.written, []
     monkeypatch.setattr(training, "written", lambda df, what: (whole.append(what) if what not in ("starts", "sizes") else None, plain(df, what))[1])
